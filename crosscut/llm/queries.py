@@ -43,6 +43,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, ["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -98,5 +106,32 @@ own AS (
 SELECT w.doc_id, coalesce(len(ws), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN pos ON w.doc_id = pos.doc_id LEFT JOIN own ON w.doc_id = own.doc_id
+""",
+    "op9_line_dedup": r"""
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT doc_id, p, trim(regexp_replace(lower(ls[p]), '[ \x09-\x0D]+', ' ', 'g'), ' ') AS line, ls[p] AS orig
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM cut)),
+worded AS (
+  SELECT doc_id, p, line, orig, CASE WHEN line = '' THEN 0 ELSE len(string_split(line, ' ')) END AS n,
+    row_number() OVER (ORDER BY doc_id, p) AS pos FROM lines),
+firsts AS (SELECT line, min(pos) AS pos FROM worded WHERE n >= 5 GROUP BY line),
+longs AS (SELECT f.line, f.pos, string_split(f.line, ' ') AS ws FROM firsts f WHERE len(string_split(f.line, ' ')) >= 10),
+less AS (
+  SELECT pos, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v
+  FROM (SELECT pos, ws, unnest(range(1, len(ws) + 1)) AS i FROM longs)),
+at_same AS (SELECT pos, min(pos) OVER (PARTITION BY v, i) AS e FROM less),
+part_of AS (
+  SELECT l.pos, w.pos AS e FROM less l JOIN longs w ON l.v = w.line
+  UNION ALL SELECT w.pos, l.pos FROM less l JOIN longs w ON l.v = w.line),
+near AS (SELECT DISTINCT pos FROM (SELECT * FROM at_same UNION ALL SELECT * FROM part_of) WHERE e < pos),
+kept AS (
+  SELECT w.doc_id, w.p, w.orig, w.n >= 5 AND (w.pos <> f.pos OR x.pos IS NOT NULL) AS gone
+  FROM worded w LEFT JOIN firsts f ON w.line = f.line AND w.n >= 5 LEFT JOIN near x ON x.pos = f.pos),
+again AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(orig, chr(10) ORDER BY p) FILTER (NOT coalesce(gone, false)), '') AS text
+  FROM kept GROUP BY doc_id)
+SELECT c.doc_id, len(c.ls) AS n_lines, a.n_removed, length(a.text) AS n_chars_kept, sha256(a.text) AS text_sha256
+FROM cut c JOIN again a ON c.doc_id = a.doc_id
 """,
 }
