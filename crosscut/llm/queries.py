@@ -27,6 +27,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import derivatives, responses
 
@@ -78,6 +84,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_join": op2_ngram_join,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_warc_derivatives": op4_warc_derivatives,
     "op5_decontaminate": op5_decontaminate,
     "op6_html_extract": op6_html_extract,
