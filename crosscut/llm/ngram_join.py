@@ -156,6 +156,31 @@ def _count_links(threshold: float):
     return run
 
 
+def _join_roots(threshold: float):
+    def run(t: pa.Table) -> pa.Table:
+        """(a, b) of roots whose components a pair of this block links; one row a root at most."""
+        side = t.column("side").to_numpy()
+        root, at = np.unique(t.column("root").to_numpy(), return_inverse=True)
+        linked = similarities([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("grams")]) >= threshold - 1e-12
+        if not (side == 2).any():
+            linked &= side[:, None] != side[None, :]
+        x, y = np.nonzero(linked & (at[:, None] != at[None, :]))
+        x, y = at[x], at[y]
+        label = np.arange(len(root))
+        while len(x):
+            new = label.copy()
+            np.minimum.at(new, x, label[y])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = label != np.arange(len(root))
+        kind = t.schema.field("root").type
+        return pa.table({"a": pa.array(root[moved], kind), "b": pa.array(root[label[moved]], kind)})
+
+    return run
+
+
 def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """id_col, copy_of, class_id, n_links and kept of every row of docs.
 
@@ -168,11 +193,10 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     rows are each reported, and link with each other.
 
     Texts with the same set are one class with one representative. Each band's key groups representatives;
-    of a group, pairs are not emitted: everyone is compared with the group's smallest, then those that are
-    still apart with another member drawn for each group. Only members of a group that still lie in
-    different components are paired after that, and of these only pairs that sizes and the triangle
-    inequality of Jaccard distances leave open. So every candidate pair is linked, in one component already, or
-    compared on whole sets. Links are counted within components, in blocks of block by block documents.
+    of a group, pairs are not emitted: everyone is compared with the smallest of all its groups, on whole
+    sets. Groups whose members lie in different components after that are compared in full, in blocks of
+    block by block sets, and report components to be joined. So every candidate pair is in one component
+    already or compared. Links are counted within components, in blocks as well.
     """
     scratch = Scratch(docs.sparkSession, "ngrams")
     bands, rows = choose_bands(threshold, recall)
@@ -182,8 +206,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     classes = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "bands", "n"))).alias("f"), F.count("*").alias("mult")).where("f is not null")
     classes = scratch.keep(classes.select("d1", "d2", F.col("f.id").alias("rep"), "mult", F.col("f.n").alias("n"), F.col("f.bands").alias("bands")), "classes")
 
-    buckets = classes.select("rep", "n", F.explode("bands").alias("bh"))
-    heads = buckets.groupBy("bh").agg(F.count("*").alias("c"), F.min("rep").alias("low"), F.min(F.struct(F.xxhash64("bh", "rep"), "rep"))["rep"].alias("other")).where("c > 1").drop("c")
+    buckets = classes.select("rep", F.explode("bands").alias("bh"))
+    heads = buckets.groupBy("bh").agg(F.count("*").alias("c"), F.min("rep").alias("low")).where("c > 1").drop("c")
     met = scratch.keep(buckets.join(heads, "bh"), "met")
 
     members = met.select("rep").distinct().join(classes.select("rep", "d1", "d2", "mult"), "rep")
@@ -202,40 +226,28 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: floa
     def labelled(edges: DataFrame) -> DataFrame:
         return scratch.keep(components(edges, scratch), "roots")
 
+    def paired(g: DataFrame, cols: list[str]) -> DataFrame:
+        """A group of k blocks as block pairs (lo, hi): a row goes to each with its side, 0 or 1, or 2 for the pairs within one block."""
+        g = g.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        return g.select(*cols, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"))
+
     # first: everyone with the smallest of all its groups
     pairs = met.groupBy(F.col("rep").alias("a")).agg(F.min("low").alias("b")).where("b < a")
     star = compared(pairs, "star")
     links = star.where(F.col("sim") >= threshold)
     roots = labelled(links.select("a", "b"))
 
-    def apart(on: str) -> DataFrame:
-        m = met.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("ra")), "rep", "left").join(roots.select(F.col("node").alias(on), F.col("root").alias("rb")), on, "left")
-        return m.where(F.coalesce("ra", "rep") != F.coalesce("rb", on)).select(F.greatest("rep", on).alias("a"), F.least("rep", on).alias("b")).distinct()
-
-    # then: those that lie apart from a member drawn by each group
-    drawn = compared(apart("other").join(star, ["a", "b"], "left_anti"), "drawn")
-    links = links.unionByName(drawn.where(F.col("sim") >= threshold))
-    roots = labelled(links.select("a", "b"))
-
-    # last: what is left between components within a group
-    far = star.select(F.col("a").alias("rep"), F.col("b").alias("via"), (1 - F.col("sim")).alias("far"))
-    m = met.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = m.groupBy("bh").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bh")
-    m = m.join(mixed, "bh", "left_semi").join(far, "rep", "left").select("bh", "rep", "n", "root", F.coalesce("via", "rep").alias("via"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    left, right = m.select(*[F.col(c).alias(f"{c}1") for c in m.columns]), m.select(*[F.col(c).alias(f"{c}2") for c in m.columns])
-    open_ = left.join(right, (F.col("bh1") == F.col("bh2")) & (F.col("root1") < F.col("root2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold) & ~((F.col("via1") == F.col("via2")) & (F.abs(F.col("far1") - F.col("far2")) > 1 - threshold + 1e-9)))
-    open_ = open_.select(F.greatest("rep1", "rep2").alias("a"), F.least("rep1", "rep2").alias("b")).distinct()
-    rest = compared(open_.join(star, ["a", "b"], "left_anti").join(drawn, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(rest.where(F.col("sim") >= threshold))
-    roots = labelled(links.select("a", "b"))
+    # then: groups whose members still lie in different components, in blocks of pairs
+    m = met.select("bh", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = m.groupBy("bh").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("bh", F.ceil(F.col("c") / block).cast("int").alias("k"))
+    m = paired(m.join(mixed, "bh").join(sets.select("rep", "grams"), "rep"), ["bh", "rep", "root", "grams"])
+    joined = scratch.keep(m.groupBy("bh", "lo", "hi").applyInArrow(_join_roots(threshold), f"a {id_type}, b {id_type}"), "joined")
+    roots = labelled(links.select("a", "b").unionByName(joined))
 
     # links within components, in blocks of pairs
     g = sets.join(roots.select(F.col("node").alias("rep"), "root"), "rep")
     blocks = roots.groupBy("root").count().select("root", F.ceil(F.col("count") / block).cast("int").alias("k"))
-    g = g.join(blocks, "root").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-    # block i meets every block j; a row goes to (min, max) with its side: 0, 1, or 2 for pairs within one block
-    g = g.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    g = g.select("root", "rep", "mult", "grams", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"))
+    g = paired(g.join(blocks, "root"), ["root", "rep", "mult", "grams"])
     counted = g.groupBy("root", "lo", "hi").applyInArrow(_count_links(threshold), f"rep {id_type}, links long")
     counted = counted.groupBy("rep").agg(F.sum("links").alias("links"))
     info = classes.select("d1", "d2", "rep", "mult").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(counted, "rep", "left")
