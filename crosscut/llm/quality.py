@@ -155,7 +155,7 @@ def _tree_paths(x: np.ndarray, residual: np.ndarray, depth: int, cuts: list[np.n
     return paths
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 2e-4, seed: int = 7) -> Model:
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 2e-3, seed: int = 7) -> Model:
     """Boosts small trees, takes their paths as rules, and weighs these by lasso logistic regression.
 
     The two classes count alike. With one class only, or no rows, the score is that class's (or 0.5)
