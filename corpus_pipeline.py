@@ -1,8 +1,72 @@
-"""A corpus pipeline over documents, as stages of the operators."""
+"""A corpus pipeline over documents: each stage applies one operator to all that the stage before kept.
 
-STAGES = []
+Each function takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crosscut.llm.decontaminate import remove_spans
+from crosscut.llm.line_dedup import dedup_lines
+from crosscut.llm.mixing import mix, text_size
+from crosscut.llm.ngram_join import ngram_join
+from crosscut.llm.quality import fit_quality, score
+from crosscut.llm.shared import Scratch, small_enough
+
+#: Most ids of removed documents that are sent to every executor; with more, the ids meet the documents by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the rules score under 0.5. The rules are fitted on the labelled ones among docs."""
+    model = fit_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that an earlier one repeats or nearly repeats. A document of which only blank lines are left goes."""
+    out = dedup_lines(docs)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one with the smallest id, of each group that links join."""
+    scratch = Scratch(spark, "pipeline")
+    gone = scratch.keep(ngram_join(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if small_enough(gone, MAX_BROADCAST_IDS) else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts spans that occur in benchmark items; documents that are mostly such spans go."""
+    return remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, each once, with how often it takes them and their source's size and target."""
+    took = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "copies", "taken").distinct()
+    sized = docs.withColumn("size", text_size(F.col("text")))
+    out = sized.join(took, sized["doc_id"].eqNullSafe(took["_d"]) & sized["source"].eqNullSafe(took["_s"]) & (sized["size"] == took["_z"]))
+    return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+]
+
+#: The classifier's fit and the rounding are not SQL; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table, each one's rows written before the next reads them."""
+    scratch = Scratch(spark, "stages")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
