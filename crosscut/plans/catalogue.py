@@ -1,6 +1,6 @@
 """All checked queries of the engine."""
 
-from . import rule_queries
+from . import finding_queries, rule_queries
 
-QUERIES = dict(rule_queries.QUERIES)
-SQL = dict(rule_queries.SQL)
+QUERIES = {**rule_queries.QUERIES, **finding_queries.QUERIES}
+SQL = {**rule_queries.SQL, **finding_queries.SQL}
