@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.patterns import EXTERNAL_CALLS, _java_member, flag
+from ..functions.rules import lookup
 from .lines import before, hunk_start, in_file, so_far, with_new_lines
 from .neighbourhood import silent_catch, with_neighbourhood
 
@@ -94,12 +95,22 @@ def response_shapes(lines: DataFrame) -> DataFrame:
 
 
 def mixed_shapes(lines: DataFrame) -> DataFrame:
-    """The first two responses of a file, in order, that name different keys; one finding a file."""
+    """(file_key, mixed): line and snippet of the first two responses of a file, in order, that name different keys."""
     s = response_shapes(lines).where(F.size("keys") > 0)
-    a, b = s.alias("a"), s.select("file_key", F.col("ord").alias("ord2"), F.col("line").alias("line2"), F.col("keys").alias("keys2")).alias("b")
-    pairs = a.join(b, "file_key").where((F.col("ord") < F.col("ord2")) & (F.col("keys") != F.col("keys2")))
-    first = pairs.groupBy("file_key").agg(F.min(F.struct("ord", "ord2", "line", "line2", "filename")).alias("p")).select("file_key", "p.*")
-    return first.select("file_key", "filename", F.lit(-1).alias("idx"), F.lit(0).alias("rule_ord"), "line", F.lit("medium").alias("severity"), F.lit("MIXED_RESPONSE_SHAPES").alias("kind"), F.concat(F.lit("Shapes differ at lines "), F.col("line"), F.lit(" and "), F.col("line2")).alias("snippet"))
+    b = s.select(F.col("file_key").alias("_f"), F.col("ord").alias("ord2"), F.col("line").alias("line2"), F.col("keys").alias("keys2"))
+    pairs = s.join(b, F.col("file_key") == F.col("_f")).where((F.col("ord") < F.col("ord2")) & (F.col("keys") != F.col("keys2")))
+    text = F.concat(F.lit("Shapes differ at lines "), F.col("line"), F.lit(" and "), F.col("line2"))
+    return pairs.groupBy("file_key").agg(F.min(F.struct("ord", "ord2", "line", text.alias("snippet"))).alias("mixed"))
+
+
+def changed_globals(lines: DataFrame) -> DataFrame:
+    """(file_key, changed): where module-level state is declared that a later added line changes. Its name is no word match there."""
+    added = lines.where(F.col("raw").startswith("+"))
+    decl = added.where((F.col("op") == "+") & flag(F.col("raw"), "top_level_mutable")).select("file_key", "idx", F.regexp_extract("raw", r"^\+(?:let|var|const)\s+(\w+)\s*=", 1).alias("name"))
+    later = added.select(F.col("file_key").alias("_f"), F.col("idx").alias("idx2"), F.col("raw").alias("raw2"))
+    changes = F.col("raw2").contains(F.col("name")) & F.expr(r"raw2 rlike concat(name, '(?:[.]push[(]|\\[.+\\]\\s*=|[.]\\w+\\s*=|\\s*=\\s*)')")
+    hits = decl.join(later, (F.col("file_key") == F.col("_f")) & (F.col("idx2") > F.col("idx")) & changes, "left_semi")
+    return hits.groupBy("file_key").agg(F.collect_set(F.struct("idx", "name")).alias("changed"))
 
 
 def call_signature(body: Column) -> tuple[Column, Column]:
@@ -122,48 +133,44 @@ def analyze_lines(lines: DataFrame, max_findings: int | None = MAX_FINDINGS) ->
     frames share one order, so the lines are dealt by file once. rule_ord orders findings of one line; idx -1 comes
     before all lines, and repeated calls and changed globals come after them.
     """
-    x = with_neighbourhood(with_new_lines(lines))
+    base = with_new_lines(lines)
+    about = base.select("file_key").distinct().join(mixed_shapes(base), "file_key", "left").join(changed_globals(base), "file_key", "left")
+    x = with_neighbourhood(base)
     # blank added lines count as lines but are not looked at
-    x = x.withColumns({"_io": F.coalesce(flag(F.col("body"), "io"), F.lit(False)), "_ahead": F.when(F.col("body").contains("catch"), F.collect_list("raw").over(in_file().rowsBetween(0, 9)))})
+    x = x.withColumns({"_io": F.coalesce(flag(F.col("body"), "io"), F.lit(False)), "_ahead": F.when(F.col("body").contains("catch"), F.collect_list("raw").over(in_file().rowsBetween(0, 9))), "_nth": F.row_number().over(in_file())})
+    x = x.join(about, "file_key")
     looked_at = (F.col("op") == "+") & (X.trim(F.col("body")) != "")
-    found = []
-    for i, (kind, severity, holds) in enumerate(line_rules()):
-        sev = F.lit(severity) if isinstance(severity, str) else severity
-        found.append(F.when(looked_at & holds, F.struct(F.lit(i + 1).alias("rule_ord"), sev.alias("severity"), F.lit(kind).alias("kind"))))
-    x = x.withColumn("_found", F.array_compact(F.array(*found)))
-    mixed = mixed_shapes(x)
-    flags = mixed.select("file_key", F.lit(1).alias("_mixed"))
-    x = x.join(flags, "file_key", "left")
-    if max_findings is not None:
-        x = x.withColumn("_live", F.coalesce(F.sum(F.size("_found")).over(before()), F.lit(0)) + F.coalesce("_mixed", F.lit(0)) < max_findings)
-    else:
-        x = x.withColumn("_live", F.lit(True))
-    x = x.where("_live")
-    base = ["file_key", "filename", "idx", "rule_ord", "line", "severity", "kind", "snippet"]
-    own = x.select("file_key", "filename", "idx", F.col("new_line").alias("line"), X.snippet(F.col("body")).alias("snippet"), F.explode("_found").alias("f")).select("file_key", "filename", "idx", "f.rule_ord", "line", "f.severity", "f.kind", "snippet")
-
-    seen = x.where(looked_at)
-    # module-level state and a later added line that changes it; the name is no word match, as given
-    decl = seen.where(flag(F.col("raw"), "top_level_mutable")).select("file_key", "filename", "idx", F.col("new_line").alias("line"), F.regexp_extract("raw", r"^\+(?:let|var|const)\s+(\w+)\s*=", 1).alias("name"))
-    later = with_new_lines(lines).where(F.col("raw").startswith("+")).select("file_key", F.col("idx").alias("idx2"), F.col("raw").alias("raw2"))
-    name = F.col("name")
-    changes = F.col("raw2").contains(name) & F.expr(r"raw2 rlike concat(name, '(?:[.]push[(]|\\[.+\\]\\s*=|[.]\\w+\\s*=|\\s*=\\s*)')")
-    changed = decl.join(later, "file_key").where((F.col("idx2") > F.col("idx")) & changes).select(*decl.columns).distinct()
-    changed = changed.select("file_key", "filename", "idx", F.lit(101).alias("rule_ord"), "line", F.lit("high").alias("severity"), F.lit("GLOBAL_MUTATION").alias("kind"), F.concat(F.lit("Variable '"), name, F.lit("' is mutated after declaration")).alias("snippet"))
+    text = X.snippet(F.col("body"))
+    none = F.lit(None).cast("string")
 
+    def entry(order, line, severity, kind, snippet, sig=None, idx=None):
+        return F.struct(F.lit(order).alias("rule_ord"), (F.col("idx") if idx is None else F.lit(idx)).alias("idx"), line.alias("line"), severity.alias("severity"), F.lit(kind).alias("kind"), snippet.alias("snippet"), (none if sig is None else sig).alias("sig"))
+
+    at = F.col("new_line")
+    found = [F.when(looked_at & holds, entry(i + 1, at, F.lit(sev) if isinstance(sev, str) else sev, kind, text)) for i, (kind, sev, holds) in enumerate(line_rules())]
+    x = x.withColumn("_found", F.array_compact(F.array(*found)))
+    first = (F.col("_nth") == 1) & F.col("mixed").isNotNull()
+    mixed = F.when(first, entry(0, F.col("mixed.line"), F.lit("medium"), "MIXED_RESPONSE_SHAPES", F.col("mixed.snippet"), idx=-1))
+    own = F.filter("changed", lambda c: c["idx"] == F.col("idx"))
+    name = F.get(own, F.lit(0))["name"]
+    changed = F.when(looked_at & name.isNotNull(), entry(101, at, F.lit("high"), "GLOBAL_MUTATION", F.concat(F.lit("Variable '"), name, F.lit("' is mutated after declaration"))))
     sig, outside = call_signature(F.col("body"))
-    calls = seen.select("file_key", "filename", "idx", F.col("new_line").alias("line"), X.snippet(F.col("body")).alias("snippet"), sig.alias("sig"), outside.alias("outside")).where("sig is not null")
-    calls = calls.groupBy("file_key", "sig").agg(F.count("*").alias("n"), F.min(F.struct("idx", "line", "snippet", "filename", "outside")).alias("f")).where("n >= 2")
-    calls = calls.select("file_key", "f.filename", "f.idx", F.lit(102).alias("rule_ord"), "f.line", F.when(F.col("f.outside"), "high").otherwise("medium").alias("severity"), F.lit("NO_CACHING").alias("kind"), "f.snippet")
-    rest = mixed.select(*base).unionByName(own.select(*base)).unionByName(changed.select(*base))
+    call = F.when(looked_at & sig.isNotNull(), entry(102, at, F.when(outside, "high").otherwise("medium"), "NO_CACHING", text, sig))
     if max_findings is not None:
-        had = rest.groupBy("file_key").agg(F.count("*").alias("_had"))
-        nth = F.row_number().over(Window.partitionBy("file_key").orderBy("idx"))
-        calls = calls.join(had, "file_key", "left").withColumn("_nth", nth).where(F.coalesce("_had", F.lit(0)) + F.col("_nth") <= max_findings)
-    out = rest.unionByName(calls.select(*base))
-    from ..functions.rules import lookup
-
-    return out.withColumn("message", lookup(MESSAGES, F.col("kind")))
+        live = F.coalesce(F.sum(F.size("_found")).over(before()), F.lit(0)) + F.when(F.col("mixed").isNotNull(), 1).otherwise(0) < max_findings
+        x = x.withColumn("_live", live).where("_live")
+    e = x.select("file_key", "filename", F.explode(F.concat("_found", F.array_compact(F.array(mixed, changed, call)))).alias("f")).select("file_key", "filename", "f.*")
+
+    # a call counts once if its signature occurs again; all windows go by file, as the lines are dealt already
+    same = Window.partitionBy("file_key", "sig")
+    is_call = F.col("sig").isNotNull()
+    e = e.withColumns({"_calls": F.count("*").over(same), "_first": F.row_number().over(same.orderBy("idx"))})
+    e = e.where(~is_call | ((F.col("_calls") >= 2) & (F.col("_first") == 1)))
+    if max_findings is not None:
+        had = F.count(F.when(~is_call, 1)).over(Window.partitionBy("file_key"))
+        nth = F.sum(is_call.cast("int")).over(Window.partitionBy("file_key").orderBy("idx", "rule_ord"))
+        e = e.withColumns({"_had": had, "_call": nth}).where(~is_call | (F.col("_had") + F.col("_call") <= max_findings))
+    return e.select("file_key", "filename", "idx", "rule_ord", "line", "severity", "kind", "snippet", lookup(MESSAGES, F.col("kind")).alias("message"))
 
 
 def analyze_patches(files: DataFrame, max_findings: int | None = MAX_FINDINGS) -> DataFrame:
