@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Work arrays go back to the system as they are freed, so that reused workers stay as small as their largest slice.
+pa.set_memory_pool(pa.system_memory_pool())
+_libc = ctypes.CDLL(None)
+with contextlib.suppress(AttributeError):
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+def release() -> None:
+    """Gives freed memory back to the system."""
+    with contextlib.suppress(AttributeError):
+        _libc.malloc_trim(0)
+
+
 #: A-Z folded; word bytes are 0-9, a-z and all of non-ASCII characters.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -39,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def slices(texts: pa.Array, max_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about max_bytes of text each, so that work arrays stay small; one long text makes a range of its own."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     start = total = 0
@@ -50,6 +65,7 @@ def slices(texts: pa.Array, max_bytes: int = 2_000_000) -> Iterator[tuple[int, i
         total += int(n)
     if start < len(size):
         yield start, len(size)
+    release()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
