@@ -146,7 +146,8 @@ class Graph:
         src, dst = src[dst >= 0], dst[dst >= 0]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
-        for a, b in zip(*(lambda s: (s, [*s[1:], len(dst)]))(np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]]).tolist() if len(dst) else []), strict=True):
+        starts = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]]).tolist() if len(dst) else []
+        for a, b in zip(starts, [*starts[1:], len(dst)], strict=False):
             node = dst[a]
             row = self.adj[node]
             have = row[row >= 0]
