@@ -1,0 +1,567 @@
+"""Tolerant readers of source files: syntax nodes with their surroundings, and comment and string ranges.
+
+There is no parser for these languages on the JVM, so a file is read as a whole in Python, Arrow batch by batch; rules over
+the nodes are relational (structural_rules.py). A file that cannot be read gives a status row and no nodes.
+"""
+
+from __future__ import annotations
+
+import ast
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import structural_language
+
+NODES = (
+    "file_key long, node_id int, language string, kind string, name string, text string, line int, end_line int, args string, stmt string, "
+    "in_try boolean, in_loop boolean, in_async boolean, module_scope boolean, in_route boolean, parent_fn string, class_name string, "
+    "next_method string, has_catch boolean, has_then boolean, awaited boolean, returned boolean, declared boolean, literal_arg boolean, "
+    "role string, silent boolean, block_id int, stmt_ord int, path array<string>"
+)
+RANGES = "file_key long, start_line int, end_line int, start_col int, end_col int, range_type string"
+STATUS = "file_key long, language string, parse_success boolean, parse_error string"
+
+# Method names that loop over what they are called on, and what makes a route.
+ITERATORS = frozenset("forEach map filter reduce every some flatMap".split())
+ROUTE_METHODS, ROUTE_OBJECTS = frozenset("get post put patch delete all use".split()), ("app", "router", "express", "server")
+MUTATORS = frozenset("push pop shift unshift splice sort reverse fill".split())
+RUBY_ITERATORS = (".each", ".map", ".collect", ".select", ".find_each")
+
+_TOKEN = re.compile(
+    r"(?P<ws>\s+)|(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>`(?:\\.|[^`\\])*(?:`|\Z)|\"(?:\\.|[^\"\\\n])*(?:\"|(?=\n)|\Z)|'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z))"
+    r"|(?P<num>\d[\w.]*)|(?P<id>[A-Za-z_$][\w$]*)|(?P<op>=>|\?\.|\+\+|--|:=|[-+*/]=|===|!==|==|!=|<=|>=|&&|\|\||\.\.\.|.)",
+    re.S,
+)
+_REGEX = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+_WORDS = frozenset("if for while switch catch function return typeof new await async else do try finally class extends in of instanceof void delete yield throw case const let var import export default from with func range go defer select".split())
+_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
+
+
+class Tokens:
+    """Tokens of a C-like source without white space and comments, with matching brackets."""
+
+    def __init__(self, source: str):
+        self.source, self.ranges = source, []
+        self.kind: list[str] = []
+        self.text: list[str] = []
+        self.at: list[int] = []
+        self.line: list[int] = []
+        pos = 0
+        line, begin = 1, 0
+        while pos < len(source):
+            m = _TOKEN.match(source, pos)
+            kind, text = m.lastgroup, m.group()
+            if kind == "op" and text == "/" and not (self.kind and (self.kind[-1] in ("num", "string") or self.kind[-1] == "id" and self.text[-1] not in _WORDS or self.text[-1] in ")]}")):
+                r = _REGEX.match(source, pos)
+                if r:
+                    kind, text = "string", r.group()
+            breaks = text.count("\n")
+            if kind in ("comment", "string") and text[:1] != "/" or kind == "comment":
+                last = text.rfind("\n")
+                self.ranges.append((line, line + breaks, pos - begin, (len(text) - last - 1) if breaks else pos - begin + len(text), kind))
+            if kind not in ("ws", "comment"):
+                self.kind.append(kind)
+                self.text.append(text)
+                self.at.append(pos)
+                self.line.append(line)
+            if breaks:
+                line += breaks
+                begin = pos + text.rfind("\n") + 1
+            pos += len(text)
+        self.match: dict[int, int] = {}
+        stack: list[int] = []
+        for i, t in enumerate(self.text):
+            if self.kind[i] != "op":
+                continue
+            if t in _OPEN:
+                stack.append(i)
+            elif t in _CLOSE:
+                while stack and _OPEN[self.text[stack[-1]]] != t:
+                    stack.pop()
+                if stack:
+                    self.match[i] = stack.pop()
+                    self.match[self.match[i]] = i
+
+    def get(self, i: int) -> str:
+        return self.text[i] if 0 <= i < len(self.text) else ""
+
+    def span(self, i: int, j: int) -> str:
+        """The source from token i to the end of token j."""
+        return self.source[self.at[i] : self.at[j] + len(self.text[j])] if i <= j < len(self.text) else ""
+
+    def chain_start(self, i: int) -> int:
+        """The first token of the member chain that ends at token i."""
+        while True:
+            if self.text[i] in (")", "]") and i in self.match:
+                j = self.match[i]
+                if j == 0 or not (self.kind[j - 1] == "id" and (self.text[j - 1] not in _WORDS or self.get(j - 2) in (".", "?.")) or self.text[j - 1] in (")", "]", "?.")):
+                    return j
+                i = j - 1 if self.text[j - 1] != "?." else j - 2
+            elif self.get(i - 1) in (".", "?.") and i >= 2:
+                i -= 2
+            else:
+                return i
+
+    def ends_statement(self, i: int) -> bool:
+        """Whether token i begins a statement because the line before it is complete."""
+        if i == 0 or self.line[i] == self.line[i - 1]:
+            return False
+        before = self.kind[i - 1] in ("num", "string") or self.kind[i - 1] == "id" and self.text[i - 1] not in _WORDS - {"return"} or self.text[i - 1] in (")", "]", "}", "++", "--")
+        return before and (self.kind[i] in ("id", "string", "num") and self.text[i] not in ("in", "of", "instanceof", "else", "catch", "finally", "extends") or self.text[i] in ("@", "++", "--"))
+
+
+def _statements(t: Tokens, lo: int, hi: int) -> list[str]:
+    """Texts of the statements between two tokens of one level."""
+    out, start, i = [], lo, lo
+    while i < hi:
+        if i > start and t.ends_statement(i):
+            out.append(t.span(start, i - 1))
+            start = i
+        if t.text[i] in _OPEN and i in t.match:
+            i = t.match[i]
+        elif t.text[i] == ";":
+            if i > start:
+                out.append(t.span(start, i - 1))
+            start = i + 1
+        i += 1
+    if start < hi:
+        out.append(t.span(start, hi - 1))
+    return out
+
+
+def _silent(statements: list[str]) -> bool:
+    return all(re.match(r"\s*console\.(log|error|warn|info|debug)\s*\(", s) for s in statements) and not any(w in s for s in statements for w in ("throw", "return", "reject"))
+
+
+def _brace(t: Tokens, i: int, go: bool) -> tuple[str, bool, str]:
+    """(what the { at token i opens, whether it is async, its name)."""
+    before = t.get(i - 1)
+    if go:
+        k = i - 1
+        while k >= 0 and t.text[k] not in ("{", "}", ";") and not (t.line[k] < t.line[i] and t.ends_statement(k + 1)):
+            k = t.match[k] - 1 if t.text[k] in (")", "]") and k in t.match else k - 1
+        head = t.text[k + 1 : i]
+        if "for" in head:
+            return "loop", False, ""
+        if "func" in head:
+            f = head.index("func")
+            names = [x for x in head[f + 1 :] if re.match(r"\w", x)]
+            return "func", False, t.get(t.match[k + 2 + f] + 1) if t.get(k + 2 + f) == "(" and k + 2 + f in t.match else (names[0] if names else "")
+        return "block", False, ""
+    if before == "=>":
+        k = i - 2
+        k = t.match.get(k, k) if t.get(k) == ")" else k
+        return "func", t.get(k - 1) == "async", t.get(k - 2) if t.get(k - 1) == "=" else t.get(k - 3) if t.get(k - 1) == "async" and t.get(k - 2) == "=" else ""
+    k = i - 1
+    while k > 0 and i - k < 14 and t.text[k] != ")" and (t.kind[k] == "id" and t.text[k] not in _WORDS or t.text[k] in ("<", ">", ".", "|", "[", "]", ",", ":")):
+        k -= 1
+    if t.get(k) == ")" and k in t.match and (k == i - 1 or t.get(k + 1) == ":"):
+        j = t.match[k]
+        head = t.get(j - 1)
+        if head in ("for", "while") or head == "await" and t.get(j - 2) == "for":
+            return "loop", False, ""
+        if head == "catch":
+            return "catch", False, ""
+        if head in ("if", "switch", "with"):
+            return "block", False, ""
+        name = head if t.kind[j - 1] == "id" and head != "function" else ""
+        k = j - 1 - bool(name)
+        k -= t.get(k) == "*"
+        if t.get(k) == "function":
+            k -= 1
+        return "func", t.get(k) == "async", name or (t.get(k) if t.get(k - 1) == "" else t.get(k - 1) if t.get(k) == "=" else "")
+    if before in ("try", "do"):
+        return ("try" if before == "try" else "loop"), False, ""
+    if before in ("else", "finally", "catch"):
+        return ("catch" if before == "catch" else "block"), False, ""
+    k = i - 1
+    while k >= 0 and i - k < 16 and t.text[k] not in (";", "{", "}", "(", ")", "=>"):
+        if t.text[k] == "class":
+            return "class", False, t.get(k + 1)
+        k -= 1
+    return ("block" if before in ("", ";", "{", "}", ")") else "object"), False, ""
+
+
+def read_braces(source: str, language: str) -> tuple[list[dict], list[tuple]]:
+    """Nodes and ranges of TypeScript, JavaScript or Go."""
+    go = language == "go"
+    t = Tokens(source)
+    nodes: list[dict] = []
+    # frames: kind, close (token that ends it, None for one that ends with a statement), depth, and more of their kind
+    frames: list[dict] = []
+    block = {"kind": "block", "id": 0, "ord": 0, "first": 0, "module": True}
+    blocks, next_block, level = [block], 1, 0
+    calls: list[dict] = []
+
+    def virtual_end(at_comma: bool) -> None:
+        while frames and frames[-1].get("virtual") == level and (not at_comma or frames[-1]["kind"] == "func"):
+            frames.pop()
+
+    i, n = 0, len(t.text)
+    while i < n:
+        x, kind = t.text[i], t.kind[i]
+        if i and level == blocks[-1].get("level", 0) and t.ends_statement(i):
+            virtual_end(False)
+            if i > blocks[-1]["first"]:
+                blocks[-1]["ord"] += 1
+                blocks[-1]["first"] = i
+        if kind == "op" and x in _OPEN:
+            frame = {"kind": "plain", "open": i}
+            if x == "{":
+                what, is_async, name = _brace(t, i, go)
+                frame |= {"kind": what, "async": is_async, "name": name}
+                if what == "catch":
+                    start = i - 1
+                    while start > 0 and t.text[start] != "catch":
+                        start -= 1
+                    end = t.match.get(i, n - 1)
+                    nodes.append({"kind": "catch", "name": "catch", "line": t.line[start], "text": t.span(start, end), "silent": _silent(_statements(t, i + 1, end)), "frames": list(frames), "blocks": [dict(b) for b in blocks], "i": start})
+                if what not in ("object", "class"):
+                    blocks.append({"kind": what, "id": next_block, "ord": 0, "first": i + 1, "level": level + 1})
+                    next_block += 1
+                    frame["block"] = True
+            elif x == "(":
+                prev = t.get(i - 1)
+                if prev in ("for", "while") or prev == "await" and t.get(i - 2) == "for":
+                    frame["kind"] = "loop"
+                elif i and (t.kind[i - 1] == "id" and (prev not in _WORDS or t.get(i - 2) in (".", "?.")) or prev in (")", "]", "?.")) and not (go and t.get(i - 2) == "func") and t.get(i - 2) != "function":
+                    end = t.match.get(i, n - 1)
+                    last = i - 2 if prev == "?." else i - 1
+                    start = t.chain_start(last)
+                    after = t.get(end + 1)
+                    is_method = not go and after in ("{", ":") and t.get(start - 1) in ("{", "}", ";", "async", "", "static", "public", "private", "protected") and start == last and after == "{"
+                    if not is_method:
+                        name = t.span(start, last)
+                        chain, k = [], end
+                        while t.get(k + 1) in (".", "?.") and t.kind[k + 2 : k + 3] == ["id"]:
+                            chain.append(t.text[k + 2])
+                            k += 2
+                            if t.get(k + 1) == "(" and k + 1 in t.match:
+                                k = t.match[k + 1]
+                        c = {"kind": "call", "name": name, "line": t.line[start], "text": t.span(start, end), "args": t.span(i + 1, end - 1), "chain": chain, "start": start, "end": end, "i": i, "frames": list(frames), "blocks": [dict(b) for b in blocks], "parent": next((f.get("call") for f in reversed(frames) if f.get("call") is not None or f["kind"] != "plain"), None) if t.get(start - 1) in ("(", ",", "await") else None}
+                        c["literal"] = t.kind[i + 1 : i + 2] == ["string"] and "${" not in t.get(i + 1) and t.get(i + 2) in (",", ")")
+                        c["awaited"] = t.get(start - 1) == "await" and not chain
+                        c["stmts"] = [(b["id"], b["ord"], t.get(b["first"]) if t.get(b["first"]) != "export" else t.get(b["first"] + 1)) for b in blocks]
+                        calls.append(c)
+                        nodes.append(c)
+                        method = t.text[last]
+                        whole = t.get(last - 1) in (".", "?.")
+                        frame["call"] = c
+                        if whole and method in ITERATORS and not go:
+                            frame["kind"] = "loop"
+                        if whole and method in ROUTE_METHODS and any(o in t.span(start, last - 2) for o in ROUTE_OBJECTS):
+                            frame["route"] = True
+                        if whole and method == "catch" and not go:
+                            a = next((q for q in range(i + 1, end) if t.text[q] == "{"), None)
+                            if a is not None and _brace(t, a, False)[0] == "func" and a in t.match:
+                                nodes.append({"kind": "catch", "name": ".catch", "line": t.line[start], "text": t.span(start, end), "silent": _silent(_statements(t, a + 1, t.match[a])), "frames": list(frames), "blocks": [dict(b) for b in blocks], "i": i})
+            frames.append(frame)
+            level += 1
+        elif kind == "op" and x in _CLOSE:
+            while frames and frames[-1].get("virtual") is not None:
+                frames.pop()
+            if frames:
+                f = frames.pop()
+                level -= 1
+                if f.get("block") and len(blocks) > 1:
+                    blocks.pop()
+                    virtual_end(False)
+                    if level == blocks[-1].get("level", 0) and t.get(i + 1) not in ("else", "catch", "finally", ")", ",", ".", "?.", ";", "(", "while"):
+                        blocks[-1]["ord"] += 1
+                        blocks[-1]["first"] = i + 1
+                if x == ")" and f["kind"] == "loop" and f.get("call") is None and t.get(i + 1) != "{":
+                    frames.append({"kind": "loop", "virtual": level})
+        elif x == ";":
+            virtual_end(False)
+            if level == blocks[-1].get("level", 0):
+                blocks[-1]["ord"] += 1
+                blocks[-1]["first"] = i + 1
+        elif x == ",":
+            virtual_end(True)
+        elif x == "=>" and not go and t.get(i + 1) != "{":
+            k = t.match.get(i - 1, i - 1) if t.get(i - 1) == ")" else i - 1
+            frames.append({"kind": "func", "virtual": level, "async": t.get(k - 1) == "async", "name": ""})
+        elif kind == "id" and x not in _WORDS and t.get(i - 1) not in (".", "?."):
+            nxt = t.get(i + 1)
+            how = None
+            if nxt in ("=", "++", "--", "+=", "-=", "*=", "/=") or t.get(i - 1) in ("++", "--"):
+                how = "assign" if t.get(i - 1) not in ("const", "let", "var") else None
+            elif nxt in (".", "?.") and (t.get(i + 3) == "=" or t.get(i + 3) == "(" and t.get(i + 2) in MUTATORS):
+                how = "inside"
+            elif nxt == "[" and i + 1 in t.match and t.get(t.match[i + 1] + 1) == "=":
+                how = "inside"
+            if how:
+                nodes.append({"kind": "mutation", "name": x, "line": t.line[i], "text": x, "role": how, "frames": list(frames), "blocks": [dict(b) for b in blocks], "i": i})
+            if t.get(i - 1) in ("const", "let", "var") and not go and not any(f["kind"] in ("func", "class") for f in frames):
+                value = t.get(i + 2) if nxt == "=" else next((t.get(q + 1) for q in range(i + 1, min(i + 30, n)) if t.text[q] == "="), "") if nxt == ":" else ""
+                role = t.get(i - 1) if t.get(i - 1) != "const" else "literal" if value in ("[", "{") else "const"
+                nodes.append({"kind": "declaration", "name": x, "line": t.line[i], "text": t.span(i - 1, min(n - 1, i + 8)), "role": role, "frames": list(frames), "blocks": [dict(b) for b in blocks], "i": i})
+        if go and x == "var" and not any(f["kind"] == "func" for f in frames):
+            end = i + 1
+            while end < n - 1 and not t.ends_statement(end + 1):
+                end = t.match[end] if t.text[end] in _OPEN and end in t.match and t.match[end] < n - 1 else end + 1
+            nodes.append({"kind": "declaration", "name": t.get(i + 1), "line": t.line[i], "text": t.span(i, end), "role": "var", "frames": list(frames), "blocks": [dict(b) for b in blocks], "i": i})
+        if go and x in (":=", "=") and level == blocks[-1].get("level", 0):
+            first, end = blocks[-1]["first"], i
+            while end < n - 1 and not t.ends_statement(end + 1) and t.text[end + 1] not in (";", "}"):
+                end = t.match[end + 1] if t.text[end + 1] in _OPEN and end + 1 in t.match else end + 1
+            nodes.append({"kind": "assignment", "name": t.get(first), "line": t.line[min(first, n - 1)], "text": t.span(min(first, n - 1), end), "frames": list(frames), "blocks": [dict(b) for b in blocks], "i": i})
+        i += 1
+
+    out = []
+    for k, c in enumerate(sorted(nodes, key=lambda c: c["i"])):
+        fs = c["frames"]
+        fn = next((f for f in reversed(fs) if f["kind"] == "func"), None)
+        chain, parent, has_catch = c.get("chain", []), c.get("parent"), False
+        if c["kind"] == "call":
+            has_catch = "catch" in chain or bool(re.search(r"\.catch\b", c["name"]))
+            while parent is not None and not has_catch:
+                has_catch, parent = "catch" in parent["chain"], parent["parent"]
+        stmts = c.get("stmts", [])
+        heads = [s[2] for s in stmts]
+        block_id, stmt_ord = (c["blocks"][-1]["id"], c["blocks"][-1]["ord"]) if c["blocks"] else (0, 0)
+        expr = [j for j, h in enumerate(heads) if h not in ("const", "let", "var", "return", "if", "for", "while", "throw", "function", "async", "class", "switch", "try", "do", "import")]
+        here = bool(stmts) and len(stmts) > 1 and ((expr and expr[-1] == len(stmts) - 1) or (not expr and heads[-1] in ("const", "let", "var")))
+        role = c.get("role")
+        if c["kind"] == "call":
+            role = "in_block" if here else "elsewhere"
+            if go:
+                b = c["blocks"][-1]
+                role = "statement" if c["start"] == b["first"] and not chain else "assigned" if any(q in (":=", "=") for q in t.text[b["first"] : c["start"]]) and t.get(c["start"] - 1) in (":=", "=") else "elsewhere"
+        top_fn = next((f for f in fs if f["kind"] == "func" and "open" in f), None)
+        handler = False
+        if go and top_fn is not None:
+            o = top_fn["open"]
+            text = source[max(0, source.rfind("func", 0, t.at[o])) : t.at[t.match.get(o, n - 1)]]
+            handler = "http.ResponseWriter" in text or "*http.Request" in text
+        b_open = next((f["open"] for f in reversed(fs) if f.get("block")), None)
+        around = source[t.at[b_open] : t.at[t.match.get(b_open, n - 1)]] if go and b_open is not None else ""
+        stmt = ""
+        if go and c["kind"] == "call":
+            first = c["blocks"][-1]["first"]
+            end = c["end"]
+            while end < n - 1 and not t.ends_statement(end + 1) and t.text[end + 1] not in (";", "}", "{"):
+                end += 1
+            stmt = t.span(min(first, c["start"]), end)
+        out.append(
+            {
+                "node_id": k, "language": language, "kind": c["kind"], "name": c["name"], "text": c["text"], "line": c["line"], "end_line": c["line"] + c["text"].count("\n"), "args": c.get("args", around if go else ""), "stmt": stmt,
+                "in_try": not go and any(f["kind"] == "try" for f in fs), "in_loop": any(f["kind"] == "loop" for f in fs) or (not go and (any(m in ITERATORS for m in chain) or c["kind"] == "call" and "." in c["name"] and c["name"].rsplit(".", 1)[-1] in ITERATORS)),
+                "in_async": bool(fn and fn.get("async")), "module_scope": not any(f["kind"] in ("func", "class") for f in fs), "in_route": handler or any(f.get("route") for f in fs),
+                "parent_fn": next((f["name"] for f in reversed(fs) if f["kind"] == "func" and f.get("name")), None), "class_name": next((f["name"] for f in reversed(fs) if f["kind"] == "class"), None),
+                "next_method": chain[0] if chain else None, "has_catch": has_catch, "has_then": "then" in chain or any(f.get("call") and re.search(r"\.then$", f["call"]["name"]) for f in fs), "awaited": c.get("awaited", False),
+                "returned": "return" in heads, "declared": any(h in ("const", "let", "var") for h in heads), "literal_arg": c.get("literal", False), "role": role, "silent": c.get("silent", False),
+                "block_id": block_id, "stmt_ord": stmt_ord, "path": [f"{b}:{o}" for b, o, _ in stmts], "_around": around,
+            }
+        )
+    if go:
+        for r in out:
+            r["args"] = r.pop("_around")
+    for r in out:
+        r.pop("_around", None)
+    return out, t.ranges
+
+
+def read_python(source: str) -> tuple[list[dict], list[tuple]]:
+    """Nodes of a Python file through the standard parser; SyntaxError if it is none."""
+    tree = ast.parse(source)
+    lines = source.split("\n")
+    parents: dict[ast.AST, ast.AST] = {c: p for p in ast.walk(tree) for c in ast.iter_child_nodes(p)}
+    text = lambda n: ast.get_source_segment(source, n) or ""
+    out: list[dict] = []
+
+    def up(n: ast.AST) -> Iterator[tuple[ast.AST, ast.AST]]:
+        while n in parents:
+            yield parents[n], n
+            n = parents[n]
+
+    def about(n: ast.AST) -> dict:
+        fn = next((p for p, _ in up(n) if isinstance(p, ast.FunctionDef | ast.AsyncFunctionDef)), None)
+        cls = next((p for p, _ in up(n) if isinstance(p, ast.ClassDef)), None)
+        tries = next(((p, c) for p, c in up(n) if isinstance(p, ast.Try | ast.TryStar)), None)
+        route = False
+        if fn is not None:
+            deco = ["@" + text(d) for d in fn.decorator_list]
+            route = any(w in d for d in deco for w in ("@app.", "@router.", "@blueprint.", "route")) or any("request" in text(a) for a in ast.walk(fn.args) if isinstance(a, ast.arg))
+        stmt = next((p for p, _ in up(n) if isinstance(p, ast.Expr | ast.Assign | ast.AnnAssign | ast.Return)), None)
+        parent = parents.get(n)
+        return {
+            "in_try": bool(tries and tries[1] in tries[0].body), "in_loop": any(isinstance(p, ast.For | ast.AsyncFor | ast.While | ast.ListComp | ast.GeneratorExp) for p, _ in up(n)),
+            "in_async": isinstance(fn, ast.AsyncFunctionDef), "module_scope": fn is None and cls is None, "in_route": route, "parent_fn": fn.name if fn else None, "class_name": cls.name if cls else None,
+            "stmt": text(stmt) if stmt is not None else "", "role": "sliced" if isinstance(parent, ast.Subscript) and isinstance(parent.slice, ast.Slice) else None, "line": n.lineno, "end_line": n.end_lineno,
+        }
+
+    for n in ast.walk(tree):
+        if isinstance(n, ast.Call):
+            out.append({"kind": "call", "name": text(n.func), "text": text(n)} | about(n))
+        elif isinstance(n, ast.ExceptHandler):
+            body = "\n".join(lines[n.body[0].lineno - 1 : n.body[-1].end_lineno]) if n.body[0].lineno > n.lineno else text(n.body[0])
+            out.append({"kind": "catch", "name": "except", "text": text(n), "silent": _silent_except(body)} | about(n))
+        elif isinstance(n, ast.AugAssign) and isinstance(n.target, ast.Name):
+            out.append({"kind": "mutation", "name": n.target.id, "text": text(n), "role": "augmented"} | {k: v for k, v in about(n).items() if k != "role"})
+        if isinstance(n, ast.Call | ast.Assign | ast.AugAssign):
+            for m in re.finditer(r"(\w+)(?:\.(?:append|extend|insert|pop|remove|clear|update|add)\(|\[)", text(n)):
+                out.append({"kind": "mutation", "name": m[1], "text": text(n), "role": "inside"} | {k: v for k, v in about(n).items() if k != "role"})
+    for n in tree.body:
+        if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
+            out.append({"kind": "declaration", "name": n.targets[0].id, "text": text(n), "role": "literal" if re.search(r"\[|\{|list\(|dict\(|set\(", text(n)) else "other"} | {k: v for k, v in about(n).items() if k != "role"})
+    for k, r in enumerate(out):
+        r |= {"node_id": k, "language": "python"}
+    return out, python_ranges(source)
+
+
+def _silent_except(block: str) -> bool:
+    b = block.strip()
+    if b in ("pass", "...") or b.endswith(":pass"):
+        return True
+    if any(w in b for w in ("raise", "return", "sys.exit")):
+        return False
+    ls = [x.strip() for x in b.split("\n") if x.strip() and not x.strip().startswith("#")]
+    return bool(ls) and all(x == "pass" or x.startswith(("print(", "logging.", "logger.", "log.")) for x in ls)
+
+
+def _scan_ranges(source: str, pattern: str, kinds: dict[str, str]) -> list[tuple]:
+    out, line, begin, at = [], 1, 0, 0
+    for m in re.finditer(pattern, source, re.S | re.M):
+        gap = source.count("\n", at, m.start())
+        if gap:
+            line += gap
+            begin = source.rfind("\n", at, m.start()) + 1
+        t = m.group()
+        breaks = t.count("\n")
+        if m.lastgroup in kinds:
+            out.append((line, line + breaks, m.start() - begin, len(t) - t.rfind("\n") - 1 if breaks else m.end() - begin, kinds[m.lastgroup]))
+        if breaks:
+            line += breaks
+            begin = m.start() + t.rfind("\n") + 1
+        at = m.end()
+    return out
+
+
+def python_ranges(source: str) -> list[tuple]:
+    strings = r"(?P<s>[rRbBuUfF]{0,2}(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?))"
+    return _scan_ranges(source, rf"(?P<c>\#[^\n]*)|{strings}", {"c": "comment", "s": "string"})
+
+
+def ruby_ranges(source: str) -> list[tuple]:
+    """Comments, =begin blocks, strings, symbols and heredocs."""
+    return _scan_ranges(source, r"(?P<b>^=begin.*?^=end)|(?P<h><<[~-]?(['\"]?)(?P<tag>[A-Z_]\w*)\3.*?^\s*(?P=tag)$)|(?P<c>\#[^\n]*)|(?P<s>\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?)|(?P<y>(?<![:\w]):[A-Za-z_]\w*)", {"b": "comment", "c": "comment", "s": "string", "h": "string", "y": "string", "tag": "string"})
+
+
+_RUBY_OPEN = re.compile(r"^\s*(?:(class|module|def|begin|if|unless|while|until|case|for)\b)|\b(do)\b(?:\s*\|[^|]*\|)?\s*$|=\s*(if|case|begin|unless)\b")
+_RUBY_CALL = re.compile(r"[A-Za-z_@][\w@:]*(?:\([^()]*\))?(?:\.\w+[?!]?(?:\([^()]*\))?)+|Net::HTTP[\w:.]*")
+
+
+def read_ruby(source: str) -> tuple[list[dict], list[tuple]]:
+    """Nodes of a Ruby file, line by line with a stack of blocks that end with "end" or }."""
+    ranges = ruby_ranges(source)
+    quiet = {k for a, b, _, _, kind in ranges if kind == "comment" for k in range(a, b + 1)}
+    stack: list[dict] = []
+    out: list[dict] = []
+    for no, line in enumerate(source.split("\n"), 1):
+        code = line if no not in quiet else line.split("#")[0] if not line.lstrip().startswith(("#", "=")) else ""
+        if re.match(r"\s*end\b", code) and stack:
+            stack.pop()
+        if re.match(r"\s*rescue\b", code) or re.search(r"\w\s+rescue\b", code):
+            rest = "\n".join([code, *source.split("\n")[no : no + 3]])
+            silent = bool(re.match(r"(?:.*?)rescue\s*(=>)?\s*\w*\s*(?:nil|\#[^\n]*)?\s*end", rest, re.I | re.S) if re.match(r"\s*rescue\b", code) else False)
+            out.append({"kind": "catch", "name": "rescue", "text": rest.strip(), "line": no, "silent": silent, "stack": list(stack)})
+        inline = re.search(r"(\S*)\s*\{\s*(?:\|[^|]*\|)?", code) if "}" in code else None
+        assign = re.match(r"\s*(@{0,2}[A-Za-z_][\w.]*|\w+\[[^\]]*\])\s*(?:\|\||&&|[-+*/])?=(?![=~>])\s*(.*)", code)
+        if assign:
+            out.append({"kind": "assignment", "name": assign[1], "text": code.strip(), "line": no, "stack": list(stack)})
+        for m in _RUBY_CALL.finditer(code):
+            parts = re.finditer(r"\.\w+[?!]?(?:\([^()]*\))?", m[0]) if "." in m[0] else []
+            ends = [p.end() for p in parts] or [len(m[0])]
+            for e in ends:
+                inside = bool(inline and m.start() > inline.start() and any(w in code[: m.start()] for w in RUBY_ITERATORS))
+                out.append({"kind": "call", "name": m[0][:e].split("(")[0], "text": m[0][:e], "line": no, "stack": list(stack), "stmt": code.strip() if assign else "", "inline": inside})
+        o = _RUBY_OPEN.search(code)
+        if o and not re.search(r"\bend\s*$", code) and not re.search(r"\bthen\b.*\bend\b", code):
+            stack.append({"word": o[1] or o[2] or o[3], "head": code})
+    rows = []
+    for k, r in enumerate(out):
+        st = r.pop("stack")
+        heads = [s["head"] for s in st]
+        iterates = any(s["word"] == "do" and any(w in s["head"] for w in RUBY_ITERATORS) for s in st) or r.pop("inline", False)
+        cls = next((s["head"].split()[1] for s in reversed(st) if s["word"] == "class" and len(s["head"].split()) > 1), None)
+        fn = next((re.sub(r"\(.*", "", s["head"].split()[1]) for s in reversed(st) if s["word"] == "def" and len(s["head"].split()) > 1), None)
+        rows.append(r | {"node_id": k, "language": "ruby", "in_try": any(s["word"] == "begin" for s in st), "in_loop": iterates, "in_async": False, "module_scope": fn is None, "in_route": any("Controller" in h for h in heads if h.lstrip().startswith("class")), "parent_fn": fn, "class_name": cls, "end_line": r["line"] + r["text"].count("\n")})
+    return rows, ranges
+
+
+def read_source(source: str, language: str) -> tuple[list[dict], list[tuple]]:
+    if language == "python":
+        return read_python(source)
+    if language == "ruby":
+        return read_ruby(source)
+    return read_braces(source, language)
+
+
+def _reader(part: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[dict] = []
+            for key, lang, source in zip(*(batch.column(c).to_pylist() for c in ("file_key", "language", "content")), strict=True):
+                error = None
+                nodes, ranges = [], []
+                try:
+                    nodes, ranges = read_source(source or "", lang)
+                except (SyntaxError, ValueError, LookupError, RecursionError) as e:  # odd input; its rules fall back to lines
+                    error = str(e)[:200]
+                    if part == "ranges" and lang == "python":
+                        ranges = python_ranges(source or "")
+                if part == "nodes":
+                    rows += [{"file_key": key} | n for n in nodes]
+                elif part == "ranges":
+                    rows += [dict(zip(("start_line", "end_line", "start_col", "end_col", "range_type"), r, strict=True)) | {"file_key": key} for r in ranges]
+                else:
+                    rows.append({"file_key": key, "language": lang, "parse_success": error is None, "parse_error": error})
+            schema = _ARROW[part]
+            yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in rows], schema=schema)
+
+    return run
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+
+
+_ARROW = {"nodes": _arrow(NODES), "ranges": _arrow(RANGES), "status": _arrow(STATUS)}
+
+
+def _read(files: DataFrame, part: str, ddl: str) -> DataFrame:
+    x = files.select("file_key", structural_language(F.col("filename")).alias("language"), "content").where("language <> 'unknown' and content is not null")
+    return x.mapInArrow(_reader(part), ddl)
+
+
+def syntax_nodes(files: DataFrame) -> DataFrame:
+    """NODES of (file_key, filename, content) in the languages that are read; others give none."""
+    return _read(files, "nodes", NODES)
+
+
+def ignored_ranges(files: DataFrame) -> DataFrame:
+    """RANGES of comments and strings, lines from 1, columns from 0."""
+    return _read(files, "ranges", RANGES)
+
+
+def read_status(files: DataFrame) -> DataFrame:
+    """One STATUS row a file."""
+    return _read(files, "status", STATUS)
+
+
+def in_range(line, col, r: dict | None = None):
+    """Whether a position lies in a range's columns start_line, start_col, end_line, end_col."""
+    g = lambda n: F.col(n) if r is None else r[n]
+    after = (line > g("start_line")) | ((line == g("start_line")) & (col >= g("start_col")))
+    return after & ((line < g("end_line")) | ((line == g("end_line")) & (col <= g("end_col"))))
+
+
+def inside_lines(line):
+    """Whether a line lies strictly within a range of several lines."""
+    return (F.col("end_line") > F.col("start_line")) & (line > F.col("start_line")) & (line < F.col("end_line"))
