@@ -1,4 +1,4 @@
-"""Rules over syntax nodes, for each language, as filters, semi-joins and one interval join."""
+"""Rules over syntax nodes, for each language, as predicates of one pass."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ JS_QUERIES = "findMany findAll find aggregate query select getAll list fetch".sp
 JS_PAGES = "limit take skip offset slice page paginate first top".split()
 JS_WRITES = "writeFile writeFileSync appendFile appendFileSync".split()
 JS_BLOCKING = "readFileSync writeFileSync appendFileSync existsSync mkdirSync readdirSync statSync unlinkSync copyFileSync execSync spawnSync execFileSync pbkdf2Sync scryptSync randomFillSync".split()
-CHECKS, ACTS = "findOne findUnique findFirst get getOne exists find".split(), "create insert insertOne save add".split()
 PY_IO = "requests.get requests.post requests.put requests.delete requests.patch requests.head requests.options httpx.get httpx.post httpx.put httpx.delete httpx.AsyncClient aiohttp.ClientSession urllib.request.urlopen open read write readlines cursor.execute cursor.executemany session.execute session.query connection.execute objects.all objects.filter objects.get objects.create query execute".split()
 PY_QUERIES = "objects.all objects.filter query find select fetchall".split()
 PY_PAGES = "limit offset slice first [:1] paginate page_size per_page".split()
@@ -37,8 +36,8 @@ def is_io(name: Column, text: Column, language: Column) -> Column:
 def structural_findings(nodes: DataFrame) -> DataFrame:
     """Findings (file_key, seq, line, severity, kind, message, snippet, confidence, and the node's surroundings) of syntax nodes.
 
-    seq is the order of rules, then of nodes. Every rule is one predicate over a node; declared variables are joined
-    with the places that change them, and checks with acts in the next four statements of their block, both by file.
+    seq is the order of rules, then of nodes. Every rule is one predicate over a node, so nodes are read once and not
+    shuffled; what a rule needs of other nodes of its file (changes of a variable, acts after a check) the reader notes.
     """
     c = F.col
     # a reader leaves out what its language does not have
@@ -76,32 +75,18 @@ def structural_findings(nodes: DataFrame) -> DataFrame:
         ("BLOCKING_OPERATION", "medium", py & call & text.contains("time.sleep") & ~c("in_async") & c("in_route"), "medium"),
         ("SHARED_FILE_WRITE", "high", js & call & last.isin(JS_WRITES) & c("literal_arg"), "high"),
         ("ASYNC_MISUSE", "medium", js & fire, "medium"),
+        ("GLOBAL_MUTATION", "high", c("changed") & c("role").isin("let", "var", "literal") & ~go, "high"),
     ]
     context = ["in_try", "in_loop", "in_async", "module_scope", "in_route", "parent_fn", "class_name"]
     hit = [F.when(F.coalesce(p, F.lit(False)), F.struct(F.lit(i).alias("rule"), F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(conf).alias("confidence"))) for i, (k, s, p, conf) in enumerate(rules)]
-    base = ["file_key", "node_id", "line", F.substring("text", 1, 100).alias("snippet"), *context]
-    out = x.select(*base, F.explode(F.array_compact(F.array(*hit))).alias("f")).select("file_key", "node_id", "line", "snippet", *context, "f.*")
-
-    # variables of a module that are changed somewhere in the file
-    decl = nodes.where((c("kind") == "declaration") & ~c("language").isin("go", "ruby") & c("role").isin("let", "var", "literal"))
-    how = nodes.where("kind = 'mutation'").select(F.col("file_key").alias("_f"), F.col("name").alias("_n"), F.col("role").alias("_how")).distinct()
-    changed = decl.join(how, (F.col("file_key") == F.col("_f")) & (F.col("name") == F.col("_n")) & (F.col("_how").isin("inside", "augmented") | F.col("role").isin("let", "var")), "left_semi")
-    changed = changed.select(*base, F.lit(90).alias("rule"), F.lit("GLOBAL_MUTATION").alias("kind"), F.lit("high").alias("severity"), F.lit("high").alias("confidence"))
-
-    # a check, and an act in one of the next four statements of its block
-    calls = nodes.where((c("kind") == "call") & c("language").isin("typescript", "javascript"))
-    checks = calls.where((c("role") == "in_block") & F.substring_index("name", ".", -1).isin(CHECKS))
-    acts = calls.where(F.substring_index("name", ".", -1).isin(ACTS)).select(F.col("file_key").alias("_f"), F.col("node_id").alias("_id"), F.substring("text", 1, 40).alias("_act"), F.explode("path").alias("_p"))
-    acts = acts.select("_f", "_id", "_act", F.split_part("_p", F.lit(":"), F.lit(1)).cast("int").alias("_b"), F.split_part("_p", F.lit(":"), F.lit(2)).cast("int").alias("_o"))
-    races = checks.join(acts, (F.col("file_key") == F.col("_f")) & (F.col("block_id") == F.col("_b")) & F.col("_o").between(F.col("stmt_ord") + 1, F.col("stmt_ord") + 4))
-    races = races.groupBy("file_key", "node_id", "line", "text", "_o", *context).agg(F.min_by("_act", "_id").alias("_act"))
-    races = races.select("file_key", "node_id", "line", F.concat(F.substring("text", 1, 60), F.lit(" ... "), F.col("_act")).alias("snippet"), *context, F.lit(95).alias("rule"), F.lit("CHECK_THEN_ACT_RACE").alias("kind"), F.lit("medium").alias("severity"), F.lit("high").alias("confidence"))
+    race = lambda a: F.struct(F.lit(len(rules)).alias("rule"), F.lit("CHECK_THEN_ACT_RACE").alias("kind"), F.lit("medium").alias("severity"), F.lit("high").alias("confidence"), F.concat(F.substring("text", 1, 60), F.lit(" ... "), F.substring(a, 1, 40)).alias("snippet"))
+    plain = F.transform(F.array_compact(F.array(*hit)), lambda f: F.struct(f["rule"].alias("rule"), f["kind"].alias("kind"), f["severity"].alias("severity"), f["confidence"].alias("confidence"), F.substring("text", 1, 100).alias("snippet")))
+    races = F.transform(F.coalesce("acts", F.array().cast("array<string>")), race)
+    every = x.select("file_key", "node_id", "line", *context, F.explode(F.concat(plain, races)).alias("f")).select("file_key", "node_id", "line", *context, "f.*")
 
     from ..functions.rules import lookup
     from .patch_rules import MESSAGES
 
-    cols = ["file_key", "node_id", "line", "snippet", *context, "rule", "kind", "severity", "confidence"]
-    every = out.select(*cols).unionByName(changed.select(*cols)).unionByName(races.select(*cols))
     # nodes of a file are fewer than 10^7, so this is their order within a rule
     return every.withColumns({"seq": F.col("rule").cast("long") * 10_000_000 + F.col("node_id"), "message": lookup(MESSAGES, F.col("kind"))}).drop("rule", "node_id")
 

@@ -20,7 +20,7 @@ NODES = (
     "file_key long, node_id int, language string, kind string, name string, text string, line int, end_line int, args string, stmt string, "
     "in_try boolean, in_loop boolean, in_async boolean, module_scope boolean, in_route boolean, parent_fn string, class_name string, "
     "next_method string, has_catch boolean, has_then boolean, awaited boolean, returned boolean, declared boolean, literal_arg boolean, "
-    "role string, silent boolean, block_id int, stmt_ord int, path array<string>"
+    "role string, silent boolean, block_id int, stmt_ord int, changed boolean, acts array<string>"
 )
 RANGES = "file_key long, start_line int, end_line int, start_col int, end_col int, range_type string"
 STATUS = "file_key long, language string, parse_success boolean, parse_error string"
@@ -29,6 +29,8 @@ STATUS = "file_key long, language string, parse_success boolean, parse_error str
 ITERATORS = frozenset("forEach map filter reduce every some flatMap".split())
 ROUTE_METHODS, ROUTE_OBJECTS = frozenset("get post put patch delete all use".split()), ("app", "router", "express", "server")
 MUTATORS = frozenset("push pop shift unshift splice sort reverse fill".split())
+#: What a check is called, and the act that may depend on it; an act counts in the next statements of the check's block.
+CHECKS, ACTS, NEXT = frozenset("findOne findUnique findFirst get getOne exists find".split()), frozenset("create insert insertOne save add".split()), 4
 RUBY_ITERATORS = (".each", ".map", ".collect", ".select", ".find_each")
 
 _TOKEN = re.compile(
@@ -313,6 +315,12 @@ def read_braces(source: str, language: str) -> tuple[list[dict], list[tuple]]:
         i += 1
 
     out = []
+    changed = {(c["name"], c["role"]) for c in nodes if c["kind"] == "mutation"}
+    acts: dict[int, list[tuple[int, str]]] = {}
+    for c in sorted(calls, key=lambda c: c["i"]):
+        if not go and c["name"].rsplit(".", 1)[-1] in ACTS:
+            for b, o, _ in c["stmts"]:
+                acts.setdefault(b, []).append((o, c["text"]))
     for k, c in enumerate(sorted(nodes, key=lambda c: c["i"])):
         fs = c["frames"]
         fn = next((f for f in reversed(fs) if f["kind"] == "func"), None)
@@ -355,7 +363,8 @@ def read_braces(source: str, language: str) -> tuple[list[dict], list[tuple]]:
                 "parent_fn": next((f["name"] for f in reversed(fs) if f["kind"] == "func" and f.get("name")), None), "class_name": next((f["name"] for f in reversed(fs) if f["kind"] == "class"), None),
                 "next_method": chain[0] if chain else None, "has_catch": has_catch, "has_then": "then" in chain or any(f.get("call") and re.search(r"\.then$", f["call"]["name"]) for f in fs), "awaited": c.get("awaited", False),
                 "returned": "return" in heads, "declared": any(h in ("const", "let", "var") for h in heads), "literal_arg": c.get("literal", False), "role": role, "silent": c.get("silent", False),
-                "block_id": block_id, "stmt_ord": stmt_ord, "path": [f"{b}:{o}" for b, o, _ in stmts], "_around": around,
+                "block_id": block_id, "stmt_ord": stmt_ord, "changed": c["kind"] == "declaration" and ((c["name"], "inside") in changed or role in ("let", "var") and (c["name"], "assign") in changed),
+                "acts": list({o: a for o, a in reversed(acts.get(stmts[-1][0], [])) if stmts[-1][1] < o <= stmts[-1][1] + NEXT}.values()) if c["kind"] == "call" and here and c["name"].rsplit(".", 1)[-1] in CHECKS else [], "_around": around,
             }
         )
     if go:
@@ -409,8 +418,9 @@ def read_python(source: str) -> tuple[list[dict], list[tuple]]:
     for n in tree.body:
         if isinstance(n, ast.Assign) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
             out.append({"kind": "declaration", "name": n.targets[0].id, "text": text(n), "role": "literal" if re.search(r"\[|\{|list\(|dict\(|set\(", text(n)) else "other"} | {k: v for k, v in about(n).items() if k != "role"})
+    inside = {r["name"] for r in out if r["kind"] == "mutation"}
     for k, r in enumerate(out):
-        r |= {"node_id": k, "language": "python"}
+        r |= {"node_id": k, "language": "python", "changed": r["kind"] == "declaration" and r["name"] in inside}
     return out, python_ranges(source)
 
 
