@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 ASCII_WORD = "A-Za-z0-9_"
 
@@ -147,6 +148,41 @@ EXTERNAL_CALLS: list[tuple] = [
 # End of the fixed values.
 
 
+#: Texts of which every line that a group matches holds one; a line without them is not tested further. lower marks
+#: groups whose texts are looked for in the lower-cased line, because they have members that ignore case.
+HINTS: dict[str, list[str]] = {
+    "io": ["fetch", "axios", "request", "fs", "client", "db", "execute", "prisma", "mongoose", "redis", "http", "net", "dgram", "urllib", "open", "session"],
+    "error_handling": ["try", "catch", "except", "finally:"],
+    "debug": ["console.", "print", "logg"],
+    "route_handler": ["app", "router", "express.Router", "blueprint", "def"],
+    "request_input": ["req"],
+    "loop": ["for", "while", ".map", ".reduce"],
+    "async": ["async", "await"],
+    "batching": ["Promise", "chunk", "batch", "pageSize", "bulk", "Many", "$transaction", "executemany", "gather"],
+    "collection": [".map", ".filter", ".reduce", "for"],
+    "memory": ["read", "parse", "toString", "Buffer", "getObject", "download", "toArray", "load", "list"],
+    "file_write": ["write", "append", "open"],
+    "blocking": ["Sync", "sleep"],
+    "stateful:lower": ["this", "self", "const", "let", "var"],
+    "prototype_infra:lower": ["sqlite", "lowdb", "nedb", "new", "json", "tinydb", "filestore", "data", "db", "storage"],
+    "unsafe_eval": ["eval", "Function", "setTimeout", "setInterval", "exec"],
+    "hardcoded_url:lower": ["http", "ws"],
+    "tight_loop:lower": ["while", "for"],
+    "db_query:lower": ["select", ".find", ".aggregate", ".query", "prisma", "query", ".collection", ".getall", ".filter", ".all", ".objects", "model"],
+    "pagination:lower": ["limit", ".take", ".skip", "offset", ".page", ".perpage", "top", "fetch", "pagesize", "pagination", ".slice", ".paginate", "[", ".first", ".one"],
+    "check:lower": [".find", ".get", "select", ".exists", ".first", ".filter"],
+    "act:lower": ["create", "insert", ".save", "add"],
+    "secret:lower": ["'", '"', "`", "://", "akia", "gh", "glpat-", "sk_", "pk_"],
+    "hack:lower": ["todo", "fixme", "hack", "xxx", "temp"],
+    "retry:lower": ["retr", "attempt", "tenacity", "backoff"],
+    "streaming_hint:lower": ["stream", "pipe", "chunk"],
+    "hardcoded_path": ["writeFile", "appendFile"],
+    "delay": ["setTimeout", "sleep", "await", "return", "break"],
+    "cast": ["as"],
+    "non_null": ["!"],
+}
+
+
 def literal(text: str) -> str:
     """text as a regular expression that both dialects read alike."""
     return re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", text)
@@ -178,6 +214,27 @@ def re2(group: str) -> str:
     return "|".join(_bounded(m, r"\b", r"\b").replace(r"(?<!\.)exec", "(?:^|[^.])exec") for m in GROUPS[group])
 
 
+def hint(line: Column, group: str) -> Column | None:
+    """Whether the line holds one of the group's hints, or null for a group without."""
+    texts, where = HINTS.get(group), line
+    if texts is None:
+        texts, where = HINTS.get(f"{group}:lower"), F.lower(line)
+    if texts is None:
+        return None
+    out = where.contains(texts[0])
+    for t in texts[1:]:
+        out = out | where.contains(t)
+    return out
+
+
 def flag(line: Column, group: str) -> Column:
-    """Whether the line matches any member of the group."""
-    return line.rlike(java(group))
+    """Whether the line matches any member of the group. Members that are plain texts need no regular expression."""
+    members = GROUPS[group]
+    if all(isinstance(m, str) for m in members) and group not in HINTS:
+        least = [m for m in members if not any(o != m and o in m for o in members)]
+        out = line.contains(least[0])
+        for t in least[1:]:
+            out = out | line.contains(t)
+        return out
+    near = hint(line, group)
+    return line.rlike(java(group)) if near is None else near & line.rlike(java(group))
