@@ -95,12 +95,17 @@ def response_shapes(lines: DataFrame) -> DataFrame:
 
 
 def mixed_shapes(lines: DataFrame) -> DataFrame:
-    """(file_key, mixed): line and snippet of the first two responses of a file, in order, that name different keys."""
+    """(file_key, mixed): line and snippet of the first two responses of a file, in order, that name different keys.
+
+    A file's responses are few, so they are compared as one array a file.
+    """
     s = response_shapes(lines).where(F.size("keys") > 0)
-    b = s.select(F.col("file_key").alias("_f"), F.col("ord").alias("ord2"), F.col("line").alias("line2"), F.col("keys").alias("keys2"))
-    pairs = s.join(b, F.col("file_key") == F.col("_f")).where((F.col("ord") < F.col("ord2")) & (F.col("keys") != F.col("keys2")))
-    text = F.concat(F.lit("Shapes differ at lines "), F.col("line"), F.lit(" and "), F.col("line2"))
-    return pairs.groupBy("file_key").agg(F.min(F.struct("ord", "ord2", "line", text.alias("snippet"))).alias("mixed"))
+    s = s.groupBy("file_key").agg(F.sort_array(F.collect_list(F.struct("ord", "line", "keys"))).alias("s"))
+    other = lambda x: F.get(F.filter("s", lambda y: (y["ord"] > x["ord"]) & (y["keys"] != x["keys"])), F.lit(0))
+    pairs = F.filter(F.transform("s", lambda x: F.struct(x["line"].alias("line"), other(x)["line"].alias("line2"))), lambda p: p["line2"].isNotNull())
+    first = s.select("file_key", F.get(pairs, F.lit(0)).alias("p")).where("p is not null")
+    text = F.concat(F.lit("Shapes differ at lines "), F.col("p.line"), F.lit(" and "), F.col("p.line2"))
+    return first.select("file_key", F.struct(F.col("p.line").alias("line"), text.alias("snippet")).alias("mixed"))
 
 
 def changed_globals(lines: DataFrame) -> DataFrame:
@@ -134,11 +139,11 @@ def analyze_lines(lines: DataFrame, max_findings: int | None = MAX_FINDINGS) ->
     before all lines, and repeated calls and changed globals come after them.
     """
     base = with_new_lines(lines)
-    about = base.select("file_key").distinct().join(mixed_shapes(base), "file_key", "left").join(changed_globals(base), "file_key", "left")
+    about = mixed_shapes(base).join(changed_globals(base), "file_key", "full")
     x = with_neighbourhood(base)
     # blank added lines count as lines but are not looked at
     x = x.withColumns({"_io": F.coalesce(flag(F.col("body"), "io"), F.lit(False)), "_ahead": F.when(F.col("body").contains("catch"), F.collect_list("raw").over(in_file().rowsBetween(0, 9))), "_nth": F.row_number().over(in_file())})
-    x = x.join(about, "file_key")
+    x = x.join(about, "file_key", "left")
     looked_at = (F.col("op") == "+") & (X.trim(F.col("body")) != "")
     text = X.snippet(F.col("body"))
     none = F.lit(None).cast("string")
