@@ -162,5 +162,32 @@ again AS (
   FROM kept GROUP BY doc_id)
 SELECT c.doc_id, len(c.ls) AS n_lines, a.n_removed, length(a.text) AS n_chars_kept, sha256(a.text) AS text_sha256
 FROM cut c JOIN again a ON c.doc_id = a.doc_id
+""",
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(ws[k:k + 4], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+pairs AS (
+  SELECT a, b, c / (x.n + y.n - c) AS j FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.8),
+links AS (SELECT a, b, j FROM pairs UNION ALL SELECT b, a, j FROM pairs),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_id AS (SELECT a, min(b) AS m FROM reach GROUP BY 1),
+direct AS (SELECT a, count(*) AS n, min(b) FILTER (j = 1) AS c FROM links GROUP BY 1)
+SELECT doc_id, coalesce(least(c, doc_id), doc_id) AS copy_of, coalesce(least(m, doc_id), doc_id) AS class_id, coalesce(n, 0) AS n_links,
+  coalesce(least(m, doc_id), doc_id) = doc_id AS kept
+FROM w LEFT JOIN least_id ON least_id.a = doc_id LEFT JOIN direct ON direct.a = doc_id
+""",
+    "op3_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_id AS (SELECT a, min(b) AS m FROM reach GROUP BY 1),
+direct AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(m, vec_id), vec_id) AS component_id, coalesce(least(m, vec_id), vec_id) = vec_id AS kept
+FROM v LEFT JOIN least_id ON least_id.a = vec_id LEFT JOIN direct ON direct.a = vec_id
 """,
 }
