@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import RULE_IDS
 
-KEYWORD = "vibecheck-ignore"  # the format of existing sources; a parameter below
+#: What directives begin with; sources that use another word pass it as keyword.
+KEYWORD = "risk-ignore"
 
 
 def parse_directives(sources: DataFrame, text_col: str = "text", keyword: str = KEYWORD) -> DataFrame:

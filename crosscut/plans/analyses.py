@@ -13,7 +13,7 @@ from ..operators import file_rules, group, lines, merge, patch_rules, score, sup
 from ..sources.config import Config, apply_rules
 
 
-def analyze_pull_requests(files: DataFrame, config: Config | None = None, contents: DataFrame | None = None, structural: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
+def analyze_pull_requests(files: DataFrame, config: Config | None = None, contents: DataFrame | None = None, structural: DataFrame | None = None, ranges: DataFrame | None = None, keyword: str = suppress.KEYWORD) -> DataFrame:
     """Findings of (pr_id, file_key, file_ord, filename, patch), with level, is_prototype_zone, origin and seq (by change set).
 
     file_key names a file of a change set. contents has (file_key, content) of files whose whole text is known,
@@ -41,14 +41,14 @@ def analyze_pull_requests(files: DataFrame, config: Config | None = None, conten
         whole = whole.withColumns({"message": F.lit(None).cast("string"), "origin": F.lit("file"), "part": F.lit(3)}).select(*cols, "origin", "part")
         found = found.unionByName(merge.new_findings(whole, found).select(*cols, "origin", "part"))
     text = lines.added_text(src).groupBy("file_key").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
-    directives = suppress.parse_directives(text.select("file_key", F.array_join(F.transform("l", lambda s: s["text"]), "\n").alias("text")))
+    directives = suppress.parse_directives(text.select("file_key", F.array_join(F.transform("l", lambda s: s["text"]), "\n").alias("text")), keyword=keyword)
     found = apply_rules(found.join(kept.select("file_key", "pr_id", "file_ord", "filename"), "file_key"), config)
     found = suppress.suppress(found, directives)
     order = Window.partitionBy("pr_id").orderBy("file_ord", "file_key", "part", "seq")
     return found.withColumn("seq", F.row_number().over(order)).drop("part").withColumnRenamed("filename", "file")
 
 
-def analyze_repository(snapshots: DataFrame, config: Config | None = None, rules: Iterable[str] = FILE_RULES, max_files: int = 200) -> tuple[DataFrame, DataFrame]:
+def analyze_repository(snapshots: DataFrame, config: Config | None = None, rules: Iterable[str] = FILE_RULES, max_files: int = 200, keyword: str = suppress.KEYWORD) -> tuple[DataFrame, DataFrame]:
     """(findings, stats) of (repo, file_key, file_ord, filename, content): a baseline scan of the first max_files files it can analyze.
 
     stats has files_analyzed, files_skipped (before the limit was reached) and truncated for each repo.
@@ -62,7 +62,7 @@ def analyze_repository(snapshots: DataFrame, config: Config | None = None, rules
     stats = x.groupBy("repo").agg(F.count_if(F.col("_in") & F.col("_ok")).alias("files_analyzed"), F.count_if(F.col("_in") & ~F.col("_ok")).alias("files_skipped"), F.bool_or(~F.col("_in")).alias("truncated"))
     kept = x.where("_in and _ok")
     found = file_rules.analyze_files(kept, rules)
-    directives = suppress.parse_directives(kept, "content")
+    directives = suppress.parse_directives(kept, "content", keyword)
     found = suppress.suppress(apply_rules(found, config), directives)
     return found.join(kept.select("file_key", "repo", "file_ord"), "file_key"), stats
 

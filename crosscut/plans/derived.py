@@ -51,7 +51,7 @@ PALETTE = [
     None,
 ]
 #: Slot 39: by the supplier's number, odd ones a module variable, even ones a directive.
-ODD, EVEN = "let counter = 0", "// vibecheck-ignore-next-line UNSAFE_IO, HARDCODED_SECRET"
+ODD, EVEN = "let counter = 0", "// risk-ignore-next-line UNSAFE_IO, HARDCODED_SECRET"
 MUTATION = "counter = counter + 1"  # slot 5 of suppliers divisible by 3
 
 

@@ -330,7 +330,7 @@ _IMP = "regexp_matches(trim(t, {0}), '{1}')".format(SPACES, "|".join(outline.IMP
 _DEFS = lambda kind: "regexp_matches(trim(t, {0}), '{1}')".format(SPACES, "|".join(p for p, k in outline.DEFINITIONS if k == kind).replace("'", "''"))
 
 SQL: dict[str, str] = {
-    "baseline_findings": f"{_FILES}, {_SEEN}, content AS ({_SPLIT.format(src='(SELECT * FROM counted WHERE ok AND inside)')}), hits AS ({_file_each}), capped AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY line, o) <= 50) SELECT file_key % 3 AS repo, file_key, line, kind, 'error' AS level FROM capped h WHERE NOT EXISTS (SELECT 1 FROM content d WHERE d.file_key = h.file_key AND d.line + 1 = h.line AND h.kind = 'HARDCODED_SECRET' AND contains(d.t, 'vibecheck-ignore-next-line UNSAFE_IO, HARDCODED_SECRET'))",
+    "baseline_findings": f"{_FILES}, {_SEEN}, content AS ({_SPLIT.format(src='(SELECT * FROM counted WHERE ok AND inside)')}), hits AS ({_file_each}), capped AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY line, o) <= 50) SELECT file_key % 3 AS repo, file_key, line, kind, 'error' AS level FROM capped h WHERE NOT EXISTS (SELECT 1 FROM content d WHERE d.file_key = h.file_key AND d.line + 1 = h.line AND h.kind = 'HARDCODED_SECRET' AND contains(d.t, 'risk-ignore-next-line UNSAFE_IO, HARDCODED_SECRET'))",
     "compact_structure": f"{_FILES}, l AS ({_SPLIT.format(src='files')}), f AS (SELECT file_key, filename, {_IMP} AS imp, {_DEFS('class')} AS cls, {_DEFS('function')} AS fn FROM l), g AS (SELECT file_key, filename, count(*) AS lines, count(*) FILTER (imp) AS imports, count(*) FILTER (NOT imp AND cls) AS classes, count(*) FILTER (NOT imp AND NOT cls AND fn) AS functions FROM f GROUP BY 1, 2) SELECT *, filename || ': ' || lines || ' lines' || CASE WHEN imports > 0 THEN ', ' || imports || ' imports' ELSE '' END || CASE classes WHEN 0 THEN '' WHEN 1 THEN ', 1 class' ELSE ', ' || classes || ' classes' END || CASE functions WHEN 0 THEN '' WHEN 1 THEN ', 1 fn' ELSE ', ' || functions || ' fns' END AS summary FROM g",
     "grouped_report": f"{_N}, g AS (SELECT pr_id, kind, count(*) AS n, max({_ORD}) AS o, min_by(message, seq) AS message, min(seq) AS q, list(CASE WHEN coalesce(line, 0) <> 0 THEN '`' || file || ':' || line || '`' ELSE '`' || file || '`' END ORDER BY seq) AS spots FROM findings GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY o DESC, n DESC, q) AS rank, {_desc} AS d FROM g), t AS (SELECT pr_id, count(*) AS kinds, string_agg('- **' || kind || '** (' || {_NAME('o')} || ', ' || n || 'x): ' || d || ' in ' || array_to_string(spots[1:3], ', ') || CASE WHEN n > 3 THEN ' +' || (n - 3) || ' more' ELSE '' END, chr(10) ORDER BY rank) FILTER (rank <= 8) AS text FROM r GROUP BY 1) SELECT pr_id, text || CASE WHEN kinds > 8 THEN chr(10) || '- ' || (kinds - 8) || ' more kinds' ELSE '' END AS text FROM t",
     "score_per_file": f"{findings_sql(50)}, levelled AS (SELECT a.*, CASE WHEN kind IN ('ASYNC_MISUSE','NO_CACHING','BLOCKING_OPERATION','CHECK_THEN_ACT_RACE','UNVALIDATED_INPUT','DATA_SHAPE_ASSUMPTION','MIXED_RESPONSE_SHAPES','TEMPORARY_HACK','HARDCODED_URL') THEN 'warning' WHEN kind = 'CONSOLE_DEBUG' THEN 'info' ELSE 'error' END AS level FROM all_found a), {_score_sql('levelled', 'file_key')} SELECT file_key, score, label, high_risk FROM labelled",

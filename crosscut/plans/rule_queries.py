@@ -226,7 +226,7 @@ added AS (
 _DIRECTIVES = """
 directives AS (
   SELECT file_key, line_no AS line, 'next-line' AS scope, false AS all_rules, 'UNSAFE_IO,HARDCODED_SECRET' AS rules
-  FROM added WHERE contains(text, 'vibecheck-ignore-next-line UNSAFE_IO, HARDCODED_SECRET'))"""
+  FROM added WHERE contains(text, 'risk-ignore-next-line UNSAFE_IO, HARDCODED_SECRET'))"""
 _cols = ", ".join(COLUMNS)
 _FILE_CHECKS = [("STATEFUL_SERVICE", "high", hit("t", "stateful")), ("PROTOTYPE_INFRA", "high", hit("t", "prototype_infra")), ("HARDCODED_SECRET", "high", f"{hit('t', 'secret')} AND NOT {_TEST}"), ("UNSAFE_EVAL", "high", hit("t", "unsafe_eval")), ("GLOBAL_MUTATION", "medium", hit("t", "module_literal"))]
 _file_each = " UNION ALL ".join(f"SELECT file_key, filename, line, {i} AS o, '{k}' AS kind, '{s}' AS severity, " + (f"substr(trim(t, {SPACES}), 1, 80) || CASE WHEN length(t) > 80 THEN '...' ELSE '' END" if k == "HARDCODED_SECRET" else f"trim(t, {SPACES})") + f" AS snippet FROM content WHERE {p}" for i, (k, s, p) in enumerate(_FILE_CHECKS))

@@ -16,9 +16,9 @@ DEFAULTS = {
     "version": 1,
     "rules": {},
     "files": {"ignore": [], "prototype_zone": []},
-    "scoring": {"high_risk_vibe_score": 60, "weight_multiplier": 1.0},
+    "scoring": {"high_risk_score": 60, "weight_multiplier": 1.0},
     "llm": {"enabled": True, "max_model_tokens": 4096, "temperature": 0.1, "max_files": 50, "validate_findings": True, "confidence_threshold": 0.6},
-    "reporting": {"create_issues": False, "max_issues_per_pr": 3, "issue_severity_threshold": "high", "issue_labels": ["vibe-scan", "technical-debt"]},
+    "reporting": {"create_issues": False, "max_issues_per_pr": 3, "issue_severity_threshold": "high", "issue_labels": ["code-risk", "technical-debt"]},
     "overrides": [],
 }
 
@@ -31,7 +31,7 @@ class Config:
 
     @property
     def high_risk_below(self) -> int:
-        return self.raw["scoring"]["high_risk_vibe_score"]
+        return self.raw["scoring"]["high_risk_score"]
 
     @property
     def multiplier(self) -> str:
@@ -60,8 +60,11 @@ class Config:
         return enabled, level
 
 
-def load(text: str | None) -> Config:
-    """The configuration a YAML text holds; defaults for what it lacks, and for a text that is none."""
+def load(text: str | None, aliases: dict[str, str] | None = None) -> Config:
+    """The configuration a YAML text holds; defaults for what it lacks, and for a text that is none.
+
+    aliases maps keys of existing files to those of DEFAULTS.
+    """
     import yaml
 
     try:
@@ -75,6 +78,7 @@ def load(text: str | None) -> Config:
             if key in ("version", "rules", "overrides"):
                 raw[key] = default if given is None else given
             elif isinstance(given, dict):
+                given = {(aliases or {}).get(k, k): v for k, v in given.items()}
                 raw[key] = {k: v if given.get(k) is None else given[k] for k, v in default.items()}
     return Config(raw)
 

@@ -24,7 +24,7 @@ def test_score_stays_within_bounds(spark):
 
 
 def test_directives(spark):
-    src = spark.createDataFrame([(1, "// vibecheck-ignore-file ALL\r\nx // VIBECHECK-IGNORE-LINE UNSAFE_IO, nothing LOOPED_IO - why\n// vibecheck-ignore-next-line ALL because\n// vibecheck-ignore-line unsafe_io")], "file_key long, text string")
+    src = spark.createDataFrame([(1, "// risk-ignore-file ALL\r\nx // RISK-IGNORE-LINE UNSAFE_IO, nothing LOOPED_IO - why\n// risk-ignore-next-line ALL because\n// risk-ignore-line unsafe_io")], "file_key long, text string")
     got = [(r["line"], r["scope"], r["all_rules"], r["rules"]) for r in suppress.parse_directives(src).orderBy("line").collect()]
     assert got == [(1, "file", True, []), (2, "line", False, ["UNSAFE_IO", "LOOPED_IO"])]
 
@@ -83,7 +83,8 @@ def test_config_overrides_in_order(spark):
 
 def test_broken_config_gives_defaults():
     assert load("a: [") == Config() == load(None) == load("7")
-    assert load("scoring: {high_risk_vibe_score: 40}\nreporting: {max_issues_per_pr: 9}").raw["reporting"]["max_issues_per_pr"] == 9
+    assert load("scoring: {limit: 40}", {"limit": "high_risk_score"}).high_risk_below == 40
+    assert load("scoring: {high_risk_score: 40}\nreporting: {max_issues_per_pr: 9}").raw["reporting"]["max_issues_per_pr"] == 9
 
 
 def test_globs(spark):
@@ -111,7 +112,7 @@ def test_outline(spark):
 
 
 def test_baseline_limits(spark):
-    files = spark.createDataFrame([("r", i, i, n, c) for i, (n, c) in enumerate([("a.md", "x"), ("b.ts", "eval(a)"), ("c.ts", "// vibecheck-ignore-file ALL\neval(a)"), ("d.ts", "eval(a)"), ("e.md", "")])], "repo string, file_key long, file_ord int, filename string, content string")
+    files = spark.createDataFrame([("r", i, i, n, c) for i, (n, c) in enumerate([("a.md", "x"), ("b.ts", "eval(a)"), ("c.ts", "// risk-ignore-file ALL\neval(a)"), ("d.ts", "eval(a)"), ("e.md", "")])], "repo string, file_key long, file_ord int, filename string, content string")
     found, stats = analyses.analyze_repository(files, max_files=2)
     assert [(r["file_key"], r["line"], r["kind"]) for r in found.collect()] == [(1, 1, "UNSAFE_EVAL")]
     assert stats.first().asDict() == {"repo": "r", "files_analyzed": 2, "files_skipped": 1, "truncated": True}
