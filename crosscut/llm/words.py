@@ -54,7 +54,7 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def slices(texts: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, max_bytes: int = 400_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about max_bytes of text each, so that work arrays stay small; one long text makes a range of its own."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     start = total = 0
