@@ -18,7 +18,7 @@ STATS = ["log_bytes", "upper", "digit", "space", "newline", "comma_dot", "symbol
 MAX_TRAIN_ROWS = 20_000
 
 _CLASS = np.zeros(256, dtype=np.int8)  # 0 is other
-for _name, _chars in {1: range(65, 91), 2: range(48, 58), 3: b" \t\r\x0b\x0c", 4: b"\n", 5: b".,", 6: b"#$%&*+/<=>@\\^_`{}~[]()", 7: b"|", 8: b"!?;:\"'-", 9: range(128, 256)}.items():
+for _name, _chars in {1: range(65, 91), 2: range(48, 58), 3: b" \t\r\x0b\x0c", 4: b"\n", 5: b".,", 6: b"#$%&*<=>@\\^_`{}~[]", 7: b"|", 8: b"!?;:\"'-+/()", 9: range(128, 256)}.items():
     for _c in _chars:
         _CLASS[_c] = _name
 
