@@ -26,8 +26,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that an earlier one repeats or nearly repeats. A document of which only blank lines are left goes."""
-    out = dedup_lines(docs)
+    """Cuts lines that an earlier one repeats, however short, or nearly repeats. A document of which only blank lines are left goes."""
+    out = dedup_lines(docs, min_words=1)
     return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 

@@ -1,4 +1,5 @@
 import duckdb  # noqa: F401
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -28,3 +29,25 @@ def test_documents_of_repeated_lines_only_go(spark):
     t = "this line is long enough to count as one\nand so is this other line of words"
     df = spark.createDataFrame([(1, t, "en", "s", 1), (2, t, "en", "s", 1), (3, "", "en", "s", 0), (4, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in P.line_dedup(spark, df, "").collect()) == [1, 3, 4]
+
+
+def test_copies_with_short_lines_leave_nothing(spark, tmp_path):
+    title, body = "A Short Title", "this line is long enough to count as one of a text"
+    rows = [(1, f"{title}\n{body}\nThe End"), (2, f"{title}\n\n{body}\nThe End"), (3, f"{title}\nanother line of words that no other document has")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in P.line_dedup(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 3: "another line of words that no other document has"}
+
+
+def test_a_planted_copy_is_gone_after_the_run(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    best = P.run(spark, d).where("n_chars > 400").orderBy("doc_id").first()["doc_id"]
+    title = F.concat(F.lit("Planted Title\n"), "text")
+    made = docs.withColumn("text", F.when(F.col("doc_id") == best, title).otherwise(F.col("text")))
+    copy = made.where(F.col("doc_id") == best).withColumn("doc_id", (F.col("doc_id") + 1_000_000).cast(docs.schema["doc_id"].dataType))
+    made.unionByName(copy).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    ids = {r["doc_id"] for r in P.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert best in ids and best + 1_000_000 not in ids
