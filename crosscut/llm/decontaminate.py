@@ -209,7 +209,7 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
     ranges (start, end) with their words and the longest match of item words that ends in them; items
     the distinct ids of items with a window there. A null or empty text has no words; an item
     without words no window; an empty item table finds nothing. Rows of items that share an id are
-    one item. Repeated rows of docs are each reported. keep's columns named as the four added are replaced.
+    one item; those without an id are one too, a null in items. Repeated rows of docs are each reported. keep's columns named as the four added are replaced.
 
     Items go to the tasks as automata of at most max_block_words words (an item that is longer makes an
     automaton of its own). If one holds them all, docs are read once and nothing is shuffled. Otherwise
@@ -225,7 +225,7 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
     found = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", span_type), T.StructField("items", T.ArrayType(items.schema[item_id].dataType))]
 
     # a word and what parts it from the next are two characters at least, so this bounds the words
-    sized = items.select(F.col(item_id).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null").withColumn("w", F.ceil(F.length("t") / 2) + 1)
+    sized = items.select(F.col(item_id).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).withColumn("w", F.ceil(F.length("t") / 2) + 1)
     blocks = max(1, -(-int(sized.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]) // max_block_words))
     now = docs.select(*keep, F.col(text_col).alias("_text"))
     for b in range(blocks):

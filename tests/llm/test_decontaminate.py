@@ -60,3 +60,13 @@ def test_removal(spark):
     assert got == [(1, text, len(text)), (3, None, None), (4, "clean", 5), (4, "clean", 5)]
     assert remove_spans(d, b.limit(0)).count() == 5
     assert remove_spans(d.limit(0), b).count() == 0
+
+
+@pytest.mark.parametrize("block", [10**6, 10])
+def test_items_without_an_id(spark, block):
+    a, b = (" ".join(f"{c}{k}" for k in range(12)) for c in "qz")
+    d = spark.createDataFrame([(1, f"x {a} y"), (2, f"{a} and {b}"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, a), (None, a + " end"), (7, b)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], set(r["items"]), len(r["items"])) for r in find_spans(d, items, max_block_words=block).collect()}
+    assert got == {1: (12, {None}, 1), 2: (24, {None, 7}, 2), 3: (0, set(), 0)}
+    assert [r["doc_id"] for r in remove_spans(d, items, max_block_words=block).collect()] == [3]
