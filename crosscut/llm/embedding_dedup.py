@@ -247,6 +247,16 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _all_pairs(x: np.ndarray, rows: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The links of rows with the first n, each compared with each, in blocks."""
+    found = []
+    for k in range(0, len(rows), 512):
+        a, b = np.nonzero(x[rows[k : k + 512]] @ x[:n].T >= threshold)
+        a = rows[a + k]
+        found.append((a[a != b], b[a != b]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def _search(threshold: float, target: float = 0.98):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("in_graph", "descending"), ("rep", "ascending")])
@@ -280,6 +290,8 @@ def _search(threshold: float, target: float = 0.98):
             if got >= target * want.sum():
                 break
             beam, slack = 2 * beam, 1.5 * slack
+        else:
+            query, node = _all_pairs(x, rows, n, threshold)
         inner = query < n
         # links are mutual: within the graph, each is known from either end
         a = np.concatenate((query, node[inner]))
@@ -311,7 +323,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     lists from all its shards are joined. Every node is then searched for in its shards over the joined
     lists: greedily from the medoids, then on through all that lies within a slack of the threshold.
     Each shard audits some of its queries against all its nodes, and searches wider until the recall is
-    reached. A cluster of more than max_graph nodes is dealt to several graphs, and all its nodes are
+    reached; if it never is, all its queries are compared with all its nodes. A cluster of more than max_graph nodes is dealt to several graphs, and all its nodes are
     searched for in each. A shard reports counts and one root a node, not pairs.
     """
     spark = vectors.sparkSession

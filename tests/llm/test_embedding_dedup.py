@@ -1,6 +1,7 @@
 import numpy as np
+import pyarrow as pa
 
-from crosscut.llm.embedding_dedup import Graph, _labels, audit_recall, near_duplicates
+from crosscut.llm.embedding_dedup import Graph, _labels, _search, audit_recall, near_duplicates
 
 
 def clustered(rng, n, dim=24):
@@ -54,3 +55,15 @@ def test_graph_reaches_a_tight_group():
     g = Graph(x, adjacency=[np.array(sorted(set(r))) for r in near])
     q, _ = g.within(x, 0.9)
     assert len(q) >= 0.98 * (x @ x.T >= 0.9).sum()
+
+
+def test_a_shard_whose_graph_search_fails_is_compared_in_full():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1, 16)) + rng.normal(size=(700, 16)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = len(x)
+    cols = {"rep": pa.array(range(n), pa.int64()), "near": pa.array([[]] * n, pa.list_(pa.int64())), "unit": pa.array([v.tobytes() for v in x], pa.binary())}
+    cols |= {"shard": pa.array([0] * n, pa.int32()), "shards": pa.array([[0]] * n, pa.list_(pa.int32())), "mult": pa.array([1] * n, pa.int64()), "in_graph": pa.array([1] * n, pa.int32()), "asks": pa.array([True] * n)}
+    got = _search(0.9)(pa.table(cols)).sort_by("rep")
+    links, label = brute(x)
+    assert got.column("links").to_pylist() == links.tolist() and got.column("root").to_pylist() == label.tolist()
