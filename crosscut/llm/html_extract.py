@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html_tokens import INLINE, MAIN_NAMES, VOID, Stack, clean, walk
+from .html_tokens import INLINE, MAIN_NAMES, MATH, VOID, Stack, clean, walk
 from .shared import Scratch
 from .url_filter import url_host
 
@@ -48,7 +48,8 @@ def _tokens(source: str) -> dict[str, list]:
             if x[0] in VOID:
                 stack.close(x[0])
                 continue
-            path = None if paths[-1] is None or stack.side[-1] else f"{paths[-1]}/{stack.names[-1]}"
+            side = stack.side[-1] or (stack.loose[-1] and "article" not in stack.tags and "main" not in stack.tags)
+            path = None if paths[-1] is None or side else f"{paths[-1]}/{stack.names[-1]}"
             paths.append(path)
             inside.append([0, 0])
             if path is not None:
@@ -120,9 +121,13 @@ def deduce_templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", h
 def main_text(source: str, slot: str | None) -> str:
     """The blocks of text within the slot, side elements left out, each on a line.
 
+    Within the slot an element is one by its tag, or by a class or role that is a side name as a whole; elsewhere by any
+    word of its class, role or id. Elements within a line are none by name.
+
     Without a slot, or where the page has none such: within its articles, else its main elements, else the page.
     """
     names = (None, "article", "main", "")
+    flow = INLINE | MATH
     found: list[list[str]] = [[] for _ in names]
     parts: list[str] = []
     stack, paths = Stack(), [""]
@@ -141,7 +146,7 @@ def main_text(source: str, slot: str | None) -> str:
     where = holds()
     for kind, *x in walk(source):
         if kind == "open":
-            if x[0] not in INLINE:
+            if x[0] not in flow:
                 flush(where)
             elif x[0] == "br":
                 parts.append(" ")
@@ -152,17 +157,17 @@ def main_text(source: str, slot: str | None) -> str:
                 continue
             paths.append(f"{paths[-1]}/{stack.names[-1]}")
         elif kind == "close":
-            if x[0] not in INLINE:
+            if x[0] not in flow:
                 flush(where)
             for _ in stack.close(x[0]):
                 paths.pop()
         elif kind == "text":
-            if not any(stack.side):
+            if not any(stack.side) and (where[0] or not any(stack.loose)):
                 parts.append(html.unescape(x[0]))
             continue
         else:
             continue
-        if x[0] not in INLINE or not parts:
+        if x[0] not in flow or not parts:
             where = holds()
     flush(where)
     return "\n".join(next((b for b in found if b), []))

@@ -14,8 +14,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas run on within their block.
+MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mstyle mpadded mphantom mfenced menclose mover munder munderover mmultiscripts mtable mtr mtd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements and names (words of class, id or role) that hold no main text.
-SIDE_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea head title dialog object canvas math".split())
+SIDE_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea head title dialog object canvas annotation".split())
 SIDE_NAMES = frozenset("ad ads advert adverts advertisement banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header cookie cookies consent notice notices promo sponsor sponsored comment comments disqus related share social newsletter subscribe popup modal login search widget complementary contentinfo".split())
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
 #: An open element of these ends where one of the same begins.
@@ -62,7 +65,9 @@ class Stack:
     def __init__(self) -> None:
         self.tags: list[str] = []
         self.names: list[str] = []
+        #: By its tag or a whole name in its class or role; by any word of class, role or id.
         self.side: list[bool] = []
+        self.loose: list[bool] = []
 
     def open(self, tag: str, attrs: str) -> list[int]:
         """Puts the element on the stack; gives the depths of what that ended."""
@@ -74,15 +79,19 @@ class Stack:
                     break
                 if self.tags[k] in SCOPES:
                     break
-        name, words = tag, ()
+        name, words, whole = tag, (), False
         if attrs and ("class" in attrs or "id" in attrs or "role" in attrs or "CLASS" in attrs or "ID" in attrs):
             a = attributes(attrs)
             named = " ".join(a.get(k, "") for k in ("class", "role")).lower()
             name = f"{tag}.{'.'.join(sorted(set(named.split())))}" if named.strip() else tag
-            words = WORDS.findall(f"{named} {a.get('id', '').lower()}")
+            if tag not in INLINE and tag not in MATH and tag not in ("html", "body", "article", "main"):
+                # ids of headings are made from their words
+                words = WORDS.findall(named if tag in HEADINGS else f"{named} {a.get('id', '').lower()}")
+                whole = any(SIDE_NAMES.issuperset(w) for n in named.split() if (w := WORDS.findall(n)))
         self.tags.append(tag)
         self.names.append(name)
-        self.side.append(tag in SIDE_TAGS or (tag not in ("html", "body", "article", "main") and any(w in SIDE_NAMES for w in words)))
+        self.side.append(tag in SIDE_TAGS or whole)
+        self.loose.append(any(w in SIDE_NAMES for w in words))
         return ended
 
     def close(self, tag: str) -> list[int]:
@@ -94,7 +103,7 @@ class Stack:
 
     def _drop(self, k: int) -> list[int]:
         ended = list(range(len(self.tags) - 1, k - 1, -1))
-        del self.tags[k:], self.names[k:], self.side[k:]
+        del self.tags[k:], self.names[k:], self.side[k:], self.loose[k:]
         return ended
 
 

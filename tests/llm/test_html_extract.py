@@ -38,3 +38,10 @@ def test_rows(spark):
     got = sorted((r["page_id"], r["n_chars"]) for r in extract(df).collect())
     assert got == [(1, 0), (2, 0), (3, 1), (3, 99_999)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_names_within_the_slot(spark):
+    page = "<body><article><h2 id=search>Search {0}</h2><section id=social-history><p>history {0}</p></section><p id=comment-period>period {0} <a class=related>link</a> <span class='search-term'>term</span></p><div class='comment-law'>law {0}</div><p>let <math><mi>x</mi><mo>=</mo><mn>{0}</mn></math> be</p><div class='cookie-notice'>c {0}</div><div class=share>s {0}</div></article>"
+    rows = [(i, "http://n.x/", page.format(i)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == "Search 4\nhistory 4\nperiod 4 link term\nlaw 4\nlet x=4 be"
