@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html_tokens import INLINE, MAIN_NAMES, MATH, VOID, Stack, clean, walk
+from .html_tokens import HEADINGS, INLINE, MAIN_NAMES, MATH, VOID, Stack, clean, walk
 from .shared import Scratch
 from .url_filter import url_host
 
-#: Most hosts whose one template line each is sent to every executor; with more, pages and templates meet by a shuffle.
-MAX_BROADCAST_HOSTS = 200_000
+#: Most paths of templates that are sent to every executor; with more, pages and templates meet by a shuffle.
+MAX_BROADCAST_PATHS = 200_000
+#: From so many pages on, text that is the same on all pages of a host is its template's.
+LEAST_PAGES = 3
 #: Fingerprints add up 32 bits of a hash of (page, count), so a long holds those of 2^31 pages of a host.
 VECTOR_COLUMNS = "host string, path string, opens long, closes long, pages long, chars long, lowest long, highest long"
 
@@ -92,19 +94,25 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduce_templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, slot): the path of the element of each host's template that holds the main text.
+    """(host, slots, constant): paths of the elements of each host's template that hold the main text, and that never change.
 
     Tokens are the opening and closing tags of element paths. Those of one host that share an occurrence
     vector across its pages are one class; the class of the page itself is what occurs exactly once on
     every page, and an element is valid in it if its opening and closing tags both are. Valid elements
-    nest as their paths do. The main slot is the valid element that is an article, else main, else
-    one named as content; else the deepest one with most of the text that changes from page to page.
-    Hosts with one page have a template as well; hosts without a valid element have none.
+    nest as their paths do. The main slots are the outermost valid elements that are articles, else main, else
+    those named as content, of which only the ones that change from page to page if any does; else the deepest
+    one with most of the changing text. There is no slot either if articles that are in no page's class, as where their
+    number differs from page to page, hold most of the text: each page's own are its main text then.
+    Constant are valid blocks with the same text on all pages of a host whose pages differ; headings, which label what
+    follows, are none. Hosts with one page have a template as well; hosts without a valid element have none.
+
+    Other classes are not kept: a host may have as many of their paths as pages (a class attribute with
+    a number is enough), where those of the page's class are at most as many as one page has.
     """
     v = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_vectors, VECTOR_COLUMNS)
     v = v.groupBy("host", "path").agg(F.sum("opens").alias("opens"), F.sum("closes").alias("closes"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
     v = scratch.keep(v, "vectors")
-    page = v.where("path = ''").select("host", F.col("opens").alias("once"), F.col("chars").alias("all_chars"), F.col("pages").alias("all_pages"))
+    page = v.where("path = ''").select("host", F.col("opens").alias("once"), F.col("chars").alias("all_chars"), F.col("pages").alias("all_pages"), (F.col("lowest") != F.col("highest")).alias("differ"))
     valid = v.join(page, "host").where("path <> '' and opens = once and closes = once and pages = all_pages")
     last = F.element_at(F.split("path", "/"), -1)
     tag = F.substring_index(last, ".", 1)
@@ -112,16 +120,36 @@ def deduce_templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", h
     kind = F.when(tag == "article", 4).when(tag == "main", 3).when(F.arrays_overlap(names, F.array(*[F.lit(w) for w in sorted(MAIN_NAMES)])), 2)
     changes = (F.col("lowest") != F.col("highest")) | (F.col("all_pages") == 1)
     kind = kind.when(changes & (F.col("chars") * 2 > F.col("all_chars")), 1).otherwise(0)
-    # of one kind: most text; of plain elements: the deepest that still has most of it
-    best = valid.withColumn("rank", F.struct(kind.alias("kind"), F.when(kind > 1, F.col("chars")).otherwise(F.size(F.split("path", "/"))).alias("by"), "path"))
-    best = best.groupBy("host").agg(F.max("rank").alias("r")).where("r.kind > 0")
-    return best.select("host", F.col("r.path").alias("slot"))
-
-
-def main_text(source: str, slot: str | None) -> str:
-    """The blocks of text within the slot, side elements left out, each on a line.
-
-    Within the slot an element is one by its tag, or by a class or role that is a side name as a whole; elsewhere by any
+    # of plain elements: the deepest that still has most of the text
+    kind = F.when((kind == 2) & tag.isin(*sorted(INLINE)), 0).otherwise(kind)
+    alike = (F.col("lowest") == F.col("highest")) & (F.col("all_pages") >= LEAST_PAGES)
+    constant = alike & F.col("differ") & (F.col("chars") > 0) & ~tag.isin(*sorted(INLINE | MATH | HEADINGS))
+    each = valid.select("host", "path", kind.alias("kind"), alike.alias("alike"), constant.alias("constant")).where("kind > 0 or constant")
+    each = each.groupBy("host").agg(F.max("kind").alias("best"), F.collect_list(F.struct("path", "kind", "alike", "constant")).alias("all"))
+    # articles of other classes, and the text in them
+    own = F.filter(F.split("path", "/"), lambda e: F.substring_index(e, ".", 1) == "article")
+    listed = v.where(last.startswith("article") & (tag == "article") & (F.size(own) == 1)).groupBy("host").agg(F.sum("chars").alias("listed"))
+    each = each.join(listed, "host", "left").join(page.select("host", "all_chars"), "host")
+
+    def outermost(paths: Column) -> Column:
+        return F.filter(paths, lambda p: ~F.exists(paths, lambda q: p.startswith(F.concat(q, F.lit("/")))))
+
+    best = F.filter("all", lambda x: (x["kind"] == F.col("best")) & (F.col("best") > 0))
+    change = F.filter(best, lambda x: ~x["alike"])
+    slots = F.transform(F.when(F.size(change) > 0, change).otherwise(best), lambda x: x["path"])
+    deepest = F.array_max(F.transform(best, lambda x: F.struct(F.size(F.split(x["path"], "/")).alias("by"), x["path"].alias("path"))))["path"]
+    none = F.array().cast("array<string>")
+    slots = F.when(F.col("best") > 1, outermost(slots)).when((F.col("best") < 1) | (F.col("listed") * 2 > F.col("all_chars")), none).otherwise(F.array(deepest))
+    each = each.select("host", slots.alias("slots"), outermost(F.transform(F.filter("all", lambda x: x["constant"]), lambda x: x["path"])).alias("constant"))
+    # what holds a slot is no constant, even if the slot's own text is
+    held = F.filter("constant", lambda c: ~F.exists("slots", lambda s: (s == c) | s.startswith(F.concat(c, F.lit("/")))))
+    return each.select("host", "slots", held.alias("constant"))
+
+
+def main_text(source: str, slots: Collection[str] | None, constant: Collection[str] | None = None) -> str:
+    """The blocks of text within the slots, side and constant elements left out, each on a line.
+
+    Within a slot an element is one by its tag, or by a class or role that is a side name as a whole; elsewhere by any
     word of its class, role or id. Elements within a line are none by name.
 
     Without a slot, or where the page has none such: within its articles, else its main elements, else the page.
@@ -129,11 +157,12 @@ def main_text(source: str, slot: str | None) -> str:
     names = (None, "article", "main", "")
     flow = INLINE | MATH
     found: list[list[str]] = [[] for _ in names]
+    slots, constant = frozenset(slots or ()), frozenset(constant or ())
     parts: list[str] = []
     stack, paths = Stack(), [""]
 
     def holds() -> list[bool]:
-        return [slot is not None and slot in paths, "article" in stack.tags, "main" in stack.tags, True]
+        return [not slots.isdisjoint(paths), "article" in stack.tags, "main" in stack.tags, True]
 
     def flush(where: list[bool]) -> None:
         if parts:
@@ -162,7 +191,7 @@ def main_text(source: str, slot: str | None) -> str:
             for _ in stack.close(x[0]):
                 paths.pop()
         elif kind == "text":
-            if not any(stack.side) and (where[0] or not any(stack.loose)):
+            if not any(stack.side) and constant.isdisjoint(paths) and (where[0] or not any(stack.loose)):
                 parts.append(html.unescape(x[0]))
             continue
         else:
@@ -181,25 +210,25 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
     the empty host. Repeated rows are each extracted. Columns named text or n_chars are replaced.
 
     Vectors combine in each batch and before the shuffle, so a host with very many pages makes no large
-    group. One path a host comes out of it.
+    group. No more paths a host come out of it than a page has.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     scratch = Scratch(pages.sparkSession, "html")
     keep = [c for c in (keep if keep is not None else [c for c in pages.columns if c != html_col]) if c not in ("text", "n_chars")]
     slots = scratch.keep(deduce_templates(pages, scratch, url_col, html_col), "slots")
-    if slots.count() <= MAX_BROADCAST_HOSTS:
+    if slots.agg(F.coalesce(F.sum(1 + F.size("slots") + F.size("constant")), F.lit(0))).first()[0] <= MAX_BROADCAST_PATHS:
         slots = F.broadcast(slots)
-    rows = pages.select(*keep, url_host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html")).join(slots, F.col("_host") == F.col("host"), "left").select(*keep, "_html", "slot")
+    rows = pages.select(*keep, url_host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html")).join(slots, F.col("_host") == F.col("host"), "left").select(*keep, "_html", "slots", "constant")
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources = pc.fill_null(batch.column("_html"), "")
-            slot = batch.column("slot")
+            slots, constant = batch.column("slots"), batch.column("constant")
             for k in range(0, len(batch), 256):
-                texts = [main_text(s, p) for s, p in zip(sources.slice(k, 256).to_pylist(), slot.slice(k, 256).to_pylist(), strict=True)]
+                texts = [main_text(*x) for x in zip(*(c.slice(k, 256).to_pylist() for c in (sources, slots, constant)), strict=True)]
                 cols = [batch.column(c).slice(k, 256) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow)
 

@@ -45,3 +45,23 @@ def test_names_within_the_slot(spark):
     rows = [(i, "http://n.x/", page.format(i)) for i in range(6)]
     got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[4] == "Search 4\nhistory 4\nperiod 4 link term\nlaw 4\nlet x=4 be"
+
+
+def texts(spark, page, fill):
+    rows = [(i, "http://m.x/", page.format(*f)) for i, f in enumerate(fill)]
+    return {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_all_changing_slots_without_what_is_constant(spark):
+    page = "<body><div class=top>Site</div><article class=lead><h2>Lead</h2><p>first {0}</p></article><article class=same><p>Never new</p></article><div>between {0}</div><article class=body><p>second {0} and <b>more</b></p><div class=legal>All rights of the house</div></article>"
+    assert texts(spark, page, [(i,) for i in range(6)])[3] == "Lead\nfirst 3\nsecond 3 and more"
+
+
+def test_pages_with_a_varying_number_of_articles(spark):
+    page = "<body><div class=wrap><div class=top>Site {0}</div>{1}</div>"
+    got = texts(spark, page, [(i, "".join(f"<article><p>entry {k} of page {i}</p></article>" for k in range(i % 3 + 1))) for i in range(6)])
+    assert got[1] == "entry 0 of page 1\nentry 1 of page 1"
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    assert texts(spark, "<body><article><p>one text</p></article>", [()] * 4)[2] == "one text"
