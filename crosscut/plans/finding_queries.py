@@ -213,14 +213,21 @@ def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.read(spark, sf_dir, "events").where("event_id % 10 < 4")
+    """All events, each with an answer; only those of the first two kinds give issues."""
+    x = review_answers.issues(_answers(spark, sf_dir))
+    return x.select("event_id", "ord", "kind", "title", "issue_file", "line", "summary", "severity")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = derived.read(spark, sf_dir, "events")
     k = F.col("event_id")
     one = F.concat(F.lit('{"kind": "'), F.when(k % 2 == 0, "RESILIENCE_GAP").otherwise("ODD"), F.lit('", "title": "t'), k.cast("string"), F.lit('", "line": '), k.cast("string"), F.lit(', "summary": "s", "severity": "'), F.when(k % 3 == 0, "high").otherwise("low"), F.lit('"}'))
     whole = F.concat(F.lit('Here: {"issues": ['), one, F.lit(', {"kind": "SCALING_RISK", "severity": "none"}]} done'))
     cut = F.concat(F.lit('{"issues": ['), one, F.lit(', {"kind": "SCALI'))
-    a = F.when(k % 10 == 0, whole).when(k % 10 == 1, cut).when(k % 10 == 2, "no json").otherwise(F.lit(None).cast("string"))
-    x = review_answers.issues(e.select("event_id", F.lit("f.ts").alias("file"), a.alias("answer")))
-    return x.select("event_id", "ord", "kind", "title", "issue_file", "line", "summary", "severity")
+    # none of these holds an issue, whole or to be repaired
+    rest = ["no json", "", '{"issues": []}', '{"issues": null}', '{"issues": "none"}', '{"issues": [{"kind": "SCALI', '[1, 2', "{}"]
+    a = F.when(k % 10 == 0, whole).when(k % 10 == 1, cut).otherwise(F.element_at(F.array(*map(F.lit, rest)), F.greatest(F.pmod(k, F.lit(10)) - 1, F.lit(1)).cast("int")))
+    return e.select("event_id", F.lit("f.ts").alias("file"), a.alias("answer"))
 
 
 def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 from crosscut.functions import text as X
 from crosscut.operators import group, merge, outline, review_answers, score, suppress, validation
-from crosscut.plans import analyses
+from crosscut.plans import analyses, finding_queries
 from crosscut.sources import scans
 from crosscut.sources.config import Config, apply_rules, load
 
@@ -124,3 +124,10 @@ def test_content_decoding(spark):
     rows = [("file", 5, base64.b64encode(b"a\xc3\xa9b").decode()), ("dir", 5, "YQ=="), ("file", 99999, "YQ=="), ("file", 0, "")]
     got = [r["content"] for r in scans.decoded_content(spark.createDataFrame(rows, "kind string, size long, encoded string")).collect()]
     assert got == ["aéb", None, None, None]
+
+
+def test_every_event_has_an_answer(spark):
+    d = "/root/testdata/sf0.001"
+    got = finding_queries._answers(spark, d)
+    assert got.count() == spark.read.parquet(f"{d}/events.parquet").count()
+    assert got.where("answer is null").count() == 0 and got.select("answer").distinct().count() >= 10
