@@ -1,18 +1,22 @@
-"""The rules over added lines of a patch, as one pass of flags and frames and one unpivot."""
+"""The rules over added lines of a patch: one sort a file, one pass of flags and frames, one unpivot."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.patterns import EXTERNAL_CALLS, _java_member, flag
-from ..functions.rules import lookup
+from ..functions.rules import RULE_IDS, lookup
 from .lines import before, hunk_start, in_file, so_far, with_new_lines
-from .neighbourhood import silent_catch, with_neighbourhood
+from .neighbourhood import FRAMES, silent_catch, with_neighbourhood
 
 #: Once a file has as many findings, no further line of it is looked at.
 MAX_FINDINGS = 50
+#: In rule_ord: a changed name, which is no finding itself.
+CHANGE = 200
 
 # Our own messages.
 MESSAGES: dict[str, str] = {
@@ -44,32 +48,38 @@ MESSAGES: dict[str, str] = {
 }
 
 
-def line_rules() -> list[tuple[str, str | Column, Column]]:
-    """(kind, severity, predicate) in the order in which one line's findings are reported. body and the frames are columns."""
+SHAPE = r"(?:res\.(?:json|send)|return)\s*\(\s*\{([^}]*)\}"
+#: A word that the text after it changes.
+CHANGED = r"\w+(?=\.push\(|\[.+\]\s*=|\.\w+\s*=|\s*=)"
+DECLARED = r"^\+(?:let|var|const)\s+(\w+)\s*="
+
+
+def line_rules() -> list[tuple[str, str | Column, Column, list[str]]]:
+    """(kind, severity, predicate, frames it reads) in the order in which one line's findings are reported. body and the frames are columns."""
     b, c = F.col("body"), F.col
     has = lambda g: flag(b, g)
     test = X.is_test_file(c("filename"))
     io = c("_io")
     call = has("async_call") & ~has("async_handled")
-    return [
+    rules = [
         ("TEMPORARY_HACK", "medium", has("hack")),
-        ("UNSAFE_IO", "high", io & ~c("near_error_handling") & ~c("after_loop")),
+        ("UNSAFE_IO", "high", io & ~c("near_error_handling") & ~c("after_loop"), "near_error_handling", "after_loop"),
         ("CONSOLE_DEBUG", "low", ~test & has("debug")),
-        ("UNVALIDATED_INPUT", "medium", has("request_input") & c("in_route_handler") & ~c("near_validation")),
+        ("UNVALIDATED_INPUT", "medium", c("in_route_handler") & ~c("near_validation") & has("request_input"), "in_route_handler", "near_validation"),
         ("DATA_SHAPE_ASSUMPTION", "medium", has("non_null")),
-        ("DATA_SHAPE_ASSUMPTION", "medium", has("cast") & has("request_input")),
-        ("LOOPED_IO", "high", io & c("after_loop")),
-        ("SILENT_ERROR", F.when(c("io_around"), "high").otherwise("medium"), b.contains("catch") & silent_catch(c("_ahead"))),
-        ("ASYNC_MISUSE", "medium", c("in_async") & b.contains(".then(") & ~c("near_error_handling")),
-        ("ASYNC_MISUSE", "medium", c("in_async") & call),
-        ("UNBOUNDED_QUERY", "high", has("db_query") & ~c("near_pagination")),
-        ("UNBOUNDED_COLLECTION_PROCESSING", "high", has("collection") & c("in_request") & has("large_collection")),
-        ("MISSING_BATCHING", "high", has("loop") & c("before_io") & ~c("near_batching")),
+        ("DATA_SHAPE_ASSUMPTION", "medium", has("request_input") & has("cast")),
+        ("LOOPED_IO", "high", io & c("after_loop"), "after_loop"),
+        ("SILENT_ERROR", F.when(c("io_around"), "high").otherwise("medium"), b.contains("catch") & silent_catch(c("_ahead")), "io_around"),
+        ("ASYNC_MISUSE", "medium", c("in_async") & b.contains(".then(") & ~c("near_error_handling"), "in_async", "near_error_handling"),
+        ("ASYNC_MISUSE", "medium", c("in_async") & call, "in_async"),
+        ("UNBOUNDED_QUERY", "high", ~c("near_pagination") & has("db_query"), "near_pagination"),
+        ("UNBOUNDED_COLLECTION_PROCESSING", "high", c("in_request") & has("large_collection") & has("collection"), "in_request"),
+        ("MISSING_BATCHING", "high", c("before_io") & ~c("near_batching") & has("loop"), "before_io", "near_batching"),
         ("MEMORY_RISK", "high", has("memory") & ~has("streaming_hint")),
-        ("SHARED_FILE_WRITE", "high", has("file_write") & has("hardcoded_path")),
-        ("RETRY_STORM_RISK", "high", flag(F.lower(b), "retry") & io & ~c("near_backoff")),
-        ("BUSY_WAIT_OR_TIGHT_LOOP", "high", has("tight_loop") & ~c("before_delay")),
-        ("CHECK_THEN_ACT_RACE", "medium", has("check") & c("before_act")),
+        ("SHARED_FILE_WRITE", "high", has("hardcoded_path") & has("file_write")),
+        ("RETRY_STORM_RISK", "high", io & ~c("near_backoff") & flag(F.lower(b), "retry"), "near_backoff"),
+        ("BUSY_WAIT_OR_TIGHT_LOOP", "high", ~c("before_delay") & has("tight_loop"), "before_delay"),
+        ("CHECK_THEN_ACT_RACE", "medium", c("before_act") & has("check"), "before_act"),
         ("HARDCODED_SECRET", "high", has("secret")),
         ("BLOCKING_OPERATION", "medium", ~test & has("blocking")),
         ("STATEFUL_SERVICE", "high", has("stateful")),
@@ -77,105 +87,135 @@ def line_rules() -> list[tuple[str, str | Column, Column]]:
         ("UNSAFE_EVAL", "high", has("unsafe_eval")),
         ("HARDCODED_URL", "medium", ~test & has("hardcoded_url")),
     ]
+    return [(kind, severity, holds, list(frames)) for kind, severity, holds, *frames in rules]
 
 
-def response_shapes(lines: DataFrame) -> DataFrame:
-    """(file_key, ord, line, keys) of response literals on added lines.
+def _with_shape_lines(lines: DataFrame) -> DataFrame:
+    """Adds _shape_line, the number that a response on the line is reported with.
 
-    Their line numbers count file headers too: + headers as added lines, - headers as removed ones.
+    It counts file headers too: + headers as added lines, - headers as removed ones.
     """
-    raw = F.col("raw")
-    steps = F.coalesce(F.sum(F.when((F.col("op") == "@") | raw.startswith("-"), 0).otherwise(1)).over(before()), F.lit(0))
-    x = lines.withColumn("_s", steps)
-    x = x.withColumn("_base", F.last(F.when(F.col("op") == "@", hunk_start(raw) - F.col("_s")), ignorenulls=True).over(so_far()))
-    shape = r"(?:res\.(?:json|send)|return)\s*\(\s*\{([^}]*)\}"
-    x = x.where((F.col("op") != "@") & raw.startswith("+") & raw.rlike(shape))
-    keys = F.array_sort(F.regexp_extract_all(F.regexp_extract(raw, shape, 1), F.lit(r"(\w+)\s*:"), F.lit(1)))
-    return x.select("file_key", "filename", F.col("idx").alias("ord"), (F.coalesce("_base", F.lit(0)) + F.col("_s")).cast("int").alias("line"), keys.alias("keys"))
-
+    raw, header = F.col("raw"), F.col("op") == "@"
+    x = lines.withColumn("_s", F.coalesce(F.sum(F.when(header | raw.startswith("-"), 0).otherwise(1)).over(before()), F.lit(0)))
+    x = x.withColumn("_base", F.last(F.when(header, hunk_start(raw) - F.col("_s")), ignorenulls=True).over(so_far()))
+    return x.withColumn("_shape_line", (F.coalesce("_base", F.lit(0)) + F.col("_s")).cast("int")).drop("_s", "_base")
 
-def mixed_shapes(lines: DataFrame) -> DataFrame:
-    """(file_key, mixed): line and snippet of the first two responses of a file, in order, that name different keys.
 
-    A file's responses are few, so they are compared as one array a file.
-    """
-    s = response_shapes(lines).where(F.size("keys") > 0)
-    s = s.groupBy("file_key").agg(F.sort_array(F.collect_list(F.struct("ord", "line", "keys"))).alias("s"))
-    other = lambda x: F.get(F.filter("s", lambda y: (y["ord"] > x["ord"]) & (y["keys"] != x["keys"])), F.lit(0))
-    pairs = F.filter(F.transform("s", lambda x: F.struct(x["line"].alias("line"), other(x)["line"].alias("line2"))), lambda p: p["line2"].isNotNull())
-    first = s.select("file_key", F.get(pairs, F.lit(0)).alias("p")).where("p is not null")
-    text = F.concat(F.lit("Shapes differ at lines "), F.col("p.line"), F.lit(" and "), F.col("p.line2"))
-    return first.select("file_key", F.struct(F.col("p.line").alias("line"), text.alias("snippet")).alias("mixed"))
-
-
-def changed_globals(lines: DataFrame) -> DataFrame:
-    """(file_key, changed): where module-level state is declared that a later added line changes. Its name is no word match there."""
-    added = lines.where(F.col("raw").startswith("+"))
-    decl = added.where((F.col("op") == "+") & flag(F.col("raw"), "top_level_mutable")).select("file_key", "idx", F.regexp_extract("raw", r"^\+(?:let|var|const)\s+(\w+)\s*=", 1).alias("name"))
-    later = added.select(F.col("file_key").alias("_f"), F.col("idx").alias("idx2"), F.col("raw").alias("raw2"))
-    changes = F.col("raw2").contains(F.col("name")) & F.expr(r"raw2 rlike concat(name, '(?:[.]push[(]|\\[.+\\]\\s*=|[.]\\w+\\s*=|\\s*=\\s*)')")
-    hits = decl.join(later, (F.col("file_key") == F.col("_f")) & (F.col("idx2") > F.col("idx")) & changes, "left_semi")
-    return hits.groupBy("file_key").agg(F.collect_set(F.struct("idx", "name")).alias("changed"))
+def response_keys() -> Column:
+    """The sorted keys of a response literal on an added line, or null."""
+    raw = F.col("raw")
+    near = raw.contains("res.") | raw.contains("return")
+    keys = F.array_sort(F.regexp_extract_all(F.regexp_extract(raw, SHAPE, 1), F.lit(r"(\w+)\s*:"), F.lit(1)))
+    return F.when((F.col("op") != "@") & raw.startswith("+") & near & raw.rlike(SHAPE), F.when(F.size(keys) > 0, keys))
 
 
 def call_signature(body: Column) -> tuple[Column, Column]:
     """(signature, whether it is outside): the first kind of call on the line and its first quoted text, else the line's start."""
-    kind, http = None, None
+    near = X.any_of(body, ["fetch", "axios", "http", "request", "got", "superagent"])
+    kind = None
     for i, m in enumerate(EXTERNAL_CALLS):
         hit = body.rlike(_java_member(m))
         kind = F.when(hit, i) if kind is None else kind.when(hit, i)
-        spelled = m if isinstance(m, str) else m[1]
-        http = F.when(hit, "http" in spelled) if http is None else http.when(hit, "http" in spelled)
+    spelled = [i for i, m in enumerate(EXTERNAL_CALLS) if "http" in (m if isinstance(m, str) else m[1])]
+    kind = F.when(near, kind)
     quoted = F.nullif(F.regexp_extract(body, "[\"'`]([^\"'`]+)[\"'`]", 1), F.lit(""))
     rest = F.coalesce(quoted, F.concat(F.lit(":"), F.substring(X.trim(body), 1, 50)))
-    return F.when(kind.isNotNull(), F.concat(kind.cast("string"), F.lit(" "), rest)), http | X.any_of(rest, ["http", "api.", "fetch("])
+    sig = F.when(kind.isNotNull(), F.concat(kind.cast("string"), F.lit(" "), rest))
+    return sig, kind.isin(spelled) | X.any_of(rest, ["http", "api.", "fetch("])
 
 
-def analyze_lines(lines: DataFrame, max_findings: int | None = MAX_FINDINGS) -> DataFrame:
+def analyze_lines(lines: DataFrame, max_findings: int | None = MAX_FINDINGS, kinds: Iterable[str] | None = None) -> DataFrame:
     """Findings (file_key, filename, idx, rule_ord, line, severity, kind, snippet, message) of patch lines.
 
     lines has file_key, filename, idx and raw. A file's lines must fit in one sort group, as one file's do; all
-    frames share one order, so the lines are dealt by file once. rule_ord orders findings of one line; idx -1 comes
-    before all lines, and repeated calls and changed globals come after them.
+    frames share one order, so the lines are dealt by file once and read once. rule_ord orders findings of one line;
+    idx -1 comes before all lines, and repeated calls and changed globals come after them. With kinds, only those are
+    looked for; as the cap counts findings of all kinds, it must be off then (max_findings None).
     """
-    base = with_new_lines(lines)
-    about = mixed_shapes(base).join(changed_globals(base), "file_key", "full")
-    x = with_neighbourhood(base)
+    wanted = set(RULE_IDS if kinds is None else kinds)
+    if kinds is not None and max_findings is not None:
+        raise ValueError("the cap counts findings of all kinds")
+    mine = [(i + 1, *r) for i, r in enumerate(line_rules()) if r[0] in wanted]
+    x = with_new_lines(lines)
+    if "MIXED_RESPONSE_SHAPES" in wanted:
+        x = _with_shape_lines(x)
+    names = {f for r in mine for f in r[4]}
+    x = with_neighbourhood(x, [n for n in FRAMES if n in names])
+    raw, added = F.col("raw"), F.col("op") == "+"
+    x = x.withColumn("_io", F.coalesce(flag(F.col("body"), "io"), F.lit(False)))
+    if "SILENT_ERROR" in wanted:
+        # only lines in reach of a catch are carried
+        x = x.withColumn("_catch", F.max(F.when(F.col("body").contains("catch"), F.col("idx"))).over(so_far()))
+        x = x.withColumn("_near", F.when(F.col("_catch") >= F.min("idx").over(in_file().rowsBetween(-9, 0)), raw))
+        ahead = [F.col("_near"), *[F.lead("_near", k).over(in_file()) for k in range(1, 10)]]
+        x = x.withColumn("_ahead", F.array_compact(F.array(*ahead)))
+    declares = added & flag(raw, "top_level_mutable")
+    if "GLOBAL_MUTATION" in wanted:
+        x = x.withColumn("_name", F.when(declares, F.regexp_extract("raw", DECLARED, 1)))
+        x = x.withColumn("_longest", F.max(F.length("_name")).over(Window.partitionBy("file_key")))
     # blank added lines count as lines but are not looked at
-    x = x.withColumns({"_io": F.coalesce(flag(F.col("body"), "io"), F.lit(False)), "_ahead": F.when(F.col("body").contains("catch"), F.collect_list("raw").over(in_file().rowsBetween(0, 9))), "_nth": F.row_number().over(in_file())})
-    x = x.join(about, "file_key", "left")
-    looked_at = (F.col("op") == "+") & (X.trim(F.col("body")) != "")
+    looked_at = added & (X.trim(F.col("body")) != "")
     text = X.snippet(F.col("body"))
-    none = F.lit(None).cast("string")
+    none, no_keys = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
 
-    def entry(order, line, severity, kind, snippet, sig=None, idx=None):
-        return F.struct(F.lit(order).alias("rule_ord"), (F.col("idx") if idx is None else F.lit(idx)).alias("idx"), line.alias("line"), severity.alias("severity"), F.lit(kind).alias("kind"), snippet.alias("snippet"), (none if sig is None else sig).alias("sig"))
+    def entry(order, line, severity, kind, snippet, sig=none, keys=no_keys):
+        return F.struct(F.lit(order).alias("rule_ord"), line.alias("line"), severity.alias("severity"), F.lit(kind).alias("kind"), snippet.alias("snippet"), sig.alias("sig"), keys.alias("keys"))
 
     at = F.col("new_line")
-    found = [F.when(looked_at & holds, entry(i + 1, at, F.lit(sev) if isinstance(sev, str) else sev, kind, text)) for i, (kind, sev, holds) in enumerate(line_rules())]
-    x = x.withColumn("_found", F.array_compact(F.array(*found)))
-    first = (F.col("_nth") == 1) & F.col("mixed").isNotNull()
-    mixed = F.when(first, entry(0, F.col("mixed.line"), F.lit("medium"), "MIXED_RESPONSE_SHAPES", F.col("mixed.snippet"), idx=-1))
-    own = F.filter("changed", lambda c: c["idx"] == F.col("idx"))
-    name = F.get(own, F.lit(0))["name"]
-    changed = F.when(looked_at & name.isNotNull(), entry(101, at, F.lit("high"), "GLOBAL_MUTATION", F.concat(F.lit("Variable '"), name, F.lit("' is mutated after declaration"))))
-    sig, outside = call_signature(F.col("body"))
-    call = F.when(looked_at & sig.isNotNull(), entry(102, at, F.when(outside, "high").otherwise("medium"), "NO_CACHING", text, sig))
+    found = [F.when(looked_at & holds, entry(order, at, F.lit(sev) if isinstance(sev, str) else sev, kind, text)) for order, kind, sev, holds, _ in mine]
+    parts = [F.col("_found")]
+    x = x.withColumn("_found", F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<rule_ord:int,line:int,severity:string,kind:string,snippet:string,sig:string,keys:array<string>>>"))
     if max_findings is not None:
-        live = F.coalesce(F.sum(F.size("_found")).over(before()), F.lit(0)) + F.when(F.col("mixed").isNotNull(), 1).otherwise(0) < max_findings
-        x = x.withColumn("_live", live).where("_live")
-    e = x.select("file_key", "filename", F.explode(F.concat("_found", F.array_compact(F.array(mixed, changed, call)))).alias("f")).select("file_key", "filename", "f.*")
-
-    # a call counts once if its signature occurs again; all windows go by file, as the lines are dealt already
+        x = x.withColumn("_before", F.coalesce(F.sum(F.size("_found")).over(before()), F.lit(0)))
+    else:
+        x = x.withColumn("_before", F.lit(0))
+    later = []
+    if "MIXED_RESPONSE_SHAPES" in wanted:
+        keys = response_keys()
+        later.append(F.when(keys.isNotNull(), entry(0, F.col("_shape_line"), F.lit("medium"), "MIXED_RESPONSE_SHAPES", none, keys=keys)))
+    if "GLOBAL_MUTATION" in wanted:
+        later.append(F.when(looked_at & F.col("_name").isNotNull(), entry(101, at, F.lit("high"), "GLOBAL_MUTATION", F.concat(F.lit("Variable '"), F.col("_name"), F.lit("' is mutated after declaration")), F.concat(F.lit("v "), F.col("_name")))))
+        # a name is no whole word where it is changed, so every end of a changed word counts, down to one letter
+        words = F.array_distinct(F.regexp_extract_all(raw, F.lit(CHANGED), F.lit(0)))
+        ends = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.length(w), F.col("_longest"))), lambda n: F.right(w, n))
+        changes = F.when(F.col("_longest").isNotNull() & raw.startswith("+") & (raw.contains("=") | raw.contains(".push(")), F.array_distinct(F.flatten(F.transform(words, ends))))
+        parts.append(F.coalesce(F.transform(changes, lambda w: entry(CHANGE, at, none, "", none, F.concat(F.lit("v "), w))), F.array()))
+    if "NO_CACHING" in wanted:
+        sig, outside = call_signature(F.col("body"))
+        later.append(F.when(looked_at & sig.isNotNull(), entry(102, at, F.when(outside, "high").otherwise("medium"), "NO_CACHING", text, sig)))
+    if later:
+        parts.append(F.array_compact(F.array(*later)))
+    e = x.select("file_key", "filename", "idx", "_before", F.explode(F.concat(*parts)).alias("f")).select("file_key", "filename", "idx", "_before", "f.*")
+
+    # all windows go by file, as the lines are dealt already. Of a file's responses, the first and the first unlike it count
+    file = Window.partitionBy("file_key")
+    if "MIXED_RESPONSE_SHAPES" in wanted:
+        e = e.withColumn("_one", F.min(F.when(F.col("keys").isNotNull(), F.struct("idx", "keys"))).over(file))
+        e = e.withColumn("_two", F.min(F.when(F.col("keys") != F.col("_one.keys"), F.struct("idx", "line"))).over(file))
+        mixed = F.col("keys").isNotNull()
+        e = e.where(~mixed | (F.col("_two").isNotNull() & (F.col("idx") == F.col("_one.idx"))))
+        e = e.withColumn("snippet", F.when(mixed, F.concat(F.lit("Shapes differ at lines "), F.col("line").cast("string"), F.lit(" and "), F.col("_two.line").cast("string"))).otherwise(F.col("snippet")))
+        had_mixed = F.when(F.col("_two").isNotNull(), 1).otherwise(0)
+    else:
+        had_mixed, mixed = F.lit(0), F.lit(False)
+    if max_findings is not None:
+        e = e.where((F.col("rule_ord") == CHANGE) | mixed | (F.col("_before") + had_mixed < max_findings))
+    # a call counts once if its signature occurs again; a declaration if a later line changes its name
     same = Window.partitionBy("file_key", "sig")
-    is_call = F.col("sig").isNotNull()
-    e = e.withColumns({"_calls": F.count("*").over(same), "_first": F.row_number().over(same.orderBy("idx"))})
-    e = e.where(~is_call | ((F.col("_calls") >= 2) & (F.col("_first") == 1)))
+    is_call, is_name = F.col("rule_ord") == 102, F.col("rule_ord") == 101
+    e = e.withColumns({
+        "_calls": F.count("*").over(same),
+        "_first": F.row_number().over(same.orderBy("idx", "rule_ord")),
+        "_changed": F.max(F.when(F.col("rule_ord") == CHANGE, F.col("idx"))).over(same),
+    })
+    holds = F.when(is_call, (F.col("_calls") >= 2) & (F.col("_first") == 1)).when(is_name, F.coalesce(F.col("_changed") > F.col("idx"), F.lit(False))).otherwise(F.col("rule_ord") != CHANGE)
+    e = e.where(holds)
     if max_findings is not None:
-        had = F.count(F.when(~is_call, 1)).over(Window.partitionBy("file_key"))
-        nth = F.sum(is_call.cast("int")).over(Window.partitionBy("file_key").orderBy("idx", "rule_ord"))
+        had = F.count(F.when(~is_call, 1)).over(file)
+        nth = F.sum(is_call.cast("int")).over(file.orderBy("idx", "rule_ord"))
         e = e.withColumns({"_had": had, "_call": nth}).where(~is_call | (F.col("_had") + F.col("_call") <= max_findings))
-    return e.select("file_key", "filename", "idx", "rule_ord", "line", "severity", "kind", "snippet", lookup(MESSAGES, F.col("kind")).alias("message"))
+    idx = F.when(F.col("rule_ord") == 0, -1).otherwise(F.col("idx")).alias("idx")
+    return e.select("file_key", "filename", idx, "rule_ord", "line", "severity", "kind", "snippet", lookup(MESSAGES, F.col("kind")).alias("message"))
 
 
 def analyze_patches(files: DataFrame, max_findings: int | None = MAX_FINDINGS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import RULE_IDS
@@ -32,18 +32,19 @@ def suppress(findings: DataFrame, directives: DataFrame) -> DataFrame:
     """Findings that no directive of their file covers.
 
     A known kind is covered by a directive that names it (or ALL) for the file, its line, or the line before; only if
-    it has a line. Other kinds are covered by ALL for the file only. Directives become (file, kind, line) keys, so both
-    anti-joins are plain equality joins.
+    it has a line. Other kinds are covered by ALL for the file only. Findings meet one row a file, with its directives
+    as an array, so they are read once.
     """
     known = F.col("kind").isin(RULE_IDS)
-    d = directives.withColumn("kind", F.explode(F.when(F.col("all_rules"), F.array(*[F.lit(r) for r in RULE_IDS])).otherwise(F.col("rules"))))
-    whole = d.where("scope = 'file'").select("file_key", "kind").distinct()
-    at = d.where("scope <> 'file'").select("file_key", "kind", (F.col("line") + F.when(F.col("scope") == "next-line", 1).otherwise(0)).alias("line")).distinct()
-    everything = directives.where("scope = 'file' and all_rules").select("file_key").distinct()
     placed = F.coalesce(F.col("line"), F.lit(0)) != 0
-    mine = findings.where(known & placed).join(whole, ["file_key", "kind"], "left_anti").join(at, ["file_key", "kind", "line"], "left_anti")
-    other = findings.where(~known).join(everything, "file_key", "left_anti")
-    return mine.select(*findings.columns).unionByName(findings.where(known & ~placed)).unionByName(other.select(*findings.columns))
+    said = directives.groupBy(F.col("file_key").alias("_f")).agg(F.collect_list(F.struct("line", "scope", "all_rules", "rules")).alias("_said"))
+
+    def covers(d: Column) -> Column:
+        here = (d["scope"] == "file") | (F.col("line") == d["line"] + F.when(d["scope"] == "next-line", 1).otherwise(0))
+        return F.when(known, placed & (d["all_rules"] | F.array_contains(d["rules"], F.col("kind"))) & here).otherwise((d["scope"] == "file") & d["all_rules"])
+
+    out = findings.join(said, F.col("file_key") == F.col("_f"), "left")
+    return out.where(F.col("_said").isNull() | ~F.exists("_said", covers)).select(*findings.columns)
 
 
 def file_suppressions(directives: DataFrame) -> DataFrame:

@@ -50,9 +50,26 @@ PALETTE = [
     "  got('http://localhost:8080/items')",
     None,
 ]
-#: Slot 39: by the supplier's number, odd ones a module variable, even ones a directive.
-ODD, EVEN = "let counter = 0", "// risk-ignore-next-line UNSAFE_IO, HARDCODED_SECRET"
+#: Slot 39: by the supplier's number, odd ones a module variable, even ones a directive by their last digit, or by all of it.
+ODD = "let counter = 0"
+EVEN = {
+    0: "// risk-ignore-next-line UNSAFE_IO, HARDCODED_SECRET",
+    2: "// risk-ignore-next-line ALL",
+    4: "// TODO soon, RISK-IGNORE-LINE TEMPORARY_HACK",
+    6: "// risk-ignore-file CONSOLE_DEBUG, MADE_UP_RULE",
+    8: "// risk-ignore-line MADE_UP_RULE",
+}
+WHOLE = "// risk-ignore-file ALL"  # suppliers whose number ends in 50
+#: What each of those says; the one that names no known rule says nothing.
+DIRECTIVES = {
+    EVEN[0]: ("next-line", False, "UNSAFE_IO,HARDCODED_SECRET"),
+    EVEN[2]: ("next-line", True, ""),
+    EVEN[4]: ("line", False, "TEMPORARY_HACK"),
+    EVEN[6]: ("file", False, "CONSOLE_DEBUG"),
+    WHOLE: ("file", True, ""),
+}
 MUTATION = "counter = counter + 1"  # slot 5 of suppliers divisible by 3
+CATCH = "  catch (e) {"  # slot 15 of suppliers with odd numbers: its block goes on below
 
 
 def _text(x: str) -> str:
@@ -60,7 +77,9 @@ def _text(x: str) -> str:
 
 
 _slots = " ".join(f"WHEN {i} THEN {_text(p)}" for i, p in enumerate(PALETTE) if p is not None)
-BODY_SQL = f"CASE WHEN l_partkey % 40 = 5 AND l_suppkey % 3 = 0 THEN {_text(MUTATION)} WHEN l_partkey % 40 = 39 AND l_suppkey % 2 = 1 THEN {_text(ODD)} WHEN l_partkey % 40 = 39 THEN {_text(EVEN)} ELSE CASE l_partkey % 40 {_slots} END END"
+_even = " ".join(f"WHEN {i} THEN {_text(p)}" for i, p in EVEN.items())
+BODY_SQL = f"""CASE WHEN l_partkey % 40 = 5 AND l_suppkey % 3 = 0 THEN {_text(MUTATION)} WHEN l_partkey % 40 = 15 AND l_suppkey % 2 = 1 THEN {_text(CATCH)}
+ WHEN l_partkey % 40 <> 39 THEN CASE l_partkey % 40 {_slots} END WHEN l_suppkey % 2 = 1 THEN {_text(ODD)} WHEN l_suppkey % 100 = 50 THEN {_text(WHOLE)} ELSE CASE l_suppkey % 10 {_even} END END"""
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 
 LINES_SQL = f"""
@@ -71,7 +90,7 @@ src_lines AS (
 corpus AS (
   SELECT file_key, idx, raw FROM src_lines
   UNION ALL SELECT DISTINCT file_key, 0, '@@ -1,1 +' || (1 + file_key % 3) || ',1 @@' FROM src_lines),
-lines AS (
+lines AS MATERIALIZED (
   SELECT file_key, CASE file_key % 5 WHEN 0 THEN 'src/api/' WHEN 1 THEN 'src/core/' WHEN 2 THEN 'src/infra/' WHEN 3 THEN 'playground/' ELSE 'tests/' END
     || 'f' || file_key || CASE WHEN file_key % 11 = 0 THEN '.test.' ELSE '.' END
     || CASE file_key % 7 WHEN 0 THEN 'ts' WHEN 1 THEN 'js' WHEN 2 THEN 'py' WHEN 3 THEN 'go' WHEN 4 THEN 'rb' WHEN 5 THEN 'java' ELSE 'md' END AS filename,
@@ -117,7 +136,7 @@ raw_findings AS (
     ([{_rule}])[l_partkey % 25 + 1] AS kind, CASE l_linenumber % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity,
     'note ' || (l_partkey % 7) AS message, CASE WHEN l_tax = 0 THEN NULL ELSE round(l_discount * 10, 2) END AS confidence
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-findings AS (SELECT *, CASE kind {_levels} END AS level FROM raw_findings)"""
+findings AS MATERIALIZED (SELECT *, CASE kind {_levels} END AS level FROM raw_findings)"""
 
 
 def findings_n(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..sources import scans
 from ..sources.config import apply_rules, load
 from ..streaming import state
 from . import analyses, derived
-from .rule_queries import SPACES, _file_each, findings_sql
+from .rule_queries import _SAID, COVERED_SQL, SPACES, _file_each, findings_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 n_ = derived.findings_n
@@ -163,7 +163,7 @@ def ignore_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = derived.read(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    return p.where("p_partkey <= 400").select((k % 150 + 1).alias("file_key"), (k % 190 + 1).alias("start_line"), (k % 190 + 1 + k % 4).alias("end_line"), F.when(k % 2 == 0, "comment").otherwise("string").alias("range_type"))
+    return p.select((k * 7 % 1499 + 1).alias("file_key"), (k % 190 + 1).alias("start_line"), (k % 190 + 1 + k % 4).alias("end_line"), F.when(k % 2 == 0, "comment").otherwise("string").alias("range_type"))
 
 
 def context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,19 +188,20 @@ def dedup_fullfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = derived.corpus_files(spark, sf_dir)
-    return f.withColumns({"repo": (F.col("file_key") % 3).cast("long"), "file_ord": F.col("file_key").cast("int"), "size": F.length("content").cast("long")})
+    repo = F.when(F.col("file_key") % 3 == 0, 0).otherwise(F.col("file_key") % 100 + 1)  # one large repository, others small
+    return f.withColumns({"repo": repo.cast("long"), "file_ord": F.col("file_key").cast("int"), "size": F.length("content").cast("long")})
 
 
 def baseline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.analyze_repository(_snapshots(spark, sf_dir), max_files=30)[1]
+    return analyses.analyze_repository(_snapshots(spark, sf_dir))[1]
 
 
 def baseline_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.analyze_repository(_snapshots(spark, sf_dir), max_files=30)[0].select("repo", "file_key", "line", "kind", "level")
+    return analyses.analyze_repository(_snapshots(spark, sf_dir))[0].select("repo", "file_key", "line", "kind", "level")
 
 
 def bounded_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.bounded(scans.tree_filter(_snapshots(spark, sf_dir)), 40, 20_000).select("repo", "filename", "size")
+    return scans.bounded(scans.tree_filter(_snapshots(spark, sf_dir))).select("repo", "filename", "size")
 
 
 def compact_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,7 +267,7 @@ def architecture_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, stats = analyses.analyze_repository(_snapshots(spark, sf_dir), max_files=30)
+    f, stats = analyses.analyze_repository(_snapshots(spark, sf_dir))
     f = f.select("repo", "kind", "severity", F.lit("").alias("message"), F.struct("file_ord", "line", "rule_ord").alias("seq"), F.col("filename").alias("file"), "line")
     return report.baseline_text(group.by_kind(f, ("repo",)), stats)
 
@@ -323,12 +324,13 @@ _overlap = " OR ".join(f"(i.kind = '{k}' AND v.kind IN {_sql_list(r)})" for k, r
 _HALVES = """
 s AS (SELECT pr_id AS file_key, seq, line, kind FROM findings WHERE seq % 3 = 0 AND pr_id % 2 = 0),
 t AS (SELECT pr_id AS file_key, seq, line, kind FROM findings WHERE seq % 3 <> 0 OR pr_id % 2 = 1)"""
+_REPO = "CASE WHEN file_key % 3 = 0 THEN 0 ELSE file_key % 100 + 1 END"
 _FILES = f"""WITH {derived.LINES_SQL},
-files AS (SELECT file_key, filename, file_key % 3 AS repo, string_agg(substr(raw, 2), chr(10) ORDER BY idx) AS content FROM lines WHERE idx > 0 AND NOT starts_with(raw, '-') GROUP BY ALL)"""
+files AS MATERIALIZED (SELECT file_key, filename, {_REPO} AS repo, string_agg(substr(raw, 2), chr(10) ORDER BY idx) AS content FROM lines WHERE idx > 0 AND NOT starts_with(raw, '-') GROUP BY ALL)"""
 _CODE = "regexp_matches(filename, '\\.(ts|tsx|js|jsx|py|go|rb|java|cs)$')"
 _SEEN = f"""
 ok AS (SELECT *, {_CODE} AS ok FROM files),
-counted AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY repo ORDER BY file_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 30 AS inside FROM ok)"""
+counted AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY repo ORDER BY file_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 200 AS inside FROM ok)"""
 _ANSWER = """
 a AS (SELECT event_id, event_id % 10 AS m, CASE WHEN event_id % 2 = 0 THEN 'RESILIENCE_GAP' ELSE 'SCALING_RISK' END AS kind, 't' || event_id AS title, event_id::INT AS line, CASE WHEN event_id % 3 = 0 THEN 'high' ELSE 'low' END AS severity FROM events WHERE event_id % 10 < 2)"""
 
@@ -337,7 +339,7 @@ _IMP = "regexp_matches(trim(t, {0}), '{1}')".format(SPACES, "|".join(outline.IMP
 _DEFS = lambda kind: "regexp_matches(trim(t, {0}), '{1}')".format(SPACES, "|".join(p for p, k in outline.DEFINITIONS if k == kind).replace("'", "''"))
 
 SQL: dict[str, str] = {
-    "baseline_findings": f"{_FILES}, {_SEEN}, content AS ({_SPLIT.format(src='(SELECT * FROM counted WHERE ok AND inside)')}), hits AS ({_file_each}), capped AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY line, o) <= 50) SELECT file_key % 3 AS repo, file_key, line, kind, 'error' AS level FROM capped h WHERE NOT EXISTS (SELECT 1 FROM content d WHERE d.file_key = h.file_key AND d.line + 1 = h.line AND h.kind = 'HARDCODED_SECRET' AND contains(d.t, 'risk-ignore-next-line UNSAFE_IO, HARDCODED_SECRET'))",
+    "baseline_findings": f"{_FILES}, {_SEEN}, content AS ({_SPLIT.format(src='(SELECT * FROM counted WHERE ok AND inside)')}), hits AS ({_file_each}), capped AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY line, o) <= 50), said(words, scope, all_rules, rules) AS (VALUES {_SAID}), directives AS (SELECT file_key, line, scope, all_rules, rules FROM content JOIN said ON contains(t, words)) SELECT {_REPO} AS repo, file_key, line, kind, 'error' AS level FROM capped a WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.file_key = a.file_key AND {COVERED_SQL})",
     "compact_structure": f"{_FILES}, l AS ({_SPLIT.format(src='files')}), f AS (SELECT file_key, filename, {_IMP} AS imp, {_DEFS('class')} AS cls, {_DEFS('function')} AS fn FROM l), g AS (SELECT file_key, filename, count(*) AS lines, count(*) FILTER (imp) AS imports, count(*) FILTER (NOT imp AND cls) AS classes, count(*) FILTER (NOT imp AND NOT cls AND fn) AS functions FROM f GROUP BY 1, 2) SELECT *, filename || ': ' || lines || ' lines' || CASE WHEN imports > 0 THEN ', ' || imports || ' imports' ELSE '' END || CASE classes WHEN 0 THEN '' WHEN 1 THEN ', 1 class' ELSE ', ' || classes || ' classes' END || CASE functions WHEN 0 THEN '' WHEN 1 THEN ', 1 fn' ELSE ', ' || functions || ' fns' END AS summary FROM g",
     "grouped_report": f"{_N}, g AS (SELECT pr_id, kind, count(*) AS n, max({_ORD}) AS o, min_by(message, seq) AS message, min(seq) AS q, list(CASE WHEN coalesce(line, 0) <> 0 THEN '`' || file || ':' || line || '`' ELSE '`' || file || '`' END ORDER BY seq) AS spots FROM findings GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY o DESC, n DESC, q) AS rank, {_desc} AS d FROM g), t AS (SELECT pr_id, count(*) AS kinds, string_agg('- **' || kind || '** (' || {_NAME('o')} || ', ' || n || 'x): ' || d || ' in ' || array_to_string(spots[1:3], ', ') || CASE WHEN n > 3 THEN ' +' || (n - 3) || ' more' ELSE '' END, chr(10) ORDER BY rank) FILTER (rank <= 8) AS text FROM r GROUP BY 1) SELECT pr_id, text || CASE WHEN kinds > 8 THEN chr(10) || '- ' || (kinds - 8) || ' more kinds' ELSE '' END AS text FROM t",
     "score_per_file": f"{findings_sql(50)}, levelled AS (SELECT a.*, CASE WHEN kind IN ('ASYNC_MISUSE','NO_CACHING','BLOCKING_OPERATION','CHECK_THEN_ACT_RACE','UNVALIDATED_INPUT','DATA_SHAPE_ASSUMPTION','MIXED_RESPONSE_SHAPES','TEMPORARY_HACK','HARDCODED_URL') THEN 'warning' WHEN kind = 'CONSOLE_DEBUG' THEN 'info' ELSE 'error' END AS level FROM all_found a), {_score_sql('levelled', 'file_key')} SELECT file_key, score, label, high_risk FROM labelled",
@@ -358,11 +360,11 @@ SQL: dict[str, str] = {
     "llm_overlap_filter": f"{_N}, {_VALID}, i AS (SELECT pr_id, seq, CASE WHEN seq % 4 <> 0 THEN file END AS file, ([{', '.join(repr(k) for k in validation.OVERLAPS)}])[seq % 6 + 1] AS kind FROM findings) SELECT pr_id, seq, file, kind FROM i WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.false_positive AND v.pr_id = i.pr_id AND v.file = i.file AND ({_overlap}))",
     "rule_overrides": f"{_N}, x AS (SELECT * EXCLUDE (level), CASE WHEN kind = 'UNSAFE_IO' AND file = 'src/f5.ts' THEN 'info' WHEN kind = 'UNSAFE_IO' AND file = 'src/f4.ts' THEN 'error' WHEN kind = 'UNSAFE_IO' THEN 'warning' WHEN kind = 'CONSOLE_DEBUG' AND file = 'src/f5.ts' THEN 'warning' WHEN kind = 'CONSOLE_DEBUG' THEN 'off' ELSE level END AS level, NOT (kind = 'NO_CACHING' OR (kind = 'MEMORY_RISK' AND file IN ('src/f4.ts', 'src/f5.ts'))) AS enabled FROM findings) SELECT pr_id, seq, kind, file, level, file IN ('src/f2.ts', 'src/f3.ts') AS is_prototype_zone FROM x WHERE enabled AND level <> 'off'",
     "ignore_globs": f"{_N} SELECT DISTINCT file, regexp_matches(file, '^src/f1[^/]*\\.ts$') AS ignored, file IN ('src/f2.ts', 'src/f3.ts') AS prototype_zone FROM findings",
-    "context_filter": f"{_N}, r AS (SELECT p_partkey % 150 + 1 AS file_key, p_partkey % 190 + 1 AS lo, p_partkey % 190 + 1 + p_partkey % 4 AS hi, CASE WHEN p_partkey % 2 = 0 THEN 'comment' ELSE 'string' END AS t FROM part WHERE p_partkey <= 400) SELECT pr_id AS file_key, seq, line, kind FROM findings f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.file_key = f.pr_id AND f.line BETWEEN lo AND hi AND NOT (f.kind = 'TEMPORARY_HACK' AND t = 'comment'))",
+    "context_filter": f"{_N}, r AS (SELECT p_partkey * 7 % 1499 + 1 AS file_key, p_partkey % 190 + 1 AS lo, p_partkey % 190 + 1 + p_partkey % 4 AS hi, CASE WHEN p_partkey % 2 = 0 THEN 'comment' ELSE 'string' END AS t FROM part) SELECT pr_id AS file_key, seq, line, kind FROM findings f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.file_key = f.pr_id AND f.line BETWEEN lo AND hi AND NOT (f.kind = 'TEMPORARY_HACK' AND t = 'comment'))",
     "merge_precedence": f"{_N}, {_HALVES}, u AS (SELECT *, 'structural' AS origin, CASE WHEN kind IN {_pref} THEN 0 ELSE 2 END AS prec FROM s UNION ALL SELECT *, 'textual', 1 FROM t WHERE kind NOT IN {_pref} OR file_key NOT IN (SELECT file_key FROM s)) SELECT file_key, seq, line, kind, origin FROM u QUALIFY row_number() OVER (PARTITION BY file_key, line, kind ORDER BY prec, seq) = 1",
     "dedup_fullfile": f"{_N}, {_HALVES} SELECT file_key, seq, line, kind FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.file_key = t.file_key AND s.line IS NOT DISTINCT FROM t.line AND s.kind = t.kind)",
     "baseline_stats": f"{_FILES}, {_SEEN} SELECT repo, count(*) FILTER (inside AND ok) AS files_analyzed, count(*) FILTER (inside AND NOT ok) AS files_skipped, bool_or(NOT inside) AS truncated FROM counted GROUP BY 1",
-    "bounded_fetch": f"{_FILES}, f AS (SELECT repo, filename, length(content) AS size FROM files WHERE {_CODE} AND NOT contains(filename, '/tests/') AND NOT contains(filename, '.test.') AND NOT contains(filename, '/test/')), o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM f WINDOW w AS (PARTITION BY repo ORDER BY filename)) SELECT repo, filename, size FROM o WHERE n <= 40 AND b <= 20000",
+    "bounded_fetch": f"{_FILES}, f AS (SELECT repo, filename, length(content) AS size FROM files WHERE {_CODE} AND NOT contains(filename, '/tests/') AND NOT contains(filename, '.test.') AND NOT contains(filename, '/test/')), o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM f WINDOW w AS (PARTITION BY repo ORDER BY filename)) SELECT repo, filename, size FROM o WHERE n <= 200 AND b <= 10485760",
     "language_detect": f"{_FILES} SELECT file_key, CASE WHEN filename LIKE '%.ts' THEN 'typescript' WHEN filename LIKE '%.js' THEN 'javascript' WHEN filename LIKE '%.py' THEN 'python' WHEN filename LIKE '%.go' THEN 'go' WHEN filename LIKE '%.rb' THEN 'ruby' ELSE 'unknown' END AS structural, CASE WHEN filename LIKE '%.ts' THEN 'TypeScript' WHEN filename LIKE '%.js' THEN 'JavaScript' WHEN filename LIKE '%.py' THEN 'Python' WHEN filename LIKE '%.go' THEN 'Go' WHEN filename LIKE '%.rb' THEN 'Ruby' WHEN filename LIKE '%.java' THEN 'Java' END AS label, CASE WHEN filename LIKE '%.ts' THEN 'typescript' WHEN filename LIKE '%.js' THEN 'javascript' WHEN filename LIKE '%.py' THEN 'python' ELSE 'other' END AS outline, {_CODE} AS code, contains(filename, '.test.') AS test FROM files",
     "llm_json_parse": f"WITH {_ANSWER} SELECT event_id, 0 AS ord, kind, title, 'f.ts' AS issue_file, line, 's' AS summary, severity FROM a UNION ALL SELECT event_id, 1, 'SCALING_RISK', 'Unknown issue', 'f.ts', NULL, 'No summary provided', 'medium' FROM a WHERE m = 0",
     "webhook_routing": f"WITH {derived.HOOKS_SQL} SELECT event_id, CASE WHEN event = 'pull_request' AND action IN ('opened', 'reopened', 'synchronize') THEN 'analyze' WHEN event = 'check_suite' THEN 'log' WHEN event = 'installation' THEN 'baseline' WHEN event = 'marketplace_purchase' THEN 'plan' END AS route FROM hooks",
