@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -214,11 +215,11 @@ def re2(group: str) -> str:
     return "|".join(_bounded(m, r"\b", r"\b").replace(r"(?<!\.)exec", "(?:^|[^.])exec") for m in GROUPS[group])
 
 
-def hint(line: Column, group: str) -> Column | None:
-    """Whether the line holds one of the group's hints, or null for a group without."""
+def hint(line: Column, group: str, low: Column | None = None) -> Column | None:
+    """Whether the line holds one of the group's hints, or null for a group without. low is the line in lower case."""
     texts, where = HINTS.get(group), line
     if texts is None:
-        texts, where = HINTS.get(f"{group}:lower"), F.lower(line)
+        texts, where = HINTS.get(f"{group}:lower"), F.lower(line) if low is None else low
     if texts is None:
         return None
     out = where.contains(texts[0])
@@ -227,7 +228,7 @@ def hint(line: Column, group: str) -> Column | None:
     return out
 
 
-def flag(line: Column, group: str) -> Column:
+def flag(line: Column, group: str, low: Column | None = None) -> Column:
     """Whether the line matches any member of the group. Members that are plain texts need no regular expression."""
     members = GROUPS[group]
     if all(isinstance(m, str) for m in members) and group not in HINTS:
@@ -236,5 +237,14 @@ def flag(line: Column, group: str) -> Column:
         for t in least[1:]:
             out = out | line.contains(t)
         return out
-    near = hint(line, group)
+    near = hint(line, group, low)
     return line.rlike(java(group)) if near is None else near & line.rlike(java(group))
+
+
+def in_lower_case(line: Column, then: Callable[[Column], Column]) -> Column:
+    """then(the line in lower case), which is made once.
+
+    What then gives is not part of the generated method of its stage: many tests in one would make that method
+    too long to be compiled to machine code.
+    """
+    return F.element_at(F.transform(F.array(F.lower(line)), then), 1)

@@ -37,20 +37,31 @@ def hunk_start(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(raw, HUNK, 1), F.lit("")).cast("int")
 
 
+def marked(lines: DataFrame) -> DataFrame:
+    """Adds op and body: op is @ for a hunk header, # for a file header (--- or +++), else +, - or a space."""
+    raw = F.col("raw")
+    op = F.when(hunk_start(raw).isNotNull(), "@").when(raw.startswith("---") | raw.startswith("+++"), "#").when(raw.startswith("+"), "+").when(raw.startswith("-"), "-").otherwise(" ")
+    return lines.withColumn("op", op).withColumn("body", F.when(F.col("op") == "+", F.substring("raw", 2, 1_000_000_000)))
+
+
+def counted() -> dict[str, Column]:
+    """Running counts of marked lines: those that advance the number, and hunks."""
+    steps = F.sum(F.when(F.col("op").isin("+", " "), 1).otherwise(0)).over(before())
+    return {"_steps": F.coalesce(steps, F.lit(0)), "hunk": F.count(F.when(F.col("op") == "@", 1)).over(so_far())}
+
+
+def number(steps: str = "_steps") -> Column:
+    """The line's number from that running count: the count since the header is the count so far less that at the header."""
+    base = F.last(F.when(F.col("op") == "@", hunk_start(F.col("raw")) - F.col(steps)), ignorenulls=True).over(so_far())
+    return (F.coalesce(base, F.lit(0)) + F.col(steps)).cast("int")
+
+
 def with_new_lines(lines: DataFrame) -> DataFrame:
     """Adds op, body, hunk and new_line, the number of the line in the new file (0-based count before any hunk).
 
-    op is @ for a hunk header, # for a file header (--- or +++), else +, - or a space. File headers and removed
-    lines do not advance the number; every other line does, context or not.
+    File headers and removed lines do not advance the number; every other line does, context or not.
     """
-    raw = F.col("raw")
-    op = F.when(hunk_start(raw).isNotNull(), "@").when(raw.startswith("---") | raw.startswith("+++"), "#").when(raw.startswith("+"), "+").when(raw.startswith("-"), "-").otherwise(" ")
-    x = lines.withColumn("op", op).withColumn("body", F.when(F.col("op") == "+", F.substring("raw", 2, 1_000_000_000)))
-    steps = F.sum(F.when(F.col("op").isin("+", " "), 1).otherwise(0)).over(before())
-    x = x.withColumns({"_steps": F.coalesce(steps, F.lit(0)), "hunk": F.count(F.when(F.col("op") == "@", 1)).over(so_far())})
-    # the count since the header is the count so far less that at the header
-    base = F.last(F.when(F.col("op") == "@", hunk_start(raw) - F.col("_steps")), ignorenulls=True).over(so_far())
-    return x.withColumn("new_line", (F.coalesce(base, F.lit(0)) + F.col("_steps")).cast("int")).drop("_steps")
+    return marked(lines).withColumns(counted()).withColumn("new_line", number()).drop("_steps")
 
 
 def changed_lines(lines: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import flag
+from ..functions.patterns import flag, in_lower_case
 from .lines import in_file
 
 # Frames in raw lines, both ends included.
@@ -26,33 +28,43 @@ FRAMES: dict[str, tuple[str, int, int]] = {
 }
 
 
-def line_flags(raw: Column) -> dict[str, Column]:
-    """The flags that the frames look for."""
+def line_flags(raw: Column, low: Column) -> dict[str, Column]:
+    """The flags that the frames look for; low is the line in lower case."""
     added = raw.startswith("+")
+    has = lambda g: flag(raw, g, low)
     return {
-        "error_handling": flag(raw, "error_handling"),
-        "validation_lower": flag(F.lower(raw), "validation"),
-        "route_handler": flag(raw, "route_handler"),
-        "loop": flag(raw, "loop"),
-        "async": flag(raw, "async"),
-        "pagination": flag(raw, "pagination"),
-        "batching": flag(raw, "batching"),
-        "request_context": flag(raw, "route_handler") | flag(raw, "request_use"),
-        "backoff_lower": flag(F.lower(raw), "backoff"),
-        "delay": flag(raw, "delay"),
-        "act_added": added & flag(raw, "act"),
-        "io_added": added & flag(raw, "io"),
-        "io": flag(raw, "io"),
+        "error_handling": has("error_handling"),
+        "validation_lower": flag(low, "validation"),
+        "route_handler": has("route_handler"),
+        "loop": has("loop"),
+        "async": has("async"),
+        "pagination": has("pagination"),
+        "batching": has("batching"),
+        "request_context": has("route_handler") | has("request_use"),
+        "backoff_lower": flag(low, "backoff"),
+        "delay": has("delay"),
+        "act_added": added & has("act"),
+        "io_added": added & has("io"),
+        "io": has("io"),
     }
 
 
+def flags_of(names: Iterable[str]) -> Column:
+    """The flags that the named frames read, as one struct."""
+    need = {FRAMES[n][0] for n in names}
+    raw = F.col("raw")
+    return in_lower_case(raw, lambda low: F.struct(*[v.alias(k) for k, v in line_flags(raw, low).items() if k in need]))
+
+
+def frames(names: Iterable[str]) -> dict[str, Column]:
+    """The named frames over the struct _flags."""
+    return {n: F.coalesce(F.bool_or(f"_flags.{FRAMES[n][0]}").over(in_file().rowsBetween(*FRAMES[n][1:])), F.lit(False)) for n in FRAMES if n in set(names)}
+
+
 def with_neighbourhood(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Adds a boolean for each named frame (all by default): whether any line of it has the frame's flag."""
     names = names or list(FRAMES)
-    need = {FRAMES[n][0] for n in names}
-    flagged = lines.withColumns({f"_{k}": v for k, v in line_flags(F.col("raw")).items() if k in need})
-    frames = {n: F.coalesce(F.bool_or(f"_{k}").over(in_file().rowsBetween(lo, hi)), F.lit(False)) for n, (k, lo, hi) in FRAMES.items() if n in names}
-    return flagged.withColumns(frames).drop(*[f"_{k}" for k in need])
+    return lines.withColumn("_flags", flags_of(names)).withColumns(frames(names)).drop("_flags")
 
 
 def silent_catch(next_lines: Column) -> Column:

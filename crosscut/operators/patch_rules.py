@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.patterns import EXTERNAL_CALLS, _java_member, flag
+from ..functions.patterns import EXTERNAL_CALLS, _java_member, flag, in_lower_case
 from ..functions.rules import RULE_IDS, lookup
-from .lines import before, hunk_start, in_file, so_far, with_new_lines
-from .neighbourhood import FRAMES, silent_catch, with_neighbourhood
+from . import neighbourhood
+from .lines import before, counted, in_file, marked, number
 
 #: Once a file has as many findings, no further line of it is looked at.
 MAX_FINDINGS = 50
@@ -54,12 +54,13 @@ CHANGED = r"\w+(?=\.push\(|\[.+\]\s*=|\.\w+\s*=|\s*=)"
 DECLARED = r"^\+(?:let|var|const)\s+(\w+)\s*="
 
 
-def line_rules() -> list[tuple[str, str | Column, Column, list[str]]]:
-    """(kind, severity, predicate, frames it reads) in the order in which one line's findings are reported. body and the frames are columns."""
+def line_rules(low: Column | None = None) -> list[tuple[str, str | Column, Column, list[str]]]:
+    """(kind, severity, predicate, frames it reads) in the order in which one line's findings are reported. body and the frames are columns, low is body in lower case."""
     b, c = F.col("body"), F.col
-    has = lambda g: flag(b, g)
+    low = F.lower(b) if low is None else low
+    has = lambda g: flag(b, g, low)
     test = X.is_test_file(c("filename"))
-    io = c("_io")
+    io = c("_body_io")
     call = has("async_call") & ~has("async_handled")
     rules = [
         ("TEMPORARY_HACK", "medium", has("hack")),
@@ -69,7 +70,7 @@ def line_rules() -> list[tuple[str, str | Column, Column, list[str]]]:
         ("DATA_SHAPE_ASSUMPTION", "medium", has("non_null")),
         ("DATA_SHAPE_ASSUMPTION", "medium", has("request_input") & has("cast")),
         ("LOOPED_IO", "high", io & c("after_loop"), "after_loop"),
-        ("SILENT_ERROR", F.when(c("io_around"), "high").otherwise("medium"), b.contains("catch") & silent_catch(c("_ahead")), "io_around"),
+        ("SILENT_ERROR", F.when(c("io_around"), "high").otherwise("medium"), b.contains("catch") & neighbourhood.silent_catch(c("_ahead")), "io_around"),
         ("ASYNC_MISUSE", "medium", c("in_async") & b.contains(".then(") & ~c("near_error_handling"), "in_async", "near_error_handling"),
         ("ASYNC_MISUSE", "medium", c("in_async") & call, "in_async"),
         ("UNBOUNDED_QUERY", "high", ~c("near_pagination") & has("db_query"), "near_pagination"),
@@ -77,7 +78,7 @@ def line_rules() -> list[tuple[str, str | Column, Column, list[str]]]:
         ("MISSING_BATCHING", "high", c("before_io") & ~c("near_batching") & has("loop"), "before_io", "near_batching"),
         ("MEMORY_RISK", "high", has("memory") & ~has("streaming_hint")),
         ("SHARED_FILE_WRITE", "high", has("hardcoded_path") & has("file_write")),
-        ("RETRY_STORM_RISK", "high", io & ~c("near_backoff") & flag(F.lower(b), "retry"), "near_backoff"),
+        ("RETRY_STORM_RISK", "high", io & ~c("near_backoff") & flag(low, "retry"), "near_backoff"),
         ("BUSY_WAIT_OR_TIGHT_LOOP", "high", ~c("before_delay") & has("tight_loop"), "before_delay"),
         ("CHECK_THEN_ACT_RACE", "medium", c("before_act") & has("check"), "before_act"),
         ("HARDCODED_SECRET", "high", has("secret")),
@@ -90,17 +91,6 @@ def line_rules() -> list[tuple[str, str | Column, Column, list[str]]]:
     return [(kind, severity, holds, list(frames)) for kind, severity, holds, *frames in rules]
 
 
-def _with_shape_lines(lines: DataFrame) -> DataFrame:
-    """Adds _shape_line, the number that a response on the line is reported with.
-
-    It counts file headers too: + headers as added lines, - headers as removed ones.
-    """
-    raw, header = F.col("raw"), F.col("op") == "@"
-    x = lines.withColumn("_s", F.coalesce(F.sum(F.when(header | raw.startswith("-"), 0).otherwise(1)).over(before()), F.lit(0)))
-    x = x.withColumn("_base", F.last(F.when(header, hunk_start(raw) - F.col("_s")), ignorenulls=True).over(so_far()))
-    return x.withColumn("_shape_line", (F.coalesce("_base", F.lit(0)) + F.col("_s")).cast("int")).drop("_s", "_base")
-
-
 def response_keys() -> Column:
     """The sorted keys of a response literal on an added line, or null."""
     raw = F.col("raw")
@@ -136,86 +126,99 @@ def analyze_lines(lines: DataFrame, max_findings: int | None = MAX_FINDINGS, kin
     if kinds is not None and max_findings is not None:
         raise ValueError("the cap counts findings of all kinds")
     mine = [(i + 1, *r) for i, r in enumerate(line_rules()) if r[0] in wanted]
-    x = with_new_lines(lines)
-    if "MIXED_RESPONSE_SHAPES" in wanted:
-        x = _with_shape_lines(x)
-    names = {f for r in mine for f in r[4]}
-    x = with_neighbourhood(x, [n for n in FRAMES if n in names])
+    near = {f for r in mine for f in r[4]}
     raw, added = F.col("raw"), F.col("op") == "+"
-    x = x.withColumn("_io", F.coalesce(flag(F.col("body"), "io"), F.lit(False)))
-    if "SILENT_ERROR" in wanted:
-        # only lines in reach of a catch are carried
-        x = x.withColumn("_catch", F.max(F.when(F.col("body").contains("catch"), F.col("idx"))).over(so_far()))
-        x = x.withColumn("_near", F.when(F.col("_catch") >= F.min("idx").over(in_file().rowsBetween(-9, 0)), raw))
-        ahead = [F.col("_near"), *[F.lead("_near", k).over(in_file()) for k in range(1, 10)]]
-        x = x.withColumn("_ahead", F.array_compact(F.array(*ahead)))
-    declares = added & flag(raw, "top_level_mutable")
-    if "GLOBAL_MUTATION" in wanted:
-        x = x.withColumn("_name", F.when(declares, F.regexp_extract("raw", DECLARED, 1)))
-        x = x.withColumn("_longest", F.max(F.length("_name")).over(Window.partitionBy("file_key")))
-    # blank added lines count as lines but are not looked at
+    shapes, names, calls, catches = ("MIXED_RESPONSE_SHAPES" in wanted, "GLOBAL_MUTATION" in wanted, "NO_CACHING" in wanted, "SILENT_ERROR" in wanted)
+
+    # what a line says by itself, then what those around it say, in two steps that share one order
+    own = {"_flags": neighbourhood.flags_of(near)} if near else {}
+    if any(r[1] in ("UNSAFE_IO", "LOOPED_IO", "RETRY_STORM_RISK") for r in mine):
+        own["_body_io"] = F.coalesce(flag(F.col("body"), "io"), F.lit(False))
+    if names:
+        own["_name"] = F.when(added & flag(raw, "top_level_mutable"), F.regexp_extract("raw", DECLARED, 1))
+    first = {**counted(), **neighbourhood.frames(near)}
+    if shapes:  # responses are numbered with file headers counted too: + headers as added lines, - headers as removed ones
+        first["_shape_steps"] = F.coalesce(F.sum(F.when((F.col("op") == "@") | raw.startswith("-"), 0).otherwise(1)).over(before()), F.lit(0))
+    if names:
+        first["_longest"] = F.max(F.length("_name")).over(in_file().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    if catches:  # only lines in reach of a catch are carried
+        first["_reach"] = F.when(F.coalesce(F.bool_or(F.col("body").contains("catch")).over(in_file().rowsBetween(-9, 0)), F.lit(False)), raw)
+    second = {"new_line": number()}
+    if shapes:
+        second["_shape_line"] = number("_shape_steps")
+    if catches:
+        second["_ahead"] = F.array("_reach", *[F.lead("_reach", k).over(in_file()) for k in range(1, 10)])
+    x = marked(lines).withColumns(own).withColumns(first).withColumns(second)
+
+    # numbers of the findings of each line, and what else it has to say; blank added lines count as lines but are not looked at
     looked_at = added & (X.trim(F.col("body")) != "")
-    text = X.snippet(F.col("body"))
-    none, no_keys = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    ints, none, no_keys = F.array().cast("array<int>"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")
 
-    def entry(order, line, severity, kind, snippet, sig=none, keys=no_keys):
-        return F.struct(F.lit(order).alias("rule_ord"), line.alias("line"), severity.alias("severity"), F.lit(kind).alias("kind"), snippet.alias("snippet"), sig.alias("sig"), keys.alias("keys"))
+    def tests(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(holds, F.lit(i + 1)) for i, (kind, _, holds, _) in enumerate(line_rules(low)) if kind in wanted]))
 
-    at = F.col("new_line")
-    found = [F.when(looked_at & holds, entry(order, at, F.lit(sev) if isinstance(sev, str) else sev, kind, text)) for order, kind, sev, holds, _ in mine]
-    parts = [F.col("_found")]
-    x = x.withColumn("_found", F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<rule_ord:int,line:int,severity:string,kind:string,snippet:string,sig:string,keys:array<string>>>"))
+    hits = in_lower_case(F.col("body"), tests) if mine else ints
+    x = x.withColumn("_hits", F.when(looked_at, hits).otherwise(ints))
     if max_findings is not None:
-        x = x.withColumn("_before", F.coalesce(F.sum(F.size("_found")).over(before()), F.lit(0)))
-    else:
-        x = x.withColumn("_before", F.lit(0))
-    later = []
-    if "MIXED_RESPONSE_SHAPES" in wanted:
+        x = x.withColumn("_before", F.coalesce(F.sum(F.size("_hits")).over(before()), F.lit(0)))
+
+    def entry(order, sig=none, keys=no_keys, outside=None):
+        return F.struct(F.lit(order).alias("rule_ord"), sig.alias("sig"), keys.alias("keys"), F.coalesce(F.lit(False) if outside is None else outside, F.lit(False)).alias("outside"))
+
+    more, parts = [], [F.transform("_hits", lambda h: entry(h))]
+    if shapes:
         keys = response_keys()
-        later.append(F.when(keys.isNotNull(), entry(0, F.col("_shape_line"), F.lit("medium"), "MIXED_RESPONSE_SHAPES", none, keys=keys)))
-    if "GLOBAL_MUTATION" in wanted:
-        later.append(F.when(looked_at & F.col("_name").isNotNull(), entry(101, at, F.lit("high"), "GLOBAL_MUTATION", F.concat(F.lit("Variable '"), F.col("_name"), F.lit("' is mutated after declaration")), F.concat(F.lit("v "), F.col("_name")))))
+        more.append(F.when(keys.isNotNull(), entry(0, keys=keys)))
+    if names:
+        more.append(F.when(looked_at & F.col("_name").isNotNull(), entry(101, F.concat(F.lit("v "), F.col("_name")))))
         # a name is no whole word where it is changed, so every end of a changed word counts, down to one letter
         words = F.array_distinct(F.regexp_extract_all(raw, F.lit(CHANGED), F.lit(0)))
         ends = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.length(w), F.col("_longest"))), lambda n: F.right(w, n))
         changes = F.when(F.col("_longest").isNotNull() & raw.startswith("+") & (raw.contains("=") | raw.contains(".push(")), F.array_distinct(F.flatten(F.transform(words, ends))))
-        parts.append(F.coalesce(F.transform(changes, lambda w: entry(CHANGE, at, none, "", none, F.concat(F.lit("v "), w))), F.array()))
-    if "NO_CACHING" in wanted:
+        parts.append(F.coalesce(F.transform(changes, lambda w: entry(CHANGE, F.concat(F.lit("v "), w))), F.array()))
+    if calls:
         sig, outside = call_signature(F.col("body"))
-        later.append(F.when(looked_at & sig.isNotNull(), entry(102, at, F.when(outside, "high").otherwise("medium"), "NO_CACHING", text, sig)))
-    if later:
-        parts.append(F.array_compact(F.array(*later)))
-    e = x.select("file_key", "filename", "idx", "_before", F.explode(F.concat(*parts)).alias("f")).select("file_key", "filename", "idx", "_before", "f.*")
+        more.append(F.when(looked_at & sig.isNotNull(), entry(102, sig, outside=outside)))
+    if more:
+        parts.append(F.array_compact(F.array(*more)))
+    carried = ["file_key", "filename", "idx", "new_line", *(["_shape_line"] if shapes else []), *(["io_around"] if catches else []), *(["_before"] if max_findings is not None else [])]
+    said = F.concat(*parts)
+    e = x.select(*carried, X.snippet(F.col("body")).alias("snippet"), F.explode(said).alias("f")).select(*carried, "snippet", "f.*")
 
     # all windows go by file, as the lines are dealt already. Of a file's responses, the first and the first unlike it count
     file = Window.partitionBy("file_key")
-    if "MIXED_RESPONSE_SHAPES" in wanted:
-        e = e.withColumn("_one", F.min(F.when(F.col("keys").isNotNull(), F.struct("idx", "keys"))).over(file))
-        e = e.withColumn("_two", F.min(F.when(F.col("keys") != F.col("_one.keys"), F.struct("idx", "line"))).over(file))
-        mixed = F.col("keys").isNotNull()
+    mixed, had_mixed, order = F.col("rule_ord") == 0, F.lit(0), F.col("rule_ord")
+    if shapes:
+        e = e.withColumn("_one", F.min(F.when(mixed, F.struct("idx", "keys"))).over(file))
+        e = e.withColumn("_two", F.min(F.when(F.col("keys") != F.col("_one.keys"), F.struct("idx", F.col("_shape_line").alias("line")))).over(file))
         e = e.where(~mixed | (F.col("_two").isNotNull() & (F.col("idx") == F.col("_one.idx"))))
-        e = e.withColumn("snippet", F.when(mixed, F.concat(F.lit("Shapes differ at lines "), F.col("line").cast("string"), F.lit(" and "), F.col("_two.line").cast("string"))).otherwise(F.col("snippet")))
         had_mixed = F.when(F.col("_two").isNotNull(), 1).otherwise(0)
-    else:
-        had_mixed, mixed = F.lit(0), F.lit(False)
     if max_findings is not None:
-        e = e.where((F.col("rule_ord") == CHANGE) | mixed | (F.col("_before") + had_mixed < max_findings))
-    # a call counts once if its signature occurs again; a declaration if a later line changes its name
-    same = Window.partitionBy("file_key", "sig")
-    is_call, is_name = F.col("rule_ord") == 102, F.col("rule_ord") == 101
-    e = e.withColumns({
-        "_calls": F.count("*").over(same),
-        "_first": F.row_number().over(same.orderBy("idx", "rule_ord")),
-        "_changed": F.max(F.when(F.col("rule_ord") == CHANGE, F.col("idx"))).over(same),
-    })
-    holds = F.when(is_call, (F.col("_calls") >= 2) & (F.col("_first") == 1)).when(is_name, F.coalesce(F.col("_changed") > F.col("idx"), F.lit(False))).otherwise(F.col("rule_ord") != CHANGE)
-    e = e.where(holds)
+        e = e.where((order == CHANGE) | mixed | (F.col("_before") + had_mixed < max_findings))
+    if calls or names:  # a call counts once if its signature occurs again; a declaration if a later line changes its name
+        same = Window.partitionBy("file_key", "sig")
+        about = {"_calls": F.count("*").over(same), "_first": F.min(F.col("idx")).over(same), "_changed": F.max(F.when(order == CHANGE, F.col("idx"))).over(same)}
+        holds = F.when(order == 102, (F.col("_calls") >= 2) & (F.col("_first") == F.col("idx"))).when(order == 101, F.coalesce(F.col("_changed") > F.col("idx"), F.lit(False)))
+        e = e.withColumns(about).where(holds.otherwise(order != CHANGE))
     if max_findings is not None:
-        had = F.count(F.when(~is_call, 1)).over(file)
-        nth = F.sum(is_call.cast("int")).over(file.orderBy("idx", "rule_ord"))
-        e = e.withColumns({"_had": had, "_call": nth}).where(~is_call | (F.col("_had") + F.col("_call") <= max_findings))
-    idx = F.when(F.col("rule_ord") == 0, -1).otherwise(F.col("idx")).alias("idx")
-    return e.select("file_key", "filename", idx, "rule_ord", "line", "severity", "kind", "snippet", lookup(MESSAGES, F.col("kind")).alias("message"))
+        had = F.count(F.when(order != 102, 1)).over(file)
+        nth = F.sum((order == 102).cast("int")).over(file.orderBy("idx", "rule_ord"))
+        e = e.withColumns({"_had": had, "_call": nth}).where((order != 102) | (F.col("_had") + F.col("_call") <= max_findings))
+
+    rows = [(i + 1, kind, sev if isinstance(sev, str) else None) for i, (kind, sev, _, _) in enumerate(line_rules())]
+    kinds_of = {o: k for o, k, _ in rows} | {0: "MIXED_RESPONSE_SHAPES", 101: "GLOBAL_MUTATION", 102: "NO_CACHING"}
+    severities = {o: s for o, _, s in rows if s} | {0: "medium", 101: "high"}
+    severity = F.coalesce(lookup(severities, order), F.when(order == 102, F.when(F.col("outside"), "high").otherwise("medium")))
+    if catches:
+        severity = F.coalesce(severity, F.when(F.col("io_around"), "high").otherwise("medium"))
+    line, snippet = F.col("new_line"), F.col("snippet")
+    if shapes:
+        line = F.when(mixed, F.col("_shape_line")).otherwise(line)
+        snippet = F.when(mixed, F.concat(F.lit("Shapes differ at lines "), F.col("_shape_line").cast("string"), F.lit(" and "), F.col("_two.line").cast("string"))).otherwise(snippet)
+    if names:
+        snippet = F.when(order == 101, F.concat(F.lit("Variable '"), F.substring("sig", 3, 1_000_000_000), F.lit("' is mutated after declaration"))).otherwise(snippet)
+    e = e.select("file_key", "filename", F.when(mixed, -1).otherwise(F.col("idx")).alias("idx"), "rule_ord", line.alias("line"), severity.alias("severity"), lookup(kinds_of, order).alias("kind"), snippet.alias("snippet"))
+    return e.withColumn("message", lookup(MESSAGES, F.col("kind")))
 
 
 def analyze_patches(files: DataFrame, max_findings: int | None = MAX_FINDINGS) -> DataFrame:

@@ -1,6 +1,6 @@
-"""All checked queries of the engine."""
+"""All checked queries of the engine, those over findings and files before those over every line."""
 
 from . import finding_queries, rule_queries
 
-QUERIES = {**rule_queries.QUERIES, **finding_queries.QUERIES}
-SQL = {**rule_queries.SQL, **finding_queries.SQL}
+QUERIES = {**finding_queries.QUERIES, **rule_queries.QUERIES}
+SQL = {name: sql for name in QUERIES for sql in (finding_queries.SQL.get(name) or rule_queries.SQL.get(name),) if sql}
