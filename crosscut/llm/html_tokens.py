@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import xxhash
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+)|(<)", re.S)
 ATTRS = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[a-z0-9]+")
+NAMED = re.compile(r"class|role|id", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup.
@@ -17,10 +21,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Formulas run on within their block.
 MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mstyle mpadded mphantom mfenced menclose mover munder munderover mmultiscripts mtable mtr mtd".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements and names (words of class, id or role) that hold no main text.
+#: Elements that hold no main text.
 SIDE_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea head title dialog object canvas annotation".split())
-SIDE_NAMES = frozenset("ad ads advert adverts advertisement banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header cookie cookies consent notice notices promo sponsor sponsored comment comments disqus related share social newsletter subscribe popup modal login search widget complementary contentinfo".split())
-MAIN_NAMES = frozenset("article content main post entry story body text".split())
+#: Containers may be named as what they hold: a class, role or id all of whose words are among these marks them. It is
+#: the last evidence, for what is laid out like main text; a template can overrule it. Words of QUALIFIERS may stand beside
+#: those of SIDE_NAMES, but for a header, which an article may have unless it is the site's.
+CONTAINERS = frozenset("div section ul ol dl table details center fieldset figure".split())
+SIDE_NAMES = frozenset("ad ads advert adverts advertisement banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header cookie cookies consent notice notices alert alerts promo sponsor sponsored related share social newsletter subscribe popup modal login search widget complementary contentinfo".split())
+READERS = frozenset("comment comments disqus reply replies responses discussion".split())
+QUALIFIERS = frozenset("site page post user reader readers list section wrap wrapper container box block area top bottom left right bar".split())
 #: An open element of these ends where one of the same begins.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 #: What bounds that search.
@@ -59,51 +68,70 @@ def walk(source: str) -> Iterator[tuple]:
                 at = end.end() if end else n
 
 
+def side_name(name: str) -> bool:
+    """Whether all words of a name say that its element holds no main text."""
+    words = set(WORDS.findall(name))
+    told = words & (SIDE_NAMES | READERS)
+    return bool(told) and (words == told or (words <= told | QUALIFIERS and ("header" not in told or "site" in words)))
+
+
 class Stack:
-    """The open elements, each as (tag, name), where name adds the class and id to the tag."""
+    """The open elements of a page. Each has its tag and a path: a hash of its parent's path, its tag and its classes.
+
+    Whether an element is a side element counts for all within it, so that is carried along; so nothing is
+    searched through the depth of a page but for a tag that is open.
+    """
 
     def __init__(self) -> None:
         self.tags: list[str] = []
-        self.names: list[str] = []
-        #: By its tag or a whole name in its class or role; by any word of class, role or id.
-        self.side: list[bool] = []
-        self.loose: list[bool] = []
+        self.paths: list[int] = [0]
+        #: By its tag, or that of an element around it.
+        self.side: list[bool] = [False]
+        #: By its name, and whether that is a name for readers' comments.
+        self.marked: list[bool] = []
+        self.readers: list[bool] = []
+        self._open: Counter = Counter()
 
     def open(self, tag: str, attrs: str) -> list[int]:
-        """Puts the element on the stack; gives the depths of what that ended."""
+        """Puts the element on the stack; gives the paths of what that ended, the innermost first."""
         ended: list[int] = []
-        if tag in SELF_CLOSING:
+        if tag in SELF_CLOSING and self._open[tag]:
             for k in range(len(self.tags) - 1, -1, -1):
                 if self.tags[k] == tag:
                     ended = self._drop(k)
                     break
                 if self.tags[k] in SCOPES:
                     break
-        name, words, whole = tag, (), False
-        if attrs and ("class" in attrs or "id" in attrs or "role" in attrs or "CLASS" in attrs or "ID" in attrs):
+        name, marked, readers = tag, False, False
+        if attrs and NAMED.search(attrs):
             a = attributes(attrs)
-            named = " ".join(a.get(k, "") for k in ("class", "role")).lower()
-            name = f"{tag}.{'.'.join(sorted(set(named.split())))}" if named.strip() else tag
-            if tag not in INLINE and tag not in MATH and tag not in ("html", "body", "article", "main"):
-                # ids of headings are made from their words
-                words = WORDS.findall(named if tag in HEADINGS else f"{named} {a.get('id', '').lower()}")
-                whole = any(SIDE_NAMES.issuperset(w) for n in named.split() if (w := WORDS.findall(n)))
+            classes = sorted(set(a.get("class", "").lower().split()))
+            if classes:
+                name = f"{tag}.{'.'.join(classes)}"
+            if tag in CONTAINERS:
+                told = [n for n in (*classes, a.get("role", "").lower(), a.get("id", "").lower()) if n and side_name(n)]
+                marked, readers = bool(told), any(READERS.intersection(WORDS.findall(n)) for n in told)
         self.tags.append(tag)
-        self.names.append(name)
-        self.side.append(tag in SIDE_TAGS or whole)
-        self.loose.append(any(w in SIDE_NAMES for w in words))
+        self.paths.append(xxhash.xxh64_intdigest(name, seed=self.paths[-1]))
+        self.side.append(self.side[-1] or tag in SIDE_TAGS)
+        self.marked.append(marked)
+        self.readers.append(readers)
+        self._open[tag] += 1
         return ended
 
     def close(self, tag: str) -> list[int]:
         """Ends the innermost open element of that tag with all in it; nothing if none is open."""
-        for k in range(len(self.tags) - 1, -1, -1):
-            if self.tags[k] == tag:
-                return self._drop(k)
+        if self._open[tag]:
+            for k in range(len(self.tags) - 1, -1, -1):
+                if self.tags[k] == tag:
+                    return self._drop(k)
         return []
 
     def _drop(self, k: int) -> list[int]:
-        ended = list(range(len(self.tags) - 1, k - 1, -1))
-        del self.tags[k:], self.names[k:], self.side[k:], self.loose[k:]
+        ended = self.paths[:k:-1]
+        for tag in self.tags[k:]:
+            self._open[tag] -= 1
+        del self.tags[k:], self.paths[k + 1 :], self.side[k + 1 :], self.marked[k:], self.readers[k:]
         return ended
 
 
