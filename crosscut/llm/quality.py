@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,9 +17,11 @@ from . import words as W
 STATS = ["log_bytes", "upper", "digit", "space", "newline", "comma_dot", "symbol", "bar", "mark", "non_ascii", "word_len", "distinct_words", "odd_words", "line_words", "mark_pairs", "capital_words", "stop_like"]
 #: Labelled rows that a fit reads at most; taken by the smallest hashes of their ids.
 MAX_TRAIN_ROWS = 20_000
+#: Penalties that cross-validation chooses from, the sparsest first, and its folds.
+PENALTIES, FOLDS = (3e-3, 1e-3, 3e-4, 1e-4), 3
 
 _CLASS = np.zeros(256, dtype=np.int8)  # 0 is other
-for _name, _chars in {1: range(65, 91), 2: range(48, 58), 3: b" \t\r\x0b\x0c", 4: b"\n", 5: b".,", 6: b"#$%&*<=>@\\^_`{}~[]", 7: b"|", 8: b"!?;:\"'-+/()", 9: range(128, 256)}.items():
+for _name, _chars in {1: range(65, 91), 2: range(48, 58), 3: b" \t\r\x0b\x0c", 4: b"\n", 5: b".,", 6: b"#$%&*+/<=>@\\^_`{}~[]()", 7: b"|", 8: b"!?;:\"'-", 9: range(128, 256)}.items():
     for _c in _chars:
         _CLASS[_c] = _name
 
@@ -105,14 +108,16 @@ class Model:
 
     def column(self, stats: str = "_stats") -> Column:
         """The score as one column expression."""
-        z = F.lit(self.bias)
+        parts = [F.lit(self.bias)]
         for r in self.rules:
             holds = F.lit(True)
             for i, above, bound in r.when:
                 v = F.col(f"{stats}.{STATS[i]}")
                 holds = holds & ((v > bound) if above else (v <= bound))
-            z = z + F.when(holds, F.lit(r.weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+            parts.append(F.when(holds, F.lit(r.weight)).otherwise(F.lit(0.0)))
+        while len(parts) > 1:  # a balanced tree of sums, not a deep one
+            parts = [parts[k] + parts[k + 1] if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-parts[0]))
 
 
 def _holds(x: np.ndarray, when: tuple) -> np.ndarray:
@@ -155,16 +160,15 @@ def _tree_paths(x: np.ndarray, residual: np.ndarray, depth: int, cuts: list[np.n
     return paths
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float = 1e-3, seed: int = 7) -> Model:
-    """Boosts small trees, takes their paths as rules, and weighs these by lasso logistic regression.
+def _weights(y: np.ndarray) -> np.ndarray:
+    """The two classes count alike."""
+    return np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
 
-    The two classes count alike. With one class only, or no rows, the score is that class's (or 0.5)
-    for every text. Reruns agree.
-    """
-    if len(y) == 0 or y.min() == y.max():
-        return Model(0.0 if len(y) == 0 else (3.0 if y[0] else -3.0), ())
+
+def boost_paths(x: np.ndarray, y: np.ndarray, trees: int, depth: int, seed: int) -> list[tuple]:
+    """The paths of boosted small trees, each once: conjunctions of conditions on the statistics."""
     rng = np.random.default_rng(seed)
-    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    share = _weights(y)
     cuts = [np.unique(np.quantile(x[:, i], np.linspace(0.02, 0.98, 40))) for i in range(x.shape[1])]
     margin, seen = np.zeros(len(y)), {}
     for _ in range(trees):
@@ -178,19 +182,67 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, pen
             if q not in inner:
                 h = (share[pick[rows]] * p[pick[rows]] * (1 - p[pick[rows]])).sum() + 1
                 margin[_holds(x, q)] += 0.5 * res[pick[rows]].sum() / h
-    when = list(seen)
-    a = np.column_stack([_holds(x, q) for q in when]).astype(np.float64)
-    mean = a.mean(axis=0)
-    w, b, z, zb, t = np.zeros(len(when)), 0.0, np.zeros(len(when)), 0.0, 1.0
-    step = 1.0 / (0.25 * max(1.0, (a**2).sum(axis=1).max()) * share.max())
-    for _ in range(600):
+    return list(seen)
+
+
+def lasso(a: np.ndarray, y: np.ndarray, penalty: float, start: tuple[np.ndarray, float] | None = None, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a logistic regression on the columns of a with an L1 penalty on the weights, by accelerated steps."""
+    share = _weights(y)
+    w, b = (np.zeros(a.shape[1]), 0.0) if start is None else start
+    z, zb, t = w, b, 1.0
+    step = 1.0 / (0.25 * max(1.0, (a**2).sum(axis=1).max(initial=0.0)) * share.max())
+    for _ in range(rounds):
         g = (1 / (1 + np.exp(-(a @ z + zb))) - y) * share / len(y)
-        nw = z - step * len(y) / len(y) * (a.T @ g)
+        nw = z - step * (a.T @ g)
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * penalty, 0)
         nb = zb - step * g.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
+    return w, float(b)
+
+
+def choose_penalty(x: np.ndarray, y: np.ndarray, fold: np.ndarray, trees: int, depth: int, seed: int, penalties: tuple[float, ...] = PENALTIES) -> float:
+    """The largest penalty of which the loss on rows left out of a fit is within one standard error of the least."""
+    loss = []  # a row for each fold, a column for each penalty
+    for f in range(FOLDS):
+        train, test = fold != f, fold == f
+        if not test.any() or len(np.unique(y[train])) < 2:
+            continue
+        when = boost_paths(x[train], y[train], trees, depth, seed)
+        a, b = (np.column_stack([_holds(x[rows], q) for q in when]).astype(np.float64) for rows in (train, test))
+        share, fit, row = _weights(y[train]), None, []
+        weight = np.where(y[test] == 1, share[y[train] == 1][0], share[y[train] == 0][0])
+        for penalty in penalties:  # from sparse to dense, each from where the one before ended
+            fit = lasso(a, y[train], penalty, fit, 250)
+            p = np.clip(1 / (1 + np.exp(-(b @ fit[0] + fit[1]))), 1e-6, 1 - 1e-6)
+            row.append((weight * -np.where(y[test] == 1, np.log(p), np.log(1 - p))).mean())
+        loss.append(row)
+    if not loss:
+        return penalties[0]
+    mean = np.mean(loss, axis=0)
+    best = int(mean.argmin())
+    error = np.std([r[best] for r in loss]) / np.sqrt(len(loss))
+    return next(p for p, m in zip(penalties, mean, strict=True) if m <= mean[best] + error)
+
+
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty: float | None = None, seed: int = 7, fold: np.ndarray | None = None) -> Model:
+    """Boosts small trees, takes their paths as rules, and weighs these by lasso logistic regression.
+
+    Without a penalty, it is chosen by cross-validation over the folds of these rows (dealt in turn if no fold
+    is given). The two classes count alike. With one class only, or no rows, the score is that class's (or 0.5)
+    for every text. Reruns agree.
+    """
+    if len(y) == 0 or y.min() == y.max():
+        return Model(0.0 if len(y) == 0 else (3.0 if y[0] else -3.0), ())
+    if penalty is None:
+        penalty = choose_penalty(x, y, np.arange(len(y)) % FOLDS if fold is None else fold, trees, depth, seed)
+    when = boost_paths(x, y, trees, depth, seed)
+    if not when:
+        return Model(float(np.log(y.mean() / (1 - y.mean()))), ())
+    a = np.column_stack([_holds(x, q) for q in when]).astype(np.float64)
+    w, b = lasso(a, y, penalty)
+    mean = a.mean(axis=0)
     kept = [k for k in np.flatnonzero(np.abs(w) > 1e-6) if 0 < mean[k] < 1]
     b += float(sum(w[k] for k in np.flatnonzero(mean >= 1)))
     return Model(float(b), tuple(Rule(when[k], float(w[k])) for k in kept))
@@ -204,17 +256,19 @@ def held_out(id_col: Column) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fits on at most max_rows labelled documents that are not held out, those with the smallest hashes of their ids.
 
-    Labels other than 0 and 1 and null ids are left out. An id labelled twice counts with its lowest label.
-    Labels, lang, source and ids are no inputs of the score.
+    The penalty is chosen by cross-validation inside these rows. Labels other than 0 and 1 and null ids are left
+    out. An id labelled twice counts with its lowest label, one with several texts with that of the lowest
+    statistics. Labels, lang, source and ids are no inputs of the score.
     """
     spark = docs.sparkSession
     mine = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
     mine = mine.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     chosen = spark.createDataFrame(mine.collect(), mine.schema)  # max_rows at most
-    rows = with_statistics(docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]), ["_id", "_y"], text_col).limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r["_id"], *r["_stats"]))
+    rows = with_statistics(docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]), ["_id", "_y"], text_col)
+    rows = rows.groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_stats").alias("_stats")).orderBy("_id").collect()  # max_rows at most
     x = np.array([list(r["_stats"]) for r in rows], dtype=np.float64).reshape(-1, len(STATS))
-    return fit_rules(x, np.array([r["_y"] for r in rows], dtype=np.float64))
+    fold = np.array([zlib.crc32(f"fold {r['_id']}".encode()) % FOLDS for r in rows], dtype=np.int64)
+    return fit_rules(x, np.array([r["_y"] for r in rows], dtype=np.float64), fold=fold)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -47,3 +47,32 @@ def test_statistics_of_slices_agree():
     whole = Q.statistics(pa.array(texts))
     each = np.concatenate([Q.statistics(pa.array([t], pa.string())) for t in texts])
     assert np.allclose(whole, each) and not whole[1].any() and not whole[2].any()
+
+
+def test_lasso_meets_its_conditions():
+    """Brute force: at the optimum, every weight's gradient equals the penalty, or is below it where the weight is 0."""
+    rng = np.random.default_rng(3)
+    a = (rng.random((300, 12)) < 0.4).astype(float)
+    y = ((a[:, 0] + a[:, 3] > 1) | (rng.random(300) < 0.1)).astype(float)
+    share, penalty = Q._weights(y), 5e-3
+    w, b = Q.lasso(a, y, penalty, rounds=20_000)
+    g = a.T @ ((1 / (1 + np.exp(-(a @ w + b))) - y) * share / len(y))
+    assert (np.abs(g) <= penalty + 1e-6).all() and 0 < (w != 0).sum() < 12
+    assert np.allclose(g[w != 0], -penalty * np.sign(w[w != 0]), atol=1e-6)
+    assert abs((((1 / (1 + np.exp(-(a @ w + b)))) - y) * share).sum()) < 1e-6
+
+
+def test_penalty_is_chosen_inside_the_rows_given():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, len(Q.STATS)))
+    y = (x[:, 1] > 0.5).astype(float)
+    fold = np.arange(300) % Q.FOLDS
+    assert Q.choose_penalty(x, y, fold, 8, 2, 7) in Q.PENALTIES
+    assert Q.choose_penalty(x, y, np.zeros(300, int), 8, 2, 7) == Q.PENALTIES[0]
+
+
+def test_documents_that_share_an_id_count_once(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, "plain words here" if i % 2 else "## $$ ||") for i in range(60)], "doc_id long, text string")
+    again = docs.unionByName(docs).unionByName(docs.withColumn("text", F.concat("text", "text")))
+    assert Q.fit_quality(again, labels) == Q.fit_quality(again.repartition(3), labels)
