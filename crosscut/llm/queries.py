@@ -144,19 +144,31 @@ lines AS (
 worded AS (
   SELECT doc_id, p, line, orig, CASE WHEN line = '' THEN 0 ELSE len(string_split(line, ' ')) END AS n,
     row_number() OVER (ORDER BY doc_id, p) AS pos FROM lines),
-firsts AS (SELECT line, min(pos) AS pos FROM worded WHERE n >= 5 GROUP BY line),
-longs AS (SELECT f.line, f.pos, string_split(f.line, ' ') AS ws FROM firsts f WHERE len(string_split(f.line, ' ')) >= 10),
-less AS (
+firsts AS MATERIALIZED (SELECT line, min(pos) AS pos FROM worded WHERE n >= 1 GROUP BY line),
+longs AS MATERIALIZED (SELECT * FROM (SELECT f.line, f.pos, string_split(f.line, ' ') AS ws FROM firsts f) WHERE len(ws) >= 5),
+less AS MATERIALIZED (
   SELECT pos, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS v
   FROM (SELECT pos, ws, unnest(range(1, len(ws) + 1)) AS i FROM longs)),
 at_same AS (SELECT pos, min(pos) OVER (PARTITION BY v, i) AS e FROM less),
 part_of AS (
   SELECT l.pos, w.pos AS e FROM less l JOIN longs w ON l.v = w.line
   UNION ALL SELECT w.pos, l.pos FROM less l JOIN longs w ON l.v = w.line),
-near AS (SELECT DISTINCT pos FROM (SELECT * FROM at_same UNION ALL SELECT * FROM part_of) WHERE e < pos),
+ends AS (
+  SELECT pos, ws, unnest(list_distinct([length(bin(len(ws) // 3)) - 1, length(bin((len(ws) - len(ws) // 10) // 3)) - 1])) AS z FROM longs WHERE len(ws) >= 20),
+pieces AS (
+  SELECT pos, ws, z, 1 AS side, array_to_string(ws[1:1 << z], ' ') AS piece FROM ends
+  UNION ALL SELECT pos, ws, z, 2, array_to_string(ws[len(ws) - (1 << z) + 1:], ' ') FROM ends),
+alike AS (SELECT DISTINCT pos, ws, e FROM (SELECT pos, ws, min(pos) OVER (PARTITION BY z, side, piece) AS e FROM pieces) WHERE e < pos),
+pairs AS (
+  SELECT a.pos, a.e, a.ws AS x, b.ws AS y, least(len(a.ws), len(b.ws)) // 10 AS k FROM alike a JOIN longs b ON b.pos = a.e),
+-- the edit distance in words, row by row
+far AS (
+  SELECT pos, e FROM pairs WHERE abs(len(x) - len(y)) <= k AND list_reduce(range(1, len(x) + 1), lambda r, i:
+    list_reduce(range(1, len(y) + 1), lambda q, j: list_append(q, least(r[j + 1] + 1, q[-1] + 1, r[j] + CASE WHEN x[i] = y[j] THEN 0 ELSE 1 END)), [r[1] + 1]), range(0, len(y) + 1))[-1] <= k),
+near AS (SELECT DISTINCT pos FROM (SELECT * FROM at_same UNION ALL SELECT * FROM part_of UNION ALL SELECT * FROM far) WHERE e < pos),
 kept AS (
-  SELECT w.doc_id, w.p, w.orig, w.n >= 5 AND (w.pos <> f.pos OR x.pos IS NOT NULL) AS gone
-  FROM worded w LEFT JOIN firsts f ON w.line = f.line AND w.n >= 5 LEFT JOIN near x ON x.pos = f.pos),
+  SELECT w.doc_id, w.p, w.orig, w.n >= 1 AND (w.pos <> f.pos OR x.pos IS NOT NULL) AS gone
+  FROM worded w LEFT JOIN firsts f ON w.line = f.line AND w.n >= 1 LEFT JOIN near x ON x.pos = f.pos),
 again AS (
   SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(orig, chr(10) ORDER BY p) FILTER (NOT coalesce(gone, false)), '') AS text
   FROM kept GROUP BY doc_id)
