@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,18 +11,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, components
+from .shared import Scratch, components, small_enough
 
-#: Distinct vectors that the clusters are fitted on at most, those with the smallest hashes.
+#: Vectors of a shard that its clusters are fitted on, about; those with the smallest hashes.
 SAMPLE = 20_000
-#: Vectors a cluster is meant to hold, and the most that one graph holds.
-CLUSTER, MAX_GRAPH = 1_500, 4_000
-MAX_CLUSTERS = 1_024
-#: Clusters that a vector joins at most, and how much less near than its nearest one they may be.
-OVERLAP, MARGIN = 4, 0.2
+#: Vectors a cluster is meant to hold, the most that one graph holds, and the most clusters made of a shard at once.
+CLUSTER, MAX_GRAPH, FAN = 1_000, 4_000, 256
+#: Clusters that a vector joins at most at each split, and how much less near than its nearest one they may be.
+OVERLAP, MARGIN = 3, 0.15
+#: Centres nearer to each other than this are one, so that a dense group of vectors is not taken apart.
+SAME_CENTRE = 0.8
+#: Bytes of centres that are sent to the executors at once; the shards of more are split in several jobs.
+MAX_CENTRE_BYTES = 32 << 20
+MAX_LEVELS = 8
 DEGREE, BEAM, ALPHA, SLACK, BACK = 24, 48, 1.2, 0.12, 6
 
 
+class RecallError(RuntimeError):
+    """The audit found fewer links than the target share, even with the widest shards."""
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each vector scaled to length 1 (null if it links with nothing) and 128 bits of what it holds."""
     for batch in batches:
@@ -65,19 +74,79 @@ def fit_clusters(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.nd
     return c
 
 
-def _assign(centers: dict[int, np.ndarray], first: dict[int, int]):
+def spread(centres: np.ndarray) -> np.ndarray:
+    """Of the centres, those that are not nearly the same as one before."""
+    kept: list[int] = []
+    for i in range(len(centres)):
+        if not kept or (centres[kept] @ centres[i]).max() < SAME_CENTRE:
+            kept.append(i)
+    return centres[kept]
+
+
+def _fit(cluster: int):
+    def run(t: pa.Table) -> pa.Table:
+        """The centres of one shard, from a sample of it; none if they are all one."""
+        x = _unpack(t.column("unit").combine_chunks())
+        c = spread(fit_clusters(x, max(2, min(FAN, -(-t.column("n")[0].as_py() // cluster)))))
+        some = len(c) > 1
+        return pa.table({"shard": t.column("shard").slice(0, some), "k": pa.array([len(c)] * some, pa.int32()), "centres": pa.array([c.astype(np.float32).tobytes()] * some, pa.binary())})
+
+    return run
+
+
+def _split(centres: dict[int, np.ndarray], overlap: int, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for u, d in zip(batch.column("unit"), batch.column("dim").to_pylist(), strict=True):
-                s = centers[d] @ np.frombuffer(u.as_buffer(), np.float64)
-                near = np.argsort(-s, kind="stable")[:OVERLAP]
-                out.append((near[s[near] >= s[near[0]] - MARGIN] + first[d]).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("mult"), batch.column("unit"), pa.array(out, pa.list_(pa.int32()))], names=["rep", "mult", "unit", "shards"])
+            own = batch.column("shard").to_numpy()
+            source, child = [], []
+            for shard in np.unique(own).tolist():
+                at, c = np.flatnonzero(own == shard), centres[shard]
+                names = np.array([xxhash.xxh64_intdigest(b"%d %d" % (shard, k)) - (1 << 63) for k in range(len(c))], dtype=np.int64)
+                for k in range(0, len(at), 2048):
+                    rows = at[k : k + 2048]
+                    s = _unpack(batch.column("unit").take(pa.array(rows))).astype(np.float32) @ c.T
+                    near = np.argsort(-s, axis=1, kind="stable")[:, :overlap]
+                    top = np.take_along_axis(s, near, 1)
+                    r, j = np.nonzero(top >= top[:, :1] - margin)
+                    source.append(rows[r])
+                    child.append(names[near[r, j]])
+            if source:
+                taken = batch.take(pa.array(np.concatenate(source)))
+                yield pa.RecordBatch.from_arrays([taken.column("rep"), taken.column("mult"), taken.column("unit"), pa.array(np.concatenate(child))], names=["rep", "mult", "unit", "shard"])
 
     return run
 
 
+def shard_rows(nodes: DataFrame, scratch: Scratch, id_type: str, max_graph: int, cluster: int, overlap: int, margin: float) -> DataFrame:
+    """(rep, mult, unit, shard) of every node (rep, mult, unit, dim), once for each shard that it joins.
+
+    All vectors of one length are a shard at first. One of more than max_graph is split over clusters fitted
+    on a sample of it, and its parts are split again; the fits run as tasks, one a shard. A shard that has
+    only one centre, as a dense group has, stays as it is.
+    """
+    names = ["rep", "mult", "unit", "shard"]
+    schema = f"rep {id_type}, mult long, unit binary, shard long"
+    some = lambda t: F.broadcast(t) if small_enough(t, 100_000) else t  # noqa: E731  two numbers a row
+    rows, done = nodes.select("rep", "mult", "unit", F.col("dim").cast("long").alias("shard")), []
+    for level in range(MAX_LEVELS):
+        sizes = scratch.keep(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > max_graph), "sizes")
+        sample = rows.join(some(sizes), "shard").where(F.pmod(F.xxhash64("rep", F.lit(level)), F.col("n")) < SAMPLE)
+        fits = scratch.keep(sample.select("shard", "n", "unit").groupBy("shard").applyInArrow(_fit(cluster), "shard long, k int, centres binary"), "fits")
+        size = fits.agg(F.coalesce(F.sum(F.octet_length("centres")), F.lit(0))).first()[0]
+        if not size:
+            break
+        split = some(fits.select("shard"))
+        done.append(rows.join(split, "shard", "left_anti").select(*names))
+        jobs, parts = -(-size // MAX_CENTRE_BYTES), []
+        for j in range(jobs):
+            here = F.pmod(F.xxhash64("shard"), F.lit(jobs)) == j
+            centres = {r["shard"]: np.frombuffer(r["centres"], np.float32).reshape(r["k"], -1) for r in fits.where(here).collect()}
+            its = rows.where(here).join(split, "shard", "left_semi").select(*names)
+            parts.append(scratch.keep(its.mapInArrow(_split(centres, overlap, margin), schema), "split"))
+        rows = reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, done, rows)
+
+
 class Graph:
     """A flat graph over unit vectors, grown by inserting batches that double in size."""
 
@@ -191,30 +260,40 @@ class Graph:
         return np.where(np.isfinite(sims), ids, -1), seen
 
     def within(self, q: np.ndarray, threshold: float, beam: int = BEAM, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs of at least the threshold: a greedy search, then every node nearer than threshold - slack is expanded."""
+        """(query, node) pairs of about the threshold or more: a greedy search, then every node nearer than threshold - slack is expanded.
+
+        A query that has met a quarter of the nodes is compared with the rest directly, which is cheaper then.
+        """
+        x = q.astype(np.float32)
+        _, seen = self.search(x, beam)
+        query, node = np.nonzero(seen)
+        low = np.float32(threshold - slack)
+        s = np.concatenate([np.einsum("ij,ij->i", self.x[node[k : k + 100_000]], x[query[k : k + 100_000]]) for k in range(0, len(query), 100_000)]) if len(query) else np.zeros(0, np.float32)
+        query, node, s = query[s >= low], node[s >= low], s[s >= low]
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(q), 512):
-            x = q[at : at + 512].astype(np.float32)
-            _, seen = self.search(x, beam)
-            query, node = np.nonzero(seen)
-            low = np.float32(threshold - slack)
-            s = np.concatenate([np.einsum("ij,ij->i", self.x[node[k : k + 100_000]], x[query[k : k + 100_000]]) for k in range(0, len(query), 100_000)])
-            query, node, s = query[s >= low], node[s >= low], s[s >= low]
-            while len(query):
-                hit = s >= threshold - 1e-4
-                out.append((query[hit] + at, node[hit]))
-                waves = []
-                for k in range(0, len(query), 100_000):
-                    near = self.adj[node[k : k + 100_000]]
-                    who = np.broadcast_to(query[k : k + 100_000, None], near.shape)
-                    ok = (near >= 0) & ~seen[who, near]
-                    if ok.any():
-                        pairs = np.unique(who[ok] * len(self.x) + near[ok])
-                        a, b = pairs // len(self.x), pairs % len(self.x)
-                        seen[a, b] = True
-                        t = np.einsum("ij,ij->i", self.x[b], x[a])
-                        waves.append((a[t >= low], b[t >= low], t[t >= low]))
-                query, node, s = (np.concatenate([w[i] for w in waves]) if waves else np.zeros(0, np.int64) for i in range(3))
+        full = np.zeros(len(x), dtype=bool)
+        while len(query):
+            hit = s >= threshold - 1e-4
+            out.append((query[hit], node[hit]))
+            many = ~full & (seen.sum(axis=1) > max(64, len(self.x) // 4))
+            for i in np.flatnonzero(many):
+                rest = np.flatnonzero(~seen[i])
+                rest = rest[self.x[rest] @ x[i] >= threshold - 1e-4]
+                out.append((np.full(len(rest), i), rest))
+            full |= many
+            query, node = query[~full[query]], node[~full[query]]
+            waves = []
+            for k in range(0, len(query), 50_000):
+                near = self.adj[node[k : k + 50_000]]
+                who = np.broadcast_to(query[k : k + 50_000, None], near.shape)
+                ok = (near >= 0) & ~seen[who, near]
+                if ok.any():
+                    pairs = np.unique(who[ok] * len(self.x) + near[ok])
+                    a, b = pairs // len(self.x), pairs % len(self.x)
+                    seen[a, b] = True
+                    t = np.einsum("ij,ij->i", self.x[b], x[a])
+                    waves.append((a[t >= low], b[t >= low], t[t >= low]))
+            query, node, s = (np.concatenate([w[i] for w in waves]) if waves else np.zeros(0, np.int64) for i in range(3))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -231,85 +310,132 @@ def _build(t: pa.Table) -> pa.Table:
         for p in g.adj[i, k]:
             if p >= 0:
                 lists[p].append(reps[i].item())
-    return pa.table({"rep": t.column("rep"), "near": pa.array(lists, pa.list_(t.schema.field("rep").type))})
+    return pa.table({"rep": t.column("rep"), "shard": t.column("shard"), "near": pa.array(lists, pa.list_(t.schema.field("rep").type))})
+
 
+def _blocks(hit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that a table of booleans marks, a few rows of it at a time."""
+    for k in range(0, len(hit), 128):
+        a, b = np.nonzero(hit[k : k + 128])
+        yield a + k, b
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest number each of n is linked with, directly or not."""
-    label = np.arange(n)
+
+def _labels(size: int, hit: np.ndarray) -> np.ndarray:
+    """The smallest number that each of size is linked with, directly or not; hit marks links of all with the first."""
+    label = np.arange(size)
     while True:
         new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
+        for a, b in _blocks(hit):
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
-def _all_pairs(x: np.ndarray, rows: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The links of rows with the first n, each compared with each, in blocks."""
-    found = []
-    for k in range(0, len(rows), 512):
-        a, b = np.nonzero(x[rows[k : k + 512]] @ x[:n].T >= threshold)
-        a = rows[a + k]
-        found.append((a[a != b], b[a != b]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
 def _search(threshold: float, target: float = 0.98):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("in_graph", "descending"), ("rep", "ascending")])
         shard = t.column("shard")[0].as_py()
-        graph = t.column("in_graph").to_numpy()
         x, mult = _unpack(t.column("unit").combine_chunks()), t.column("mult").to_numpy()
-        n = int(graph.sum())
+        n = int(t.column("in_graph").to_numpy().sum())
         asks = t.column("asks").to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(asks)
         reps = t.column("rep").to_pylist()
         place = {r: i for i, r in enumerate(reps[:n])}
         lists = [np.array(sorted({place[r] for r in near or () if r in place}), dtype=np.int64) for near in t.column("near").to_pylist()[:n]]
         g = Graph(x[:n], adjacency=lists)
-        shards = t.column("shards").to_pylist()
-        wide = np.full((len(x), OVERLAP), -1, dtype=np.int64)
-        for i, s in enumerate(shards):
-            wide[i, : len(s)] = s
-
+        # one byte for each pair that may be linked, at most two graphs' nodes by one's
+        hit = np.zeros((len(x), n), dtype=bool)
+        some = rows[:: max(1, len(rows) // 32)]
+        want = x[some] @ x[:n].T >= threshold
         beam, slack = BEAM, SLACK
         for _ in range(4):
-            query, node = g.within(x[rows], threshold, beam, slack)
-            query = rows[query]
-            exact = np.concatenate([np.einsum("ij,ij->i", x[query[k : k + 200_000]], x[node[k : k + 200_000]]) for k in range(0, len(query), 200_000)]) if len(query) else np.zeros(0)
-            ok = (exact >= threshold) & (query != node)
-            query, node = query[ok], node[ok]
+            for k in range(0, len(rows), 128):
+                query, node = g.within(x[rows[k : k + 128]], threshold, beam, slack)
+                query = rows[query + k]
+                for m in range(0, len(query), 100_000):
+                    a, b = query[m : m + 100_000], node[m : m + 100_000]
+                    ok = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                    hit[a[ok], b[ok]] = True
             # the audit: some queries against all of the graph
-            some = rows[:: max(1, len(rows) // 32)]
-            want = x[some] @ x[:n].T >= threshold
-            want[np.arange(len(some))[some < n], some[some < n]] = False
-            got = int(np.isin(query, some).sum())
-            if got >= target * want.sum():
+            if (hit[some] & want).sum() >= target * want.sum():
                 break
             beam, slack = 2 * beam, 1.5 * slack
         else:
-            query, node = _all_pairs(x, rows, n, threshold)
-        inner = query < n
+            for k in range(0, len(rows), 512):
+                hit[rows[k : k + 512]] = x[rows[k : k + 512]] @ x[:n].T >= threshold
         # links are mutual: within the graph, each is known from either end
-        a = np.concatenate((query, node[inner]))
-        b = np.concatenate((node, query[inner]))
-        pairs = np.unique(a * len(x) + b)
-        a, b = pairs // len(x), pairs % len(x)
-        label = _labels(len(x), a, b)
-        # a pair with several clusters in common counts for a node in the nearest of its own that the other is in
-        shared = (wide[a][:, :, None] == wide[b][:, None, :]).any(axis=2) & (wide[a] >= 0)
-        first = (wide[a, shared.argmax(axis=1)] == shard) & asks[a]
+        for k in range(0, n, 512):
+            both = hit[k : min(n, k + 512)] | hit[:n, k : k + 512].T
+            hit[k : min(n, k + 512)], hit[:n, k : k + 512] = both, both.T
+        hit[np.arange(n), np.arange(n)] = False
+        label = _labels(len(x), hit)
+        # a pair with several shards in common counts in the least of them
+        lists = [sorted(s) for s in t.column("shards").to_pylist()]
+        wide = np.full((len(x), max(map(len, lists))), shard, dtype=np.int64)
+        for i, s in enumerate(lists):
+            wide[i, : len(s)] = s
         links = np.zeros(len(x), dtype=np.int64)
-        np.add.at(links, a[first], mult[b[first]])
+        for a, b in _blocks(hit):
+            here = asks[a]
+            for w in range(wide.shape[1]):
+                lower = wide[a, w] < shard
+                here &= ~(lower & (wide[b] == wide[a, w][:, None]).any(axis=1))
+            np.add.at(links, a[here], mult[b[here]])
         return pa.table({"rep": t.column("rep"), "links": links, "root": pa.array([reps[i] for i in label], t.schema.field("rep").type)})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", max_graph: int = MAX_GRAPH, cluster: int = CLUSTER) -> DataFrame:
+def _linked(nodes: DataFrame, scratch: Scratch, id_type: str, threshold: float, max_graph: int, cluster: int, overlap: int, margin: float) -> DataFrame:
+    """(rep, links, root) of every node in each of its shards."""
+    rows = scratch.keep(shard_rows(nodes, scratch, id_type, max_graph, cluster, overlap, margin), "placed")
+    parts = rows.groupBy("shard").agg(F.ceil(F.count("*") / max_graph).cast("int").alias("parts")).where("parts > 1")
+    parts = scratch.keep(parts, "parts")
+    each = rows.join(F.broadcast(parts) if small_enough(parts, 100_000) else parts, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    each = each.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    lists = each.select("shard", "part", "rep", "unit").groupBy("shard", "part").applyInArrow(_build, f"rep {id_type}, shard long, near array<{id_type}>")
+    union = scratch.keep(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.array_sort(F.collect_set("shard")).alias("shards")), "lists")
+
+    # each part's graph meets the queries of every part
+    each = each.join(union, "rep")
+    asked = each.withColumn("graph", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("in_graph", (F.col("graph") == F.col("part")).cast("int"))
+    asked = asked.withColumn("asker", F.col("part")).withColumn("near", F.when(F.col("in_graph") == 1, F.col("near")))
+    copies = asked.where("in_graph = 1 and parts > 1").withColumn("asker", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("asker <> part").withColumn("asks", F.lit(False))
+    tasks = asked.withColumn("asks", F.lit(True)).unionByName(copies)
+    found = tasks.select("shard", "graph", "asker", "rep", "mult", "unit", "shards", "near", "in_graph", "asks").groupBy("shard", "graph", "asker").applyInArrow(_search(threshold), f"rep {id_type}, links long, root {id_type}")
+    return scratch.keep(found, "found")
+
+
+def _recall(nodes: DataFrame, links: DataFrame, threshold: float, queries: int) -> float:
+    """The share of links found of some nodes compared with all: those with the smallest hashes, of all and of the linked ones."""
+    of = lambda t: t.orderBy(F.xxhash64("rep"), "rep").limit(queries)
+    asks = of(nodes.select("rep")).unionByName(of(links.where("links > 0").select("rep"))).distinct()
+    asks = nodes.join(F.broadcast(asks), "rep").select("rep", "unit", "dim").collect()  # twice queries at most
+    ids, q = [r["rep"] for r in asks], [np.frombuffer(r["unit"], np.float64) for r in asks]
+    dims = np.array([len(x) for x in q])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, dim, mult = np.zeros(len(ids), dtype=np.int64), batch.column("dim").to_numpy(), batch.column("mult").to_numpy()
+            for d in np.unique(dim).tolist():
+                mine, rows = np.flatnonzero(dims == d), np.flatnonzero(dim == d)
+                for k in range(0, len(rows), 4096):
+                    at = rows[k : k + 4096]
+                    if len(mine):
+                        total[mine] += (np.stack([q[i] for i in mine]) @ _unpack(batch.column("unit").take(pa.array(at))).T >= threshold) @ mult[at]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(ids)), pa.int32()), pa.array(total)], names=["i", "n"])
+
+    true = {r["i"]: r["n"] for r in nodes.select("unit", "dim", "mult").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    got = {r["rep"]: r["links"] for r in links.join(F.broadcast(nodes.sparkSession.createDataFrame([(i,) for i in ids], links.select("rep").schema)), "rep").collect()} if ids else {}
+    own = {r["rep"]: r["mult"] for r in nodes.join(F.broadcast(nodes.sparkSession.createDataFrame([(i,) for i in ids], nodes.select("rep").schema)), "rep").select("rep", "mult").collect()} if ids else {}
+    want = {r: true[i] - own[r] for i, r in enumerate(ids)}
+    return sum(min(n, got.get(r, 0)) for r, n in want.items()) / max(1, sum(want.values())) if sum(want.values()) else 1.0
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", max_graph: int = MAX_GRAPH, cluster: int = CLUSTER, target: float = 0.95, queries: int = 128) -> DataFrame:
     """id_col, n_links, component_id and kept of every row of vectors.
 
     Two vectors are linked if found with a cosine of threshold or more in double precision. Those that are null,
@@ -318,13 +444,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     that links lead to; kept whether it is the row's own. Rows with a null id are linked as copies of others
     only. Extra columns are left out; repeated rows are each reported and link with each other.
 
-    Equal vectors are one node. Clusters are fitted on a bounded sample; each node joins its nearest cluster
-    and others nearly as near. In each cluster's shard a graph is grown and its lists pruned; a node's
-    lists from all its shards are joined. Every node is then searched for in its shards over the joined
-    lists: greedily from the medoids, then on through all that lies within a slack of the threshold.
-    Each shard audits some of its queries against all its nodes, and searches wider until the recall is
-    reached; if it never is, all its queries are compared with all its nodes. A cluster of more than max_graph nodes is dealt to several graphs, and all its nodes are
-    searched for in each. A shard reports counts and one root a node, not pairs.
+    Equal vectors are one node. Nodes are dealt to overlapping cluster shards of max_graph at most (shard_rows). In
+    each a graph is grown and its lists pruned; a node's lists from all its shards are joined. Every node is
+    then searched for in its shards over the joined lists: greedily from the medoids, then on through all
+    that lies within a slack of the threshold. Each shard audits some of its queries against all its nodes, and
+    searches wider until the recall is reached; if it never is, all its queries are compared with all its nodes. A
+    dense group that cannot be split is dealt to several graphs, and all its nodes are searched for in each. A shard
+    reports counts and one root a node, not pairs, and holds one byte for each two of its nodes.
+
+    At the end some nodes are compared with all others, whatever their shards. If less than target of their links
+    were found, all is done again with shards that overlap more, twice at most; then RecallError is raised.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -332,31 +461,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     rows = scratch.keep(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(_read, f"id {id_type}, d1 long, d2 long, dim int, unit binary"), "rows")
     nodes = rows.where("unit is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("dim").alias("dim"), F.first("unit").alias("unit")).where("rep is not null")
     nodes = scratch.keep(nodes, "nodes")
-    centers, first = {}, {}
-    for r in nodes.groupBy("dim").count().orderBy("dim").collect():  # one row for each length of vectors
-        sample = nodes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("unit").collect()
-        first[r["dim"]] = sum(len(c) for c in centers.values())
-        centers[r["dim"]] = fit_clusters(np.stack([np.frombuffer(s["unit"], np.float64) for s in sample]), max(1, min(MAX_CLUSTERS, -(-r["count"] // cluster))))
-
-    placed = nodes.select("rep", "mult", "unit", "dim").mapInArrow(_assign(centers, first), f"rep {id_type}, mult long, unit binary, shards array<int>")
-    placed = scratch.keep(placed, "placed")
-    each = placed.withColumn("shard", F.explode("shards"))
-    counts = {r["shard"]: -(-r["count"] // max_graph) for r in each.groupBy("shard").count().collect()}  # a row for each cluster
-    parts = F.create_map(*[F.lit(v) for kv in counts.items() for v in kv])[F.col("shard")] if counts else F.lit(1)
-    each = each.withColumn("parts", parts.cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    lists = each.select("shard", "part", "rep", "unit").groupBy("shard", "part").applyInArrow(_build, f"rep {id_type}, near array<{id_type}>")
-    union = scratch.keep(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")
-
-    # each part's graph meets the queries of every part
-    each = each.join(union, "rep")
-    asked = each.withColumn("graph", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("in_graph", (F.col("graph") == F.col("part")).cast("int"))
-    asked = asked.withColumn("asker", F.col("part")).withColumn("near", F.when(F.col("in_graph") == 1, F.col("near")))
-    copies = asked.where("in_graph = 1 and parts > 1").withColumn("asker", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("asker <> part").withColumn("asks", F.lit(False))
-    tasks = asked.withColumn("asks", F.lit(True)).unionByName(copies)
-    found = tasks.select("shard", "graph", "asker", "rep", "mult", "unit", "shards", "near", "in_graph", "asks").groupBy("shard", "graph", "asker").applyInArrow(_search(threshold), f"rep {id_type}, links long, root {id_type}")
-    found = scratch.keep(found, "found")
+    for wider in range(3):
+        found = _linked(nodes, scratch, id_type, threshold, max_graph, cluster, OVERLAP * 2**wider, MARGIN * 2**wider)
+        links = scratch.keep(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
+        recall = _recall(nodes, links, threshold, queries)
+        if recall >= target:
+            break
+        scratch.drop(found, links)
+    else:
+        raise RecallError(f"{recall:.3f} of the links of the audited vectors were found")
     roots = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
-    info = nodes.select("d1", "d2", "rep", "mult").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    info = nodes.select("d1", "d2", "rep", "mult").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
     info = info.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))
     out = rows.where("unit is not null").join(info, ["d1", "d2"], "left").select("id", "n_links", "component")
     out = out.unionByName(rows.where("unit is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))

@@ -1,7 +1,8 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from crosscut.llm.embedding_dedup import Graph, _labels, _search, audit_recall, near_duplicates
+from crosscut.llm.embedding_dedup import Graph, RecallError, _labels, _search, audit_recall, near_duplicates, spread
 
 
 def clustered(rng, n, dim=24):
@@ -14,8 +15,7 @@ def brute(x, threshold=0.9):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T >= threshold
     np.fill_diagonal(s, False)
-    a, b = np.nonzero(s)
-    return s.sum(axis=1), _labels(len(x), a, b)
+    return s.sum(axis=1), _labels(len(x), s)
 
 
 def test_against_all_pairs(spark):
@@ -25,7 +25,7 @@ def test_against_all_pairs(spark):
     x = x.astype(np.float32).astype(np.float64)
     df = spark.createDataFrame([(int(i), v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, n_links int")
     links, label = brute(x)
-    for kwargs in ({}, {"cluster": 200, "max_graph": 150}):
+    for kwargs in ({}, {"cluster": 60, "max_graph": 150}):
         out = near_duplicates(df, **kwargs)
         got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out.collect()}
         assert all(got[i][0] <= links[i] for i in range(len(x)))
@@ -63,7 +63,30 @@ def test_a_shard_whose_graph_search_fails_is_compared_in_full():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     n = len(x)
     cols = {"rep": pa.array(range(n), pa.int64()), "near": pa.array([[]] * n, pa.list_(pa.int64())), "unit": pa.array([v.tobytes() for v in x], pa.binary())}
-    cols |= {"shard": pa.array([0] * n, pa.int32()), "shards": pa.array([[0]] * n, pa.list_(pa.int32())), "mult": pa.array([1] * n, pa.int64()), "in_graph": pa.array([1] * n, pa.int32()), "asks": pa.array([True] * n)}
+    cols |= {"shard": pa.array([0] * n, pa.int64()), "shards": pa.array([[0]] * n, pa.list_(pa.int64())), "mult": pa.array([1] * n, pa.int64()), "in_graph": pa.array([1] * n, pa.int32()), "asks": pa.array([True] * n)}
     got = _search(0.9)(pa.table(cols)).sort_by("rep")
     links, label = brute(x)
     assert got.column("links").to_pylist() == links.tolist() and got.column("root").to_pylist() == label.tolist()
+
+
+def test_a_dense_group_larger_than_a_graph(spark):
+    """All of 500 vectors link with each other, in graphs of 150 at most, beside others."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(size=(1, 24)) + rng.normal(size=(500, 24)) * 0.05, rng.normal(size=(400, 24))))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links, label = brute(x)
+    got = {r["vec_id"]: r for r in near_duplicates(df, max_graph=150, cluster=60).collect()}
+    assert sum(got[i]["n_links"] for i in range(len(x))) >= 0.98 * links.sum() and all(got[i]["n_links"] <= links[i] for i in range(len(x)))
+    assert all(got[i]["component_id"] == label[i] for i in range(len(x)))
+
+
+def test_centres_that_are_nearly_the_same_are_one():
+    c = np.array([[1.0, 0.0], [0.99, 0.141], [0.0, 1.0]])
+    assert len(spread(c)) == 2
+
+
+def test_missing_recall_is_an_error(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(rng, 200))], "vec_id long, embedding array<double>")
+    with pytest.raises(RecallError):
+        near_duplicates(df, target=1.01)
