@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import json
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .html_tokens import attributes, clean, plain_text, walk
@@ -25,9 +29,19 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def header_value(value: str) -> str:
+    """A value that keeps to its line: line breaks with the white space around them become one space."""
+    return re.sub(r"\s*[\r\n]+\s*", " ", value).strip() if "\r" in value or "\n" in value else value
+
+
+def header_uri(uri: str) -> str:
+    """A URI for a header: white space and control characters are percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", uri)
+
+
 def serialize(headers: list[tuple[str, str]], block: bytes, version: str = "WARC/1.1") -> bytes:
     """One record; Content-Length is set here."""
-    lines = [version, *(f"{k}: {v}" for k, v in headers if k.lower() != "content-length"), f"Content-Length: {len(block)}"]
+    lines = [version, *(f"{k}: {header_value(v)}" for k, v in headers if k.lower() != "content-length"), f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + CRLF + CRLF + block + CRLF + CRLF
 
 
@@ -64,11 +78,66 @@ def response(record_id: str, uri: str | None, date: str, body: bytes, content_ty
     """A response record around an HTTP answer with that body."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: " + content_type.encode() + b"\r\nContent-Length: " + str(len(body)).encode() + CRLF + CRLF + body
     headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id), ("WARC-Date", date)]
-    headers += [("WARC-Target-URI", uri)] if uri else []
+    headers += [("WARC-Target-URI", header_uri(uri))] if uri else []
     headers += [("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Type", "application/http; msgtype=response")]
     return serialize(headers, block)
 
 
+def unchunked(body: bytes) -> bytes:
+    """The body of a chunked transfer; what cannot be read as such stays as it is, and a cut one gives what is there."""
+    out, at = [], 0
+    while True:
+        end = body.find(CRLF, at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return body if not out else b"".join(out)
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+        if at > len(body):
+            return b"".join(out)
+
+
+def decoded(body: bytes, http: list[tuple[str, str]]) -> tuple[bytes, str | None]:
+    """(payload without its transfer and content encodings, what could not be undone). Encodings are undone from the last to the first."""
+    if "chunked" in (field(http, "Transfer-Encoding") or "").lower():
+        body = unchunked(body)
+    for coding in reversed([c.strip().lower() for c in (field(http, "Content-Encoding") or "").split(",") if c.strip()]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                body = b"".join(_members(iter([body])))
+            elif coding == "deflate":
+                try:
+                    body = zlib.decompress(body)
+                except zlib.error:
+                    body = zlib.decompress(body, -15)
+            elif coding == "zstd":
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+            elif coding != "identity":
+                return body, coding
+        except (zlib.error, zstandard.ZstdError):
+            return body, coding
+    return body, None
+
+
+def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of gzip members one after another; a last one that is cut short gives what it has."""
+    z = None
+    for piece in pieces:
+        while piece:
+            if z is None:
+                z = zlib.decompressobj(31)
+            out = z.decompress(piece)
+            if out:
+                yield out
+            piece = z.unused_data if z.eof else b""
+            z = None if z.eof else z
+            if z is None and not piece.strip(b"\0"):
+                piece = b""
+
+
 def page_metadata(source: str) -> dict:
     """Title, meta tags and links of a page."""
     title, metas, links = None, [], []
@@ -90,7 +159,9 @@ def derive(record: bytes | None) -> dict:
     The metadata record holds, as JSON, the response's own headers in order, its HTTP status and headers, the
     payload's length and digest (recomputed, beside the one the header gives) and, for HTML, its title,
     meta tags and links. The conversion record holds the text: of HTML all text but head, scripts and
-    styles; of other text types the text itself; other types have no conversion. Both carry
+    styles; of other text types the text itself; other types have no conversion. A chunked transfer and gzip, deflate
+    and zstd encodings are undone first; a payload in another encoding has no conversion, and its metadata names that. The
+    digests are of the payload as it is. Both carry
     WARC-Refers-To with the response's id, its target URI and date, and digests of their own blocks. Ids are
     made from the response's id, so a second run gives the same.
     """
@@ -108,12 +179,13 @@ def derive(record: bytes | None) -> dict:
     if not sep:
         head, body = b"", block
     status, http = _header_lines(head)
+    payload, left = decoded(body, http)
     kind = (field(http, "Content-Type") or "").lower()
     charset = kind.partition("charset=")[2].split(";")[0].strip("\"' ") or "utf-8"
     try:
-        source = body.decode(charset, "replace")
+        source = payload.decode(charset, "replace")
     except LookupError:
-        source = body.decode("utf-8", "replace")
+        source = payload.decode("utf-8", "replace")
     uri, date = field(headers, "WARC-Target-URI"), field(headers, "WARC-Date")
     about = {
         "Envelope": {
@@ -122,19 +194,21 @@ def derive(record: bytes | None) -> dict:
         }
     }
     is_html = "html" in kind
-    if is_html:
+    if left is not None:
+        about["Envelope"]["Payload-Metadata"]["Unread-Encoding"] = left
+    elif is_html:
         about["Envelope"]["Payload-Metadata"]["HTML-Metadata"] = page_metadata(source)
 
     def make(type_: str, content_type: str, data: bytes) -> tuple[str, bytes]:
         own = f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{type_} {rid}')}>"
         h = [("WARC-Type", type_), ("WARC-Record-ID", own), ("WARC-Refers-To", rid)]
-        h += [("WARC-Target-URI", uri)] if uri else []
+        h += [("WARC-Target-URI", header_uri(uri))] if uri else []
         h += [("WARC-Date", date)] if date else []
         return own, serialize([*h, ("WARC-Block-Digest", digest(data)), ("Content-Type", content_type)], data)
 
     out |= {"response_id": rid, "target_uri": uri, "date": date, "payload_digest": digest(body), "block_digest": digest(block)}
     out["metadata_id"], out["metadata"] = make("metadata", "application/json", json.dumps(about, ensure_ascii=False).encode())
-    if is_html or kind.startswith("text/"):
+    if left is None and (is_html or kind.startswith("text/")):
         out["text"] = plain_text(source) if is_html else source
         out["conversion_id"], out["conversion"] = make("conversion", "text/plain; charset=utf-8", out["text"].encode())
     return out
@@ -178,9 +252,109 @@ def derivatives(records: DataFrame, record_col: str = "record", keep: list[str]
     return records.select(*keep, F.col(record_col).alias("_r")).mapInArrow(run, schema)
 
 
-def write_warc(derived: DataFrame, path: str) -> None:
-    """Writes both records of every row as one uncompressed record a file row under path, as binary values of a Parquet table.
+def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Whole records of a WARC file given in pieces; what stands between records and is none is given as it is."""
+    buf = bytearray()
+    more = True
+
+    def fill(n: int) -> bool:
+        nonlocal more
+        while more and len(buf) < n:
+            piece = next(pieces, None)
+            more = piece is not None
+            buf.extend(piece or b"")
+        return len(buf) >= n
+
+    while fill(1):
+        while fill(1) and buf[:1] in (b"\r", b"\n"):
+            del buf[:1]
+        end, size = -1, 1 << 12
+        while end < 0 and size <= 1 << 20:
+            whole = fill(size)
+            end, size = buf.find(CRLF + CRLF), size * 2
+            if not whole:
+                break
+        if not buf:
+            return
+        _, headers = _header_lines(bytes(buf[:end])) if end >= 0 and buf.startswith(b"WARC/") else ("", [])
+        length = field(headers, "Content-Length") or ""
+        if length.isdigit():
+            fill(end + 4 + int(length))
+            size = end + 4 + int(length)
+        else:  # up to what looks like the next record
+            fill(1 << 20)
+            size = buf.find(b"\r\n\r\nWARC/", 1)
+            size = size + 4 if size >= 0 else len(buf)
+        yield bytes(buf[:size])
+        del buf[:size]
+
+
+def read_warc(spark: SparkSession, path: str, max_whole: int = 64 << 20) -> DataFrame:
+    """(file, record) of every record of the .warc and .warc.gz files under path.
+
+    Files of up to max_whole bytes are read by Spark; larger ones are streamed by the task that has them, so
+    their store must be one that pyarrow opens too. A file is one task's work, as gzip members cannot be found but by reading.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{warc,warc.gz}").load(path)
+    small = files.where(F.col("length") <= max_whole).select(F.col("path").alias("file"), "content")
+    large = files.where(F.col("length") > max_whole).select(F.col("path").alias("file"), F.lit(None).cast("binary").alias("content"))
 
-    Concatenating the values gives a valid WARC file.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def pieces(name: str, content: bytes | None) -> Iterator[bytes]:
+            if content is not None:
+                yield content
+                return
+            store, where = fs.FileSystem.from_uri(name)
+            with store.open_input_stream(where, compression=None) as f:
+                while data := f.read(1 << 20):
+                    yield data
+
+        for batch in batches:
+            for name, content in zip(batch.column("file"), batch.column("content"), strict=True):
+                name = name.as_py()
+                raw = pieces(name, content.as_py())
+                some, n = [], 0
+                for r in records(_members(raw) if name.endswith(".gz") else raw):
+                    some.append(r)
+                    n += len(r)
+                    if n > 1 << 22:
+                        yield pa.RecordBatch.from_pydict({"file": [name] * len(some), "record": some})
+                        some, n = [], 0
+                if some:
+                    yield pa.RecordBatch.from_pydict({"file": [name] * len(some), "record": some})
+
+    return small.unionByName(large).mapInArrow(run, "file string, record binary")
+
+
+def write_warc(derived: DataFrame, path: str, compress: bool = True) -> list[tuple[str, int]]:
+    """Writes both records of every row to WARC files under path, one a partition; gives their names and numbers of records.
+
+    With compress, each record is a gzip member. path is a folder of a store that pyarrow opens. A file is
+    written under a name of its own and renamed when whole, so a task that runs again leaves one file.
     """
-    derived.select(F.explode(F.array_compact(F.array("metadata", "conversion"))).alias("record")).write.mode("overwrite").parquet(path)
+    end = ".warc.gz" if compress else ".warc"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, where = fs.FileSystem.from_uri(path)
+        store.create_dir(where, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}{end}"
+        own, n = f"{where}/.{uuid.uuid4().hex}", 0
+        with store.open_output_stream(own, compression=None) as f:
+            for batch in batches:
+                for r in batch.column("record"):
+                    data = r.as_buffer()
+                    f.write(gzip.compress(data, 6, mtime=0) if compress else data)
+                    n += 1
+        if n:
+            store.move(own, f"{where}/{name}")
+            yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64())})
+        else:
+            store.delete_file(own)
+
+    records = derived.select(F.explode(F.array_compact(F.array("metadata", "conversion"))).alias("record"))
+    return sorted((r["name"], r["n"]) for r in records.mapInArrow(run, "name string, n long").collect())  # one row a partition

@@ -1,6 +1,15 @@
+import gzip
+import hashlib
 import json
+import zlib
+from html.parser import HTMLParser
 
-from crosscut.llm.warc import derivatives, derive, digest, field, parse, response, responses, serialize
+import pytest
+import zstandard
+
+from crosscut.llm.html_tokens import INLINE
+from crosscut.llm.queries import op4_warc_derivatives
+from crosscut.llm.warc import derivatives, derive, digest, field, parse, read_warc, records, response, responses, serialize, unchunked, write_warc
 
 HTML = "<html><head><title>A &amp; B</title><meta name=x content='y'><script>var a='<p>no';</script></head><body><p>One<br>two <b>three</b></p><a href='/z'>link</a><img src=i.png></body>"
 
@@ -47,3 +56,103 @@ def test_rows(spark):
     rows = derivatives(odd).collect()
     assert len(rows) == 4 and all(r["error"] and r["metadata"] is None for r in rows)
     assert derivatives(odd.limit(0)).count() == 0
+
+
+def http_record(head, body):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + head + b"\r\n\r\n" + body
+    return serialize([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Date", "d")], block)
+
+
+@pytest.mark.parametrize(
+    ("head", "body"),
+    [
+        (b"Content-Encoding: gzip", gzip.compress(b"<p>text")),
+        (b"Content-Encoding: deflate", zlib.compress(b"<p>text")),
+        (b"Content-Encoding: deflate", zlib.compress(b"<p>text")[2:-4]),
+        (b"Content-Encoding: zstd", zstandard.ZstdCompressor().compress(b"<p>text")),
+        (b"Transfer-Encoding: chunked", b"3;x=y\r\n<p>\r\n4\r\ntext\r\n0\r\n\r\n"),
+        (b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip", b"%x\r\n%s\r\n0\r\n\r\n" % (len(gzip.compress(b"<p>text", mtime=0)), gzip.compress(b"<p>text", mtime=0))),
+        (b"Content-Encoding: identity", b"<p>text"),
+    ],
+)
+def test_encodings_are_undone(head, body):
+    d = derive(http_record(head, body))
+    assert d["text"] == "text" and d["error"] is None and d["payload_digest"] == digest(body)
+
+
+def test_encodings_that_cannot_be_undone():
+    for head, body in ((b"Content-Encoding: br", b"xyz"), (b"Content-Encoding: gzip", b"no gzip")):
+        d = derive(http_record(head, body))
+        assert d["conversion"] is None and json.loads(parse(d["metadata"])[2])["Envelope"]["Payload-Metadata"]["Unread-Encoding"] in ("br", "gzip")
+    assert unchunked(b"no chunks") == b"no chunks" and unchunked(b"4\r\nab") == b"ab"
+
+
+def test_line_breaks_in_a_url(spark):
+    urls = ["http://a/\r\nX: 1", "http://a/\r\n\r\nbody", "http://a/b c\td"]
+    pages = spark.createDataFrame([(i, u, "<p>x") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    rows = sorted((r["page_id"], r["target_uri"], r["text"], r["error"]) for r in derivatives(responses(pages)).collect())
+    assert rows == [(0, "http://a/%0D%0AX:%201", "x", None), (1, "http://a/%0D%0A%0D%0Abody", "x", None), (2, "http://a/b%20c%09d", "x", None)]
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_written_files_are_read_again(spark, tmp_path, compress):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>page {i}\r\n\r\nWARC/1.0") for i in range(20)], "page_id long, url string, html string").repartition(3)
+    made = derivatives(responses(pages)).cache()
+    files = write_warc(made, f"file://{tmp_path}/out", compress)
+    assert sum(n for _, n in files) == 40 and len({f for f, _ in files}) == 3
+    want = sorted(bytes(r[c]) for r in made.collect() for c in ("metadata", "conversion"))
+    for most in (1 << 30, 0):  # by Spark, or streamed
+        got = sorted(bytes(r["record"]) + b"\r\n\r\n" for r in read_warc(spark, f"file://{tmp_path}/out", most).collect())
+        assert got == want
+    assert derivatives(read_warc(spark, f"file://{tmp_path}/out")).where("error is null").count() == 0
+
+
+def test_broken_files():
+    good = serialize([("WARC-Type", "response"), ("WARC-Record-ID", "<x>")], b"abc")
+    got = list(records(iter([b"junk before\r\n\r\n", good, b"WARC/1.1\r\nContent-Length: none\r\n\r\n", good[:-6]])))
+    assert [parse(g)[2] for g in got if g.startswith(b"WARC/1.1\r\nWARC-Type") and len(g) + 4 == len(good)] == [b"abc"]
+    assert len(got) == 4 and list(records(iter([]))) == []
+
+
+class Plain(HTMLParser):
+    """Text of a page by another reader, to compare with."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.parts, self.skip = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("script", "style", "title")
+        if tag == "br" or tag not in INLINE:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("script", "style", "title")
+        if tag not in INLINE:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.parts.append(data)
+
+    def flush(self):
+        block = " ".join("".join(self.parts).split())
+        self.blocks += [block] if block else []
+        self.parts = []
+
+
+def test_query_against_another_reader(spark):
+    """Brute force: every page of the smallest table, its records put together by hand."""
+    d = "/root/testdata/sf0.001"
+    got = {r["page_id"]: r for r in op4_warc_derivatives(spark, d).collect()}
+    pages = spark.read.parquet(f"{d}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        r, reader = got[p["page_id"]], Plain()
+        reader.feed(p["html"] or "")
+        reader.close()
+        reader.flush()
+        text = "\n".join(reader.blocks).encode()
+        lines = ["WARC/1.1", "WARC-Type: conversion", f"WARC-Record-ID: {r['conversion_id']}", f"WARC-Refers-To: {r['response_id']}", f"WARC-Target-URI: {p['url']}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Block-Digest: {digest(text)}", "Content-Type: text/plain; charset=utf-8", f"Content-Length: {len(text)}"]
+        record = "\r\n".join(lines).encode() + b"\r\n\r\n" + text + b"\r\n\r\n"
+        assert r["conversion_sha256"] == hashlib.sha256(record).hexdigest() and r["payload_digest"] == digest(p["html"].encode()) and r["target_uri"] == p["url"]
