@@ -13,10 +13,7 @@ from crosscut.llm.line_dedup import dedup_lines
 from crosscut.llm.mixing import mix, text_size
 from crosscut.llm.ngram_join import ngram_join
 from crosscut.llm.quality import fit_quality, score
-from crosscut.llm.shared import Scratch, small_enough
-
-#: Most ids of removed documents that are sent to every executor; with more, the ids meet the documents by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
+from crosscut.llm.shared import Scratch, checked
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +29,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group that links join."""
+    """Keeps one document, the one with the smallest id, of each group that links join.
+
+    Rows without an id, and those that share one, are compared under numbers made from their content, above all
+    ids; of rows with the same id and text, one stays.
+    """
     scratch = Scratch(spark, "pipeline")
-    gone = scratch.keep(ngram_join(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if small_enough(gone, MAX_BROADCAST_IDS) else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = scratch.keep(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again")), "again")
+    made = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1))
+    known = docs.join(checked(again), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    plain = known.where("_again is null").select(F.col("doc_id").alias("_key"), *docs.columns)
+    odd = known.where("_again").select(made.alias("_key"), *docs.columns).dropDuplicates(["_key"])
+    docs, columns = plain.unionByName(odd), docs.columns
+    gone = scratch.keep(ngram_join(docs.select("_key", "text"), id_col="_key").where(~F.col("kept")).select("_key"), "gone")
+    return docs.join(checked(gone), "_key", "left_anti").select(*columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +66,7 @@ STAGES = [
     ("mixing sources to target weights", source_mixing),
 ]
 
-#: The classifier's fit and the rounding are not SQL; the tests compare each stage with a brute-force version.
+#: The classifier's fit and the rounding are not SQL; tests/llm/test_pipeline.py compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 

@@ -211,8 +211,8 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
     without words no window; an empty item table finds nothing. Rows of items that share an id are
     one item; those without an id are one too, a null in items. Repeated rows of docs are each reported. keep's columns named as the four added are replaced.
 
-    Items go to the tasks as automata of at most max_block_words words (an item that is longer makes an
-    automaton of its own). If one holds them all, docs are read once and nothing is shuffled. Otherwise
+    Items are dealt by a hash of their ids to automata of about max_block_words words; an item is never
+    parted, so one with very many words makes its automaton larger. If one holds them all, docs are read once and nothing is shuffled. Otherwise
     docs go through one automaton after another, with what was found written to the shared folder
     in between.
     """

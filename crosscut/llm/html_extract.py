@@ -15,11 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .html_tokens import HEADINGS, INLINE, MATH, SIDE_TAGS, VOID, Stack, clean, walk
-from .shared import Scratch
+from .shared import Scratch, checked
 from .url_filter import url_host
 
-#: Most hashes of templates that are sent to every executor, 8 bytes each; with more, pages and templates meet by a shuffle.
-MAX_BROADCAST_PATHS = 1_000_000
 #: From so many pages on, text that is the same on all pages of a host is its template's.
 LEAST_PAGES = 3
 #: A token is frequent if at least this share of the host's pages has it.
@@ -329,9 +327,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
 
     scratch = Scratch(pages.sparkSession, "html")
     keep = [c for c in (keep if keep is not None else [c for c in pages.columns if c != html_col]) if c not in ("text", "n_chars")]
-    slots = scratch.keep(deduce_templates(pages, scratch, url_col, html_col), "slots")
-    if slots.agg(F.coalesce(F.sum(4 + F.octet_length("host") / 8 + F.size("slots") + F.size("dropped") + F.size("spared")), F.lit(0))).first()[0] <= MAX_BROADCAST_PATHS:
-        slots = F.broadcast(slots)
+    slots = checked(scratch.keep(deduce_templates(pages, scratch, url_col, html_col), "slots"))
     rows = pages.select(*keep, url_host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html")).join(slots, F.col("_host") == F.col("host"), "left").select(*keep, "_html", "slots", "dropped", "spared")
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     arrow = to_arrow_schema(schema)

@@ -8,8 +8,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN_ROOTS: dict[str, str] = {}
+#: Most bytes of a table that are sent to every executor; above it Spark joins by shuffling.
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -70,6 +73,27 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Hadoop's file system has path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def checked(small: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """small with a broadcast hint if it is small, in bytes. For written tables, of which measuring is cheap."""
+    width = F.lit(16)
+    for f in small.schema:
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            size = F.size(c) * 8
+        elif isinstance(f.dataType, T.StringType | T.BinaryType):
+            size = F.octet_length(c)
+        else:
+            size = F.lit(8)
+        width = width + F.greatest(F.coalesce(size, F.lit(0)), F.lit(8))
+    return F.broadcast(small) if (small.agg(F.sum(width)).first()[0] or 0) <= max_bytes else small
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether a table of narrow rows has at most max_rows; reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows

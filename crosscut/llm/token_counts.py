@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import Scratch
+from .shared import Scratch, checked, path_exists
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 _loaded: dict[str, object] = {}
@@ -56,10 +56,11 @@ def _encode(path: str, name: str | None):
             where = public_tokenizers.path(name)
         count = _counter(where)
         for batch in batches:
-            texts, n = pc.fill_null(batch.column("text"), ""), []
+            texts, n = batch.column("text"), []
             for a, b in W.slices(texts, 500_000):
                 n += count(texts.slice(a, b - a).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
+            size = pc.binary_length(texts).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), size, batch.column("digest"), batch.column("repeats"), pa.array(n, pa.int64())], names=["id", "n_bytes", "digest", "repeats", "n_tokens"])
 
     return run
 
@@ -70,11 +71,12 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: DataFrame | None = None
     tokenizer is the name of a public tokenizer's file or a path that all executors have. The cache (a
     table of CACHE_SCHEMA, at cache_path) holds counts by SHA-256 of the content (null counts as empty)
     and tokenizer version; counts of the same content under another version are not used. Only
-    contents that it lacks are encoded, each once, and appended at cache_path. Without a cache, one is
-    made for this call. Extra columns are left out; repeated rows are each reported.
+    contents that it lacks are encoded, each once, and appended at cache_path, which is made if there is
+    none yet. Without a path, the cache is one of this call. Extra columns are left out; repeated rows are each reported.
 
-    Texts move once: to meet the id that stands for their content. The two joins by digest are plain ones
-    over narrow or splittable rows, so a content that very many rows share is dealt to several tasks.
+    Texts stay where they are, unless contents that repeat are too many to send their digests to every
+    executor. What repeats is encoded at the least id that has it, and the others join the count by digest; digests that
+    occur once are not joined at all, so a content that very many rows share makes no large group.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
@@ -85,22 +87,29 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: DataFrame | None = None
 
         path, name = public_tokenizers.path(tokenizer), tokenizer
     version = tokenizer_version(path)
+    id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     seen = scratch.keep(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
-    if cache_path is None:
-        cache_path = f"{scratch.root}/cache"
-        cache = None
-    elif cache is None:
+    contents = seen.groupBy("digest").agg(F.min(F.struct("id")).alias("first"), F.count("*").alias("n"))
+    if cache is None and cache_path is not None and path_exists(spark, cache_path):
         cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-    known = None if cache is None else cache.where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    # one id stands for each content; several rows with that id and content are encoded alike
-    first = seen.groupBy("digest").agg(F.min(F.struct("id")).alias("first"))
-    if known is not None:
-        first = first.join(known, "digest", "left_anti")
-    first = first.select("digest", F.col("first.id").alias("first"))
-    misses = rows.join(first, (rows["digest"] == first["digest"]) & rows["id"].eqNullSafe(first["first"])).select(rows["digest"], "text")
-    encoded = misses.mapInArrow(_encode(path, name), "digest binary, n_tokens long")
-    encoded.withColumn("version", F.lit(version)).select("digest", "version", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return seen.join(counts, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    if cache is None:
+        contents = contents.withColumn("known", F.lit(None).cast("long"))
+    else:
+        known = cache.where(F.col("version") == version).groupBy(F.col("digest").alias("_d")).agg(F.max("n_tokens").alias("known"))
+        contents = contents.join(known, F.col("digest") == F.col("_d"), "left")
+    # contents that a row has to know of: those that repeat and those that are counted already
+    listed = contents.where("n > 1 or known is not null").select(F.col("digest").alias("_d"), F.col("first.id").alias("_first"), "known")
+    listed = scratch.keep(listed, "listed")
+    few = checked(listed)
+    misses = rows.join(few, F.col("digest") == F.col("_d"), "left").where("_d is null or (known is null and id <=> _first)")
+    misses = misses.select("id", "digest", F.col("_d").isNotNull().alias("repeats"), "text")
+    encoded = scratch.keep(misses.mapInArrow(_encode(path, name), f"id {id_type}, n_bytes long, digest binary, repeats boolean, n_tokens long"), "encoded")
+    once = encoded.where("not repeats").unionByName(encoded.where("repeats").dropDuplicates(["digest"]))
+    once.withColumn("version", F.lit(version)).select("digest", "version", "n_tokens").write.mode("append").parquet(cache_path or f"{scratch.root}/cache")
+    counts = listed.where("known is not null").select("_d", "known")
+    counts = scratch.keep(counts.unionByName(encoded.where("repeats").groupBy(F.col("digest").alias("_d")).agg(F.max("n_tokens").alias("known"))), "counts")
+    others = seen.join(few, F.col("digest") == F.col("_d")).where("known is not null or not (id <=> _first)").select("id", "n_bytes", "digest")
+    others = others.join(checked(counts), F.col("digest") == F.col("_d")).select("id", "n_bytes", F.col("known").alias("n_tokens"))
+    return encoded.select("id", "n_bytes", "n_tokens").unionByName(others).withColumnRenamed("id", id_col)

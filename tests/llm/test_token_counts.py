@@ -34,3 +34,22 @@ def test_pieces_and_empty_table(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts(df, "piece_bpe_32k.model").collect()}
     assert got == {1: len(m.encode("some words here")), 2: 0}
     assert token_counts(df.limit(0), NAME).count() == 0
+
+
+def test_a_cache_that_is_not_there_yet(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "doc_id long, text string")
+    path = str(tmp_path / "new")
+    for more in (2, 2, 3):
+        if more == 3:
+            df = df.unionByName(spark.createDataFrame([(4, "d e f"), (5, "c")], "doc_id long, text string"))
+        rows = sorted((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts(df, NAME, cache_path=path).collect())
+        assert rows[:3] == [(1, 3, 2), (2, 3, 2), (3, 1, 1)] and spark.read.parquet(path).count() == more
+
+
+def test_contents_too_many_to_send(spark, monkeypatch):
+    import crosscut.llm.token_counts as C
+    from crosscut.llm.shared import checked
+
+    monkeypatch.setattr(C, "checked", lambda t: checked(t, -1))
+    df = spark.createDataFrame([(i, f"w {i % 5}") for i in range(50)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in token_counts(df, NAME).collect()) == [(i, 2) for i in range(50)]
