@@ -188,12 +188,12 @@ class Graph:
         out = np.full((len(nodes), degree), -1, dtype=np.int64)
         pool = np.sort(np.where(pool == nodes[:, None], -1, pool), axis=1)
         pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
-        far = 1 - np.einsum("bcd,bd->bc", self.x[pool], self.x[nodes])
+        far = 1 - np.matmul(self.x[pool], self.x[nodes][:, :, None])[:, :, 0]
         far[pool < 0] = np.inf
         order = np.argsort(far, axis=1, kind="stable")
         pool, far = np.take_along_axis(pool, order, 1), np.take_along_axis(far, order, 1)
         v = self.x[pool]
-        between = 1 - np.einsum("bcd,bed->bce", v, v)
+        between = 1 - np.matmul(v, v.transpose(0, 2, 1))
         open_ = np.isfinite(far)
         rows = np.arange(len(nodes))
         for k in range(degree):
@@ -216,18 +216,27 @@ class Graph:
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         starts = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]]).tolist() if len(dst) else []
+        full: list[tuple[int, np.ndarray]] = []
         for a, b in zip(starts, [*starts[1:], len(dst)], strict=False):
             node = dst[a]
             row = self.adj[node]
             have = row[row >= 0]
-            new = np.setdiff1d(src[a:b], have)
-            if len(have) + len(new) > self.adj.shape[1]:
+            new = src[a:b]
+            new = new[(new[:, None] != have).all(axis=1)]
+            if len(have) + len(new) > len(row):
                 both = np.concatenate((have, new))
-                near = both[np.argsort(-(self.x[both] @ self.x[node]), kind="stable")[:128]]
-                have, new = np.zeros(0, np.int64), self._prune(np.array([node]), near[None, :], self.degree)[0]
-                new = new[new >= 0]
-            row[:] = -1
-            row[: len(have) + len(new)] = np.concatenate((have, new))
+                full.append((node, both[np.argsort(-(self.x[both] @ self.x[node]), kind="stable")[:128]]))
+            else:
+                row[len(have) : len(have) + len(new)] = new
+                row[: len(have)] = have
+        for k in range(0, len(full), 256):
+            some = full[k : k + 256]
+            pool = np.full((len(some), max(len(p) for _, p in some)), -1, dtype=np.int64)
+            for i, (_, p) in enumerate(some):
+                pool[i, : len(p)] = p
+            rows = np.array([n for n, _ in some])
+            self.adj[rows] = -1
+            self.adj[rows, : self.degree] = self._prune(rows, pool, self.degree)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Greedy search of all queries at once from the medoids: (beam nearest found, which nodes were seen)."""
@@ -305,7 +314,8 @@ def _build(t: pa.Table) -> pa.Table:
     g = Graph(_unpack(t.column("unit").combine_chunks()))
     lists = [reps[row[row >= 0]].tolist() for row in g.adj]
     # pruning leaves some nodes on nobody's list; so each is put on those of the nearest on its own
-    near = np.stack([np.where(row >= 0, g.x[row] @ v, -np.inf) for row, v in zip(g.adj, g.x, strict=True)])
+    cut = [slice(k, k + 512) for k in range(0, len(g.x), 512)]
+    near = np.concatenate([np.where(g.adj[c] >= 0, np.matmul(g.x[g.adj[c]], g.x[c][:, :, None])[:, :, 0], -np.inf) for c in cut])
     for i, k in enumerate(np.argsort(-near, axis=1, kind="stable")[:, :BACK]):
         for p in g.adj[i, k]:
             if p >= 0:
@@ -352,8 +362,8 @@ def _search(threshold: float, target: float = 0.98):
         want = x[some] @ x[:n].T >= threshold
         beam, slack = BEAM, SLACK
         for _ in range(4):
-            for k in range(0, len(rows), 128):
-                query, node = g.within(x[rows[k : k + 128]], threshold, beam, slack)
+            for k in range(0, len(rows), 512):
+                query, node = g.within(x[rows[k : k + 512]], threshold, beam, slack)
                 query = rows[query + k]
                 for m in range(0, len(query), 100_000):
                     a, b = query[m : m + 100_000], node[m : m + 100_000]
