@@ -91,6 +91,13 @@ def issue_groups(findings: DataFrame, threshold: str = "high", max_groups: int =
     return x.select(*by, "kind", "count", at.alias("locations"), F.greatest(F.col("count") - max_locations, F.lit(0)).alias("more"), "rank")
 
 
+def issues_by_kind(issues: DataFrame, by: tuple[str, ...] = ("pr_id",), order: str = "ord") -> DataFrame:
+    """by, kind, count, issues (all other columns, in order) and rank: kinds by their first issue."""
+    rest = [c for c in issues.columns if c not in (*by, "kind", order)]
+    x = issues.groupBy(*by, "kind").agg(F.count("*").alias("count"), F.min(order).alias("_first"), F.sort_array(F.collect_list(F.struct(order, *rest))).alias("issues"))
+    return x.select(*by, "kind", "count", "issues", F.row_number().over(Window.partitionBy(*by).orderBy("_first", "kind")).alias("rank"))
+
+
 def needs_comment(findings: DataFrame, scored: DataFrame, below: int = 60, by: tuple[str, ...] = ("pr_id",)) -> DataFrame:
     """by pairs of scored with a finding of high severity, or a score under below."""
     high = findings.where("severity = 'high'").select(*by).distinct().withColumn("_high", F.lit(True))

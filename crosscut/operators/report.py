@@ -9,7 +9,11 @@ from ..functions.rules import SEVERITY_ORDER
 
 # Confidence labels, and how much of each list a report shows.
 CONFIDENCE = [(0.9, "very high"), (0.7, "high"), (0.5, "medium"), (None, "low")]
-MAX_GROUPS, MAX_LOCATIONS, PROMPT_FINDINGS, PROMPT_CODE = 8, 3, 50, 3000
+MAX_GROUPS, MAX_LOCATIONS, PROMPT_FINDINGS, PROMPT_CODE, JOB_TOP = 8, 3, 50, 3000, 5
+
+# Our own wording.
+REVIEW_TASK = "List the production risks of the changed lines as JSON: {\"issues\": [{\"kind\", \"title\", \"line\", \"summary\", \"severity\"}], \"architectureSummary\"}. Put findings with one cause together."
+SUMMARY_TASK = "Say in two or three sentences what has to be mended first, with numbers, and nothing else."
 
 
 def confidence_label(c: Column) -> Column:
@@ -70,3 +74,56 @@ def baseline_text(groups: DataFrame, stats: DataFrame, by: tuple[str, ...] = ("r
     x = x.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_o", "_t"))).alias("_s"))
     head = F.concat(F.lit("Files analyzed: "), F.col("files_analyzed").cast("string"), F.lit(", skipped: "), F.col("files_skipped").cast("string"), F.when(F.col("truncated"), " (truncated)").otherwise(""))
     return stats.join(x, list(by), "left").select(*by, F.array_join(F.concat(F.array(head), F.coalesce(F.transform("_s", lambda s: s["_t"]), F.array().cast("array<string>"))), "\n\n").alias("text"))
+
+
+def review_prompts(files: DataFrame, findings: DataFrame, outlines: DataFrame | None = None, by: tuple[str, ...] = ("pr_id",)) -> DataFrame:
+    """by, file and prompt: what a reviewing model is told of a changed file. Nothing is sent anywhere.
+
+    files has by, file, language (may be null), snippet, and content (may be null); findings are those of the rules,
+    the first PROMPT_FINDINGS of each file; outlines has by, file and outline.
+    """
+    item = F.to_json(F.struct("kind", "line", "severity", F.coalesce("message", F.lit("")).alias("summary")))
+    f = findings.groupBy(*by, "file").agg(F.sort_array(F.collect_list(F.struct("seq", item.alias("i")))).alias("_f"))
+    x = files.join(f, [*by, "file"], "left")
+    x = x.join(outlines.select(*by, "file", "outline"), [*by, "file"], "left") if outlines is not None else x.withColumn("outline", F.lit(None).cast("string"))
+    known = F.array_join(F.transform(F.slice("_f", 1, PROMPT_FINDINGS), lambda s: s["i"]), "\n")
+    parts = [
+        F.concat(F.lit("File: "), F.col("file"), F.coalesce(F.concat(F.lit(" ("), F.col("language"), F.lit(")")), F.lit(""))),
+        F.concat(F.lit("Outline:\n"), F.col("outline")),
+        F.when(F.size("_f") > 0, F.concat(F.lit("Findings so far, one a line:\n"), known)),
+        F.concat(F.lit("Whole file:\n"), F.col("content")),
+        F.concat(F.lit("Changed lines:\n"), F.col("snippet")),
+        F.lit(REVIEW_TASK),
+    ]
+    return x.select(*by, "file", F.concat_ws("\n\n", *parts).alias("prompt"))
+
+
+def summary_prompts(scored: DataFrame, counts: DataFrame, kinds: DataFrame, by: tuple[str, ...] = ("pr_id",), max_files: int = MAX_LOCATIONS) -> DataFrame:
+    """by and prompt: what a model is told that sums a change set up. kinds is group.summary_input with a rank."""
+    more = F.when(F.size("files") > max_files, F.concat(F.lit(" and "), (F.size("files") - max_files).cast("string"), F.lit(" more"))).otherwise("")
+    item = F.concat(F.lit("- "), F.col("kind"), F.lit(": "), F.col("count").cast("string"), F.lit(", "), F.col("severity"), F.lit(", in "), F.array_join(F.slice("files", 1, max_files), ", "), more)
+    k = kinds.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("count", "kind", item.alias("i"))), False), lambda s: s["i"]), "\n").alias("_k"))
+    x = scored.join(counts, list(by)).join(k, list(by), "left")
+    head = F.concat(F.lit("Score "), F.col("score").cast("string"), F.lit(" of 100; "), F.col("total").cast("string"), F.lit(" findings, "), F.col("high").cast("string"), F.lit(" high, "), F.col("medium").cast("string"), F.lit(" medium."))
+    return x.select(*by, F.concat_ws("\n\n", head, F.col("_k"), F.lit(SUMMARY_TASK)).alias("prompt"))
+
+
+def job_outputs(scored: DataFrame, counts: DataFrame, validated: DataFrame, fail_on_high: bool = True, top: int = JOB_TOP, by: tuple[str, ...] = ("pr_id",)) -> DataFrame:
+    """by, score, findings_count, high_count, summary and failed: what a build step gives back and writes down.
+
+    The summary lists counts, how many findings were left out as false positives, and the first top of the others by
+    severity, then order. A build fails if it has findings of high severity and fail_on_high is set.
+    """
+    real = ~F.col("false_positive")
+    line = F.concat(F.lit("- **["), F.upper("severity"), F.lit("]** "), place(F.col("file"), F.col("line")), F.lit(" "), F.col("kind"))
+    order = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    v = validated.groupBy(*by).agg(F.count_if(~real).alias("_filtered"), F.sort_array(F.collect_list(F.when(real, F.struct(order.alias("o"), "seq", line.alias("l"))))).alias("_l"))
+    x = scored.join(counts, list(by)).join(v, list(by), "left")
+    table = F.concat(F.lit("| Severity | Findings |\n| --- | --- |"), *[p for s in SEVERITY_ORDER for p in (F.lit(f"\n| {s} | "), F.col(s).cast("string"), F.lit(" |"))])
+    parts = [
+        F.concat(F.lit("**Score:** "), F.col("score").cast("string"), F.lit("/100 ("), F.col("label"), F.lit(")")),
+        table,
+        F.when(F.col("_filtered") > 0, F.concat(F.col("_filtered").cast("string"), F.lit(" left out as likely false positives"))),
+        F.when(F.size("_l") > 0, F.array_join(F.transform(F.slice("_l", 1, top), lambda s: s["l"]), "\n")),
+    ]
+    return x.select(*by, "score", F.col("total").alias("findings_count"), F.col("high").alias("high_count"), F.concat_ws("\n\n", *parts).alias("summary"), (F.lit(fail_on_high) & (F.col("high") > 0)).alias("failed"))

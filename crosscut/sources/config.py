@@ -43,9 +43,12 @@ class Config:
     def prototype_zone(self, path: Column) -> Column:
         return matches_globs(path, self.raw["files"]["prototype_zone"])
 
+    def level(self, rule: str) -> str:
+        return (self.raw["rules"].get(rule) or {}).get("level") or DEFAULT_LEVELS[rule]
+
     def rule_columns(self, kind: Column, path: Column) -> tuple[Column, Column]:
         """(enabled, level) of a rule for a path: defaults, then the rules section, then each matching override in order."""
-        levels = {r: (self.raw["rules"].get(r) or {}).get("level") or DEFAULT_LEVELS[r] for r in RULE_IDS}
+        levels = {r: self.level(r) for r in RULE_IDS}
         on = {r: (self.raw["rules"].get(r) or {}).get("enabled", True) is not False for r in RULE_IDS}
         level = F.try_element_at(F.create_map(*[F.lit(x) for kv in levels.items() for x in kv]), kind)
         enabled = F.try_element_at(F.create_map(*[F.lit(x) for kv in on.items() for x in kv]), kind)
@@ -60,6 +63,22 @@ class Config:
         return enabled, level
 
 
+def _like(given: object, default: object) -> bool:
+    """Whether a given value is of its default's type."""
+    if isinstance(default, bool) or isinstance(given, bool):
+        return isinstance(default, bool) and isinstance(given, bool)
+    return isinstance(given, (int, float)) if isinstance(default, (int, float)) else isinstance(given, type(default))
+
+
+def _override(given: object) -> dict | None:
+    """patterns and rules of an override, or null for one without either."""
+    if not isinstance(given, dict):
+        return None
+    patterns, rules = given.get("patterns"), given.get("rules")
+    patterns = [p for p in patterns if isinstance(p, str)] if isinstance(patterns, list) else []
+    return {"patterns": patterns, "rules": {k: v for k, v in rules.items() if isinstance(v, dict)} if isinstance(rules, dict) else {}}
+
+
 def load(text: str | None, aliases: dict[str, str] | None = None) -> Config:
     """The configuration a YAML text holds; defaults for what it lacks, and for a text that is none.
 
@@ -75,11 +94,15 @@ def load(text: str | None, aliases: dict[str, str] | None = None) -> Config:
     if isinstance(parsed, dict):
         for key, default in DEFAULTS.items():
             given = parsed.get(key)
-            if key in ("version", "rules", "overrides"):
+            if key == "rules":  # what is no mapping of rules to mappings says nothing
+                raw[key] = {k: v for k, v in given.items() if isinstance(v, dict)} if isinstance(given, dict) else default
+            elif key == "overrides":
+                raw[key] = [o for o in map(_override, given if isinstance(given, list) else []) if o]
+            elif key == "version":
                 raw[key] = default if given is None else given
             elif isinstance(given, dict):
                 given = {(aliases or {}).get(k, k): v for k, v in given.items()}
-                raw[key] = {k: v if given.get(k) is None else given[k] for k, v in default.items()}
+                raw[key] = {k: given[k] if _like(given.get(k), v) else v for k, v in default.items()}
     return Config(raw)
 
 
