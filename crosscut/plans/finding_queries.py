@@ -331,6 +331,11 @@ _CODE = "regexp_matches(filename, '\\.(ts|tsx|js|jsx|py|go|rb|java|cs)$')"
 _SEEN = f"""
 ok AS (SELECT *, {_CODE} AS ok FROM files),
 counted AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY repo ORDER BY file_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 200 AS inside FROM ok)"""
+_BASELINE = f"""{_FILES}, {_SEEN}, content AS (SELECT * EXCLUDE (ls), ls[line] AS t FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT *, string_split(content, chr(10)) AS ls FROM counted WHERE ok AND inside))),
+hits AS ({_file_each}), capped AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY line, o) <= 50),
+said(words, scope, all_rules, rules) AS (VALUES {_SAID}),
+directives AS (SELECT file_key, line, scope, all_rules, rules FROM content JOIN said ON contains(t, words)),
+kept AS (SELECT {_REPO} AS repo, file_key, filename, line, o, kind, severity FROM capped a WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.file_key = a.file_key AND {COVERED_SQL}))"""
 _ANSWER = """
 a AS (SELECT event_id, event_id % 10 AS m, CASE WHEN event_id % 2 = 0 THEN 'RESILIENCE_GAP' ELSE 'SCALING_RISK' END AS kind, 't' || event_id AS title, event_id::INT AS line, CASE WHEN event_id % 3 = 0 THEN 'high' ELSE 'low' END AS severity FROM events WHERE event_id % 10 < 2)"""
 
@@ -339,7 +344,18 @@ _IMP = "regexp_matches(trim(t, {0}), '{1}')".format(SPACES, "|".join(outline.IMP
 _DEFS = lambda kind: "regexp_matches(trim(t, {0}), '{1}')".format(SPACES, "|".join(p for p, k in outline.DEFINITIONS if k == kind).replace("'", "''"))
 
 SQL: dict[str, str] = {
-    "baseline_findings": f"{_FILES}, {_SEEN}, content AS ({_SPLIT.format(src='(SELECT * FROM counted WHERE ok AND inside)')}), hits AS ({_file_each}), capped AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY file_key ORDER BY line, o) <= 50), said(words, scope, all_rules, rules) AS (VALUES {_SAID}), directives AS (SELECT file_key, line, scope, all_rules, rules FROM content JOIN said ON contains(t, words)) SELECT {_REPO} AS repo, file_key, line, kind, 'error' AS level FROM capped a WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.file_key = a.file_key AND {COVERED_SQL})",
+    "baseline_findings": f"{_BASELINE} SELECT repo, file_key, line, kind, 'error' AS level FROM kept",
+    "baseline_report": f"""{_BASELINE},
+g AS (SELECT repo, kind, severity, count(*) AS n, min((file_key, line, o)) AS q, list('`' || filename || ':' || line || '`' ORDER BY file_key, line, o) AS spots FROM kept GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, n DESC, q) AS rank FROM g),
+t AS (SELECT repo, severity, '### ' || severity || chr(10) || string_agg('- ' || kind || ' (' || n || '): ' || array_to_string(spots[1:3], ', '), chr(10) ORDER BY rank) AS part FROM r GROUP BY 1, 2),
+p AS (SELECT repo, string_agg(part, chr(10) || chr(10) ORDER BY CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS parts FROM t GROUP BY 1),
+s AS (SELECT repo, count(*) FILTER (inside AND ok) AS a, count(*) FILTER (inside AND NOT ok) AS k, bool_or(NOT inside) AS cut FROM counted GROUP BY 1)
+SELECT repo, 'Files analyzed: ' || a || ', skipped: ' || k || CASE WHEN cut THEN ' (truncated)' ELSE '' END || coalesce(chr(10) || chr(10) || parts, '') AS text FROM s LEFT JOIN p USING (repo)""",
+    "file_outlines": f"""{_FILES}, l AS ({_SPLIT.format(src='files')}),
+g AS (SELECT file_key, filename, count(*) AS n, list(trim(t, {SPACES}) ORDER BY line) FILTER (regexp_matches(trim(t, {SPACES}), '^import ')) AS i FROM l GROUP BY 1, 2)
+SELECT file_key, filename, '## File Structure: ' || filename || chr(10) || chr(10) || '*Total lines: ' || n || CASE WHEN len(i) > 0 THEN ' | Imports: ' || len(i) ELSE '' END || '*' || chr(10)
+  || CASE WHEN len(i) > 0 THEN chr(10) || '### Imports' || chr(10) || array_to_string(list_transform(i[1:10], lambda x: '- `' || x || '`' || chr(10)), '') || CASE WHEN len(i) > 10 THEN '- *... and ' || (len(i) - 10) || ' more imports*' || chr(10) ELSE '' END ELSE '' END AS outline FROM g""",
     "compact_structure": f"{_FILES}, l AS ({_SPLIT.format(src='files')}), f AS (SELECT file_key, filename, {_IMP} AS imp, {_DEFS('class')} AS cls, {_DEFS('function')} AS fn FROM l), g AS (SELECT file_key, filename, count(*) AS lines, count(*) FILTER (imp) AS imports, count(*) FILTER (NOT imp AND cls) AS classes, count(*) FILTER (NOT imp AND NOT cls AND fn) AS functions FROM f GROUP BY 1, 2) SELECT *, filename || ': ' || lines || ' lines' || CASE WHEN imports > 0 THEN ', ' || imports || ' imports' ELSE '' END || CASE classes WHEN 0 THEN '' WHEN 1 THEN ', 1 class' ELSE ', ' || classes || ' classes' END || CASE functions WHEN 0 THEN '' WHEN 1 THEN ', 1 fn' ELSE ', ' || functions || ' fns' END AS summary FROM g",
     "grouped_report": f"{_N}, g AS (SELECT pr_id, kind, count(*) AS n, max({_ORD}) AS o, min_by(message, seq) AS message, min(seq) AS q, list(CASE WHEN coalesce(line, 0) <> 0 THEN '`' || file || ':' || line || '`' ELSE '`' || file || '`' END ORDER BY seq) AS spots FROM findings GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY o DESC, n DESC, q) AS rank, {_desc} AS d FROM g), t AS (SELECT pr_id, count(*) AS kinds, string_agg('- **' || kind || '** (' || {_NAME('o')} || ', ' || n || 'x): ' || d || ' in ' || array_to_string(spots[1:3], ', ') || CASE WHEN n > 3 THEN ' +' || (n - 3) || ' more' ELSE '' END, chr(10) ORDER BY rank) FILTER (rank <= 8) AS text FROM r GROUP BY 1) SELECT pr_id, text || CASE WHEN kinds > 8 THEN chr(10) || '- ' || (kinds - 8) || ' more kinds' ELSE '' END AS text FROM t",
     "score_per_file": f"{findings_sql(50)}, levelled AS (SELECT a.*, CASE WHEN kind IN ('ASYNC_MISUSE','NO_CACHING','BLOCKING_OPERATION','CHECK_THEN_ACT_RACE','UNVALIDATED_INPUT','DATA_SHAPE_ASSUMPTION','MIXED_RESPONSE_SHAPES','TEMPORARY_HACK','HARDCODED_URL') THEN 'warning' WHEN kind = 'CONSOLE_DEBUG' THEN 'info' ELSE 'error' END AS level FROM all_found a), {_score_sql('levelled', 'file_key')} SELECT file_key, score, label, high_risk FROM labelled",
@@ -372,3 +388,11 @@ SQL: dict[str, str] = {
     "rate_limit_windows": f"WITH {derived.HOOKS_SQL} SELECT installation_id % 3 AS caller, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS requests, greatest(count(*) - 2, 0) AS rejected FROM hooks GROUP BY 1, 2",
     "plan_latest": f"WITH {derived.HOOKS_SQL}, l AS (SELECT installation_id, CASE WHEN purchase = 'cancelled' THEN NULL WHEN plan_name LIKE 'Team%' THEN 'enterprise' WHEN plan_name = 'Starter' THEN 'pro' ELSE 'free' END AS tier FROM hooks WHERE event = 'marketplace_purchase' AND purchase <> 'pending_change' QUALIFY row_number() OVER (PARTITION BY installation_id ORDER BY ts DESC, event_id DESC) = 1) SELECT h.installation_id, coalesce(tier, 'free') AS tier, CASE WHEN tier = 'enterprise' THEN 200 ELSE 50 END AS max_files_per_pr FROM (SELECT DISTINCT installation_id FROM hooks) h LEFT JOIN l ON h.installation_id = l.installation_id",
 }
+_counts = "count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low"
+SQL["check_runs"] = f"""
+SELECT pr_id, 'Score ' || score || ': ' || label AS title, total || ' findings (' || high || ' high, ' || medium || ' medium, ' || low || ' low)' AS summary, text, 'neutral' AS conclusion
+FROM ({SQL['score_per_pr']}) s JOIN ({SQL['severity_counts']}) c USING (pr_id) JOIN ({SQL['grouped_report']}) g USING (pr_id)"""
+SQL["architecture_report"] = f"""{_N}, c AS (SELECT *, {_cat} AS category FROM findings),
+r AS (SELECT *, row_number() OVER (PARTITION BY pr_id, category ORDER BY CASE WHEN severity = 'medium' THEN 1 ELSE 2 END, seq) AS n FROM c WHERE category IS NOT NULL),
+t AS (SELECT pr_id, category, count(*) AS k, string_agg(kind || ' `' || file || CASE WHEN coalesce(line, 0) <> 0 THEN ':' || line ELSE '' END || '`', '; ' ORDER BY n) FILTER (n <= 2) AS tops FROM r GROUP BY 1, 2)
+SELECT pr_id, '| Risk | Findings | First |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || category || ' | ' || k || ' | ' || tops || ' |', chr(10) ORDER BY category) AS text FROM t GROUP BY 1"""
