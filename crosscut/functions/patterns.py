@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 ASCII_WORD = "A-Za-z0-9_"
 
 # The members of each group. A str is contained as it is; rx is a regular expression, irx one that ignores
-# case. They are written for ASCII word and space classes; B stands for a word boundary between ASCII classes.
+# case. They are written for ASCII word and space classes.
 rx = lambda p: ("rx", p)
 irx = lambda p: ("irx", p)
 
@@ -59,7 +59,7 @@ GROUPS: dict[str, list] = {
         rx(r"\.paginate\s*\("), rx(r"\[\s*:\s*\d+\s*\]"), rx(r"\.first\s*\(\s*\)"), rx(r"\.one\s*\(\s*\)"),
     ],
     "collection": [
-        rx(r"\.map\s*\("), rx(r"\.filter\s*\("), rx(r"\.reduce\s*\("), rx(r"\.forEach\s*\("), rx(r"for\s*\("), rx(r"for\s+ofB"), rx(r"for\s+awaitB"),
+        rx(r"\.map\s*\("), rx(r"\.filter\s*\("), rx(r"\.reduce\s*\("), rx(r"\.forEach\s*\("), rx(r"for\s*\("), rx(r"for\s+of\b"), rx(r"for\s+await\b"),
         rx(r"for\s+\w+\s+in\s+"), rx(r"\[\s*\w+\s+for\s+"),
     ],
     "batching": [
@@ -98,8 +98,10 @@ GROUPS: dict[str, list] = {
         rx(r"(?:SECRET_KEY|API_KEY|AUTH_TOKEN)\s*=\s*['\"][a-zA-Z0-9_\-]{20,}['\"]"),
     ],
     "blocking": [
-        rx(r"fs\s*\.\s*(?:readFile|writeFile|appendFile|exists|mkdir|readdir|stat|unlink|copyFile)Sync\s*\("), rx(r"readFileSync\s*\("), rx(r"writeFileSync\s*\("),
-        rx(r"execSync\s*\("), rx(r"spawnSync\s*\("), rx(r"execFileSync\s*\("), rx(r"crypto\s*\.\s*(?:pbkdf2|scrypt|randomFill)Sync\s*\("), rx(r"time\s*\.\s*sleep\s*\("),
+        rx(r"fs\s*\.\s*readFileSync\s*\("), rx(r"fs\s*\.\s*writeFileSync\s*\("), rx(r"fs\s*\.\s*appendFileSync\s*\("), rx(r"fs\s*\.\s*existsSync\s*\("),
+        rx(r"fs\s*\.\s*mkdirSync\s*\("), rx(r"fs\s*\.\s*readdirSync\s*\("), rx(r"fs\s*\.\s*statSync\s*\("), rx(r"fs\s*\.\s*unlinkSync\s*\("),
+        rx(r"fs\s*\.\s*copyFileSync\s*\("), rx(r"readFileSync\s*\("), rx(r"writeFileSync\s*\("), rx(r"execSync\s*\("), rx(r"spawnSync\s*\("), rx(r"execFileSync\s*\("),
+        rx(r"crypto\s*\.\s*pbkdf2Sync\s*\("), rx(r"crypto\s*\.\s*scryptSync\s*\("), rx(r"crypto\s*\.\s*randomFillSync\s*\("), rx(r"time\s*\.\s*sleep\s*\("),
     ],
     "stateful": [
         rx(r"this\s*\.\s*\w+\s*=\s*new\s+Map\s*\("), rx(r"this\s*\.\s*\w+\s*=\s*new\s+Set\s*\("), rx(r"this\s*\.\s*\w+\s*=\s*new\s+WeakMap\s*\("),
@@ -120,7 +122,7 @@ GROUPS: dict[str, list] = {
         irx(r"(?:data|db|database|storage)(?:Path|File|Dir)?\s*[:=]\s*['\"][./]"),
     ],
     "unsafe_eval": [
-        rx(r"Beval\s*\("), rx(r"new\s+Function\s*\("), rx(r"setTimeout\s*\(\s*['\"`]"), rx(r"setInterval\s*\(\s*['\"`]"), rx(r"(?<!\.)exec\s*\("),
+        rx(r"\beval\s*\("), rx(r"new\s+Function\s*\("), rx(r"setTimeout\s*\(\s*['\"`]"), rx(r"setInterval\s*\(\s*['\"`]"), rx(r"(?<!\.)exec\s*\("),
         rx(r"compile\s*\([^)]*,\s*['\"]exec['\"]"),
     ],
     "hardcoded_url": [
@@ -128,11 +130,11 @@ GROUPS: dict[str, list] = {
         irx(r"(?:api|service|backend)(?:Url|Endpoint|Host|Base)\s*[:=]\s*['\"`]https?://"), rx(r"['\"`]https?://[^'\"`:]+:\d{4,5}[/'\"`]"),
         rx(r"['\"`]wss?://localhost"), rx(r"['\"`]wss?://127\.0\.0\.1"),
     ],
-    "hack": [irx(r"B(?:TODO|FIXME|HACK|XXX|TEMP)B")],
-    "large_collection": [irx(r"B(?:items|rows|users|messages|data|results|records|entries|documents|events|logs|orders|products)B")],
+    "hack": [irx(r"\b(?:TODO|FIXME|HACK|XXX|TEMP)\b")],
+    "large_collection": [irx(r"\b(?:items|rows|users|messages|data|results|records|entries|documents|events|logs|orders|products)\b")],
     "streaming_hint": [irx("stream|pipe|chunk|createReadStream")],
     "hardcoded_path": [rx(r"(?:writeFile|appendFile)(?:Sync)?\s*\(\s*[\"'`][^\"'`]+[\"'`]")],
-    "delay": [rx(r"setTimeout|sleep|await\s+delay|await\s+wait|await\s+new\s+Promise"), rx(r"BreturnB|BbreakB")],
+    "delay": [rx(r"setTimeout|sleep|await\s+delay|await\s+wait|await\s+new\s+Promise"), rx(r"\breturn\b|\bbreak\b")],
     "request_use": ["req.", "res.", "request.", "response."],
     "non_null": [rx(r"!\.\w"), rx(r"\w!\.")],
     "cast": [rx(r"as\s+\w+")],
@@ -190,29 +192,31 @@ def literal(text: str) -> str:
 
 
 def java(group: str) -> str:
-    """The group as one alternation for Spark: boundaries between ASCII classes are spelled out."""
-    return "|".join(_java_member(m) for m in GROUPS[group])
+    """The group as one alternation for Spark."""
+    return "|".join(java_member(m) for m in GROUPS[group])
 
 
-def _java_member(item) -> str:
-    before, after = f"(?<![{ASCII_WORD}])", f"(?![{ASCII_WORD}])"
-    return _bounded(item, before, after)
+def java_member(item) -> str:
+    """A member for Spark, whose \\b is not between ASCII classes: before a word it becomes a look behind, after one a look ahead."""
+    p = re.sub(r"\\b(?=[\w(])", f"(?<![{ASCII_WORD}])", _plain(item)).replace(r"\b", f"(?![{ASCII_WORD}])")
+    return _cased(item, p)
 
 
-def _bounded(item, before: str, after: str) -> str:
-    if isinstance(item, str):
-        return literal(item)
-    kind, p = item
-    for word in ("eval", "(?:TODO", "(?:items", "return", "break"):
-        p = p.replace(f"B{word}", f"{before}{word}")
-    for word in ("for\\s+of", "for\\s+await", "TEMP)", "products)", "return", "break"):
-        p = p.replace(f"{word}B", f"{word}{after}")
-    return f"(?i:{p})" if kind == "irx" else p
+def re2_member(item) -> str:
+    """A member for a dialect without look-around, whose \\b lies between ASCII classes."""
+    return _cased(item, _plain(item)).replace(r"(?<!\.)exec", "(?:^|[^.])exec")
+
+
+def _plain(item) -> str:
+    return literal(item) if isinstance(item, str) else item[1]
+
+
+def _cased(item, p: str) -> str:
+    return f"(?i:{p})" if not isinstance(item, str) and item[0] == "irx" else p
 
 
 def re2(group: str) -> str:
-    """The group for a dialect without look-around, in which boundaries lie between ASCII classes."""
-    return "|".join(_bounded(m, r"\b", r"\b").replace(r"(?<!\.)exec", "(?:^|[^.])exec") for m in GROUPS[group])
+    return "|".join(re2_member(m) for m in GROUPS[group])
 
 
 def hint(line: Column, group: str, low: Column | None = None) -> Column | None:

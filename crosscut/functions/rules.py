@@ -36,7 +36,7 @@ DEFAULT_LEVELS: dict[str, str] = {
 RULE_IDS = list(DEFAULT_LEVELS)
 
 # What a finding costs. Heavy kinds cost 15, 8 or 4 points by severity, others 10, 5 or 2; levels weigh that.
-HEAVY_KINDS = "UNBOUNDED_QUERY UNBOUNDED_COLLECTION_PROCESSING MISSING_BATCHING NO_CACHING MEMORY_RISK LOOPED_IO STATEFUL_SERVICE PROTOTYPE_INFRA SHARED_FILE_WRITE RETRY_STORM_RISK BUSY_WAIT_OR_TIGHT_LOOP CHECK_THEN_ACT_RACE HARDCODED_SECRET UNSAFE_EVAL".split()
+HEAVY_KINDS = ["UNBOUNDED_QUERY", "UNBOUNDED_COLLECTION_PROCESSING", "MISSING_BATCHING", "NO_CACHING", "MEMORY_RISK", "LOOPED_IO", "STATEFUL_SERVICE", "PROTOTYPE_INFRA", "SHARED_FILE_WRITE", "RETRY_STORM_RISK", "BUSY_WAIT_OR_TIGHT_LOOP", "CHECK_THEN_ACT_RACE", "HARDCODED_SECRET", "UNSAFE_EVAL"]
 PENALTIES = {True: {"high": 15, "medium": 8, "low": 4}, False: {"high": 10, "medium": 5, "low": 2}}
 LEVEL_WEIGHT = {"error": "1.0", "warning": "0.5", "info": "0.2", "off": "0"}
 LABELS = [(90, "Excellent"), (75, "Good"), (60, "Moderate risk"), (40, "Risky"), (None, "Critical risk")]
@@ -44,19 +44,19 @@ SEVERITY_ORDER = {"high": 3, "medium": 2, "low": 1}
 
 # Report categories in order of precedence.
 CATEGORIES: dict[str, list[str]] = {
-    "scaling": "UNBOUNDED_QUERY UNBOUNDED_COLLECTION_PROCESSING MISSING_BATCHING NO_CACHING MEMORY_RISK LOOPED_IO BLOCKING_OPERATION STATEFUL_SERVICE".split(),
-    "concurrency": "SHARED_FILE_WRITE RETRY_STORM_RISK BUSY_WAIT_OR_TIGHT_LOOP CHECK_THEN_ACT_RACE GLOBAL_MUTATION CONCURRENCY_RISK".split(),
-    "error_handling": "UNSAFE_IO SILENT_ERROR MISSING_ERROR_HANDLING ASYNC_MISUSE".split(),
-    "data_integrity": "UNVALIDATED_INPUT DATA_SHAPE_ASSUMPTION MIXED_RESPONSE_SHAPES HIDDEN_ASSUMPTIONS HARDCODED_SECRET".split(),
-    "security": "UNSAFE_EVAL HARDCODED_URL PROTOTYPE_INFRA".split(),
+    "scaling": ["UNBOUNDED_QUERY", "UNBOUNDED_COLLECTION_PROCESSING", "MISSING_BATCHING", "NO_CACHING", "MEMORY_RISK", "LOOPED_IO", "BLOCKING_OPERATION", "STATEFUL_SERVICE"],
+    "concurrency": ["SHARED_FILE_WRITE", "RETRY_STORM_RISK", "BUSY_WAIT_OR_TIGHT_LOOP", "CHECK_THEN_ACT_RACE", "GLOBAL_MUTATION", "CONCURRENCY_RISK"],
+    "error_handling": ["UNSAFE_IO", "SILENT_ERROR", "MISSING_ERROR_HANDLING", "ASYNC_MISUSE"],
+    "data_integrity": ["UNVALIDATED_INPUT", "DATA_SHAPE_ASSUMPTION", "MIXED_RESPONSE_SHAPES", "HIDDEN_ASSUMPTIONS", "HARDCODED_SECRET"],
+    "security": ["UNSAFE_EVAL", "HARDCODED_URL", "PROTOTYPE_INFRA"],
 }
 
 # Kinds whose validation default is 0.5 instead of 0.7, and kinds for which structural findings win.
-COMPLEX_RULES = "UNBOUNDED_QUERY SILENT_ERROR LOOPED_IO MISSING_BATCHING STATEFUL_SERVICE GLOBAL_MUTATION CHECK_THEN_ACT_RACE RETRY_STORM_RISK".split()
-STRUCTURAL_KINDS = "UNSAFE_IO LOOPED_IO UNBOUNDED_QUERY GLOBAL_MUTATION SILENT_ERROR CHECK_THEN_ACT_RACE BLOCKING_OPERATION SHARED_FILE_WRITE ASYNC_MISUSE".split()
+COMPLEX_RULES = ["UNBOUNDED_QUERY", "SILENT_ERROR", "LOOPED_IO", "MISSING_BATCHING", "STATEFUL_SERVICE", "GLOBAL_MUTATION", "CHECK_THEN_ACT_RACE", "RETRY_STORM_RISK"]
+STRUCTURAL_KINDS = ["UNSAFE_IO", "LOOPED_IO", "UNBOUNDED_QUERY", "GLOBAL_MUTATION", "SILENT_ERROR", "CHECK_THEN_ACT_RACE", "BLOCKING_OPERATION", "SHARED_FILE_WRITE", "ASYNC_MISUSE"]
 
 # The kinds that a scan of whole files looks for, by default and for a baseline.
-FILE_RULES = "STATEFUL_SERVICE PROTOTYPE_INFRA HARDCODED_SECRET UNSAFE_EVAL GLOBAL_MUTATION".split()
+FILE_RULES = ["STATEFUL_SERVICE", "PROTOTYPE_INFRA", "HARDCODED_SECRET", "UNSAFE_EVAL", "GLOBAL_MUTATION"]
 
 # Short names in reports.
 DESCRIPTIONS: dict[str, str] = {

@@ -89,7 +89,7 @@ def truncate(c: Column, n: int = 2000) -> Column:
 def redact(c: Column, token: str = REDACTED) -> Column:
     """Every secret replaced, one kind after another."""
     for m in patterns.GROUPS["secret"]:
-        c = F.regexp_replace(c, patterns._java_member(m), token.replace("$", r"\$"))
+        c = F.regexp_replace(c, patterns.java_member(m), token.replace("$", r"\$"))
     return c
 
 

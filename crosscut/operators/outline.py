@@ -15,10 +15,21 @@ IMPORTS = [
     r"^import\s+[\w.]+(?:\s+as\s+\w+)?\z", r"^from\s+[\w.]+\s+import\s+.+\z", r"^using\s+[\w.]+;\z",
 ]
 DEFINITIONS = [
-    (r"^export\s+(?:default\s+)?(?:abstract\s+)?class\s+\w+", "class"), (r"^(?:abstract\s+)?class\s+\w+", "class"),
-    (r"^export\s+interface\s+\w+", "interface"), (r"^interface\s+\w+", "interface"), (r"^export\s+type\s+\w+\s*=", "type"), (r"^type\s+\w+\s*=", "type"),
-    (r"^export\s+(?:default\s+)?(?:async\s+)?function\s+\w+", "function"), (r"^export\s+(?:default\s+)?const\s+\w+\s*=\s*(?:async\s*)?(?:<[^>]+>)?\s*\(", "function"),
-    (r"^export\s+const\s+\w+\s*(?::\s*[^=]+)?\s*=\s*(?!(?:async\s*)?\()", "const"), (r"^(?:async\s+)?def\s+\w+\s*\([^)]*\)", "function"), (r"^@\w+(?:\([^)]*\))?\z", "decorator"),
+    (r"^export\s+(?:default\s+)?(?:abstract\s+)?class\s+\w+", "class"),
+    (r"^(?:abstract\s+)?class\s+\w+", "class"),
+    (r"^export\s+interface\s+\w+", "interface"),
+    (r"^interface\s+\w+", "interface"),
+    (r"^export\s+type\s+\w+\s*=", "type"),
+    (r"^type\s+\w+\s*=", "type"),
+    (r"^export\s+(?:default\s+)?(?:async\s+)?function\s+\w+", "function"),
+    (r"^export\s+(?:default\s+)?const\s+\w+\s*=\s*(?:async\s*)?\(", "function"),
+    (r"^export\s+(?:default\s+)?const\s+\w+\s*=\s*(?:async\s*)?(?:<[^>]+>)?\s*\(", "function"),
+    (r"^export\s+const\s+\w+\s*(?::\s*[^=]+)?\s*=\s*(?!(?:async\s*)?\()", "const"),
+    # begins with white space, so it never matches a trimmed line
+    (r"^\s+(?:public\s+|private\s+|protected\s+)?(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\w+\s*(?:<[^>]*>)?\s*\([^)]*\)\s*(?::\s*[^{]+)?(?:\s*\{)?\z", "method"),
+    (r"^class\s+\w+(?:\([^)]*\))?:", "class"),
+    (r"^(?:async\s+)?def\s+\w+\s*\([^)]*\)", "function"),
+    (r"^@\w+(?:\([^)]*\))?\z", "decorator"),
 ]
 BREAKS = [" {", "(", " =>", " ="]
 MAX_IMPORTS, MAX_DEFINITIONS = 10, 20

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.patterns import EXTERNAL_CALLS, _java_member, flag, in_lower_case
+from ..functions.patterns import EXTERNAL_CALLS, flag, in_lower_case, java_member
 from ..functions.rules import RULE_IDS, lookup
 from . import neighbourhood
 from .lines import before, counted, in_file, marked, number
@@ -104,7 +104,7 @@ def call_signature(body: Column) -> tuple[Column, Column]:
     near = X.any_of(body, ["fetch", "axios", "http", "request", "got", "superagent"])
     kind = None
     for i, m in enumerate(EXTERNAL_CALLS):
-        hit = body.rlike(_java_member(m))
+        hit = body.rlike(java_member(m))
         kind = F.when(hit, i) if kind is None else kind.when(hit, i)
     spelled = [i for i, m in enumerate(EXTERNAL_CALLS) if "http" in (m if isinstance(m, str) else m[1])]
     kind = F.when(near, kind)

@@ -375,9 +375,26 @@ def read_braces(source: str, language: str) -> tuple[list[dict], list[tuple]]:
     return out, t.ranges
 
 
+def parse_python(source: str, most: int = 200) -> ast.Module:
+    """The tree of a Python file. Lines at which the parser stops are read as pass, most of them at most; SyntaxError beyond that."""
+    lines, mended = source.split("\n"), set()
+    while True:
+        try:
+            return ast.parse("\n".join(lines))
+        except SyntaxError as e:
+            k = min(max(e.lineno or 1, 1), len(lines)) - 1
+            while k in mended and k > 0:  # what stops it there began further up
+                k -= 1
+            if k in mended or len(mended) >= most:
+                raise
+            mended.add(k)
+            opens = re.match(r"\s*(?:async\s+def|def|class|if|elif|else|for|while|try|except|finally|with)\b", lines[k]) and k + 1 < len(lines) and len(lines[k + 1]) - len(lines[k + 1].lstrip()) > len(lines[k]) - len(lines[k].lstrip())
+            lines[k] = lines[k][: len(lines[k]) - len(lines[k].lstrip())] + ("if True:" if opens else "pass")
+
+
 def read_python(source: str) -> tuple[list[dict], list[tuple]]:
-    """Nodes of a Python file through the standard parser; SyntaxError if it is none."""
-    tree = ast.parse(source)
+    """Nodes of a Python file through the standard parser, line by line where it is broken."""
+    tree = parse_python(source)
     lines = source.split("\n")
     parents: dict[ast.AST, ast.AST] = {c: p for p in ast.walk(tree) for c in ast.iter_child_nodes(p)}
     text = lambda n: ast.get_source_segment(source, n) or ""

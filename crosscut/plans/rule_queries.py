@@ -112,7 +112,7 @@ RULES_SQL: list[tuple[str, str, str]] = [
     ("HARDCODED_URL", "'medium'", f"NOT {_TEST} AND {_B('hardcoded_url')}"),
 ]
 _SHAPE = _t(r"(?:res\.(?:json|send)|return)\s*\(\s*\{([^}]*)\}")
-_CALLS = [patterns._bounded(m, r"\b", r"\b") for m in patterns.EXTERNAL_CALLS]
+_CALLS = [patterns.re2_member(m) for m in patterns.EXTERNAL_CALLS]
 _SIG = "CASE " + " ".join(f"WHEN regexp_matches(body, {_t(c)}) THEN {i}" for i, c in enumerate(_CALLS)) + " END"
 _HTTP = "CASE " + " ".join(f"WHEN regexp_matches(body, {_t(c)}) THEN {str('http' in (m if isinstance(m, str) else m[1])).lower()}" for c, m in zip(_CALLS, patterns.EXTERNAL_CALLS, strict=True)) + " END"
 _BASE = f"WITH {derived.LINES_SQL}, {NUMBERED_SQL}"
@@ -286,7 +286,7 @@ _FILE_CHECKS = [("STATEFUL_SERVICE", "high", hit("t", "stateful")), ("PROTOTYPE_
 _file_each = " UNION ALL ".join(f"SELECT file_key, filename, line, {i} AS o, '{k}' AS kind, '{s}' AS severity, " + (f"substr(trim(t, {SPACES}), 1, 80) || CASE WHEN length(t) > 80 THEN '...' ELSE '' END" if k == "HARDCODED_SECRET" else f"trim(t, {SPACES})") + f" AS snippet FROM content WHERE {p}" for i, (k, s, p) in enumerate(_FILE_CHECKS))
 _redacted = "text"
 for _m in patterns.GROUPS["secret"]:
-    _redacted = f"regexp_replace({_redacted}, {_t(patterns._bounded(_m, '', ''))}, '{text.REDACTED}', 'g')"
+    _redacted = f"regexp_replace({_redacted}, {_t(patterns.re2_member(_m))}, '{text.REDACTED}', 'g')"
 
 SQL: dict[str, str] = {
     "lines_explode": "SELECT doc_id, CAST(p AS INT) AS line_no, length(ls[p]) AS n_chars, md5(ls[p]) AS digest FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))",

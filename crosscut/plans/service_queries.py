@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rules import COMPLEX_RULES, RULE_IDS
-from ..operators import group, lines, report, review_answers, score, service, syntax
+from ..operators import group, lines, outline, report, review_answers, score, service, structural_rules, syntax
 from ..sources import config, scans
-from . import analyses, derived
+from . import analyses, derived, snippets
 from .finding_queries import _FILES, _N, _NAME, _ORD, _VALID, _answers, _score_sql, _sql_list, _snapshots, n_, valid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,9 +157,40 @@ def tree_of_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.tree_filter(_snapshots(spark, sf_dir)).groupBy("repo").agg(F.count("*").alias("files"), F.sum("size").alias("chars"))
 
 
+def _written(spark: SparkSession, sf_dir: str, table: list[tuple]) -> DataFrame:
+    """One of the written sources for each part."""
+    rows = spark.createDataFrame([(k, *r[:2]) for k, r in enumerate(table)], "k long, filename string, content string")
+    p = derived.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_key"), (F.col("p_partkey") % len(table)).alias("k"))
+    return p.join(F.broadcast(rows), "k").select("file_key", "filename", "content")
+
+
+def ast_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structural_rules.analyze_structure(_written(spark, sf_dir, snippets.SNIPPETS)).select("file_key", "line", "kind")
+
+
+def ast_snippet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.read_status(_written(spark, sf_dir, snippets.SNIPPETS)).select("file_key", "language", "parse_success")
+
+
+def hybrid_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural findings of added lines only: each source as a patch of which the odd lines are new."""
+    files = _written(spark, sf_dir, snippets.SNIPPETS)
+    changed = lines.content_lines(files).where("line_no % 2 = 1").select("file_key", F.col("line_no").alias("line"))
+    return structural_rules.analyze_structure(files, changed).select("file_key", "line", "kind")
+
+
+def ignored_range_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.ignored_ranges(_written(spark, sf_dir, snippets.RANGES)).select("file_key", "range_type", "start_line", "end_line")
+
+
+def outline_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outline.outline(_written(spark, sf_dir, snippets.OUTLINES))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     pr_files, file_contents, config_resolution, api_requests, patch_lines, truncated_texts, test_file_names, valid_rule_ids, confidence_labels, validation_prompts, review_prompts,
     summary_prompts, job_outputs, issues_by_kind, model_tiers, transient_errors, webhook_signatures, request_timeouts, log_lines, positions_in_ranges, tree_of_snapshots,
+    ast_snippets, ast_snippet_status, hybrid_snippets, ignored_range_snippets, outline_snippets,
 )}
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -233,3 +264,17 @@ WITH r AS (SELECT p_partkey, p_partkey % 9 + 1 AS a, p_partkey % 5 AS ac, p_part
 SELECT p_partkey, l * 100 + c BETWEEN a * 100 + ac AND b * 100 + bc AS inside, b > a AND l > a AND l < b AS whole_line FROM r""",
     "tree_of_snapshots": f"{_FILES} SELECT repo, count(*) AS files, sum(length(content))::BIGINT AS chars FROM files WHERE regexp_matches(filename, '\\.(ts|tsx|js|jsx|py|go|rb|java|cs)$') AND NOT contains(filename, '.test.') AND NOT contains(filename, '/tests/') GROUP BY 1",
 }
+
+# what each written source holds, and its part
+_LANGUAGES = {"ts": "typescript", "js": "javascript", "py": "python", "go": "go", "rb": "ruby"}
+_found = ", ".join(f"({k}, {f.split()[0]}, '{f.split()[1]}')" for k, (_, _, found) in enumerate(snippets.SNIPPETS) for f in found)
+_spans = ", ".join(f"({k}, '{r.split()[0]}', {r.split()[1].replace('-', ', ')})" for k, (_, _, rs) in enumerate(snippets.RANGES) for r in rs)
+_texts = ", ".join(f"({k}, {_q(name)}, {_q(text)})" for k, (name, _, text) in enumerate(snippets.OUTLINES))
+_named = ", ".join(f"({k}, '{_LANGUAGES[name.split('.')[1]]}')" for k, (name, *_) in enumerate(snippets.SNIPPETS) if name.split(".")[1] in _LANGUAGES)
+SQL |= {
+    "ast_snippets": f"SELECT p_partkey AS file_key, line, kind FROM part JOIN (VALUES {_found}) f(k, line, kind) ON p_partkey % {len(snippets.SNIPPETS)} = k",
+    "ast_snippet_status": f"SELECT p_partkey AS file_key, language, true AS parse_success FROM part JOIN (VALUES {_named}) f(k, language) ON p_partkey % {len(snippets.SNIPPETS)} = k",
+    "hybrid_snippets": f"SELECT p_partkey AS file_key, line, kind FROM part JOIN (VALUES {_found}) f(k, line, kind) ON p_partkey % {len(snippets.SNIPPETS)} = k WHERE line % 2 = 1",
+    "ignored_range_snippets": f"SELECT p_partkey AS file_key, range_type, start_line, end_line FROM part JOIN (VALUES {_spans}) f(k, range_type, start_line, end_line) ON p_partkey % {len(snippets.RANGES)} = k",
+    "outline_snippets": f"SELECT p_partkey AS file_key, filename, outline FROM part JOIN (VALUES {_texts}) f(k, filename, outline) ON p_partkey % {len(snippets.OUTLINES)} = k",
+}

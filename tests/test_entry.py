@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import TABLES, canon
+from crosscut.functions.rules import RULE_IDS
 
 DIR = "/root/testdata/sf0.001"
 
@@ -17,8 +18,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["findings_capped", "suppressed_findings", "score_excluding_fp", "group_validated", "merge_precedence", "plan_latest"])
-def test_query_equals_sql(spark, name):
+def check(spark, name):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:
@@ -30,3 +30,8 @@ def test_query_equals_sql(spark, name):
     assert sorted(names) == cols
     want = sorted(tuple(canon(r[names.index(c)]) for c in cols) for r in cur.fetchall())
     assert sorted(tuple(canon(r[c]) for c in cols) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["findings_capped", "suppressed_findings", "file_suppressions", "baseline_report", "check_runs", "score_excluding_fp", "group_validated", "merge_precedence", "plan_latest", *[f"rule_{k.lower()}" for k in RULE_IDS]])
+def test_query_equals_sql(spark, name):
+    check(spark, name)
