@@ -31,7 +31,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     That ends at min(max_repeat * size, level * weight) with one level for all: sources are capped in
     order of size over weight, and the level is what is left over the weights that are left; it rises up
     to the first source that needs no cap and falls after that. The
-    windows run over one row a source.
+    windows run over one row a source in one task: weights go by place among all sources, so sources are meant to be
+    as many as one task sorts (millions), not as many as documents.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     s = s.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +36,26 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_live: weakref.WeakSet = weakref.WeakSet()
+
+
+def release() -> None:
+    """Frees the tables of all calls so far. For long sessions, when the results of these calls are written; else they go at the end."""
+    for s in list(_live):
+        s.end()
+
+
 class Scratch:
-    """Tables written by one call of an operator. Each cuts the lineage: a lost executor costs no more than the step since."""
+    """Tables written by one call of an operator. Each cuts the lineage: a lost executor costs no more than the step since.
+
+    They stay until the interpreter ends, or release() or end() is called, as a result may still read them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_root(spark)}/crosscut-{name}-{uuid.uuid4().hex}", 0
         self.kept: list[str] = []
-        atexit.register(self._end)
+        _live.add(self)
+        atexit.register(self.end)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes df and gives back the written table."""
@@ -61,7 +75,9 @@ class Scratch:
                 drop_table(self.spark, path)
                 self.kept.remove(path)
 
-    def _end(self) -> None:
+    def end(self) -> None:
+        _live.discard(self)
+        atexit.unregister(self.end)
         try:
             if self.spark.sparkContext._jsc is not None:
                 drop_table(self.spark, self.root)

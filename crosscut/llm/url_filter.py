@@ -35,9 +35,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     A null url, or one without ://, has an empty host and path and gets the default verdict with a
     null rule; so does every row of an empty rule table. Repeated rows are each judged.
 
-    A rule is the interval of all keys (reversed host, path) that start with its own. A url gives one
-    point for each number of labels that some rule has, so a rule of k labels can only hold the
-    point of k labels. Intervals over one reversed host nest or lie apart, so in sorted order the
+    A rule is the interval of all keys (reversed host, path) that start with its own. It holds its host's
+    subdomains whatever comes between, and then its path, so a url's own key need not lie in it; the key of the url's
+    path under the rule's host does. So a url gives one point for each number of labels that some rule has, and a
+    rule of k labels can only hold the point of k labels. Intervals over one reversed host nest or lie apart, so in sorted order the
     last rule before a point carries the whole stack of rules that may still be open there. The sweep
     runs on distinct (host, path) only. A suffix that holds more than its share of points is swept in
     slices, each with a copy of that suffix's rules; there are at most as many slices as shuffle
@@ -87,4 +88,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     )
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("top.rule").alias("n"), F.col("top.rule").alias("rule"), F.col("top.action").alias("action"))).alias("w"))
     best = best.select("host", "path", F.col("w.rule").alias("rule"), F.col("w.action").alias("verdict"))
-    return judged.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    # urls without a host meet nothing, so they are spread instead of sharing one key
+    nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*pages.columns), F.lit(1 << 20)).cast("string"))
+    judged = judged.withColumn("_key", F.when(F.col("host") == "", nothing).otherwise(F.col("host")))
+    columns = [c for c in judged.columns if c != "_key"]
+    best = best.select(F.col("host").alias("_key"), F.col("path").alias("_path"), "rule", "verdict")
+    out = judged.join(best, (judged["_key"] == best["_key"]) & (judged["path"] == best["_path"]), "left")
+    return out.select(*columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -50,3 +50,21 @@ def test_nested_rules_use_the_innermost(spark):
     rows = [(k, "http://d/" + "a" * k + "b", 0) for k in range(8)]
     got = run(spark, rows, rules)
     assert [got[k][2] for k in range(8)] == ["d/" + "a" * min(k, 5) for k in range(8)]
+
+
+def test_urls_without_a_host_are_spread(spark):
+    pages = spark.createDataFrame([(i, None if i % 2 else "no host") for i in range(200)] + [(500, "http://a.com/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.com", "/", "block")], "host string, path string, action string")
+    rows = url_filter(pages, rules).collect()
+    assert sum(r["verdict"] == "allow" and r["rule"] is None and r["host"] == "" for r in rows) == 200
+    assert [(r["rule"], r["verdict"]) for r in rows if r["page_id"] == 500] == [("a.com/", "block")]
+
+
+def test_release_frees_what_calls_have_written(spark):
+    from crosscut.llm import shared
+
+    s = shared.Scratch(spark, "test")
+    s.keep(spark.range(3))
+    assert shared.path_exists(spark, s.root)
+    shared.release()
+    assert not shared.path_exists(spark, s.root)
