@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,59 @@ MAX_BLOCK_WORDS = 200_000
 _C = np.uint64(0x9FB21C651E98DF25)
 
 
-class Automaton:
+class Screen:
+    """Finds word ranges that may hold a window, by a table of hashed pairs of neighbouring item words (or of single
+    words if an item has one word): a window holds no other pair."""
+
+    def __init__(self, least: int, bits: int = 22):
+        self.least, self.bits = least, bits
+        self.table = np.zeros(1 << bits, dtype=bool)
+
+    def add(self, seq: list[bytes]) -> None:
+        b = b" ".join(seq)
+        h, *_ = W.words(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+        self.table[self.slots(h)] = True
+
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            pairs = W.mix(h[:-1] * _C + h[1:]) if self.least > 1 else h
+        return (pairs >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def runs(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+        """Word ranges, within one text each, that may hold a window."""
+        need = max(1, self.least - 1)
+        if len(h) < self.least or not self.least:
+            return []
+        ok = self.table[self.slots(h)]
+        wide = int(self.least > 1)
+        inner = first[1:-1]
+        if wide:
+            inner = inner[(inner > 0) & (inner <= len(ok))]
+            ok[inner - 1] = False
+        edge = np.diff(np.concatenate(([0], ok.astype(np.int8), [0])))
+        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        keep = hi - lo >= need
+        out = list(zip(lo[keep].tolist(), (hi[keep] + wide).tolist(), strict=True))
+        if wide:
+            return out
+        cuts = inner.tolist()
+        return [(max(a, s), min(b, e)) for a, b in out for s, e in zip([0, *cuts], [*cuts, len(h)], strict=True) if max(a, s) < min(b, e)]
+
+    def suspects(self, texts: pa.Array) -> tuple[list[int], list[bool]]:
+        """For each text: its words, and whether it may hold a window."""
+        counts, flags = [], []
+        for lo, hi in W.slices(texts):
+            b, bounds = W.raw(texts.slice(lo, hi - lo))
+            h, _, _, first = W.words(b, bounds)
+            flag = np.zeros(hi - lo, dtype=bool)
+            starts = np.array([x for x, _ in self.runs(h, first)], dtype=np.int64)
+            flag[np.searchsorted(first, starts, side="right") - 1] = True
+            counts += np.diff(first).tolist()
+            flags += flag.tolist()
+        return counts, flags
+
+
+class Automaton(Screen):
     """Recognises every run of words that occurs in some item, and the items of each window of n words."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], n: int):
@@ -40,13 +93,9 @@ class Automaton:
                 if length >= size and at + 1 >= size:
                     own.setdefault(self.cut(state, size), set()).add(key)
         self.sizes = sorted(self.owners)
-        self.least = self.sizes[0] if self.sizes else 0
-        #: hashed pairs of neighbouring words (or single words if an item has one word): a window holds no other pair
-        self.table = np.zeros(1 << 22, dtype=bool)
+        super().__init__(self.sizes[0] if self.sizes else 0)
         for _, seq in items:
-            b = b" ".join(seq)
-            h, *_ = W.words(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
-            self.table[self.slots(h)] = True
+            self.add(seq)
 
     def _extend(self, last: int, w: bytes) -> int:
         nxt, link, length = self.next, self.link, self.len
@@ -96,31 +145,6 @@ class Automaton:
             state, length = (to, length + 1) if to is not None else (0, 0)
             yield at, state, length
 
-    def slots(self, h: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            pairs = W.mix(h[:-1] * _C + h[1:]) if self.least > 1 else h
-        return (pairs >> np.uint64(42)).astype(np.int64)
-
-    def runs(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
-        """Word ranges, within one text each, that may hold a window."""
-        need = max(1, self.least - 1)
-        if len(h) < self.least or not self.sizes:
-            return []
-        ok = self.table[self.slots(h)]
-        wide = int(self.least > 1)
-        inner = first[1:-1]
-        if wide:
-            inner = inner[(inner > 0) & (inner <= len(ok))]
-            ok[inner - 1] = False
-        edge = np.diff(np.concatenate(([0], ok.astype(np.int8), [0])))
-        lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        keep = hi - lo >= need
-        out = list(zip(lo[keep].tolist(), (hi[keep] + wide).tolist(), strict=True))
-        if wide:
-            return out
-        cuts = inner.tolist()
-        return [(max(a, s), min(b, e)) for a, b in out for s, e in zip([0, *cuts], [*cuts, len(h)], strict=True) if max(a, s) < min(b, e)]
-
 
 _cache: dict[str, Automaton] = {}
 
@@ -213,8 +237,9 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
 
     Items are dealt by a hash of their ids to automata of about max_block_words words; an item is never
     parted, so one with very many words makes its automaton larger. If one holds them all, docs are read once and nothing is shuffled. Otherwise
-    docs go through one automaton after another, with what was found written to the shared folder
-    in between.
+    documents that may hold a window are screened first, by one table of hashed word pairs of all items (of 64 MB at
+    most), and written to the shared folder; only these go through one automaton after another, with what was found
+    written in between.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -227,9 +252,22 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
     # a word and what parts it from the next are two characters at least, so this bounds the words
     sized = items.select(F.col(item_id).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).withColumn("w", F.ceil(F.length("t") / 2) + 1)
     blocks = max(1, -(-int(sized.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]) // max_block_words))
-    now = docs.select(*keep, F.col(text_col).alias("_text"))
+    block = lambda k: [(r["i"], r["t"]) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).select("i", "t").collect()]
+    now, clean = docs.select(*keep, F.col(text_col).alias("_text")), None
+    if blocks > 1:
+        least, total = n, 0
+        for k in range(blocks):
+            for _, t in block(k):
+                if w := W.word_list(t):
+                    least, total = min(least, len(w)), total + len(w)
+        screen = Screen(least if total else 0, min(26, max(22, (16 * total).bit_length())))
+        for k in range(blocks):
+            for _, t in block(k):
+                if w := W.word_list(t):
+                    screen.add(w)
+        now, clean = _screened(now, screen, keep, found, scratch)
     for b in range(blocks):
-        rows = [(r["i"], r["t"]) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).select("i", "t").collect()]
+        rows = block(b)
         passed = [*keep, "_text"] if b < blocks - 1 else keep
         schema = T.StructType([now.schema[c] for c in passed] + found)
         arrow = to_arrow_schema(schema)
@@ -242,7 +280,27 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
             now = written
         else:
             now = out
-    return now
+    return now if clean is None else now.unionByName(clean)
+
+
+def _screened(docs: DataFrame, screen: Screen, keep: list[str], found: list, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows that may hold a window, with their _text, and the others as they come out of find_spans)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([docs.schema[c] for c in (*keep, "_text")] + [T.StructField("_n", T.LongType()), T.StructField("_maybe", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, flags = screen.suspects(batch.column("_text"))
+            maybe = pa.array(flags, pa.bool_())
+            text = pc.if_else(maybe, batch.column("_text"), pa.scalar(None, batch.column("_text").type))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), text, pa.array(counts, pa.int64()), maybe], schema=arrow)
+
+    rows = scratch.keep(docs.mapInArrow(run, schema), "screened")
+    kinds = {f.name: f.dataType for f in found}
+    none = [F.col("_n").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *[F.array().cast(kinds[c]).alias(c) for c in ("spans", "items")]]
+    return rows.where("_maybe").select(*keep, "_text"), rows.where("not _maybe").select(*keep, *none)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, max_coverage: float = 0.5, text_col: str = "text", **kwargs) -> DataFrame:
