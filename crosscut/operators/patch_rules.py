@@ -125,7 +125,8 @@ def analyze_lines(lines: DataFrame, max_findings: int | None = MAX_FINDINGS, kin
     wanted = set(RULE_IDS if kinds is None else kinds)
     if kinds is not None and max_findings is not None:
         raise ValueError("the cap counts findings of all kinds")
-    mine = [(i + 1, *r) for i, r in enumerate(line_rules()) if r[0] in wanted]
+    rules = line_rules()
+    mine = [(i + 1, *r) for i, r in enumerate(rules) if r[0] in wanted]
     near = {f for r in mine for f in r[4]}
     raw, added = F.col("raw"), F.col("op") == "+"
     shapes, names, calls, catches = ("MIXED_RESPONSE_SHAPES" in wanted, "GLOBAL_MUTATION" in wanted, "NO_CACHING" in wanted, "SILENT_ERROR" in wanted)
@@ -205,7 +206,7 @@ def analyze_lines(lines: DataFrame, max_findings: int | None = MAX_FINDINGS, kin
         nth = F.sum((order == 102).cast("int")).over(file.orderBy("idx", "rule_ord"))
         e = e.withColumns({"_had": had, "_call": nth}).where((order != 102) | (F.col("_had") + F.col("_call") <= max_findings))
 
-    rows = [(i + 1, kind, sev if isinstance(sev, str) else None) for i, (kind, sev, _, _) in enumerate(line_rules())]
+    rows = [(i + 1, kind, sev if isinstance(sev, str) else None) for i, (kind, sev, _, _) in enumerate(rules)]
     kinds_of = {o: k for o, k, _ in rows} | {0: "MIXED_RESPONSE_SHAPES", 101: "GLOBAL_MUTATION", 102: "NO_CACHING"}
     severities = {o: s for o, _, s in rows if s} | {0: "medium", 101: "high"}
     severity = F.coalesce(lookup(severities, order), F.when(order == 102, F.when(F.col("outside"), "high").otherwise("medium")))
