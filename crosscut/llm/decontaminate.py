@@ -202,12 +202,12 @@ def _join_spans(a: list[tuple], b: list[tuple]) -> list[list]:
     return out
 
 
-def _matcher(key: str, items: list, n: int, passed: list[str], before: bool, schema: pa.Schema) -> Callable:
+def _matcher(key: str, items: list, n: int, source: str, passed: list[str], before: bool, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = _automaton(key, items, n)
         names = ("start", "end", "words", "longest")
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(source)
             got = [list(g) for g in matches(auto, texts)]
             if before:
                 for k, (spans, owners) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
@@ -253,7 +253,10 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
     sized = items.select(F.col(item_id).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).withColumn("w", F.ceil(F.length("t") / 2) + 1)
     blocks = max(1, -(-int(sized.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]) // max_block_words))
     block = lambda k: [(r["i"], r["t"]) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).select("i", "t").collect()]
-    now, clean = docs.select(*keep, F.col(text_col).alias("_text")), None
+    # a text that is kept crosses to Python once
+    source = text_col if text_col in keep else "_text"
+    extra = [] if source in keep else [source]
+    now, clean = docs.select(*keep, *[F.col(text_col).alias(c) for c in extra]), None
     if blocks > 1:
         least, total = n, 0
         for k in range(blocks):
@@ -265,14 +268,14 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
             for _, t in block(k):
                 if w := W.word_list(t):
                     screen.add(w)
-        now, clean = _screened(now, screen, keep, found, scratch)
+        now, clean = _screened(now, screen, source, keep, found, scratch)
     for b in range(blocks):
         rows = block(b)
-        passed = [*keep, "_text"] if b < blocks - 1 else keep
+        passed = [*keep, *extra] if b < blocks - 1 else keep
         schema = T.StructType([now.schema[c] for c in passed] + found)
         arrow = to_arrow_schema(schema)
         digest = hashlib.sha256(repr((n, rows)).encode()).hexdigest()
-        out = now.mapInArrow(_matcher(digest, rows, n, passed, b > 0, arrow), schema)
+        out = now.mapInArrow(_matcher(digest, rows, n, source, passed, b > 0, arrow), schema)
         if b < blocks - 1:
             written = scratch.keep(out)
             if b:
@@ -283,24 +286,27 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
     return now if clean is None else now.unionByName(clean)
 
 
-def _screened(docs: DataFrame, screen: Screen, keep: list[str], found: list, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows that may hold a window, with their _text, and the others as they come out of find_spans)."""
+def _screened(docs: DataFrame, screen: Screen, source: str, keep: list[str], found: list, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows that may hold a window, and the others as they come out of find_spans). A text that is not kept is written for the former only."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([docs.schema[c] for c in (*keep, "_text")] + [T.StructField("_n", T.LongType()), T.StructField("_maybe", T.BooleanType())])
+    schema = T.StructType([*docs.schema, T.StructField("_n", T.LongType()), T.StructField("_maybe", T.BooleanType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, flags = screen.suspects(batch.column("_text"))
+            text = batch.column(source)
+            counts, flags = screen.suspects(text)
             maybe = pa.array(flags, pa.bool_())
-            text = pc.if_else(maybe, batch.column("_text"), pa.scalar(None, batch.column("_text").type))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), text, pa.array(counts, pa.int64()), maybe], schema=arrow)
+            cols = {c: batch.column(c) for c in batch.schema.names}
+            if source not in keep:
+                cols[source] = pc.if_else(maybe, text, pa.scalar(None, text.type))
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(counts, pa.int64()), maybe], schema=arrow)
 
     rows = scratch.keep(docs.mapInArrow(run, schema), "screened")
     kinds = {f.name: f.dataType for f in found}
     none = [F.col("_n").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *[F.array().cast(kinds[c]).alias(c) for c in ("spans", "items")]]
-    return rows.where("_maybe").select(*keep, "_text"), rows.where("not _maybe").select(*keep, *none)
+    return rows.where("_maybe").select(*docs.columns), rows.where("not _maybe").select(*keep, *none)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, max_coverage: float = 0.5, text_col: str = "text", **kwargs) -> DataFrame:

@@ -87,11 +87,13 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics(batch.column("_text"))
+            x = statistics(batch.column(source))
             stats = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(STATS))], names=STATS)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats], schema=arrow)
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    # a text that is kept crosses to Python once
+    source = text_col if text_col in keep else "_text"
+    return docs.select(*keep, *([] if source in keep else [F.col(text_col).alias(source)])).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
