@@ -132,8 +132,9 @@ def issues_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comment_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = n_(spark, sf_dir).where("seq <= 3")
-    return group.needs_comment(f, score.scores(f)).select("pr_id", "score")
+    """Each file of a change set as one of its own, so that some need no comment."""
+    f, by = n_(spark, sf_dir), ("pr_id", "file")
+    return group.needs_comment(f, score.scores(f, by=by), by=by).select("pr_id", "file", "score")
 
 
 def validation_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,7 +371,7 @@ SELECT file_key, filename, '## File Structure: ' || filename || chr(10) || chr(1
     "exec_summary_input": f"{_N}, f AS (SELECT pr_id, kind, file, count(*) AS n, max({_ORD}) AS o, min(seq) AS q FROM findings GROUP BY 1, 2, 3) SELECT pr_id, kind, CAST(sum(n) AS BIGINT) AS count, {_NAME('max(o)')} AS severity, string_agg(file, ',' ORDER BY q) AS files FROM f GROUP BY 1, 2",
     "llm_candidates_top3": f"{_N}, f AS (SELECT pr_id, file, max({_ORD}) AS o, min(seq) AS q FROM findings WHERE file NOT IN ('src/f7.ts', 'src/f8.ts') GROUP BY 1, 2) SELECT pr_id, file, {_NAME('o')} AS severity, row_number() OVER (PARTITION BY pr_id ORDER BY o DESC, q) AS rank FROM f QUALIFY rank <= 3",
     "issues_threshold_topk": f"{_N}, g AS (SELECT pr_id, kind, count(*) AS count, min(seq) AS q, {_loc('seq', '[1:5]')} AS locations FROM findings WHERE severity IN ('high', 'medium') GROUP BY 1, 2) SELECT pr_id, kind, count, locations, greatest(count - 5, 0) AS more, row_number() OVER (PARTITION BY pr_id ORDER BY q) AS rank FROM g QUALIFY rank <= 3",
-    "comment_gate": f"{_N}, f3 AS (SELECT * FROM findings WHERE seq <= 3), {_score_sql('f3', 'pr_id')} SELECT pr_id, score FROM labelled WHERE score < 60 OR pr_id IN (SELECT pr_id FROM f3 WHERE severity = 'high')",
+    "comment_gate": f"{_N}, {_score_sql('findings', 'pr_id, file')} SELECT pr_id, file, score FROM labelled WHERE score < 60 OR (pr_id, file) IN (SELECT (pr_id, file) FROM findings WHERE severity = 'high')",
     "validation_defaults": f"{_N}, {_VALID} SELECT pr_id, seq, asked, round(confidence, 6) AS confidence, false_positive FROM valid",
     "api_result": f"{_N}, {_VALID}, {_REAL}, {_score_sql('real', 'pr_id')}, c AS (SELECT pr_id, count(*) AS total FROM real GROUP BY 1), d AS (SELECT pr_id, count(*) AS n_details, count(*) FILTER (false_positive) AS n_false FROM valid GROUP BY 1) SELECT pr_id, score, total, n_details, n_false FROM labelled JOIN c USING (pr_id) LEFT JOIN d USING (pr_id)",
     "llm_overlap_filter": f"{_N}, {_VALID}, i AS (SELECT pr_id, seq, CASE WHEN seq % 4 <> 0 THEN file END AS file, ([{', '.join(repr(k) for k in validation.OVERLAPS)}])[seq % 6 + 1] AS kind FROM findings) SELECT pr_id, seq, file, kind FROM i WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.false_positive AND v.pr_id = i.pr_id AND v.file = i.file AND ({_overlap}))",
