@@ -36,11 +36,14 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     scratch = Scratch(spark, "pipeline")
     again = scratch.keep(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again")), "again")
-    made = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1))
-    known = docs.join(checked(again), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    plain = known.where("_again is null").select(F.col("doc_id").alias("_key"), *docs.columns)
-    odd = known.where("_again").select(made.alias("_key"), *docs.columns).dropDuplicates(["_key"])
-    docs, columns = plain.unionByName(odd), docs.columns
+    columns = docs.columns
+    if again.limit(1).count():
+        made = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1))
+        known = docs.join(checked(again), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+        plain = known.where("_again is null").select(F.col("doc_id").alias("_key"), *columns)
+        docs = plain.unionByName(known.where("_again").select(made.alias("_key"), *columns).dropDuplicates(["_key"]))
+    else:
+        docs = docs.withColumn("_key", F.col("doc_id"))
     gone = scratch.keep(ngram_join(docs.select("_key", "text"), id_col="_key").where(~F.col("kept")).select("_key"), "gone")
     return docs.join(checked(gone), "_key", "left_anti").select(*columns)
 

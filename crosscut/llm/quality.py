@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -109,6 +110,14 @@ class Model:
     bias: float
     rules: tuple[Rule, ...]
 
+    def dumps(self) -> str:
+        return json.dumps([self.bias, [[r.when, r.weight] for r in self.rules]])
+
+    @staticmethod
+    def loads(text: str) -> Model:
+        bias, rules = json.loads(text)
+        return Model(bias, tuple(Rule(tuple(tuple(c) for c in when), weight) for when, weight in rules))
+
     def column(self, stats: str = "_stats") -> Column:
         """The score as one column expression."""
         parts = [F.lit(self.bias)]
@@ -277,10 +286,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     mine = mine.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     chosen = spark.createDataFrame(mine.collect(), mine.schema)  # max_rows at most
     rows = with_statistics(docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]), ["_id", "_y"], text_col)
-    rows = rows.groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_stats").alias("_stats")).orderBy("_id").collect()  # max_rows at most
-    x = np.array([list(r["_stats"]) for r in rows], dtype=np.float64).reshape(-1, len(STATS))
-    fold = np.array([zlib.crc32(f"fold {r['_id']}".encode()) % FOLDS for r in rows], dtype=np.int64)
-    return fit_rules(x, np.array([r["_y"] for r in rows], dtype=np.float64), fold=fold)
+    rows = rows.groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_stats").alias("_stats"))
+    made = rows.groupBy(F.lit(0).alias("_g")).applyInArrow(_fit_table, "model string").collect()  # one task, max_rows at most
+    return Model.loads(made[0]["model"]) if made else Model(0.0, ())
+
+
+def _fit_table(t: pa.Table) -> pa.Table:
+    """The model of all rows (_id, _y, _stats), as text. It is fitted in a task, which the driver need not have the memory for."""
+    t = t.sort_by("_id")
+    stats = t.column("_stats").combine_chunks()
+    x = np.column_stack([stats.field(c).to_numpy(zero_copy_only=False) for c in STATS])
+    fold = np.array([zlib.crc32(f"fold {i}".encode()) % FOLDS for i in t.column("_id").to_pylist()], dtype=np.int64)
+    model = fit_rules(x, t.column("_y").to_numpy().astype(np.float64), fold=fold)
+    return pa.table({"model": [model.dumps()]})
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
