@@ -23,7 +23,7 @@ MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold no main text.
 SIDE_TAGS = frozenset("nav header footer aside form script style noscript template iframe svg button select option textarea head title dialog object canvas annotation".split())
-#: Containers may be named as what they hold: a class, role or id all of whose words are among these marks them. It is
+#: Containers and paragraphs may be named as what they hold: a class, role or id all of whose words are among these marks them. It is
 #: the last evidence, for what is laid out like main text; a template can overrule it. Words of QUALIFIERS may stand beside
 #: those of SIDE_NAMES, but for a header, which an article may have unless it is the site's.
 CONTAINERS = frozenset("div section ul ol dl table details center fieldset figure".split())
@@ -108,8 +108,8 @@ class Stack:
             classes = sorted(set(a.get("class", "").lower().split()))
             if classes:
                 name = f"{tag}.{'.'.join(classes)}"
-            if tag in CONTAINERS:
-                told = [n for n in (*classes, a.get("role", "").lower(), a.get("id", "").lower()) if n and side_name(n)]
+            if tag in CONTAINERS or tag == "p":  # a paragraph's id may be made from its words
+                told = [n for n in (*classes, a.get("role", "").lower(), a.get("id", "").lower() if tag != "p" else "") if n and side_name(n)]
                 marked, readers = bool(told), any(READERS.intersection(WORDS.findall(n)) for n in told)
         self.tags.append(tag)
         self.paths.append(xxhash.xxh64_intdigest(name, seed=self.paths[-1]))

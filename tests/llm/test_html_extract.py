@@ -88,7 +88,8 @@ def test_the_template_decides(spark):
 
 def test_names_are_the_last_evidence():
     kept = ["<div class=entry-header><h1>T</h1></div>", "<p class=post-header>T</p>", "<p id=share-price>T</p>", "<h2 class=comment>T</h2>"]
-    gone = ["<div class=replies>T</div>", "<section id=discussion>T</section>", "<ul class='post-comments'><li>T</ul>", "<div role=alert>T</div>", "<div class='site-header'>T</div>", "<div class='x1 cookie-notice'>T</div>"]
+    kept += ["<p id=comment>T</p>", "<p><span class=ad>T</span></p>"]
+    gone = ["<p class=advert>T</p>", "<div class=replies>T</div>", "<section id=discussion>T</section>", "<ul class='post-comments'><li>T</ul>", "<div role=alert>T</div>", "<div class='site-header'>T</div>", "<div class='x1 cookie-notice'>T</div>"]
     for part in kept:
         assert by_itself(f"<article>{part}<p>b</p></article>") == "T\nb"
     for part in gone:
