@@ -68,7 +68,7 @@ def with_neighbourhood(lines: DataFrame, names: list[str] | None = None) -> Data
 
 
 def silent_catch(next_lines: Column) -> Column:
-    """Whether the catch on the first of these (at most 10) lines swallows the error.
+    """Whether the catch on the first of these (at most 10) lines swallows the error. Nulls stand for lines past the last one.
 
     Braces are counted from there; once a { was seen, the lines after the first belong to the block, until the
     count is 0. Without braces that block is empty, blank, comments, or only plain logging.
@@ -83,7 +83,7 @@ def silent_catch(next_lines: Column) -> Column:
         nxt = F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), is_open.alias("open"), (is_open & (depth == 0)).alias("done"), text.alias("text"))
         return F.when(s["done"], s).otherwise(nxt)
 
-    block = F.aggregate(next_lines, start, step)["text"]
+    block = F.aggregate(F.array_compact(next_lines), start, step)["text"]
     block = F.regexp_replace(F.regexp_replace(block, "[{}]", ""), r"\A\s+|\s+\z", "")
     only_comments = F.regexp_replace(block, "//[^\n]*", "").rlike(r"\A\s*\z")
     only_logging = block.rlike(r"\A(?:\s*console\.(?:log|error|warn)\([^)]*\);\s*)+\z") & ~block.rlike("throw|return|reject")

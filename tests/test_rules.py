@@ -31,6 +31,10 @@ CASES = [
     (["app.get('/', h)", "const n = req.body.n"], ("UNVALIDATED_INPUT", 2), True),
     (["app.get('/', h)", "const n = schema.parse(req.body)"], ("UNVALIDATED_INPUT", 2), False),
     (["} catch (e) {", "}"], ("SILENT_ERROR", 1), True),
+    (["catch (e) {"], ("SILENT_ERROR", 1), True),
+    (["catch (e) {", "}"], ("SILENT_ERROR", 1), True),
+    (["catch (e) {", "  // nothing"], ("SILENT_ERROR", 1), True),
+    (["catch (e) {", "  recover()"], ("SILENT_ERROR", 1), False),
     (["let n = 0", "n = n + 1"], ("GLOBAL_MUTATION", 1), True),
     (["const n = 0", "m = n + 1"], ("GLOBAL_MUTATION", 1), False),
     (["fetch('http://a/x')", "y()", "fetch('http://a/x')"], ("NO_CACHING", 1), True),
