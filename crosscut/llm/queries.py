@@ -81,6 +81,25 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair(damaged(rows), rows.select("conv_id"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_join": op2_ngram_join,
@@ -92,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
@@ -201,5 +223,88 @@ least_id AS (SELECT a, min(b) AS m FROM reach GROUP BY 1),
 direct AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(m, vec_id), vec_id) AS component_id, coalesce(least(m, vec_id), vec_id) = vec_id AS kept
 FROM v LEFT JOIN least_id ON least_id.a = vec_id LEFT JOIN direct ON direct.a = vec_id
+""",
+    "op12_source_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+per_doc AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(ts) AS term FROM docs) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM per_doc GROUP BY ALL HAVING count(*) >= 30),
+posts AS (SELECT lang, source, term, sum(per_doc.n) AS n FROM per_doc JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+totals AS (SELECT lang, source, sum(n) AS total FROM posts GROUP BY ALL),
+-- every kept term in every group
+dense AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(p.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(p.n, 0)::HUGEINT + 5)) // (coalesce(t.total, 0)::HUGEINT + 5 * l.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n::HUGEINT + 5)) // (l.total::HUGEINT + 5 * l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN posts p ON p.lang = g.lang AND p.source = g.source AND p.term = k.term
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM rows)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+    "op13_exact_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t, row_number() OVER () AS r FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER g = 1 AS kept, sha256(t) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY t ORDER BY doc_id NULLS LAST, r)
 """,
 }
+
+_crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+
+def _edit(way: str, cost: str, letter: str, line: str | None) -> str:
+    """A way of a conversation's rows so far, one edit longer; null stays null."""
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 'r': {f'list_append({way}.r, {line})' if line else f'{way}.r'}}} END"
+
+
+def _after_inserts(cols: str) -> str:
+    user = lambda s: _edit(s, "3", "I", "'user:'")
+    two = f"list_min([s2, {user('s0')}, {user('s1')}, {user('s3')}])"
+    return f"SELECT {cols}, s0, s1, s2, list_min([s3, {_edit('s2', '3', 'I', chr(39) + 'assistant:' + chr(39))}]) AS s3 FROM (SELECT {cols}, s0, s1, {two} AS s2, s3 FROM layer)"
+
+
+def _step(state: int) -> str:
+    ways = [_edit(f"s{state}", "4", "D", None)]
+    for s in {1: [0], 2: [0, 1, 3], 3: [2]}.get(state, []):
+        ways.append(f"CASE WHEN NOT bad AND initial = '{' sua'[state]}' THEN {_edit(f's{s}', 'more', 'K', chr(34) + 'role' + chr(34) + ' || chr(58) || text')} END")
+        if state > 1:
+            ways.append(f"CASE WHEN NOT bad THEN {_edit(f's{s}', '3 + more', 'R', repr(('user:', 'assistant:')[state - 2]) + ' || text')} END")
+    return f"list_min([{', '.join(ways)}]) AS s{state}"
+
+
+_cols = "conv_id, n, i"
+SQL["op11_conversation_repair"] = rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce("role", ' ') AS "role", coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+ways AS (SELECT *, {_crc} % 20 AS way FROM given),
+harmed AS (
+  SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE "role" END AS "role", CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM ways, range(2) t(twice) WHERE way <> 0 AND (way = 3 OR twice = 0)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, "role", text) AS pos FROM harmed),
+judged AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, "role", text ORDER BY pos) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open, substr("role", 1, 1) AS initial, lag(substr("role", 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed),
+line AS MATERIALIZED (SELECT conv_id, pos, "role", text, initial, blank OR again AS bad, CASE WHEN open THEN 3 ELSE 0 END AS more FROM judged),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (open AND NOT blank AND NOT again) AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1),
+layer AS (
+  SELECT conv_id, count(*) AS n, 0 AS i, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS s0, NULL::STRUCT(c INT, a VARCHAR, r VARCHAR[]) AS s1, NULL::STRUCT(c INT, a VARCHAR, r VARCHAR[]) AS s2, NULL::STRUCT(c INT, a VARCHAR, r VARCHAR[]) AS s3
+  FROM line GROUP BY 1
+  UNION ALL SELECT conv_id, n, i + 1, {', '.join(map(_step, range(4)))}
+  FROM ({_after_inserts(_cols)}) w JOIN (SELECT conv_id AS cid, pos, "role", text, initial, bad, more FROM line) l ON w.conv_id IS NOT DISTINCT FROM l.cid AND l.pos = i + 1),
+best AS (SELECT conv_id, list_min([s0, s3]) AS b FROM ({_after_inserts(_cols)}) WHERE i = n)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
