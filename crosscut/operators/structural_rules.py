@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of
-from .syntax import syntax_nodes
+from .nodes import syntax_nodes
 
 # What calls of each language are looked for.
 JS_IO = "fetch axios axios.get axios.post axios.put axios.delete axios.patch axios.request http.get http.request https.get https.request fs.readFile fs.writeFile fs.appendFile fs.readFileSync fs.writeFileSync fs.appendFileSync fs.unlink fs.mkdir fs.readdir readFile writeFile readFileSync writeFileSync query execute findMany findAll findOne findFirst findUnique create insert update delete save find aggregate insertOne insertMany updateOne updateMany deleteOne deleteMany".split()
@@ -82,13 +82,13 @@ def structural_findings(nodes: DataFrame) -> DataFrame:
     race = lambda a: F.struct(F.lit(len(rules)).alias("rule"), F.lit("CHECK_THEN_ACT_RACE").alias("kind"), F.lit("medium").alias("severity"), F.lit("high").alias("confidence"), F.concat(F.substring("text", 1, 60), F.lit(" ... "), F.substring(a, 1, 40)).alias("snippet"))
     plain = F.transform(F.array_compact(F.array(*hit)), lambda f: F.struct(f["rule"].alias("rule"), f["kind"].alias("kind"), f["severity"].alias("severity"), f["confidence"].alias("confidence"), F.substring("text", 1, 100).alias("snippet")))
     races = F.transform(F.coalesce("acts", F.array().cast("array<string>")), race)
-    every = x.select("file_key", "node_id", "line", *context, F.explode(F.concat(plain, races)).alias("f")).select("file_key", "node_id", "line", *context, "f.*")
+    every = x.select("file_key", "at", "line", *context, F.explode(F.concat(plain, races)).alias("f")).select("file_key", "at", "line", *context, "f.*")
 
     from ..functions.rules import lookup
     from .patch_rules import MESSAGES
 
-    # nodes of a file are fewer than 10^7, so this is their order within a rule
-    return every.withColumns({"seq": F.col("rule").cast("long") * 10_000_000 + F.col("node_id"), "message": lookup(MESSAGES, F.col("kind"))}).drop("rule", "node_id")
+    # contents have fewer than 2^40 characters, so this is the order of nodes within a rule
+    return every.withColumns({"seq": F.col("rule").cast("long") * (1 << 40) + F.col("at"), "message": lookup(MESSAGES, F.col("kind"))}).drop("rule", "at")
 
 
 def analyze_structure(files: DataFrame, changed: DataFrame | None = None) -> DataFrame:

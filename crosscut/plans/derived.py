@@ -183,3 +183,110 @@ def hook_events(events: DataFrame) -> DataFrame:
         _pick(n % 5, ["cancelled", "pending_change", "changed", "purchased", "purchased"]).alias("purchase"),
         _pick(n % 3, ["Team Monthly", "Starter", "Hobby"]).alias("plan_name"),
     )
+
+
+# Sources with blocks, comments and texts over several lines: (line, what its bracket or word opens, whether that is async, its name)
+BRACE_LINES: list[tuple[str, str | None, bool, str]] = [
+    ("async function load(id) {", "func", True, "load"),
+    ("  for (const u of users) {", "loop", False, ""),
+    ("  try {", "try", False, ""),
+    ("  } catch (e) {", "catch", False, ""),
+    ("}", None, False, ""),
+    ("} // closed", None, False, ""),
+    ("  if (ready) {", "block", False, ""),
+    ("users.forEach(async (u) => {", "func", True, ""),
+    ("})", None, False, ""),
+    ("class Store {", "class", False, "Store"),
+    ("/* opened here {", None, False, ""),
+    ("closed here */ const b = 'x'", None, False, ""),
+    ("const text = `one ${name}", "other", False, ""),
+    ("two` // after", None, False, ""),
+    ("const known = await users.findOne(key)", None, False, ""),
+    ("users.create(key)", None, False, ""),
+    ("const s = \"a { b\" + '} c'", None, False, ""),
+    ("// note } {", None, False, ""),
+    ("const go = async (a) => {", "func", True, "go"),
+    ("function plain(a, b) {", "func", False, "plain"),
+    ("while (more(a)) {", "loop", False, ""),
+    ("total += 1;", None, False, ""),
+    ("", None, False, ""),
+    ("}", None, False, ""),
+]
+PYTHON_LINES: list[tuple[str, str | None, bool, str]] = [
+    ("def load(a):", "func", False, "load"),
+    ("    for u in users:", "loop", False, ""),
+    ("        requests.get(u)", None, False, ""),
+    ("    try:", "try", False, ""),
+    ("        call(u)", None, False, ""),
+    ("    except ValueError:", "catch", False, ""),
+    ("        pass", None, False, ""),
+    ("async def run(request):", "func", True, "run"),
+    ("    time.sleep(1)", None, False, ""),
+    ("class K:", "class", False, "K"),
+    ("    def m(self):", "func", False, "m"),
+    ("        return 1", None, False, ""),
+    ('"""text def x():', None, False, ""),
+    ('end of text"""', None, False, ""),
+    ("x = '#no' # yes", None, False, ""),
+    ("", None, False, ""),
+    ("# note", None, False, ""),
+    ("while more:", "loop", False, ""),
+    ("    go()", None, False, ""),
+    ("        async def inner():", "func", True, "inner"),
+    ("            deep()", None, False, ""),
+    ("    s = '''one", None, False, ""),
+    ("two'''", None, False, ""),
+    ("y = \"a\" + 'b'", None, False, ""),
+]
+RUBY_LINES: list[tuple[str, str | None, bool, str]] = [
+    ("class K", "class", False, "K"),
+    ("  def m(a)", "func", False, "m"),
+    ("  end", "end", False, ""),
+    ("end", "end", False, ""),
+    ("users.each do |u|", "loop", False, ""),
+    ("  fetch(u)", None, False, ""),
+    ("begin", "try", False, ""),
+    ("rescue => e", None, False, ""),
+    ("=begin", None, False, ""),
+    ("=end", None, False, ""),
+    ("x = 'a' # b", None, False, ""),
+    ('y = "one', None, False, ""),
+    ('two"', None, False, ""),
+    ("if ready", "block", False, ""),
+    ("puts 'if' + \"end\"", None, False, ""),
+    ("# end", None, False, ""),
+    ("", None, False, ""),
+    ("def self.k", "func", False, "self.k"),
+    ("end", "end", False, ""),
+    ("  end", "end", False, ""),
+    ("list.map(&block)", None, False, ""),
+    ("while more", "block", False, ""),
+    ("end", "end", False, ""),
+    ("work", None, False, ""),
+]
+_SLOT = "(l_partkey + 3 * l_suppkey) % 24 + 1"
+
+
+def sql_texts(rows: list[tuple]) -> str:
+    return "[" + ", ".join(_text(r[0]) for r in rows) + "]"
+
+
+SOURCES_SQL = f"""
+source_lines AS MATERIALIZED (
+  SELECT o_custkey AS file_key, row_number() OVER (PARTITION BY o_custkey ORDER BY {", ".join(ORDER)}) AS line, CASE WHEN o_custkey % 5 < 3 THEN 1 WHEN o_custkey % 5 = 3 THEN 2 ELSE 3 END AS family,
+    {_SLOT} AS slot FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+sources AS MATERIALIZED (
+  SELECT file_key, family, 'src/s' || file_key || (['.ts', '.js', '.go', '.py', '.rb'])[file_key % 5 + 1] AS filename,
+    string_agg(CASE family WHEN 1 THEN ({sql_texts(BRACE_LINES)})[slot] WHEN 2 THEN ({sql_texts(PYTHON_LINES)})[slot] ELSE ({sql_texts(RUBY_LINES)})[slot] END, chr(10) ORDER BY line) AS content
+  FROM source_lines GROUP BY ALL)"""
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_key, filename, content): one source a customer in five languages, its lines in the order of corpus_lines, as they come."""
+    x = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    slot, lang = F.expr(_SLOT).cast("int"), F.col("o_custkey") % 5
+    pick = lambda rows: F.element_at(F.array(*[F.lit(r[0]) for r in rows]), slot)
+    body = F.when(lang < 3, pick(BRACE_LINES)).when(lang == 3, pick(PYTHON_LINES)).otherwise(pick(RUBY_LINES))
+    x = x.groupBy(F.col("o_custkey").alias("file_key")).agg(F.array_sort(F.collect_list(F.struct(*ORDER, body.alias("body")))).alias("l"))
+    name = F.concat(F.lit("src/s"), F.col("file_key").cast("string"), _pick(F.col("file_key") % 5, [".ts", ".js", ".go", ".py", ".rb"]))
+    return x.select("file_key", name.alias("filename"), F.array_join(F.transform("l", lambda s: s["body"]), "\n").alias("content"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rules import CATEGORIES, COMPLEX_RULES, DESCRIPTIONS, HEAVY_KINDS, STRUCTURAL_KINDS
-from ..operators import group, merge, outline, patch_rules, report, review_answers, score, structural_rules, syntax, validation
+from ..operators import group, merge, outline, patch_rules, report, review_answers, score, source_lines, structural_rules, validation
 from ..sources import scans
 from ..sources.config import apply_rules, load
 from ..streaming import state
@@ -296,17 +296,13 @@ def ast_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ast_read_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.read_status(_snippets(spark, sf_dir))
-
-
-def ignored_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.ignored_ranges(_snippets(spark, sf_dir))
+    return source_lines.read_status(_snippets(spark, sf_dir))
 
 
 def hybrid_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     src, whole = derived.corpus_lines(spark, sf_dir), _snippets(spark, sf_dir)
     textual = patch_rules.analyze_lines(src).withColumn("seq", F.col("idx") * 1000 + F.col("rule_ord")).select("file_key", "seq", "line", "kind")
-    textual = merge.outside_ranges(textual, syntax.ignored_ranges(whole))
+    textual = merge.outside_ranges(textual, source_lines.ignored_ranges(source_lines.source_lines(whole)))
     return merge.merge_structural(structural_rules.analyze_structure(whole).select("file_key", "seq", "line", "kind"), textual).select("file_key", "seq", "line", "kind", "origin")
 
 
@@ -314,7 +310,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     score_per_file, score_per_pr, score_multiplier, score_excluding_fp, label_hist, severity_counts, group_by_kind, group_validated, arch_summary, exec_summary_input,
     llm_candidates_top3, issues_threshold_topk, comment_gate, validation_defaults, api_result, llm_overlap_filter, rule_overrides, ignore_globs, context_filter,
     merge_precedence, dedup_fullfile, baseline_stats, baseline_findings, bounded_fetch, compact_structure, language_detect, llm_json_parse, webhook_routing, quota_monthly,
-    rate_limit_windows, plan_latest, grouped_report, check_runs, architecture_report, baseline_report, file_outlines, ast_findings, ast_read_status, ignored_ranges, hybrid_findings, pull_requests_end_to_end,
+    rate_limit_windows, plan_latest, grouped_report, check_runs, architecture_report, baseline_report, file_outlines, ast_findings, ast_read_status, hybrid_findings, pull_requests_end_to_end,
 )}
 
 _desc = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DESCRIPTIONS.items()) + " ELSE coalesce(nullif(message, ''), kind) END"

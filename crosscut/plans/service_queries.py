@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rules import COMPLEX_RULES, RULE_IDS
-from ..operators import group, lines, outline, report, review_answers, score, service, structural_rules, syntax
+from ..operators import group, lines, outline, report, review_answers, score, service, source_lines, structural_rules
 from ..sources import config, scans
 from . import analyses, derived, snippets
 from .finding_queries import _FILES, _N, _NAME, _ORD, _VALID, _answers, _score_sql, _sql_list, _snapshots, n_, valid
@@ -149,7 +149,7 @@ def positions_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions beside ranges of one or several lines: whether they lie in them, and whether their whole line does."""
     k = F.col("p_partkey")
     r = derived.read(spark, sf_dir, "part").select("p_partkey", (k % 9 + 1).cast("int").alias("start_line"), (k % 5).cast("int").alias("start_col"), (k % 9 + 1 + k % 3).cast("int").alias("end_line"), (k % 7 + 1).cast("int").alias("end_col"), (k % 11 + 1).cast("int").alias("line"), (k % 8).cast("int").alias("col"))
-    return r.select("p_partkey", syntax.in_range(F.col("line"), F.col("col")).alias("inside"), syntax.inside_lines(F.col("line")).alias("whole_line"))
+    return r.select("p_partkey", source_lines.in_range(F.col("line"), F.col("col")).alias("inside"), source_lines.inside_lines(F.col("line")).alias("whole_line"))
 
 
 def tree_of_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +169,7 @@ def ast_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ast_snippet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.read_status(_written(spark, sf_dir, snippets.SNIPPETS)).select("file_key", "language", "parse_success")
+    return source_lines.read_status(_written(spark, sf_dir, snippets.SNIPPETS)).select("file_key", "language", "parse_success")
 
 
 def hybrid_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ def hybrid_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ignored_range_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.ignored_ranges(_written(spark, sf_dir, snippets.RANGES)).select("file_key", "range_type", "start_line", "end_line")
+    return source_lines.ignored_ranges(source_lines.source_lines(_written(spark, sf_dir, snippets.RANGES))).select("file_key", "range_type", "start_line", "end_line")
 
 
 def outline_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
