@@ -11,12 +11,18 @@ from ..functions.rules import STRUCTURAL_KINDS
 def outside_ranges(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     """Findings of which the line lies in no comment or string range of its file.
 
-    A marker for unfinished work is looked for in comments, so only strings hide it. Files without ranges keep all. The
-    join is dealt by file; findings without a line stay.
+    A marker for unfinished work is looked for in comments, so only strings hide it. Files without ranges keep all; findings
+    without a line stay. Findings and the starts of ranges are swept in order of lines: a line is inside one if the furthest end
+    so far is not before it, so no finding meets the ranges of its file one by one.
     """
-    f, r = findings.alias("f"), ranges.select("file_key", "start_line", "end_line", "range_type").alias("r")
-    within = (F.col("f.file_key") == F.col("r.file_key")) & F.col("f.line").between(F.col("r.start_line"), F.col("r.end_line"))
-    return f.join(r, within & ~((F.col("f.kind") == "TEMPORARY_HACK") & (F.col("r.range_type") == "comment")) & (F.col("f.line") != 0), "left_anti")
+    c = F.col
+    starts = ranges.select("file_key", c("start_line").cast("long").alias("line"), F.lit(0).alias("late"), c("end_line").cast("long").alias("any_end"), F.when(~c("range_type").eqNullSafe("comment"), c("end_line").cast("long")).alias("string_end"))
+    asked = findings.select("file_key", c("line").cast("long").alias("line"), F.lit(1).alias("late"), F.struct("*").alias("finding"))
+    sweep = Window.partitionBy("file_key").orderBy("line", "late").rowsBetween(Window.unboundedPreceding, 0)
+    x = starts.unionByName(asked, allowMissingColumns=True).withColumns({"any_end": F.max("any_end").over(sweep), "string_end": F.max("string_end").over(sweep)})
+    end = F.when(c("finding.kind") == "TEMPORARY_HACK", c("string_end")).otherwise(c("any_end"))
+    hidden = (c("line") != 0) & (end >= c("line"))
+    return x.where((c("late") == 1) & ~F.coalesce(hidden, F.lit(False))).select("finding.*")
 
 
 def new_findings(findings: DataFrame, known: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..functions.rules import FILE_RULES
 from ..operators import file_rules, group, lines, merge, patch_rules, score, suppress, validation
 from ..sources.config import Config, apply_rules
+from ..sources.staging import running, staged
 
 
 def analyze_pull_requests(files: DataFrame, config: Config | None = None, contents: DataFrame | None = None, structural: DataFrame | None = None, ranges: DataFrame | None = None, keyword: str = suppress.KEYWORD) -> DataFrame:
@@ -51,16 +52,15 @@ def analyze_pull_requests(files: DataFrame, config: Config | None = None, conten
 def analyze_repository(snapshots: DataFrame, config: Config | None = None, rules: Iterable[str] = FILE_RULES, max_files: int = 200, keyword: str = suppress.KEYWORD) -> tuple[DataFrame, DataFrame]:
     """(findings, stats) of (repo, file_key, file_ord, filename, content): a baseline scan of the first max_files files it can analyze.
 
-    stats has files_analyzed, files_skipped (before the limit was reached) and truncated for each repo.
+    stats has files_analyzed, files_skipped (before the limit was reached) and truncated for each repo. file_key is a file's own.
     """
     config = config or Config()
     ok = X.is_code_file(F.col("filename")) & ~config.ignored(F.col("filename"))
-    order = Window.partitionBy("repo").orderBy("file_ord", "file_key")
-    x = snapshots.withColumn("_ok", ok)
-    x = x.withColumn("_before", F.coalesce(F.sum(F.col("_ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.withColumn("_in", F.col("_before") < max_files)
-    stats = x.groupBy("repo").agg(F.count_if(F.col("_in") & F.col("_ok")).alias("files_analyzed"), F.count_if(F.col("_in") & ~F.col("_ok")).alias("files_skipped"), F.bool_or(~F.col("_in")).alias("truncated"))
-    kept = x.where("_in and _ok")
+    keys = snapshots.select("repo", "file_ord", "file_key", ok.alias("ok")).withColumn("one", F.col("ok").cast("long"))
+    x = staged(running(keys, ("repo",), ("file_ord", "file_key"), "one").withColumn("inside", F.col("sum_before") < max_files), "places")
+    stats = x.groupBy("repo").agg(F.count_if(F.col("inside") & F.col("ok")).alias("files_analyzed"), F.count_if(F.col("inside") & ~F.col("ok")).alias("files_skipped"), F.bool_or(~F.col("inside")).alias("truncated"))
+    # contents are met only after the cut
+    kept = snapshots.join(x.where("inside and ok").select("file_key"), "file_key", "left_semi")
     found = file_rules.analyze_files(kept, rules)
     directives = suppress.parse_directives(kept, "content", keyword)
     found = suppress.suppress(apply_rules(found, config), directives)

@@ -375,7 +375,7 @@ SELECT file_key, filename, '## File Structure: ' || filename || chr(10) || chr(1
     "ignore_globs": f"{_N} SELECT DISTINCT file, regexp_matches(file, '^src/f1[^/]*\\.ts$') AS ignored, file IN ('src/f2.ts', 'src/f3.ts') AS prototype_zone FROM findings",
     "context_filter": f"{_N}, r AS (SELECT p_partkey * 7 % 1499 + 1 AS file_key, p_partkey % 190 + 1 AS lo, p_partkey % 190 + 1 + p_partkey % 4 AS hi, CASE WHEN p_partkey % 2 = 0 THEN 'comment' ELSE 'string' END AS t FROM part) SELECT pr_id AS file_key, seq, line, kind FROM findings f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.file_key = f.pr_id AND f.line BETWEEN lo AND hi AND NOT (f.kind = 'TEMPORARY_HACK' AND t = 'comment'))",
     "merge_precedence": f"{_N}, {_HALVES}, u AS (SELECT *, 'structural' AS origin, CASE WHEN kind IN {_pref} THEN 0 ELSE 2 END AS prec FROM s UNION ALL SELECT *, 'textual', 1 FROM t WHERE kind NOT IN {_pref} OR file_key NOT IN (SELECT file_key FROM s)) SELECT file_key, seq, line, kind, origin FROM u QUALIFY row_number() OVER (PARTITION BY file_key, line, kind ORDER BY prec, seq) = 1",
-    "dedup_fullfile": f"{_N}, {_HALVES} SELECT file_key, seq, line, kind FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.file_key = t.file_key AND s.line IS NOT DISTINCT FROM t.line AND s.kind = t.kind)",
+    "dedup_fullfile": f"{_N}, {_HALVES} SELECT t.file_key, t.seq, t.line, t.kind FROM t LEFT JOIN (SELECT DISTINCT file_key, coalesce(line, -1) AS l, kind FROM s) k ON k.file_key = t.file_key AND k.l = coalesce(t.line, -1) AND k.kind = t.kind WHERE k.kind IS NULL",
     "baseline_stats": f"{_FILES}, {_SEEN} SELECT repo, count(*) FILTER (inside AND ok) AS files_analyzed, count(*) FILTER (inside AND NOT ok) AS files_skipped, bool_or(NOT inside) AS truncated FROM counted GROUP BY 1",
     "bounded_fetch": f"{_FILES}, f AS (SELECT repo, filename, length(content) AS size FROM files WHERE {_CODE} AND NOT contains(filename, '/tests/') AND NOT contains(filename, '.test.') AND NOT contains(filename, '/test/')), o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM f WINDOW w AS (PARTITION BY repo ORDER BY filename)) SELECT repo, filename, size FROM o WHERE n <= 200 AND b <= 10485760",
     "language_detect": f"{_FILES} SELECT file_key, CASE WHEN filename LIKE '%.ts' THEN 'typescript' WHEN filename LIKE '%.js' THEN 'javascript' WHEN filename LIKE '%.py' THEN 'python' WHEN filename LIKE '%.go' THEN 'go' WHEN filename LIKE '%.rb' THEN 'ruby' ELSE 'unknown' END AS structural, CASE WHEN filename LIKE '%.ts' THEN 'TypeScript' WHEN filename LIKE '%.js' THEN 'JavaScript' WHEN filename LIKE '%.py' THEN 'Python' WHEN filename LIKE '%.go' THEN 'Go' WHEN filename LIKE '%.rb' THEN 'Ruby' WHEN filename LIKE '%.java' THEN 'Java' END AS label, CASE WHEN filename LIKE '%.ts' THEN 'typescript' WHEN filename LIKE '%.js' THEN 'javascript' WHEN filename LIKE '%.py' THEN 'python' ELSE 'other' END AS outline, {_CODE} AS code, contains(filename, '.test.') AS test FROM files",

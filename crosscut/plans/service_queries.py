@@ -22,16 +22,28 @@ ERRORS = ["Network down", "ETIMEDOUT timeout", "bad request", "HTTP 429", "not f
 TEXTS = ["x_test.go", "spec/x_spec.rb", "lib/a_test.rb", "main.go"]
 
 
+def _change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change sets of a few files each, and one of every tenth file."""
+    pr = F.when(F.col("file_key") % 10 == 0, 0).otherwise(F.col("file_key") % 400)
+    return derived.corpus_files(spark, sf_dir).select(pr.cast("long").alias("pr_id"), F.col("file_key").cast("int").alias("file_ord"), "filename")
+
+
 def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change sets of many files, of which a hook reads the first 50."""
-    f = derived.corpus_files(spark, sf_dir).select((F.col("file_key") % 20).alias("pr_id"), F.col("file_key").cast("int").alias("file_ord"), "filename")
-    return scans.pr_files(f)
+    """What a hook reads of change sets: the first 50 files."""
+    return scans.pr_files(_change_sets(spark, sf_dir))
+
+
+def api_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the API reads of change sets, and of which of these files it reads the whole content."""
+    x = scans.pr_files(_change_sets(spark, sf_dir), scans.API_FILES)
+    whole = scans.pr_files(x, scans.API_CONTENT_FILES).select("pr_id", "file_ord", F.lit(True).alias("with_content"))
+    return x.join(whole, ["pr_id", "file_ord"], "left").na.fill(False, ["with_content"])
 
 
 def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived.read(spark, sf_dir, "documents").where("text is not null")
     kind = F.when(F.col("doc_id") % 7 == 0, "dir").otherwise("file")
-    x = scans.decoded_content(d.select("doc_id", kind.alias("kind"), F.octet_length("text").cast("long").alias("size"), F.base64(F.encode("text", "UTF-8")).alias("encoded")), 5_000)
+    x = scans.decoded_content(d.select("doc_id", kind.alias("kind"), F.octet_length("text").cast("long").alias("size"), F.base64(F.encode("text", "UTF-8")).alias("encoded")))
     return x.select("doc_id", F.md5("content").alias("digest"))
 
 
@@ -188,7 +200,7 @@ def outline_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    pr_files, file_contents, config_resolution, api_requests, patch_lines, truncated_texts, test_file_names, valid_rule_ids, confidence_labels, validation_prompts, review_prompts,
+    pr_files, api_files, file_contents, config_resolution, api_requests, patch_lines, truncated_texts, test_file_names, valid_rule_ids, confidence_labels, validation_prompts, review_prompts,
     summary_prompts, job_outputs, issues_by_kind, model_tiers, transient_errors, webhook_signatures, request_timeouts, log_lines, positions_in_ranges, tree_of_snapshots,
     ast_snippets, ast_snippet_status, hybrid_snippets, ignored_range_snippets, outline_snippets,
 )}
@@ -205,9 +217,11 @@ def _hmac(text: str, secret: str) -> str:
 
 _CONTENTS = "texts AS (SELECT DISTINCT pr_id, file, repeat(file || ' ', (pr_id % 400)::INT) AS content FROM findings)"
 _PLACE = "'`' || file || CASE WHEN coalesce(line, 0) <> 0 THEN ':' || line ELSE '' END || '`'"
+_SET = "CASE WHEN file_key % 10 = 0 THEN 0 ELSE file_key % 400 END"
 SQL: dict[str, str] = {
-    "pr_files": f"{_FILES} SELECT file_key % 20 AS pr_id, file_key::INT AS file_ord, filename FROM files QUALIFY row_number() OVER (PARTITION BY file_key % 20 ORDER BY file_key) <= 50",
-    "file_contents": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND octet_length(encode(text)) <= 5000 AND text <> '' THEN md5(text) END AS digest FROM documents WHERE text IS NOT NULL",
+    "pr_files": f"{_FILES} SELECT {_SET} AS pr_id, file_key::INT AS file_ord, filename FROM files QUALIFY row_number() OVER (PARTITION BY {_SET} ORDER BY file_key) <= 50",
+    "api_files": f"{_FILES}, n AS (SELECT {_SET} AS pr_id, file_key::INT AS file_ord, filename, row_number() OVER (PARTITION BY {_SET} ORDER BY file_key) AS n FROM files) SELECT pr_id, file_ord, filename, n <= 20 AS with_content FROM n WHERE n <= 100",
+    "file_contents": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND octet_length(encode(text)) <= 51200 AND text <> '' THEN md5(text) END AS digest FROM documents WHERE text IS NOT NULL",
     "config_resolution": "SELECT * FROM (VALUES ('head', 60, 2, 'error'), ('base', 40, 0, 'info'), ('both', 60, 2, 'error'), ('neither', 60, 0, 'error'), ('broken', 60, 0, 'error'), ('no mapping', 60, 0, 'error')) t(variant, high_risk_below, n_ignored, unsafe_io)",
     "api_requests": """
 WITH r AS (SELECT o_orderkey AS request, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 40 END AS n, o_orderkey % 13 = 0 AS empty_repo, o_orderkey % 50 - 1 AS pull FROM orders)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .staging import running
 
 PR_FILES = "pr_id BIGINT, file_ord INT, filename STRING, patch STRING"
 SNAPSHOTS = "file_ord INT, filename STRING, content STRING"
@@ -42,10 +43,16 @@ def tree_filter(files: DataFrame, path_col: str = "filename", size_col: str = "s
 
 
 def bounded(files: DataFrame, max_files: int = MAX_FILES, max_chars: int = MAX_TOTAL_CHARS, by: tuple[str, ...] = ("repo",)) -> DataFrame:
-    """The first max_files of each repository by path, up to the one with which their text exceeds max_chars."""
-    order = Window.partitionBy(*by).orderBy("filename")
-    before = F.coalesce(F.sum(F.length("content")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumns({"_n": F.row_number().over(order), "_before": before}).where((F.col("_n") <= max_files) & (F.col("_before") <= max_chars)).drop("_n", "_before")
+    """The first max_files of each repository by path, up to the one with which their text exceeds max_chars.
+
+    A path is there once a repository. Only paths and lengths are ordered; contents are joined to the files that are kept.
+    """
+    keys = running(files.select(*by, "filename", F.length("content").cast("long").alias("size_")), by, ("filename",), "size_")
+    kept = keys.where((F.col("rows_before") < max_files) & (F.col("sum_before") <= max_chars)).select(*[F.col(b).alias(f"{b}_in") for b in by], F.col("filename").alias("filename_in"))
+    same = F.col("filename") == F.col("filename_in")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"{b}_in"))
+    return files.join(kept, same, "left_semi")
 
 
 def checked_requests(requests: DataFrame) -> DataFrame:

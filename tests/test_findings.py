@@ -131,3 +131,19 @@ def test_every_event_has_an_answer(spark):
     got = finding_queries._answers(spark, d)
     assert got.count() == spark.read.parquet(f"{d}/events.parquet").count()
     assert got.where("answer is null").count() == 0 and got.select("answer").distinct().count() >= 10
+
+
+def test_running_sums_over_one_huge_group(spark):
+    import random
+
+    from crosscut.sources.staging import running
+
+    rng = random.Random(2)
+    rows = [("big", k, rng.choice([None, 1, 5, 7])) for k in range(3000)] + [(None, k, 2) for k in range(5)] + [(f"r{k}", 0, k) for k in range(40)]
+    rng.shuffle(rows)
+    got = running(spark.createDataFrame(rows, "repo string, ord int, v long").repartition(7), ("repo",), ("ord",), "v").collect()
+    n, s, want = {}, {}, set()
+    for repo, k, v in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        want.add((repo, k, v, n.get(repo, 0), s.get(repo, 0)))
+        n[repo], s[repo] = n.get(repo, 0) + 1, s.get(repo, 0) + (v or 0)
+    assert {tuple(r) for r in got} == want and len(got) == len(rows)
