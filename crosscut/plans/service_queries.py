@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.rules import COMPLEX_RULES, RULE_IDS
 from ..operators import group, lines, outline, report, review_answers, score, service, source_lines, structural_rules
-from ..sources import config, scans
+from ..sources import repo_config, scans
+from ..sources.staging import staged
 from . import analyses, derived, snippets
 from .finding_queries import _FILES, _N, _NAME, _ORD, _VALID, _answers, _score_sql, _sql_list, _snapshots, n_, valid
 
 Query = Callable[[SparkSession, str], DataFrame]
 SECRET = "a shared secret"
 BASE = "rules:\n  UNSAFE_IO: {level: info}\nscoring: {high_risk_score: 40}\n"
-HEAD = "files: {ignore: ['a/**', 'b/*']}\nrules: [none]\n"
 ERRORS = ["Network down", "ETIMEDOUT timeout", "bad request", "HTTP 429", "not found", "socket hang up", "503 unavailable", ""]
 TEXTS = ["x_test.go", "spec/x_spec.rb", "lib/a_test.rb", "main.go"]
 
@@ -47,13 +47,39 @@ def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.md5("content").alias("digest"))
 
 
+def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, head, base): a repository for each customer, with a configuration of its own at the head, the base, both or neither, or one that cannot be read."""
+    k = F.col("c_custkey")
+    rule = lambda n: F.element_at(F.array(*map(F.lit, RULE_IDS)), ((k + n) % 25 + 1).cast("int"))
+    own = F.concat(
+        F.lit("scoring: {high_risk_score: "), (k % 50 + 10).cast("string"), F.lit("}\nfiles: {ignore: ['src/f"), (k % 20).cast("string"), F.lit(".ts'], prototype_zone: ['src/*"), (k % 10).cast("string"),
+        F.lit(".ts', 'lib/**']}\nrules:\n  "), rule(0), F.lit(": {level: "), F.when(k % 3 == 0, "info").when(k % 3 == 1, "off").otherwise("warning"), F.lit("}\noverrides:\n- patterns: ['src/f"), (k % 20).cast("string"),
+        F.lit(".ts', '**/f7.ts']\n  rules: {"), rule(1), F.lit(": {level: info}, "), rule(0), F.lit(": {enabled: "), F.when(k % 4 == 0, "false").otherwise("true"), F.lit("}}\n- patterns: ['src/*"), (k % 10).cast("string"),
+        F.lit(".ts']\n  rules: {"), rule(1), F.lit(": {level: error}}\n"),
+    )
+    case = k % 6
+    head = F.when(case.isin(0, 2), own).when(case == 4, "a: [").when(case == 5, "- a")
+    return derived.read(spark, sf_dir, "customer").select(k.alias("repo"), head.alias("head"), F.when(case == 1, own).when(case.isin(2, 4), BASE).alias("base"))
+
+
 def config_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The configuration that is in force with one at the head, at the base, at both, at neither, and with none that can be read."""
-    rows = []
-    for case, (head, base) in {"head": (HEAD, None), "base": (None, BASE), "both": (HEAD, BASE), "neither": (None, None), "broken": ("a: [", BASE), "no mapping": ("- a", None)}.items():
-        c = config.resolve(head, base)
-        rows.append((case, c.high_risk_below, len(c.raw["files"]["ignore"]), c.level("UNSAFE_IO")))
-    return spark.createDataFrame(rows, "variant string, high_risk_below int, n_ignored int, unsafe_io string")
+    """What is in force in each repository: its threshold, globs, and rules that it names."""
+    e = staged(repo_config.config_entries(_configs(spark, sf_dir)), "entries")
+    n = lambda part: F.count_if(F.col("part") == part)
+    return repo_config.scalars(e).join(e.groupBy("repo").agg(n("ignore").alias("n_ignored"), n("rule").alias("n_rules"), n("override").alias("n_overrides")), "repo")
+
+
+def repo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings, each by the configuration of its own repository."""
+    e = staged(repo_config.config_entries(_configs(spark, sf_dir)), "entries")
+    f = n_(spark, sf_dir).withColumn("repo", F.col("pr_id"))
+    return repo_config.apply_repo_rules(f, e, "file").select("pr_id", "seq", "kind", "file", "level", "is_prototype_zone")
+
+
+def repo_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of change sets that their own repository leaves out."""
+    e = repo_config.config_entries(_configs(spark, sf_dir))
+    return repo_config.matched_paths(n_(spark, sf_dir).select(F.col("pr_id").alias("repo"), F.col("file").alias("path")), e, "ignore")
 
 
 def api_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +226,7 @@ def outline_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    pr_files, api_files, file_contents, config_resolution, api_requests, patch_lines, truncated_texts, test_file_names, valid_rule_ids, confidence_labels, validation_prompts, review_prompts,
+    pr_files, api_files, file_contents, config_resolution, repo_rules, repo_ignored, api_requests, patch_lines, truncated_texts, test_file_names, valid_rule_ids, confidence_labels, validation_prompts, review_prompts,
     summary_prompts, job_outputs, issues_by_kind, model_tiers, transient_errors, webhook_signatures, request_timeouts, log_lines, positions_in_ranges, tree_of_snapshots,
     ast_snippets, ast_snippet_status, hybrid_snippets, ignored_range_snippets, outline_snippets,
 )}
@@ -217,12 +243,24 @@ def _hmac(text: str, secret: str) -> str:
 
 _CONTENTS = "texts AS (SELECT DISTINCT pr_id, file, repeat(file || ' ', (pr_id % 400)::INT) AS content FROM findings)"
 _PLACE = "'`' || file || CASE WHEN coalesce(line, 0) <> 0 THEN ':' || line ELSE '' END || '`'"
+#: Cases 0 and 2 have their own configuration at the head, 1 at the base; what is at the head stands even if it cannot be read.
+_REPOS = "repos AS (SELECT c_custkey AS repo, c_custkey % 6 IN (0, 1, 2) AS own, false AS based FROM customer)"
+_IDS = "[" + ", ".join(_q(r) for r in RULE_IDS) + "]"
 _SET = "CASE WHEN file_key % 10 = 0 THEN 0 ELSE file_key % 400 END"
 SQL: dict[str, str] = {
     "pr_files": f"{_FILES} SELECT {_SET} AS pr_id, file_key::INT AS file_ord, filename FROM files QUALIFY row_number() OVER (PARTITION BY {_SET} ORDER BY file_key) <= 50",
     "api_files": f"{_FILES}, n AS (SELECT {_SET} AS pr_id, file_key::INT AS file_ord, filename, row_number() OVER (PARTITION BY {_SET} ORDER BY file_key) AS n FROM files) SELECT pr_id, file_ord, filename, n <= 20 AS with_content FROM n WHERE n <= 100",
     "file_contents": "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 AND octet_length(encode(text)) <= 51200 AND text <> '' THEN md5(text) END AS digest FROM documents WHERE text IS NOT NULL",
-    "config_resolution": "SELECT * FROM (VALUES ('head', 60, 2, 'error'), ('base', 40, 0, 'info'), ('both', 60, 2, 'error'), ('neither', 60, 0, 'error'), ('broken', 60, 0, 'error'), ('no mapping', 60, 0, 'error')) t(variant, high_risk_below, n_ignored, unsafe_io)",
+    "config_resolution": f"""
+WITH {_REPOS} SELECT repo, CASE WHEN own THEN repo % 50 + 10 WHEN based THEN 40 ELSE 60 END::INT AS high_risk_below, 1.0::DOUBLE AS weight_multiplier, own::BIGINT AS n_ignored,
+  CASE WHEN own OR based THEN 1 ELSE 0 END::BIGINT AS n_rules, CASE WHEN own THEN 5 ELSE 0 END::BIGINT AS n_overrides FROM repos""",
+    "repo_ignored": f"{_N}, {_REPOS} SELECT DISTINCT repo, file AS path FROM findings JOIN repos ON pr_id = repo AND own WHERE file = 'src/f' || repo % 20 || '.ts'",
+    "repo_rules": f"""{_N}, {_REPOS},
+x AS (SELECT f.* EXCLUDE (level), level AS default_level, own, based, repo, kind = ({_IDS})[repo % 25 + 1] AS first, kind = ({_IDS})[(repo + 1) % 25 + 1] AS second, file IN ('src/f' || repo % 20 || '.ts', 'src/f7.ts') AS named, regexp_extract(file, '([0-9])\\.ts$', 1) = (repo % 10)::VARCHAR AS ends FROM findings f JOIN repos ON pr_id = repo),
+y AS (
+  SELECT *, CASE WHEN own AND second AND ends THEN 'error' WHEN own AND second AND named THEN 'info' WHEN own AND first THEN CASE repo % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'off' ELSE 'warning' END
+    WHEN based AND kind = 'UNSAFE_IO' THEN 'info' ELSE default_level END AS level, NOT (own AND first AND named AND repo % 4 = 0) AS enabled FROM x)
+SELECT pr_id, seq, kind, file, level, own AND ends AS is_prototype_zone FROM y WHERE enabled AND level <> 'off'""",
     "api_requests": """
 WITH r AS (SELECT o_orderkey AS request, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 40 END AS n, o_orderkey % 13 = 0 AS empty_repo, o_orderkey % 50 - 1 AS pull FROM orders)
 SELECT request, CASE WHEN n IS NULL THEN 'owner is required' WHEN empty_repo THEN 'repo is required' WHEN pull <= 0 THEN 'pull_number must be positive' WHEN n % 2 = 1 THEN 'not installed' END AS error,

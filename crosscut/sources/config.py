@@ -70,13 +70,18 @@ def _like(given: object, default: object) -> bool:
     return isinstance(given, (int, float)) if isinstance(default, (int, float)) else isinstance(given, type(default))
 
 
+def _rule(given: dict) -> dict:
+    """A rule's section; the word off, which YAML readers may take for a truth value, is a level."""
+    return given | {"level": "off"} if given.get("level") is False else given
+
+
 def _override(given: object) -> dict | None:
     """patterns and rules of an override, or null for one without either."""
     if not isinstance(given, dict):
         return None
     patterns, rules = given.get("patterns"), given.get("rules")
     patterns = [p for p in patterns if isinstance(p, str)] if isinstance(patterns, list) else []
-    return {"patterns": patterns, "rules": {k: v for k, v in rules.items() if isinstance(v, dict)} if isinstance(rules, dict) else {}}
+    return {"patterns": patterns, "rules": {k: _rule(v) for k, v in rules.items() if isinstance(v, dict)} if isinstance(rules, dict) else {}}
 
 
 def load(text: str | None, aliases: dict[str, str] | None = None) -> Config:
@@ -95,7 +100,7 @@ def load(text: str | None, aliases: dict[str, str] | None = None) -> Config:
         for key, default in DEFAULTS.items():
             given = parsed.get(key)
             if key == "rules":  # what is no mapping of rules to mappings says nothing
-                raw[key] = {k: v for k, v in given.items() if isinstance(v, dict)} if isinstance(given, dict) else default
+                raw[key] = {k: _rule(v) for k, v in given.items() if isinstance(v, dict)} if isinstance(given, dict) else default
             elif key == "overrides":
                 raw[key] = [o for o in map(_override, given if isinstance(given, list) else []) if o]
             elif key == "version":

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosscut.operators import blocks, merge, nodes, source_lines, structural_rules
+from crosscut.plans import source_queries
+
+from .test_entry import check
 
 TS = """
 import x from 'y'
@@ -186,6 +189,11 @@ def test_ranges_and_structure_feed_the_merge(spark):
     assert rows[(7, "UNSAFE_IO")] == "structural" and rows[(7, "CONSOLE_DEBUG")] == "textual"
 
 
+@pytest.mark.parametrize("name", list(source_queries.QUERIES))
+def test_query_equals_sql(spark, name):
+    check(spark, name)
+
+
 def files(spark, *sources):
     return spark.createDataFrame([(k, *f) for k, f in enumerate(sources)], "file_key long, filename string, content string")
 
