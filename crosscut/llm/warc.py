@@ -252,8 +252,17 @@ def derivatives(records: DataFrame, record_col: str = "record", keep: list[str]
     return records.select(*keep, F.col(record_col).alias("_r")).mapInArrow(run, schema)
 
 
-def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Whole records of a WARC file given in pieces; what stands between records and is none is given as it is."""
+#: Most bytes of one record; one that says it is longer has a broken length.
+MAX_RECORD = 1 << 30
+_NEXT = CRLF + CRLF + b"WARC/"
+
+
+def records(pieces: Iterator[bytes], most: int = MAX_RECORD) -> Iterator[bytes]:
+    """Whole records of a WARC file given in pieces; what stands between records and is none is given as it is.
+
+    A record's length counts if another record or the file's end follows it. Otherwise the record ends where the next one seems to begin, so that a
+    broken length loses no record but its own. No more than about most bytes are held.
+    """
     buf = bytearray()
     more = True
 
@@ -265,6 +274,23 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
             buf.extend(piece or b"")
         return len(buf) >= n
 
+    def fits(size: int) -> bool:
+        """Whether size bytes are a record: a new one begins below, or nothing does."""
+        if size > most or not fill(size):
+            return False
+        fill(size + 9)
+        rest = bytes(buf[size : size + 9]).lstrip(CRLF)
+        return b"WARC/".startswith(rest[:5])
+
+    def up_to_next() -> int:
+        at = 1
+        while (k := buf.find(_NEXT, at)) < 0:
+            at = max(1, len(buf) - len(_NEXT) + 1)
+            if len(buf) > most or not more:
+                return len(buf)
+            fill(len(buf) + (1 << 20))
+        return k + 4
+
     while fill(1):
         while fill(1) and buf[:1] in (b"\r", b"\n"):
             del buf[:1]
@@ -278,13 +304,9 @@ def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
             return
         _, headers = _header_lines(bytes(buf[:end])) if end >= 0 and buf.startswith(b"WARC/") else ("", [])
         length = field(headers, "Content-Length") or ""
-        if length.isdigit():
-            fill(end + 4 + int(length))
-            size = end + 4 + int(length)
-        else:  # up to what looks like the next record
-            fill(1 << 20)
-            size = buf.find(b"\r\n\r\nWARC/", 1)
-            size = size + 4 if size >= 0 else len(buf)
+        size = end + 4 + int(length) if length.isdigit() and len(length) < 19 else most + 1
+        if not fits(size):
+            size = up_to_next()
         yield bytes(buf[:size])
         del buf[:size]
 

@@ -156,3 +156,33 @@ def test_query_against_another_reader(spark):
         lines = ["WARC/1.1", "WARC-Type: conversion", f"WARC-Record-ID: {r['conversion_id']}", f"WARC-Refers-To: {r['response_id']}", f"WARC-Target-URI: {p['url']}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Block-Digest: {digest(text)}", "Content-Type: text/plain; charset=utf-8", f"Content-Length: {len(text)}"]
         record = "\r\n".join(lines).encode() + b"\r\n\r\n" + text + b"\r\n\r\n"
         assert r["conversion_sha256"] == hashlib.sha256(record).hexdigest() and r["payload_digest"] == digest(p["html"].encode()) and r["target_uri"] == p["url"]
+
+
+def _record(n: int, body: bytes, length: int | None = None) -> bytes:
+    return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n" % (n, len(body) if length is None else length) + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("piece", [1, 7, 4096, 1 << 22])
+@pytest.mark.parametrize("length", [0, 3, 10, 19, 10**6, 10**12, 10**30])
+@pytest.mark.parametrize("place", [0, 1, 3])
+def test_a_broken_length_loses_no_other_record(piece, length, place):
+    body = b"plain body of 28 characters."
+    # a whole record may hold what looks like another one
+    rows = [_record(k, b"x" * 9000 if k == 2 else b"a\r\n\r\nWARC/1.1\r\nb" if k == 1 else body) for k in range(3)]
+    rows.insert(place, _record(9, body, length))
+    data = b"".join(rows)
+    if piece == 1 and len(data) > 30_000:
+        return
+    got = list(records(iter([data[i : i + piece] for i in range(0, len(data), piece)]), most=1 << 16))
+    assert [r.rstrip(b"\r\n") for r in got if b"<urn:9>" not in r] == [r.rstrip(b"\r\n") for r in rows if b"<urn:9>" not in r]
+    assert b"".join(got).replace(b"\r\n", b"") == data.replace(b"\r\n", b"")
+
+
+@pytest.mark.parametrize("end", [".warc", ".warc.gz"])
+def test_broken_records_in_files(spark, tmp_path, end):
+    body = b"plain"
+    rows = [_record(0, body, 10**12), _record(1, body), _record(2, body, 99), _record(3, body), _record(4, body, 7)]
+    data = b"".join(gzip.compress(r) if end == ".warc.gz" else r for r in rows)
+    (tmp_path / f"x{end}").write_bytes(data)
+    got = [bytes(r["record"]) for r in read_warc(spark, str(tmp_path)).collect()]
+    assert [sum(b"<urn:%d>" % k in r for r in got) for k in range(5)] == [1] * 5 and len(got) == 5
