@@ -58,27 +58,27 @@ STRUCTURAL_KINDS = ["UNSAFE_IO", "LOOPED_IO", "UNBOUNDED_QUERY", "GLOBAL_MUTATIO
 # The kinds that a scan of whole files looks for, by default and for a baseline.
 FILE_RULES = ["STATEFUL_SERVICE", "PROTOTYPE_INFRA", "HARDCODED_SECRET", "UNSAFE_EVAL", "GLOBAL_MUTATION"]
 
-# Short names in reports.
+#: What reports call a kind of finding.
 DESCRIPTIONS: dict[str, str] = {
-    "UNBOUNDED_QUERY": "Query without limit",
-    "LOOPED_IO": "I/O call in loop (N+1)",
-    "MEMORY_RISK": "Loading large data into memory",
-    "GLOBAL_MUTATION": "Mutable global state",
-    "CHECK_THEN_ACT_RACE": "Race condition (check-then-act)",
-    "SILENT_ERROR": "Error swallowed silently",
-    "UNSAFE_IO": "Network call without error handling",
-    "STATEFUL_SERVICE": "In-memory state (breaks scaling)",
-    "PROTOTYPE_INFRA": "Non-production infrastructure",
-    "HARDCODED_SECRET": "Hardcoded credential",
-    "UNSAFE_EVAL": "Dynamic code execution",
-    "HARDCODED_URL": "Hardcoded URL/localhost",
-    "BLOCKING_OPERATION": "Blocking synchronous operation",
-    "SCALING_RISK": "Scaling concern",
-    "CONCURRENCY_RISK": "Concurrency issue",
-    "RESILIENCE_GAP": "Missing fault tolerance",
-    "OBSERVABILITY_GAP": "Missing observability",
-    "DATA_CONTRACT_RISK": "Data validation issue",
-    "ENVIRONMENT_ASSUMPTION": "Environment-specific code",
+    "UNBOUNDED_QUERY": "Rows are read without a bound",
+    "LOOPED_IO": "One request for each turn of a loop",
+    "MEMORY_RISK": "Whole data set held at once",
+    "GLOBAL_MUTATION": "Module variable that changes",
+    "CHECK_THEN_ACT_RACE": "Look-up and write that can interleave",
+    "SILENT_ERROR": "Failure that nobody sees",
+    "UNSAFE_IO": "Request whose failure is not handled",
+    "STATEFUL_SERVICE": "Service that keeps state to itself",
+    "PROTOTYPE_INFRA": "Infrastructure for trials only",
+    "HARDCODED_SECRET": "Secret in the source",
+    "UNSAFE_EVAL": "Text run as code",
+    "HARDCODED_URL": "Address in the source",
+    "BLOCKING_OPERATION": "Call that stops the event loop",
+    "SCALING_RISK": "Load may outgrow this",
+    "CONCURRENCY_RISK": "Parallel runs may collide",
+    "RESILIENCE_GAP": "No way to go on after a fault",
+    "OBSERVABILITY_GAP": "Too little is reported",
+    "DATA_CONTRACT_RISK": "Data taken on trust",
+    "ENVIRONMENT_ASSUMPTION": "Bound to one environment",
 }
 
 
