@@ -254,6 +254,11 @@ def plan_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.plan_limits(h.select("installation_id").distinct(), state.latest_plans(h)).select("installation_id", "tier", "max_files_per_pr")
 
 
+def tier_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = hooks(spark, sf_dir)
+    return state.tier_usage(state.monthly_usage(h), state.plan_limits(h.select("installation_id").distinct(), state.latest_plans(h)))
+
+
 def grouped_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.grouped_report(n_(spark, sf_dir))
 
@@ -310,7 +315,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     score_per_file, score_per_pr, score_multiplier, score_excluding_fp, label_hist, severity_counts, group_by_kind, group_validated, arch_summary, exec_summary_input,
     llm_candidates_top3, issues_threshold_topk, comment_gate, validation_defaults, api_result, llm_overlap_filter, rule_overrides, ignore_globs, context_filter,
     merge_precedence, dedup_fullfile, baseline_stats, baseline_findings, bounded_fetch, compact_structure, language_detect, llm_json_parse, webhook_routing, quota_monthly,
-    rate_limit_windows, plan_latest, grouped_report, check_runs, architecture_report, baseline_report, file_outlines, ast_findings, ast_read_status, hybrid_findings, pull_requests_end_to_end,
+    rate_limit_windows, plan_latest, tier_usage, grouped_report, check_runs, architecture_report, baseline_report, file_outlines, ast_findings, ast_read_status, hybrid_findings, pull_requests_end_to_end,
 )}
 
 _desc = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DESCRIPTIONS.items()) + " ELSE coalesce(nullif(message, ''), kind) END"
@@ -385,6 +390,9 @@ SELECT file_key, filename, '## File Structure: ' || filename || chr(10) || chr(1
     "rate_limit_windows": f"WITH {derived.HOOKS_SQL} SELECT installation_id % 3 AS caller, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS requests, greatest(count(*) - 2, 0) AS rejected FROM hooks GROUP BY 1, 2",
     "plan_latest": f"WITH {derived.HOOKS_SQL}, l AS (SELECT installation_id, CASE WHEN purchase = 'cancelled' THEN NULL WHEN plan_name LIKE 'Team%' THEN 'enterprise' WHEN plan_name = 'Starter' THEN 'pro' ELSE 'free' END AS tier FROM hooks WHERE event = 'marketplace_purchase' AND purchase <> 'pending_change' QUALIFY row_number() OVER (PARTITION BY installation_id ORDER BY ts DESC, event_id DESC) = 1) SELECT h.installation_id, coalesce(tier, 'free') AS tier, CASE WHEN tier = 'enterprise' THEN 200 ELSE 50 END AS max_files_per_pr FROM (SELECT DISTINCT installation_id FROM hooks) h LEFT JOIN l ON h.installation_id = l.installation_id",
 }
+SQL["tier_usage"] = SQL["plan_latest"].replace(" SELECT h.installation_id, coalesce(tier, 'free') AS tier, CASE", ", t AS (SELECT h.installation_id, coalesce(tier, 'free') AS tier, CASE", 1) + """),
+u AS (SELECT installation_id, strftime(ts, '%Y-%m') AS month, sum(tokens)::BIGINT AS tokens FROM hooks GROUP BY 1, 2)
+SELECT tier, month, count(*) AS installations, sum(tokens)::BIGINT AS tokens, count(*) FILTER (tokens >= 5000000) AS exceeded FROM u JOIN t USING (installation_id) GROUP BY 1, 2"""
 _counts = "count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low"
 SQL["check_runs"] = f"""
 SELECT pr_id, 'Score ' || score || ': ' || label AS title, total || ' findings (' || high || ' high, ' || medium || ' medium, ' || low || ' low)' AS summary, text, 'neutral' AS conclusion

@@ -154,7 +154,10 @@ def issues_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return n_(spark, sf_dir).groupBy("pr_id", service.model_tier(F.col("kind")).alias("tier")).agg(F.count("*").alias("n"))
+    """Findings that each tier of model validates in a change set, and the one summary of it."""
+    f = n_(spark, sf_dir)
+    tiers = f.groupBy("pr_id", service.model_tier(F.col("kind")).alias("tier")).agg(F.count("*").alias("n"))
+    return tiers.unionByName(f.select("pr_id").distinct().select("pr_id", F.lit(service.TIERS["summary"]).alias("tier"), F.lit(1).cast("long").alias("n")))
 
 
 def transient_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +304,7 @@ WITH i AS (
   UNION ALL SELECT event_id % 50, event_id * 10 + 1, 'SCALING_RISK', 'Unknown issue' FROM events WHERE event_id % 10 = 0),
 g AS (SELECT batch, kind, count(*) AS count, min(ord) AS o, string_agg(title, ',' ORDER BY ord) AS titles FROM i GROUP BY 1, 2)
 SELECT batch, kind, count, row_number() OVER (PARTITION BY batch ORDER BY o, kind) AS rank, titles FROM g""",
-    "model_tiers": f"{_N} SELECT pr_id, CASE WHEN kind IN {_sql_list(COMPLEX_RULES)} THEN 'reasoning' ELSE 'fast' END AS tier, count(*) AS n FROM findings GROUP BY 1, 2",
+    "model_tiers": f"{_N} SELECT pr_id, CASE WHEN kind IN {_sql_list(COMPLEX_RULES)} THEN 'reasoning' ELSE 'fast' END AS tier, count(*) AS n FROM findings GROUP BY 1, 2 UNION ALL SELECT DISTINCT pr_id, 'balanced', 1 FROM findings",
     "transient_errors": """
 WITH e AS (SELECT event_id, event_id % 8 IN (0, 1, 3, 5, 6) AS transient, event_id % 5 AS attempt FROM events)
 SELECT event_id, transient, CASE WHEN transient AND attempt < 3 THEN (CASE attempt WHEN 0 THEN 1000 WHEN 1 THEN 2000 ELSE 4000 END + event_id % 10 * 10)::BIGINT END AS delay_ms FROM e""",

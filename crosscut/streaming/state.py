@@ -56,6 +56,12 @@ def plan_limits(installations: DataFrame, plans: DataFrame) -> DataFrame:
     return installations.join(plans, "installation_id", "left").withColumn("tier", valid).join(F.broadcast(table), "tier", "left")
 
 
+def tier_usage(usage: DataFrame, limits: DataFrame) -> DataFrame:
+    """(tier, month, installations, tokens, exceeded): what the installations of each tier (plan_limits) used in a month, and how many of them reached their limit."""
+    x = usage.select("installation_id", "month", "tokens").join(limits.select("installation_id", "tier", "monthly_tokens"), "installation_id")
+    return x.groupBy("tier", "month").agg(F.count("*").alias("installations"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") >= F.col("monthly_tokens")).alias("exceeded"))
+
+
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """A stream's events, each delivery once within the time that late ones are waited for."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
