@@ -291,7 +291,7 @@ def pull_requests_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus' files wrapped so that each language's reader finds functions, loops and handlers in them."""
+    """The corpus' files in languages that are read."""
     f = derived.corpus_files(spark, sf_dir)
     return f.where(X.structural_language(F.col("filename")) != "unknown")
 
@@ -393,6 +393,8 @@ SELECT file_key, filename, '## File Structure: ' || filename || chr(10) || chr(1
 SQL["tier_usage"] = SQL["plan_latest"].replace(" SELECT h.installation_id, coalesce(tier, 'free') AS tier, CASE", ", t AS (SELECT h.installation_id, coalesce(tier, 'free') AS tier, CASE", 1) + """),
 u AS (SELECT installation_id, strftime(ts, '%Y-%m') AS month, sum(tokens)::BIGINT AS tokens FROM hooks GROUP BY 1, 2)
 SELECT tier, month, count(*) AS installations, sum(tokens)::BIGINT AS tokens, count(*) FILTER (tokens >= 5000000) AS exceeded FROM u JOIN t USING (installation_id) GROUP BY 1, 2"""
+SQL["ast_read_status"] = f"""{_FILES} SELECT file_key, CASE WHEN filename LIKE '%.ts' THEN 'typescript' WHEN filename LIKE '%.js' THEN 'javascript' WHEN filename LIKE '%.py' THEN 'python' WHEN filename LIKE '%.go' THEN 'go' ELSE 'ruby' END AS language,
+  content IS NOT NULL AS parse_success, NULL::VARCHAR AS parse_error FROM files WHERE regexp_matches(filename, '\\.(ts|js|py|go|rb)$')"""
 _counts = "count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low"
 SQL["check_runs"] = f"""
 SELECT pr_id, 'Score ' || score || ': ' || label AS title, total || ' findings (' || high || ' high, ' || medium || ' medium, ' || low || ' low)' AS summary, text, 'neutral' AS conclusion

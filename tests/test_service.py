@@ -63,6 +63,6 @@ def test_boundaries_are_translated():
 
 
 def test_every_query_of_the_engine_has_sql():
-    without = {"ast_findings", "ast_read_status", "hybrid_findings", "pull_requests_end_to_end"}
+    without = {"ast_findings", "hybrid_findings", "pull_requests_end_to_end"}
     mine = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"}
     assert mine - set(entry.oracle_sql()) == without
