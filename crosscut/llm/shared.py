@@ -138,14 +138,3 @@ def components(edges: DataFrame, scratch: Scratch, src: str = "a", dst: str = "b
         if not open_ and not several:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """A name like each of names that df has no column of, whatever the case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n += "_"
-        taken.add(n.lower())
-        out.append(n)
-    return out
