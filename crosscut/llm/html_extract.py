@@ -14,16 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .html_tokens import HEADINGS, INLINE, MATH, SIDE_TAGS, VOID, Stack, clean, walk
+from .html_tokens import CONTAINERS, HEADINGS, INLINE, MATH, SIDE_TAGS, VOID, Stack, clean, walk
 from .shared import Scratch, checked
 from .url_filter import url_host
 
-#: From so many pages on, text that is the same on all pages of a host is its template's.
-LEAST_PAGES = 3
 #: A token is frequent if at least this share of the host's pages has it.
 SUPPORT = 0.5
-#: A block of a template of which links make up this share of the text is a menu.
-MENU = 0.9
 NODE_COLUMNS = "host string, path long, parent long, tag string, marked boolean, readers boolean, opens long, closes long, pages long, most long, chars long, links long, lowest long, highest long"
 KNOWN_TAGS = INLINE | MATH | HEADINGS | SIDE_TAGS | VOID | frozenset("html body article main section div p ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption details summary address hgroup fieldset center".split())
 
@@ -141,9 +137,9 @@ def choose(nodes: Iterable[Node]) -> Template:
 
     The main slots are articles of the page's classes, only those whose text changes from page to page if any does;
     else articles of any class if they hold most of the text; else main elements of the page's classes; else the
-    deepest element of those with most of the text outside links and side elements. Of the template's blocks
-    within the slots, two kinds are left out: those that are the same on all of three or more pages that
-    differ (but for headings, which label what follows), and those that are little but links, on as many.
+    deepest element of those with most of the text outside links and side elements. Containers of the template
+    within the slots that are the same on all pages, while the pages differ, are left out; paragraphs and headings
+    are not, and neither is anything if that would be more than half of the slots' text.
     A marked element that has most of the page's text is main text in spite of its name, unless that is one for comments.
     """
     by_path = {n.path: n for n in nodes}
@@ -190,14 +186,15 @@ def choose(nodes: Iterable[Node]) -> Template:
             aside[around[n.path]] += aside[n.path]
     prose = lambda n: plain(n) - aside[n.path]
     shown = lambda n: n.path not in hidden and n.path not in nested
-    several = page.pages >= LEAST_PAGES
-    alike = lambda n: several and n.lowest == n.highest
+    differ = page.lowest != page.highest
+    alike = lambda n: differ and n.lowest == n.highest
 
     def tagged(tag: str, among: Iterable[Node]) -> list[Node]:
         found = {n.path: n for n in among if n.tag == tag and shown(n) and n.chars}
         within = below(set(found))
         found = [n for p, n in found.items() if p not in within]
-        return [n for n in found if not alike(n)] or found
+        changing = [n for n in found if not alike(n)]
+        return changing if 2 * sum(n.chars for n in changing) > sum(n.chars for n in found) else found
 
     every, slots = tagged("article", valid), tagged("article", own)
     most = sum(map(prose, every))
@@ -218,12 +215,11 @@ def choose(nodes: Iterable[Node]) -> Template:
         slots = [now] if now.path else []
     kept = {n.path for n in slots}
     within = below(kept)
-    dropped = set()
-    for n in own:
-        if several and n.path in within and n.chars and n.tag not in INLINE and n.tag not in MATH and n.tag not in HEADINGS:
-            if (alike(n) and page.lowest != page.highest) or (n.links >= MENU * n.chars and n.tag != "p"):
-                dropped.add(n.path)
-    return Template([n.path for n in slots], sorted(dropped - below(dropped)), sorted(spared))
+    dropped = {n.path for n in own if n.path in within and n.chars and n.tag in CONTAINERS and alike(n)}
+    dropped -= below(dropped)
+    if 2 * sum(by_path[p].chars for p in dropped) > sum(n.chars for n in slots):
+        dropped = set()
+    return Template([n.path for n in slots], sorted(dropped), sorted(spared))
 
 
 def page_template(source: str) -> Template:

@@ -143,3 +143,16 @@ def test_generated_hosts_without_article_tags(spark):
 def test_one_page_has_a_template_too():
     t = page_template("<body><article><p>a</p></article></body>")
     assert len(t.slots) == 1 and not t.dropped and not t.spared
+
+
+def test_an_article_keeps_its_text_whatever_the_number_of_pages(spark):
+    page = "<body><nav><a href=/>Menu</a></nav><article><h1>Title {0}</h1><p class=lead>Words of page {0}.</p><p class=fixed>All prices are in euro.</p><ul class=sources><li><a href=/s{0}>Source {0}</a></li></ul></article><footer>foot</footer></body>"
+    for n in (1, 2, 3, 9):
+        got = texts(spark, page, [(i,) for i in range(n)])
+        assert got == {i: f"Title {i}\nWords of page {i}.\nAll prices are in euro.\nSource {i}" for i in range(n)}
+
+
+def test_copies_of_one_text_under_other_titles_keep_it(spark):
+    page = "<body><div class=top>{0}</div><article><h1>{0}</h1><div class=body><p>One long text that the pages of this host have in common.</p></div></article></body>"
+    for n in (2, 5):
+        assert texts(spark, page, [(f"t{i}",) for i in range(n)])[1] == "t1\nOne long text that the pages of this host have in common."
