@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .shared import Scratch
+from .shared import Aside, Scratch
 
 #: Words of items in one automaton; more items make more automata, run one after another.
 MAX_BLOCK_WORDS = 200_000
@@ -233,7 +233,7 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
     ranges (start, end) with their words and the longest match of item words that ends in them; items
     the distinct ids of items with a window there. A null or empty text has no words; an item
     without words no window; an empty item table finds nothing. Rows of items that share an id are
-    one item; those without an id are one too, a null in items. Repeated rows of docs are each reported. keep's columns named as the four added are replaced.
+    one item; those without an id are one too, a null in items. Repeated rows of docs are each reported. keep's columns named as the four added are replaced, others may have any name.
 
     Items are dealt by a hash of their ids to automata of about max_block_words words; an item is never
     parted, so one with very many words makes its automaton larger. If one holds them all, docs are read once and nothing is shuffled. Otherwise
@@ -254,9 +254,10 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
     blocks = max(1, -(-int(sized.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]) // max_block_words))
     block = lambda k: [(r["i"], r["t"]) for r in sized.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).select("i", "t").collect()]
     # a text that is kept crosses to Python once
-    source = text_col if text_col in keep else "_text"
+    aside = Aside(docs)
+    keep, source = aside.names(keep), aside.name(text_col)
     extra = [] if source in keep else [source]
-    now, clean = docs.select(*keep, *[F.col(text_col).alias(c) for c in extra]), None
+    now, clean = aside.df.select(*keep, *extra), None
     if blocks > 1:
         least, total = n, 0
         for k in range(blocks):
@@ -283,7 +284,7 @@ def find_spans(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
             now = written
         else:
             now = out
-    return now if clean is None else now.unionByName(clean)
+    return aside.back(now if clean is None else now.unionByName(clean))
 
 
 def _screened(docs: DataFrame, screen: Screen, source: str, keep: list[str], found: list, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -313,8 +314,10 @@ def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, max_coverage: f
     """docs with the spans of find_spans cut out of text_col; rows of which spans cover more than max_coverage of the words go.
 
     A span is cut with what lies between its words, and one space stays in its place. All columns
-    keep their names and types, n_chars (if there) counts the new text. Texts without a span stay as they are.
+    keep their names and types, n_chars (if there) counts the new text; other columns may have any name. Texts without a span stay as they are.
     """
+    aside = Aside(docs)
+    chars, docs, text_col = aside.name("n_chars") if "n_chars" in docs.columns else None, aside.df, aside.name(text_col)
     out = find_spans(docs, items, n, text_col, **kwargs)
     raw = F.encode(F.col(text_col), "UTF-8")
     # what stays: from the end of each span (or the start of the text) to the start of the next (or the end)
@@ -323,6 +326,6 @@ def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, max_coverage: f
     kept = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.decode(F.substring(raw, p["a"] + 1, p["b"] - p["a"]), "UTF-8"))
     new = F.when(F.size("spans") == 0, F.col(text_col)).otherwise(F.array_join(kept, " "))
     out = out.where((F.col("n_hit") <= F.col("n_words") * F.lit(float(max_coverage)))).withColumn(text_col, new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length(text_col).cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    if chars:
+        out = out.withColumn(chars, F.when(F.size("spans") == 0, F.col(chars)).otherwise(F.length(text_col).cast(docs.schema[chars].dataType)))
+    return aside.back(out.select(*docs.columns))

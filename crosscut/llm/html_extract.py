@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .html_tokens import CONTAINERS, HEADINGS, INLINE, MATH, SIDE_TAGS, VOID, Stack, clean, walk
-from .shared import Scratch, checked
+from .shared import Aside, Scratch, checked
 from .url_filter import url_host
 
 #: A token is frequent if at least this share of the host's pages has it.
@@ -317,12 +317,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
 
     Character references are decoded, white space within a block is one space, blocks are joined by \\n
     in page order. A null or empty html gives an empty text. Pages without :// in their url share
-    the empty host. Repeated rows are each extracted. Columns named text or n_chars are replaced.
+    the empty host. Repeated rows are each extracted. Columns named text or n_chars are replaced, others may have any name.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     scratch = Scratch(pages.sparkSession, "html")
     keep = [c for c in (keep if keep is not None else [c for c in pages.columns if c != html_col]) if c not in ("text", "n_chars")]
+    aside = Aside(pages)
+    pages, url_col, html_col, keep = aside.df, aside.name(url_col), aside.name(html_col), aside.names(keep)
     slots = checked(scratch.keep(deduce_templates(pages, scratch, url_col, html_col), "slots"))
     rows = pages.select(*keep, url_host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html")).join(slots, F.col("_host") == F.col("host"), "left").select(*keep, "_html", "slots", "dropped", "spared")
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -338,4 +340,4 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
                 cols = [batch.column(c).slice(k, 256) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return aside.back(rows.mapInArrow(run, schema))

@@ -21,14 +21,16 @@ _C = np.uint64(0x9FB21C651E98DF25)
 def choose_bands(threshold: float, recall: float = 0.999, max_hashes: int = 160) -> tuple[int, int]:
     """(bands, rows): of those within max_hashes that find a pair at the threshold with the recall, the ones with most rows a band.
 
-    A pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands.
+    A pair of similarity s shares a band with probability 1 - (1 - s^rows)^bands. A threshold so low that max_hashes do
+    not reach the recall takes as many bands of one row as do; a threshold or recall outside (0, 1] and (0, 1) is an error.
     """
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError(f"no bands for a threshold of {threshold} and a recall of {recall}")
+    needed = lambda rows: 1 if threshold == 1 else math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
     for rows in range(32, 0, -1):
-        miss = 1 - threshold**rows
-        bands = 1 if miss <= 0 else math.ceil(math.log(1 - recall) / math.log(miss))
-        if bands * rows <= max_hashes:
-            return bands, rows
-    return max_hashes, 1
+        if threshold**rows > 1e-12 and needed(rows) * rows <= max_hashes:
+            return needed(rows), rows
+    return needed(1), 1
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:

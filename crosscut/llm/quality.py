@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .shared import Aside
 
 STATS = ["log_bytes", "upper", "digit", "space", "newline", "comma_dot", "symbol", "bar", "mark", "non_ascii", "word_len", "distinct_words", "odd_words", "line_words", "mark_pairs", "capital_words", "stop_like"]
 #: Labelled rows that a fit reads at most; taken by the smallest hashes of their ids.
@@ -93,7 +95,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats], schema=arrow)
 
     # a text that is kept crosses to Python once
-    source = text_col if text_col in keep else "_text"
+    source = text_col if text_col in keep else next(c for k in itertools.count() if (c := f"_text{k}") not in keep)
     return docs.select(*keep, *([] if source in keep else [F.col(text_col).alias(source)])).mapInArrow(run, schema)
 
 
@@ -282,6 +284,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
     statistics. Labels, lang, source and ids are no inputs of the score.
     """
     spark = docs.sparkSession
+    docs = docs.select(id_col, text_col)
     mine = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
     mine = mine.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     chosen = spark.createDataFrame(mine.collect(), mine.schema)  # max_rows at most
@@ -302,7 +305,11 @@ def _fit_table(t: pa.Table) -> pa.Table:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep's columns of every row with score (0 to 1) and predicted (1 from 0.5 on); empty texts get the score of zero statistics."""
-    keep = [c for c in keep if c not in ("score", "predicted", "_stats")]
-    s = with_statistics(docs, keep, text_col).withColumn("score", model.column())
-    return s.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """keep's columns of every row with score (0 to 1) and predicted (1 from 0.5 on); empty texts get the score of zero statistics.
+
+    Columns of keep named score or predicted are replaced, others may have any name.
+    """
+    aside = Aside(docs)
+    names = aside.names([c for c in keep if c not in ("score", "predicted")])
+    s = with_statistics(aside.df, names, aside.name(text_col)).withColumn("score", model.column())
+    return aside.back(s.select(*names, "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))

@@ -89,6 +89,27 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+class Aside:
+    """A table under names that no operator uses, but for the columns that stay, and the way back to its own."""
+
+    def __init__(self, df: DataFrame, stay: tuple[str, ...] = ()):
+        self._to = {c: c if c in stay else f"aside_{i}_" for i, c in enumerate(df.columns)}
+        self._from = {v: k for k, v in self._to.items()}
+        self.df = df.toDF(*self._to.values())
+
+    def name(self, column: str) -> str:
+        return self._to[column]
+
+    def names(self, columns: list[str]) -> list[str]:
+        return [self._to[c] for c in columns]
+
+    def back(self, out: DataFrame) -> DataFrame:
+        """out with the columns' own names. A column that the operator adds replaces one of the table with that name."""
+        added = {c.lower() for c in out.columns if c not in self._from}
+        out = out.drop(*[c for c in out.columns if self._from.get(c, "").lower() in added and c in self._from])
+        return out.toDF(*[self._from.get(c, c) for c in out.columns])
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether Hadoop's file system has path."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

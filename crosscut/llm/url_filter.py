@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width
+from .shared import Aside, shuffle_width
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,7 +27,7 @@ def _reversed(host: Column) -> Column:
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict to every row of pages; columns of those names are replaced.
+    """Adds host, path, rule and verdict to every row of pages; columns of those names are replaced, others stay whatever their names and types.
 
     rules has host, path (starting with /, or empty) and action. A rule fits its host and all
     subdomains if the url's path starts with the rule's; the longest rule string wins, and of rules
@@ -45,6 +45,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     partitions.
     """
     spark = pages.sparkSession
+    aside = Aside(pages)
+    pages, url_col = aside.df, aside.name(url_col)
     width = shuffle_width(spark)
     rules = (
         rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "action")
@@ -54,9 +56,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .withColumn("rev", _reversed(F.col("host")))
     )
     levels = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect())  # a few numbers: label counts
-    judged = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))}).drop("rule", "verdict")
+    judged = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
     if not levels:
-        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return aside.back(judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}))
 
     labels = F.size(F.split("host", r"\."))
     keys = judged.select("host", "path").where("host <> ''").distinct()
@@ -89,9 +91,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("top.rule").alias("n"), F.col("top.rule").alias("rule"), F.col("top.action").alias("action"))).alias("w"))
     best = best.select("host", "path", F.col("w.rule").alias("rule"), F.col("w.action").alias("verdict"))
     # urls without a host meet nothing, so they are spread instead of sharing one key
-    nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*pages.columns), F.lit(1 << 20)).cast("string"))
+    hashed = [f.name for f in pages.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    nothing = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*hashed), F.lit(1 << 20)).cast("string"))
     judged = judged.withColumn("_key", F.when(F.col("host") == "", nothing).otherwise(F.col("host")))
-    columns = [c for c in judged.columns if c != "_key"]
     best = best.select(F.col("host").alias("_key"), F.col("path").alias("_path"), "rule", "verdict")
-    out = judged.join(best, (judged["_key"] == best["_key"]) & (judged["path"] == best["_path"]), "left")
-    return out.select(*columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    out = judged.join(best, (judged["_key"] == best["_key"]) & (judged["path"] == best["_path"]), "left").drop("_key", "_path")
+    return aside.back(out.select(*pages.columns, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")))
