@@ -1,6 +1,7 @@
 """A corpus pipeline over documents: each stage applies one operator to all that the stage before kept.
 
-Each function takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.
+Each function takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents. Columns
+beside those of documents may have any name and stay as they are; the last stage's own replace those of their names.
 """
 
 from __future__ import annotations
@@ -13,19 +14,23 @@ from crosscut.llm.line_dedup import dedup_lines
 from crosscut.llm.mixing import mix, text_size
 from crosscut.llm.ngram_join import ngram_join
 from crosscut.llm.quality import fit_quality, score
-from crosscut.llm.shared import Scratch, checked
+from crosscut.llm.shared import Aside, Scratch, checked
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rules score under 0.5. The rules are fitted on the labelled ones among docs."""
     model = fit_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+    aside = Aside(docs)
+    kept = score(aside.df, model, aside.df.columns, aside.name("text")).where("predicted = 1")
+    return aside.back(kept.select(*aside.df.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that an earlier one repeats, however short, or nearly repeats. A document of which only blank lines are left goes."""
-    out = dedup_lines(docs)
-    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    aside = Aside(docs, ("n_chars",))
+    out = dedup_lines(aside.df, aside.name("doc_id"), aside.name("text"))
+    out = out.where((F.col("n_removed") == 0) | F.col(aside.name("text")).rlike(r"[^\x20\x09-\x0D]"))
+    return aside.back(out.select(*aside.df.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +40,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     ids; of rows with the same id and text, one stays.
     """
     scratch = Scratch(spark, "pipeline")
+    aside = Aside(docs, ("doc_id", "text"))
+    docs = aside.df
     again = scratch.keep(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again")), "again")
     columns = docs.columns
     if again.limit(1).count():
@@ -45,7 +52,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     else:
         docs = docs.withColumn("_key", F.col("doc_id"))
     gone = scratch.keep(ngram_join(docs.select("_key", "text"), id_col="_key").where(~F.col("kept")).select("_key"), "gone")
-    return docs.join(checked(gone), "_key", "left_anti").select(*columns)
+    return aside.back(docs.join(checked(gone), "_key", "left_anti").select(*columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +62,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each once, with how often it takes them and their source's size and target."""
+    aside = Aside(docs, ("doc_id", "source", "text"))
+    docs = aside.df
     took = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "source_size", "target", "copies", "taken").distinct()
     sized = docs.withColumn("size", text_size(F.col("text")))
     out = sized.join(took, sized["doc_id"].eqNullSafe(took["_d"]) & sized["source"].eqNullSafe(took["_s"]) & (sized["size"] == took["_z"]))
-    return out.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    return aside.back(out.select(*docs.columns, "size", "source_size", "target", "copies", "taken"))
 
 
 STAGES = [
