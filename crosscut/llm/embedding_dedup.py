@@ -27,10 +27,6 @@ MAX_LEVELS = 8
 DEGREE, BEAM, ALPHA, SLACK, BACK = 24, 48, 1.2, 0.12, 6
 
 
-class RecallError(RuntimeError):
-    """The audit found fewer links than the target share, even with the widest shards."""
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each vector scaled to length 1 (null if it links with nothing) and 128 bits of what it holds."""
     for batch in batches:
@@ -344,7 +340,7 @@ def _labels(size: int, hit: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _search(threshold: float, target: float = 0.98):
+def _search(threshold: float, target: float = 0.98, exact: bool = False):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("in_graph", "descending"), ("rep", "ascending")])
         shard = t.column("shard")[0].as_py()
@@ -355,13 +351,13 @@ def _search(threshold: float, target: float = 0.98):
         reps = t.column("rep").to_pylist()
         place = {r: i for i, r in enumerate(reps[:n])}
         lists = [np.array(sorted({place[r] for r in near or () if r in place}), dtype=np.int64) for near in t.column("near").to_pylist()[:n]]
-        g = Graph(x[:n], adjacency=lists)
+        g = None if exact else Graph(x[:n], adjacency=lists)
         # one byte for each pair that may be linked, at most two graphs' nodes by one's
         hit = np.zeros((len(x), n), dtype=bool)
         some = rows[:: max(1, len(rows) // 32)]
         want = x[some] @ x[:n].T >= threshold
         beam, slack = BEAM, SLACK
-        for _ in range(4):
+        for _ in range(0 if exact else 4):
             for k in range(0, len(rows), 512):
                 query, node = g.within(x[rows[k : k + 512]], threshold, beam, slack)
                 query = rows[query + k]
@@ -399,23 +395,34 @@ def _search(threshold: float, target: float = 0.98):
     return run
 
 
-def _linked(nodes: DataFrame, scratch: Scratch, id_type: str, threshold: float, max_graph: int, cluster: int, overlap: int, margin: float) -> DataFrame:
-    """(rep, links, root) of every node in each of its shards."""
-    rows = scratch.keep(shard_rows(nodes, scratch, id_type, max_graph, cluster, overlap, margin), "placed")
+def _joined_lists(each: DataFrame, scratch: Scratch, id_type: str) -> DataFrame:
+    """(rep, near, shards): a node's lists from the graphs of all its shards, joined, and these shards."""
+    lists = each.select("shard", "part", "rep", "unit").groupBy("shard", "part").applyInArrow(_build, f"rep {id_type}, shard long, near array<{id_type}>")
+    return scratch.keep(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.array_sort(F.collect_set("shard")).alias("shards")), "lists")
+
+
+def _linked(nodes: DataFrame, scratch: Scratch, id_type: str, threshold: float, max_graph: int, cluster: int, overlap: int, margin: float, exact: bool = False) -> DataFrame:
+    """(rep, links, root) of every node in each of its shards.
+
+    If exact, all nodes of one length are a shard, and each of its parts is compared with each, in full and without graphs.
+    """
+    shards = nodes.select("rep", "mult", "unit", F.col("dim").cast("long").alias("shard")) if exact else shard_rows(nodes, scratch, id_type, max_graph, cluster, overlap, margin)
+    rows = scratch.keep(shards, "placed")
     parts = rows.groupBy("shard").agg(F.ceil(F.count("*") / max_graph).cast("int").alias("parts")).where("parts > 1")
     parts = scratch.keep(parts, "parts")
     each = rows.join(F.broadcast(parts) if small_enough(parts, 100_000) else parts, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     each = each.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    lists = each.select("shard", "part", "rep", "unit").groupBy("shard", "part").applyInArrow(_build, f"rep {id_type}, shard long, near array<{id_type}>")
-    union = scratch.keep(lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.array_sort(F.collect_set("shard")).alias("shards")), "lists")
+    if exact:
+        each = each.withColumns({"near": F.array().cast(f"array<{id_type}>"), "shards": F.array("shard")})
+    else:
+        each = each.join(_joined_lists(each, scratch, id_type), "rep")
 
     # each part's graph meets the queries of every part
-    each = each.join(union, "rep")
     asked = each.withColumn("graph", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("in_graph", (F.col("graph") == F.col("part")).cast("int"))
     asked = asked.withColumn("asker", F.col("part")).withColumn("near", F.when(F.col("in_graph") == 1, F.col("near")))
     copies = asked.where("in_graph = 1 and parts > 1").withColumn("asker", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("asker <> part").withColumn("asks", F.lit(False))
     tasks = asked.withColumn("asks", F.lit(True)).unionByName(copies)
-    found = tasks.select("shard", "graph", "asker", "rep", "mult", "unit", "shards", "near", "in_graph", "asks").groupBy("shard", "graph", "asker").applyInArrow(_search(threshold), f"rep {id_type}, links long, root {id_type}")
+    found = tasks.select("shard", "graph", "asker", "rep", "mult", "unit", "shards", "near", "in_graph", "asks").groupBy("shard", "graph", "asker").applyInArrow(_search(threshold, exact=exact), f"rep {id_type}, links long, root {id_type}")
     return scratch.keep(found, "found")
 
 
@@ -463,7 +470,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     reports counts and one root a node, not pairs, and holds one byte for each two of its nodes.
 
     At the end some nodes are compared with all others, whatever their shards. If less than target of their links
-    were found, all is done again with shards that overlap more, twice at most; then RecallError is raised.
+    were found, all is done again with shards that overlap more; if that does not help twice, every part of max_graph nodes is
+    compared with every other in full. A target above 1 asks for that at once.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -471,15 +479,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     rows = scratch.keep(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(_read, f"id {id_type}, d1 long, d2 long, dim int, unit binary"), "rows")
     nodes = rows.where("unit is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("dim").alias("dim"), F.first("unit").alias("unit")).where("rep is not null")
     nodes = scratch.keep(nodes, "nodes")
-    for wider in range(3):
-        found = _linked(nodes, scratch, id_type, threshold, max_graph, cluster, OVERLAP * 2**wider, MARGIN * 2**wider)
+    for wider in range(3 if target > 1 else 0, 4):
+        found = _linked(nodes, scratch, id_type, threshold, max_graph, cluster, OVERLAP * 2**wider, MARGIN * 2**wider, exact=wider == 3)
         links = scratch.keep(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
-        recall = _recall(nodes, links, threshold, queries)
-        if recall >= target:
+        if wider == 3 or _recall(nodes, links, threshold, queries) >= target:
             break
         scratch.drop(found, links)
-    else:
-        raise RecallError(f"{recall:.3f} of the links of the audited vectors were found")
     roots = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     info = nodes.select("d1", "d2", "rep", "mult").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
     info = info.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component"))

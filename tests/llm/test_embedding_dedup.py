@@ -1,8 +1,7 @@
 import numpy as np
 import pyarrow as pa
-import pytest
 
-from crosscut.llm.embedding_dedup import Graph, RecallError, _labels, _search, audit_recall, near_duplicates, spread
+from crosscut.llm.embedding_dedup import Graph, _labels, _search, audit_recall, near_duplicates, spread
 
 
 def clustered(rng, n, dim=24):
@@ -85,8 +84,25 @@ def test_centres_that_are_nearly_the_same_are_one():
     assert len(spread(c)) == 2
 
 
-def test_missing_recall_is_an_error(spark):
+def test_a_recall_out_of_reach_has_all_parts_compared_in_full(spark):
     rng = np.random.default_rng(6)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(clustered(rng, 200))], "vec_id long, embedding array<double>")
-    with pytest.raises(RecallError):
-        near_duplicates(df, target=1.01)
+    x = clustered(rng, 300)
+    x = np.concatenate((x, x[:9]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    links, label = brute(x)
+    got = {r["vec_id"]: r for r in near_duplicates(df, target=1.01, max_graph=150).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == links.tolist() and [got[i]["component_id"] for i in range(len(x))] == label.tolist()
+
+
+def test_recall_of_many_planted_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(14_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.normal(size=(6_000, 32))
+    near = x[rng.integers(0, 5_000, 6_000)] + turn / np.linalg.norm(turn, axis=1, keepdims=True) * rng.uniform(0, 0.6, (6_000, 1))
+    x = np.concatenate((x, near))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(u[k : k + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for k in range(0, len(u), 1000)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicates(df).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.95 * want.sum() and want.sum() > 5_000
