@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import DEFAULT_LEVELS, RULE_IDS, lookup
 from ..functions.text import glob_regex
 from .config import load
+from .staging import staged
 
 ENTRIES = "repo {}, part string, ord int, rule string, level string, enabled boolean, prefix string, regex string, value string"
 #: Scalars that are handed out, by section.
@@ -51,17 +52,22 @@ def config_entries(configs: DataFrame) -> DataFrame:
     """ENTRIES of (repo, head, base): the YAML text at a change's head, else at its base, else the defaults; texts that hold none are read as empty ones.
 
     Every repository has its scalars; rules, overrides and globs only if its text names some. A row is one rule of one pattern, so a
-    large configuration is many rows and no cell grows with it.
+    large configuration is many rows and no cell grows with it. Reading YAML costs about a millisecond, so each distinct text is read once,
+    in all tasks, however few files configs come in, and its rows are joined to the repositories by its digest.
     """
-    x = configs.select("repo", F.coalesce("head", "base").alias("text"))
+    spark = configs.sparkSession
+    x = configs.select("repo", F.coalesce("head", "base").alias("text")).withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
     columns = [c.split()[0] for c in ENTRIES.split(", ")]
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [e for repo, text in zip(f["repo"], f["text"], strict=True) for e in _entries(repo, text)]
-            yield pd.DataFrame(rows, columns=columns).astype({"enabled": "boolean", "ord": "int32"})
+            rows = [e for digest, text in zip(f["digest"], f["text"], strict=True) for e in _entries(digest, text)]
+            yield pd.DataFrame(rows, columns=["digest", *columns[1:]]).astype({"enabled": "boolean", "ord": "int32"})
 
-    return x.mapInPandas(parse, ENTRIES.format(x.schema["repo"].dataType.simpleString()))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = x.select("digest", "text").distinct().repartition(width)
+    told = staged(texts.mapInPandas(parse, ENTRIES.format("string").replace("repo", "digest", 1)), "configs")
+    return x.select("repo", "digest").join(told, "digest").select(*columns)
 
 
 def _folders(path: Column) -> Column:
