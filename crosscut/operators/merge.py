@@ -25,6 +25,17 @@ def outside_ranges(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     return x.where((c("late") == 1) & ~F.coalesce(hidden, F.lit(False))).select("finding.*")
 
 
+def with_new(known: DataFrame, findings: DataFrame) -> DataFrame:
+    """known, and those of findings that are not in known by file, line (null equals null) and kind; columns of known.
+
+    One pass over each: a window tells whether a file, line and kind is known.
+    """
+    x = known.withColumn("_old", F.lit(True)).unionByName(findings.select(*known.columns).withColumn("_old", F.lit(False)))
+    same = Window.partitionBy("file_key", "line", "kind")
+    x = x.withColumn("_known", F.bool_or("_old").over(same) & F.col("file_key").isNotNull() & F.col("kind").isNotNull())
+    return x.where(F.col("_old") | ~F.col("_known")).drop("_old", "_known")
+
+
 def new_findings(findings: DataFrame, known: DataFrame) -> DataFrame:
     """Findings that are not in known by file, line (null equals null) and kind."""
     k = known.select(F.col("file_key").alias("_f"), F.col("line").alias("_l"), F.col("kind").alias("_k")).distinct()
@@ -39,8 +50,9 @@ def merge_structural(structural: DataFrame, textual: DataFrame) -> DataFrame:
     """
     preferred = F.col("kind").isin(STRUCTURAL_KINDS)
     s = structural.withColumn("origin", F.lit("structural")).withColumn("prec", F.when(preferred, 0).otherwise(2))
-    has = structural.select("file_key").distinct()
-    t = textual.where(~preferred).unionByName(textual.where(preferred).join(has, "file_key", "left_anti").select(*textual.columns))
-    t = t.withColumn("origin", F.lit("textual")).withColumn("prec", F.lit(1))
+    t = textual.withColumn("origin", F.lit("textual")).withColumn("prec", F.lit(1))
+    # each input is read once: windows by file serve those by file, line and kind
+    x = s.unionByName(t).withColumn("_has", F.bool_or(F.col("origin") == "structural").over(Window.partitionBy("file_key")) & F.col("file_key").isNotNull())
+    x = x.where((F.col("origin") == "structural") | ~preferred | ~F.col("_has")).drop("_has")
     first = F.row_number().over(Window.partitionBy("file_key", "line", "kind").orderBy("prec", "seq"))
-    return s.unionByName(t).withColumn("_n", first).where("_n = 1").drop("_n")
+    return x.withColumn("_n", first).where("_n = 1").drop("_n")
