@@ -40,7 +40,7 @@ def analyze_pull_requests(files: DataFrame, config: Config | None = None, conten
         whole = file_rules.analyze_files(contents.join(kept.select("file_key", "filename"), "file_key"))
         whole = whole.withColumn("seq", F.row_number().over(Window.partitionBy("file_key").orderBy("line", "rule_ord")))
         whole = whole.withColumns({"message": F.lit(None).cast("string"), "origin": F.lit("file"), "part": F.lit(3)}).select(*cols, "origin", "part")
-        found = found.unionByName(merge.new_findings(whole, found).select(*cols, "origin", "part"))
+        found = merge.with_new(found, whole)
     text = lines.added_text(src).groupBy("file_key").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
     directives = suppress.parse_directives(text.select("file_key", F.array_join(F.transform("l", lambda s: s["text"]), "\n").alias("text")), keyword=keyword)
     found = apply_rules(found.join(kept.select("file_key", "pr_id", "file_ord", "filename"), "file_key"), config)
