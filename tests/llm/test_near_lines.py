@@ -1,8 +1,12 @@
 """op9 and the pipeline's line dedup against all pairs of long lines, whatever their lines begin and end with."""
 
+import os
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from crosscut.llm import line_dedup as L
 from crosscut.llm.line_dedup import dedup_lines
 
 from .test_line_dedup import distance
@@ -60,3 +64,23 @@ def test_very_long_lines_and_repeats(spark):
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(near) + "\n" + " ".join(near))]
     got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 0, 4: 2}
+
+
+def test_many_alike_lines_that_are_not_near_leave_no_pairs(spark):
+    """Lines that share most of their grams, but none of which is within the bound of another: their number alone makes no rows."""
+    rng = random.Random(5)
+    base = [f"word{k}" for k in range(60)]
+    lines = [[chr(0x4E00 + 60 * i + k) if k % 10 in (3, 4 + i % 5) else w for k, w in enumerate(base)] for i in range(300)]
+    lines += [edited(rng, lines[7], 6), lines[8][1:], [*base[:30], *(f"z{k}" for k in range(30))]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    assert {r["doc_id"] for r in dedup_lines(df).where("n_removed = 1").collect()} == {300, 301}
+    scratch, aside = L.Scratch(spark, "test"), df.select(F.col("doc_id").alias("d"), F.lit(0).alias("p"), F.col("text").alias("line"))
+    marks = aside.withColumn("n", F.size(F.split("line", " "))).withColumn("marks", L._grams())
+    occ = marks.withColumn("h", F.xxhash64("line"))
+    met = L._meeting(occ, occ.select("h", "d", "p", "n", "marks.b0", "marks.b1"), scratch)
+    none = met.select("d", "p").limit(0)
+    assert met.groupBy("key").count().agg(F.max("count")).first()[0] > 50
+    assert L._near_long(met, none, df, "doc_id", "text", scratch).count() == 2
+    compared = sum(spark.read.parquet(f"{scratch.root}/{f}").count() for f in os.listdir(scratch.root.removeprefix("file://")) if f.endswith("-wanted"))
+    scratch.end()
+    assert compared <= 150  # lines of pairs that the bits leave, in both passes; all 303 share grams
