@@ -34,11 +34,26 @@ LANGUAGES = {
 }
 
 
+#: A line that begins in code and has none of these characters holds no comment and no string, and ends in code.
+SIGNS, RUBY_SIGNS = r"""[/"'`#]""", r"""[#"':<]|^=begin"""
+
+
+def _no_sign(line: Column) -> Column:
+    return ~F.when(F.col("language") == "ruby", line.rlike(RUBY_SIGNS)).otherwise(line.rlike(SIGNS))
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value) with value evaluated once."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def unfiltered(values: Column) -> Column:
+    """values, to be exploded. Of a bare column Spark would ask first, in a filter put before the projection that makes it, whether it has
+    values, and so make it, and what it is made of, several times.
+    """
+    return F.transform(values, lambda v: v)
+
+
 def _by_language(pick: Callable[[tuple], Column]) -> Column:
     out = F.when(F.lit(False), pick(LANGUAGES["go"]))
     for name, spec in LANGUAGES.items():
@@ -87,7 +102,7 @@ def _after(state: Column, line: Column) -> Column:
         return F.struct(F.when(tag.isNotNull(), 4).otherwise(_left_open(F.try_element_at(found, F.lit(-1)))).alias("s"), tag.alias("tag"))
 
     ended = F.struct(F.lit(0).alias("s"), F.lit(None).cast("string").alias("tag"))
-    return F.when((state["s"] == 4) & (F.trim(line) == state["tag"]), ended).when(state["s"] == 4, state).otherwise(let(F.regexp_extract_all(F.concat(opener, _plain(line)), F.col("tokens"), F.lit(0)), scanned))
+    return F.when((state["s"] == 0) & _no_sign(line), state).when((state["s"] == 4) & (F.trim(line) == state["tag"]), ended).when(state["s"] == 4, state).otherwise(let(F.regexp_extract_all(F.concat(opener, _plain(line)), F.col("tokens"), F.lit(0)), scanned))
 
 
 def _states(lines: Column) -> Column:
@@ -122,12 +137,12 @@ def source_lines(files: DataFrame) -> DataFrame:
     """
     x = files.select("file_key", structural_language(F.col("filename")).alias("language"), "content").where(F.col("language").isin(*LANGUAGES) & F.col("content").isNotNull())
     x = x.withColumns(_settings()).withColumn("lines", F.split("content", "\n"))
-    x = x.withColumn("states", _states(F.col("lines"))).select("file_key", "language", "tokens", "hidden", "openers", "states", F.posexplode("lines").alias("at", "text"))
+    x = x.withColumn("states", _states(F.col("lines"))).select("file_key", "language", "tokens", "hidden", "openers", "states", F.posexplode(unfiltered(F.col("lines"))).alias("at", "text"))
     x = x.withColumns({"begins": F.get("states", F.col("at")), "ends": F.get("states", F.col("at") + 1)}).drop("states")
     opener = F.coalesce(F.get("openers", F.col("begins")), F.lit(""))
     x = x.withColumns({"mark": F.length(opener), "plain": F.concat(opener, _plain(F.col("text")))})
-    here = F.col("begins") == 4
-    x = x.withColumns({"found": F.when(here, F.array("plain")).otherwise(F.regexp_extract_all("plain", F.col("tokens"), F.lit(0))), "between": F.when(here, F.array(F.lit(""), F.lit(""))).otherwise(F.split("plain", F.col("tokens"), -1))})
+    here, bare = F.col("begins") == 4, (F.col("begins") == 0) & _no_sign(F.col("text"))
+    x = x.withColumns({"found": F.when(here, F.array("plain")).when(bare, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("plain", F.col("tokens"), F.lit(0))), "between": F.when(here, F.array(F.lit(""), F.lit(""))).when(bare, F.array("plain")).otherwise(F.split("plain", F.col("tokens"), -1))})
 
     def add(acc: Column, k: Column) -> Column:
         token = F.get("found", k)
@@ -150,7 +165,7 @@ def ignored_ranges(lines: DataFrame) -> DataFrame:
 
     A span that begins where its line does and whose line begins in a text goes on from the line before; runs of these are one range.
     """
-    x = lines.select("file_key", "line", "begins", F.posexplode("spans").alias("k", "span"))
+    x = lines.select("file_key", "line", "begins", F.posexplode(unfiltered(F.col("spans"))).alias("k", "span"))
     file = Window.partitionBy("file_key").orderBy("line", "k")
     begun = (F.col("begins") == 4) & (F.coalesce(F.lag("begins").over(file), F.lit(0)) != 4)  # a here document's first line
     x = x.withColumn("new", (F.col("k") > 0) | (F.col("begins") == 0) | begun)
