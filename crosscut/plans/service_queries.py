@@ -71,9 +71,9 @@ def config_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repo_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings, each by the configuration of its own repository."""
-    e = staged(repo_config.config_entries(_configs(spark, sf_dir)), "entries")
-    f = n_(spark, sf_dir).withColumn("repo", F.col("pr_id"))
-    return repo_config.apply_repo_rules(f, e, "file").select("pr_id", "seq", "kind", "file", "level", "is_prototype_zone")
+    repos, e = repo_config.shared_entries(_configs(spark, sf_dir))
+    f = staged(n_(spark, sf_dir).select("pr_id", F.col("pr_id").alias("repo"), "seq", "kind", "file"), "findings")
+    return repo_config.apply_repo_rules(f, e, "file", repos).select("pr_id", "seq", "kind", "file", "level", "is_prototype_zone")
 
 
 def repo_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from .config import load
 from .staging import staged
 
 ENTRIES = "repo {}, part string, ord int, rule string, level string, enabled boolean, prefix string, regex string, value string"
+#: Resolved rules of up to so many (config, path, kind) are sent to all tasks; a row takes about 200 bytes.
+BROADCAST_ROWS = 100_000
 #: Scalars that are handed out, by section.
 SCALARS = {"scoring": ("high_risk_score", "weight_multiplier"), "llm": ("enabled", "max_files", "validate_findings", "confidence_threshold"), "reporting": ("create_issues", "max_issues_per_pr", "issue_severity_threshold")}
 
@@ -48,12 +50,10 @@ def _entries(repo: object, text: str | None) -> Iterator[tuple]:
             yield repo, "scalar", 0, f"{section}.{n}", None, None, None, None, json.dumps(raw[section][n])
 
 
-def config_entries(configs: DataFrame) -> DataFrame:
-    """ENTRIES of (repo, head, base): the YAML text at a change's head, else at its base, else the defaults; texts that hold none are read as empty ones.
+def _told(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo, digest) of configs, and the rows of ENTRIES of each distinct text, with its digest for the repository.
 
-    Every repository has its scalars; rules, overrides and globs only if its text names some. A row is one rule of one pattern, so a
-    large configuration is many rows and no cell grows with it. Reading YAML costs about a millisecond, so each distinct text is read once,
-    in all tasks, however few files configs come in, and its rows are joined to the repositories by its digest.
+    Reading YAML costs about a millisecond, so each distinct text is read once, in all tasks, however few files configs come in.
     """
     spark = configs.sparkSession
     x = configs.select("repo", F.coalesce("head", "base").alias("text")).withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
@@ -67,7 +67,25 @@ def config_entries(configs: DataFrame) -> DataFrame:
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     texts = x.select("digest", "text").distinct().repartition(width)
     told = staged(texts.mapInPandas(parse, ENTRIES.format("string").replace("repo", "digest", 1)), "configs")
-    return x.select("repo", "digest").join(told, "digest").select(*columns)
+    return x.select("repo", "digest"), told
+
+
+def config_entries(configs: DataFrame) -> DataFrame:
+    """ENTRIES of (repo, head, base): the YAML text at a change's head, else at its base, else the defaults; texts that hold none are read as empty ones.
+
+    Every repository has its scalars; rules, overrides and globs only if its text names some. A row is one rule of one pattern, so a
+    large configuration is many rows and no cell grows with it.
+    """
+    x, told = _told(configs)
+    return x.join(told, "digest").select("repo", *(c for c in told.columns if c != "digest"))
+
+
+def shared_entries(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo, config) of (repo, head, base), and config_entries with a config for the repository: repositories of equal texts share one."""
+    x, told = _told(configs)
+    repos = staged(x.where("repo is not null").groupBy("repo").agg(F.array_join(F.array_sort(F.collect_set("digest")), ",").alias("config")), "repos")
+    of = repos.select("config").distinct().select(F.col("config").alias("repo"), F.explode(F.split("config", ",")).alias("digest"))
+    return repos, of.join(told, "digest").drop("digest")
 
 
 def _folders(path: Column) -> Column:
@@ -105,16 +123,25 @@ def resolved_rules(keys: DataFrame, entries: DataFrame) -> DataFrame:
     return x.select("repo", "path", "kind", F.coalesce("over_on", "base_on", F.lit(True)).alias("enabled"), level.alias("level"), F.coalesce("zone", F.lit(False)).alias("is_prototype_zone"))
 
 
-def apply_repo_rules(findings: DataFrame, entries: DataFrame, path_col: str = "filename") -> DataFrame:
+def apply_repo_rules(findings: DataFrame, entries: DataFrame, path_col: str = "filename", repos: DataFrame | None = None) -> DataFrame:
     """Findings of enabled rules, each by its own repository's configuration, with level and is_prototype_zone; kinds that are no rules pass without a level.
 
     Findings need repo and kind, both not null. Rules are resolved once for each (repo, path, kind), so a repository with most of the findings has no more keys than paths.
+    With the repos of shared_entries, whose entries are given then, they are resolved once for each (config, path, kind), and findings are dealt again only
+    if that makes more than BROADCAST_ROWS rows. Findings are read twice.
     """
-    keys = findings.select("repo", F.col(path_col).alias("path"), "kind").distinct()
-    told = resolved_rules(keys, entries).withColumnRenamed("path", path_col)
-    x = findings.drop("level", "is_prototype_zone").join(told, ["repo", path_col, "kind"])
+    x, by = findings.drop("level", "is_prototype_zone"), "repo"
+    if repos is not None:
+        # a repository that has no row has no text either
+        x, by = x.where("repo is not null").join(repos, "repo", "left").na.fill("", ["config"]), "config"
+    told = resolved_rules(x.select(F.col(by).alias("repo"), F.col(path_col).alias("path"), "kind").distinct(), entries)
+    told = told.withColumnsRenamed({"repo": by, "path": path_col})
+    if repos is not None:
+        told = staged(told, "rules")
+        told = F.broadcast(told) if told.count() <= BROADCAST_ROWS else told.hint("merge")
+    x = x.join(told, [by, path_col, "kind"])
     known = F.col("kind").isin(RULE_IDS)
-    return x.where(~known | (F.col("enabled") & (F.col("level") != "off"))).drop("enabled")
+    return x.where(~known | (F.col("enabled") & (F.col("level") != "off"))).drop("enabled", *([by] if repos is not None else []))
 
 
 def scalars(entries: DataFrame) -> DataFrame:
