@@ -15,17 +15,25 @@ def score_label(score: Column) -> Column:
     return out.otherwise(LABELS[-1][1])
 
 
-def scores(findings: DataFrame, multiplier: str = "1.0", high_risk_below: int = 60, by: tuple[str, ...] = ("pr_id",)) -> DataFrame:
+def scores(findings: DataFrame, multiplier: str = "1.0", high_risk_below: int = 60, by: tuple[str, ...] = ("pr_id",), counts: bool = False) -> DataFrame:
     """by, penalty, score, label and high_risk: 100 less the weighted points of all findings, rounded half up, within 0 and 100.
 
-    Points are exact decimals. Sums combine before the shuffle; by pairs without findings have no row.
+    Points are exact decimals. Sums combine before the shuffle; by pairs without findings have no row. With counts, severity_counts' columns
+    follow, of the same pass over the findings.
     """
     cost = (penalty(F.col("kind"), F.col("severity"), F.col("level")) * F.lit(multiplier).cast("decimal(8,4)")).cast("decimal(18,4)")
-    x = findings.groupBy(*by).agg(F.sum(cost).alias("penalty"))
+    x = findings.groupBy(*by).agg(F.sum(cost).alias("penalty"), *(_counts() if counts else []))
     s = F.greatest(F.lit(0), F.least(F.lit(100), F.round(F.lit(100) - F.col("penalty"), 0).cast("int")))
-    return x.withColumn("score", s).withColumns({"label": score_label(F.col("score")), "high_risk": F.col("score") < high_risk_below})
+    x = x.withColumn("score", s).withColumns({"label": score_label(F.col("score")), "high_risk": F.col("score") < high_risk_below})
+    return x.select(*by, "penalty", "score", "label", "high_risk", *(["total", *COUNTED] if counts else []))
+
+
+COUNTED = ("high", "medium", "low")
+
+
+def _counts() -> list[Column]:
+    return [F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in COUNTED]]
 
 
 def severity_counts(findings: DataFrame, by: tuple[str, ...] = ("pr_id",)) -> DataFrame:
-    n = {s: F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")}
-    return findings.groupBy(*by).agg(F.count("*").alias("total"), *n.values())
+    return findings.groupBy(*by).agg(*_counts())

@@ -71,8 +71,7 @@ def summarize(findings: DataFrame, validated: DataFrame | None = None, config: C
     """One row a change set: score, label, high_risk and severity counts, false positives left out if validated is given."""
     config = config or Config()
     real = findings if validated is None else validation.without_false_positives(findings, validated)
-    s = score.scores(real, config.multiplier, config.high_risk_below)
-    return s.join(score.severity_counts(real), "pr_id")
+    return score.scores(real, config.multiplier, config.high_risk_below, counts=True)
 
 
 def api_results(findings: DataFrame, validated: DataFrame, config: Config | None = None) -> DataFrame:
