@@ -94,11 +94,16 @@ def outline(files: DataFrame) -> DataFrame:
 
     Blank and comment lines are passed over. A decorator goes before the definition that follows it at once.
     """
-    x = content_lines(files).withColumn("t", trim(F.col("text")))
+    from ..sources.staging import staged
+
+    files = staged(files.select("file_key", "filename", "content"), "files")
+    x = content_lines(files).withColumn("t", trim(F.col("text"))).drop("text", "filename")
     skip = (F.col("t") == "") | F.col("t").rlike(r"^(?://|#|/\*|\*)")
     x = x.withColumn("skip", skip).withColumn("imp", ~F.col("skip") & is_import(F.col("t")))
     x = x.withColumn("starts", F.col("imp") & F.col("t").contains("{") & ~F.col("t").contains("}") & ~F.col("t").contains("from"))
     x = x.withColumn("ends", F.col("t").contains(";") | (F.col("t").contains("from") & F.col("t").contains("'")))
+    # lines are read once; islands, imports and definitions all start from them
+    x = staged(x.withColumn("kind", F.when(~F.col("skip") & ~F.col("imp"), definition(F.col("t")))), "outlined")
     lo, hi = F.col("i.lo"), F.col("i.hi")
     x = x.alias("x").join(_islands(x).alias("i"), (F.col("x.file_key") == F.col("i.file_key")) & F.col("x.line_no").between(lo, hi), "left").select("x.*", lo.alias("lo"), hi.alias("hi"))
     joined = x.where("lo is not null").groupBy("file_key", "lo", "hi").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda s: s["t"]), " ").alias("buf"), F.max("line_no").alias("last"))
@@ -106,7 +111,7 @@ def outline(files: DataFrame) -> DataFrame:
     multi = joined.where("last = hi").select("file_key", F.col("hi").alias("line_no"), F.coalesce(F.concat(F.lit("import { ... } from '"), module, F.lit("'")), shorten(F.col("buf"))).alias("text"))
     single = x.where("imp and lo is null").select("file_key", "line_no", shorten(F.col("t")).alias("text"))
     imports = multi.unionByName(single).groupBy("file_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]).alias("imports"))
-    d = x.where("not skip and not imp and lo is null").withColumn("kind", definition(F.col("t")))
+    d = x.where("not skip and not imp and lo is null")
     near = Window.partitionBy("file_key").orderBy("line_no")
     pending = F.when(F.lag("kind").over(near) == "decorator", F.lag("t").over(near))
     d = d.withColumn("pending", pending).where("kind is not null and kind <> 'decorator'")
