@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim
 from .lines import content_lines
+from .source_lines import let
 
 # What counts as an import, and definitions in the order in which they are tried, all on trimmed lines.
 IMPORTS = [
@@ -67,14 +68,11 @@ def compact(files: DataFrame) -> DataFrame:
     return g.withColumn("summary", F.concat(F.col("filename"), F.lit(": "), F.array_join(parts, ", ")))
 
 
-def _islands(x: DataFrame) -> DataFrame:
-    """Imports that span lines as one row each: a start opens an island, which the next closing line ends.
+def _islands(lines: Column) -> Column:
+    """Imports that span lines, as (lo, hi) in order, of the lines of a file: a start opens an island, which the next closing line ends.
 
-    A start that lies within an open island belongs to it. Each file's few starts and ends are paired in order by one
-    fold; lines stay apart.
+    A start that lies within an open island belongs to it. Each file's few starts and ends are paired in order by one fold.
     """
-    marks = x.where("starts or ends").groupBy("file_key").agg(F.sort_array(F.collect_list(F.struct("line_no", "starts", "ends"))).alias("m"))
-    last = x.groupBy("file_key").agg(F.max("line_no").alias("n"))
     empty = F.array().cast("array<struct<lo:int,hi:int>>")
     init = F.struct(F.lit(None).cast("int").alias("open"), empty.alias("all"))
 
@@ -84,41 +82,49 @@ def _islands(x: DataFrame) -> DataFrame:
         island = F.array(F.struct(s["open"].alias("lo"), m["line_no"].alias("hi")))
         return F.struct(F.when(closes, F.lit(None).cast("int")).when(opens, m["line_no"]).otherwise(s["open"]).alias("open"), F.when(closes, F.concat(s["all"], island)).otherwise(s["all"]).alias("all"))
 
-    f = marks.withColumn("s", F.aggregate("m", init, step)).join(last, "file_key")
-    tail = F.when(F.col("s.open").isNotNull(), F.array(F.struct(F.col("s.open").alias("lo"), (F.col("n") + 1).alias("hi")))).otherwise(empty)
-    return f.select("file_key", F.explode(F.concat("s.all", tail)).alias("i")).select("file_key", "i.lo", "i.hi")
+    tail = lambda s: F.when(s["open"].isNotNull(), F.array(F.struct(s["open"].alias("lo"), (F.size(lines) + 1).alias("hi")))).otherwise(empty)
+    return let(F.aggregate(F.filter(lines, lambda m: m["starts"] | m["ends"]), init, step), lambda s: F.concat(s["all"], tail(s)))
 
 
 def outline(files: DataFrame) -> DataFrame:
     """(file_key, filename, outline): a Markdown outline with up to 10 imports and 20 definitions.
 
-    Blank and comment lines are passed over. A decorator goes before the definition that follows it at once.
+    Blank and comment lines are passed over. A decorator goes before the definition that follows it at once. A file's lines are dealt once, and
+    no table is joined, so none is broadcast however small Spark takes it for.
     """
-    from ..sources.staging import staged
-
-    files = staged(files.select("file_key", "filename", "content"), "files")
-    x = content_lines(files).withColumn("t", trim(F.col("text"))).drop("text", "filename")
-    skip = (F.col("t") == "") | F.col("t").rlike(r"^(?://|#|/\*|\*)")
-    x = x.withColumn("skip", skip).withColumn("imp", ~F.col("skip") & is_import(F.col("t")))
-    x = x.withColumn("starts", F.col("imp") & F.col("t").contains("{") & ~F.col("t").contains("}") & ~F.col("t").contains("from"))
-    x = x.withColumn("ends", F.col("t").contains(";") | (F.col("t").contains("from") & F.col("t").contains("'")))
-    # lines are read once; islands, imports and definitions all start from them
-    x = staged(x.withColumn("kind", F.when(~F.col("skip") & ~F.col("imp"), definition(F.col("t")))), "outlined")
-    lo, hi = F.col("i.lo"), F.col("i.hi")
-    x = x.alias("x").join(_islands(x).alias("i"), (F.col("x.file_key") == F.col("i.file_key")) & F.col("x.line_no").between(lo, hi), "left").select("x.*", lo.alias("lo"), hi.alias("hi"))
-    joined = x.where("lo is not null").groupBy("file_key", "lo", "hi").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "t"))), lambda s: s["t"]), " ").alias("buf"), F.max("line_no").alias("last"))
+    c = F.col
+    x = files.select("file_key", "filename", F.posexplode_outer(F.split("content", "\n")).alias("p", "text"))
+    x = x.select("file_key", "filename", (c("p") + 1).alias("line_no"), trim(c("text")).alias("t"))
+    skip = (c("t") == "") | c("t").rlike(r"^(?://|#|/\*|\*)")
+    x = x.withColumn("skip", skip).withColumn("imp", ~c("skip") & is_import(c("t")))
+    x = x.withColumn("starts", c("imp") & c("t").contains("{") & ~c("t").contains("}") & ~c("t").contains("from"))
+    x = x.withColumn("ends", c("t").contains(";") | (c("t").contains("from") & c("t").contains("'")))
+    x = x.withColumn("kind", F.when(~c("skip") & ~c("imp"), definition(c("t"))))
+    line = F.when(c("line_no").isNotNull(), F.struct("line_no", "t", "skip", "imp", "starts", "ends", "kind"))
+    x = x.groupBy("file_key", "filename").agg(F.sort_array(F.collect_list(line)).alias("all"))
+    # islands lie among the lines, each before the first of its own
+    none = lambda kind: F.lit(None).cast(kind)
+    places = F.transform(_islands(c("all")), lambda i: F.struct(i["lo"].alias("at"), F.lit(0).alias("rank"), i.alias("i"), none("string").alias("t"), F.lit(True).alias("skip"), F.lit(False).alias("imp"), none("string").alias("kind")))
+    rows = F.transform("all", lambda m: F.struct(m["line_no"].alias("at"), F.lit(1).alias("rank"), none("struct<lo:int,hi:int>").alias("i"), m["t"].alias("t"), m["skip"].alias("skip"), m["imp"].alias("imp"), m["kind"].alias("kind")))
+    x = x.select("file_key", "filename", F.size("all").alias("n"), F.explode_outer(F.concat(places, rows)).alias("m")).select("file_key", "filename", "n", "m.*")
+    near = Window.partitionBy("file_key", "filename").orderBy("at", "rank")
+    x = x.withColumn("i", F.last("i", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.withColumn("i", F.when(c("i.hi") >= c("at"), c("i"))).where("rank = 1 or rank is null")
+    # lines that may be definitions, and the one before each, among themselves
+    plain = ~c("skip") & ~c("imp") & c("i").isNull()
+    among = Window.partitionBy("file_key", "filename", plain).orderBy("at")
+    x = x.withColumn("pending", F.when(plain & (F.lag("kind").over(among) == "decorator"), F.lag("t").over(among)))
+    # an island's text, at the line that ends it
+    island = Window.partitionBy("file_key", "filename", "i.lo")
+    ends = c("i").isNotNull() & (c("at") == c("i.hi"))
+    buf = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c("i").isNotNull(), F.struct("at", "t"))).over(island)), lambda s: s["t"]), " ")
     module = F.nullif(F.regexp_extract("buf", r"from\s*['\"]([^'\"]+)['\"]", 1), F.lit(""))
-    multi = joined.where("last = hi").select("file_key", F.col("hi").alias("line_no"), F.coalesce(F.concat(F.lit("import { ... } from '"), module, F.lit("'")), shorten(F.col("buf"))).alias("text"))
-    single = x.where("imp and lo is null").select("file_key", "line_no", shorten(F.col("t")).alias("text"))
-    imports = multi.unionByName(single).groupBy("file_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]).alias("imports"))
-    d = x.where("not skip and not imp and lo is null")
-    near = Window.partitionBy("file_key").orderBy("line_no")
-    pending = F.when(F.lag("kind").over(near) == "decorator", F.lag("t").over(near))
-    d = d.withColumn("pending", pending).where("kind is not null and kind <> 'decorator'")
-    text = F.concat(F.coalesce(F.concat(shorten(F.col("pending")), F.lit(" ")), F.lit("")), shorten(F.col("t")))
-    d = d.select("file_key", "line_no", F.concat(F.upper(F.substring("kind", 1, 1)), F.substring("kind", 2, 20), F.lit(": `"), text, F.lit("`")).alias("text"))
-    d = d.groupBy("file_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]).alias("defs"))
-    out = files.select("file_key", "filename", F.size(F.split("content", "\n")).alias("n")).join(imports, "file_key", "left").join(d, "file_key", "left")
+    x = x.withColumn("buf", F.when(ends, buf))
+    text = F.concat(F.coalesce(F.concat(shorten(c("pending")), F.lit(" ")), F.lit("")), shorten(c("t")))
+    imported = F.when(ends, F.coalesce(F.concat(F.lit("import { ... } from '"), module, F.lit("'")), shorten(c("buf")))).when(c("imp") & c("i").isNull(), shorten(c("t")))
+    defined = F.when(plain & (c("kind") != "decorator"), F.concat(F.upper(F.substring("kind", 1, 1)), F.substring("kind", 2, 20), F.lit(": `"), text, F.lit("`")))
+    listed = lambda what: F.transform(F.sort_array(F.collect_list(F.when(what.isNotNull(), F.struct("at", what.alias("text"))))), lambda s: s["text"])
+    out = x.groupBy("file_key", "filename").agg(F.nullif(F.max("n"), F.lit(0)).alias("n"), listed(imported).alias("imports"), listed(defined).alias("defs"))
 
     def section(title: str, col: str, cap: int, word: str, show) -> Column:
         items = F.transform(F.slice(col, 1, cap), show)
