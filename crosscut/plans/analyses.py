@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.rules import FILE_RULES
-from ..operators import file_rules, group, lines, merge, patch_rules, score, suppress, validation
+from ..operators import file_rules, group, lines, merge, patch_rules, report, score, suppress, validation
 from ..sources.config import Config, apply_rules
 from ..sources.staging import running, staged
 
@@ -80,6 +80,15 @@ def api_results(findings: DataFrame, validated: DataFrame, config: Config | None
     return summarize(findings, validated, config).join(details, "pr_id", "left")
 
 
+def job_outputs(validated: DataFrame, config: Config | None = None, fail_on_high: bool = True) -> DataFrame:
+    """report.job_outputs of validated findings and of their summary, in one pass by change set; those without a real finding have no row."""
+    config = config or Config()
+    x = validated.withColumn("real", validation.real())
+    points = F.sum(F.when(F.col("real"), score.cost(config.multiplier)))
+    x = x.groupBy("pr_id").agg(points.alias("penalty"), *score.counts_of(F.col("real")), *report.job_lines()).where("pr_id is not null and total > 0")
+    return report.job_texts(score.scored(x, config.high_risk_below), fail_on_high)
+
+
 def grouped_report(findings: DataFrame) -> DataFrame:
     from ..operators.report import grouped_text
 

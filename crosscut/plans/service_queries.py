@@ -13,7 +13,7 @@ from ..operators import group, lines, outline, report, review_answers, score, se
 from ..sources import repo_config, scans
 from ..sources.staging import staged
 from . import analyses, derived, snippets
-from .finding_queries import _FILES, _N, _NAME, _ORD, _VALID, _answers, _score_sql, _sql_list, _snapshots, n_, staged_valid
+from .finding_queries import _FILES, _N, _NAME, _ORD, _VALID, _answers, _score_sql, _sql_list, _snapshots, n_, valid_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 SECRET = "a shared secret"
@@ -142,9 +142,7 @@ def summary_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = staged_valid(spark, sf_dir)
-    s = analyses.summarize(v, v)
-    return report.job_outputs(s.select("pr_id", "score", "label"), s.select("pr_id", "total", "high", "medium", "low"), v)
+    return analyses.job_outputs(valid_once(spark, sf_dir))
 
 
 def issues_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
